@@ -1 +1,140 @@
-"""Registered queries."""
+"""Registered queries of market context and daily scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import context as X
+from . import pipelines as P
+from .registry import query
+
+BREADTH = "SELECT coalesce(sum(CAST(close > prev AS BIGINT)), 0) AS advances, coalesce(sum(CAST(close < prev AS BIGINT)), 0) AS declines, count(*) AS symbols FROM (SELECT symbol, close, row_number() OVER w AS n, lead(close) OVER w AS prev FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY date DESC)) WHERE n = 1 AND prev IS NOT NULL"
+ADV = "CAST(advances AS BIGINT) AS advances, CAST(declines AS BIGINT) AS declines, symbols"
+
+
+@query("i01_baseline")
+def i01(t):
+    return P.baseline(t.bars)
+
+
+@query("i12_swing_scan")
+def i12(t):
+    return P.swing_scan(t.daily)
+
+
+@query("j01_breadth", "daily", sql=f"SELECT {ADV} FROM ({BREADTH.format(src='daily')})")
+def j01(t):
+    return X.breadth(t.daily)
+
+
+TAIL = "SELECT *, row_number() OVER (PARTITION BY index_name ORDER BY date DESC) - 1 AS age FROM index_daily"
+
+
+@query(
+    "j02_market_regime", "daily", "index_daily", extra={"b": BREADTH.format(src="daily"), "tail": TAIL, "per": "SELECT index_name, max(CASE WHEN age = 0 THEN close END) AS last, max(CASE WHEN age = 1 THEN close END) AS prev, avg(CASE WHEN age < 20 THEN close END) AS sma20, stddev_pop(close) / avg(close) * 100 AS vol FROM tail WHERE age < 21 GROUP BY index_name",
+    "lab": "SELECT *, (last / prev - 1) * 100 AS move_pct, advances * 100.0 / (advances + declines) AS breadth_pct, CASE WHEN last >= sma20 AND last >= prev THEN 'up' WHEN last < sma20 AND last < prev THEN 'down' ELSE 'flat' END AS trend FROM per, b",
+    "lab2": "SELECT *, CASE WHEN breadth_pct >= 60 THEN 'broad up' WHEN breadth_pct <= 40 THEN 'broad down' ELSE 'mixed' END AS breadth_band FROM lab"},
+    sql="SELECT index_name, R6(move_pct) AS move_pct, trend, CASE WHEN vol < 13 THEN 'calm' WHEN vol < 18 THEN 'normal' WHEN vol < 25 THEN 'elevated' ELSE 'high' END AS vol_band, R6(breadth_pct) AS breadth_pct, breadth_band, CASE WHEN (trend = 'up' AND breadth_band = 'broad down') OR (trend = 'down' AND breadth_band = 'broad up') THEN 'divergent' WHEN trend = 'up' THEN 'long' WHEN trend = 'down' THEN 'short' ELSE 'neutral' END AS bias FROM lab2",
+)
+def j02(t):
+    return X.market_regime(t.index_daily, t.daily)
+
+
+@query(
+    "j03_light_regime", "daily", "index_daily", extra={"firsts": "SELECT * FROM daily WHERE symbol IN (SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 207)", "b": BREADTH.format(src="some"), "tail": TAIL},
+    sql="SELECT index_name, R6(m) AS move_pct, CASE WHEN m > 0.1 THEN 'Up' WHEN m < -0.1 THEN 'Down' ELSE 'Flat' END AS direction, R6(s) AS one_sided_pct, coalesce(s > 60, false) AS narrow FROM (SELECT index_name, (max(CASE WHEN age = 0 THEN close END) / max(CASE WHEN age = 1 THEN close END) - 1) * 100 AS m, any_value(greatest(advances, declines) * 100.0 / (advances + declines)) AS s FROM tail, b WHERE age < 2 GROUP BY index_name)",
+)
+def j03(t):
+    return X.light_regime(t.index_daily, t.daily)
+
+
+def _ret(src, key, p):
+    at = lambda k: f"max(CASE WHEN n = {k} THEN close END)"
+    return f"SELECT {key}, " + ", ".join(f"({at(0)} / {at(k)} - 1) * 100 AS {p}{k}" for k in (1, 5, 20)) + f" FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date DESC) - 1 AS n FROM {src}) GROUP BY {key}"
+
+
+@query(
+    "j04_sector_strength", "daily", "index_daily", "symbols", extra={"a": _ret("daily", "symbol", "r"), "b": _ret("index_daily", "index_name", "i")},
+    sql="SELECT symbol, sector, R6(r1 - i1) AS rs_1, R6(r5 - i5) AS rs_5, R6(r20 - i20) AS rs_20, CASE WHEN r20 - i20 >= 1.5 THEN 'leader' WHEN r20 - i20 <= -1.5 THEN 'laggard' ELSE 'in line' END AS label FROM a JOIN symbols USING (symbol) JOIN b ON region = index_name",
+)
+def j04(t):
+    return X.sector_strength(t.daily, t.symbols, t.index_daily)
+
+
+@query(
+    "j05_data_quality", "daily", "corp_actions",
+    extra={"d": "SELECT *, CASE WHEN prev > 0 THEN greatest(close / prev, prev / close) END AS jump FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM daily)",
+    "base": "SELECT symbol, count(*) AS bars, CAST(sum(CASE WHEN close <= 0 OR high < low OR close IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS invalid, min(close) AS min_close, max(jump) AS worst_jump FROM d GROUP BY symbol",
+    "worst": "SELECT symbol, CAST(date AS VARCHAR) AS worst_date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY jump DESC NULLS LAST, date) AS n FROM d) WHERE n = 1",
+    "seen": "SELECT symbol, ex_date, ratio, close / prev AS obs FROM (SELECT d.symbol, c.date AS ex_date, c.value AS ratio, d.close, d.prev, row_number() OVER (PARTITION BY d.symbol, c.date, c.value ORDER BY d.date) AS n FROM corp_actions c JOIN d ON d.symbol = c.symbol AND d.date >= c.date WHERE c.type = 'split' AND c.value >= 1.5) WHERE n = 1",
+    "raw": "SELECT symbol, count(*) AS uncorrected FROM seen WHERE obs < 0.85 AND abs(obs * ratio - 1) <= 0.25 GROUP BY symbol"},
+    sql="SELECT symbol, bars, invalid, R6(min_close) AS min_close, R6(worst_jump) AS worst_jump, worst_date, coalesce(uncorrected, 0) AS uncorrected, CASE WHEN coalesce(uncorrected, 0) > 0 OR invalid > 0 THEN 'unreliable' WHEN worst_jump > 1.5 THEN 'suspect' ELSE 'ok' END AS verdict FROM base JOIN worst USING (symbol) LEFT JOIN raw USING (symbol)",
+)
+def j05(t):
+    return X.data_quality(t.daily, t.corp_actions)
+
+
+MED = "SELECT symbol, median(close * volume) AS med, max(CASE WHEN n = 1 THEN close END) AS last_close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 60 GROUP BY symbol"
+WATCH = "SELECT symbol, CASE WHEN symbol % 14 = 0 THEN 'trade to trade' ELSE 'graded surveillance' END AS measure FROM symbols WHERE symbol % 7 = 0"
+
+
+def watch(t):
+    return t.symbols.where("symbol % 7 = 0").select("symbol", F.when(F.col("symbol") % 14 == 0, "trade to trade").otherwise("graded surveillance").alias("measure"))
+
+
+@query(
+    "j06_tradability", "daily", "symbols", extra={"med": MED, "watch": WATCH, "x": "SELECT m.symbol, measure, CASE WHEN med / 1e5 >= 50 THEN 'deep' WHEN med / 1e5 >= 5 THEN 'ok' WHEN med / 1e5 >= 1 THEN 'thin' ELSE 'very_thin' END AS tier, last_close < 20 AS low_price, coalesce(market_cap_inr / 1e7 < 500, false) AS micro_cap FROM med m LEFT JOIN symbols s USING (symbol) LEFT JOIN watch w ON w.symbol = m.symbol"},
+    sql="SELECT symbol, tier, low_price, micro_cap, measure, CASE WHEN measure = 'trade to trade' OR tier = 'very_thin' THEN 'blocked' WHEN measure <> '' THEN 'high_risk' WHEN tier = 'thin' OR low_price OR micro_cap THEN 'caution' ELSE 'ok' END AS verdict FROM x",
+)
+def j06(t):
+    return X.tradability(t.daily, t.symbols, watch(t), unit=1e5)
+
+
+@query("j06_coverage", "daily", "symbols", sql="SELECT count(*) AS symbols, count(market_cap_inr) AS with_cap FROM (SELECT DISTINCT symbol FROM daily) LEFT JOIN symbols USING (symbol)")
+def j06b(t):
+    return t.daily.select("symbol").distinct().join(t.symbols, "symbol", "left").agg(F.count(F.lit(1)).alias("symbols"), F.count("market_cap_inr").alias("with_cap"))
+
+
+@query("j07_series", sql="SELECT series, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 5 = 1 THEN 'BE' WHEN p_partkey % 5 = 2 THEN 'BZ' WHEN p_partkey % 5 = 3 THEN 'BL' ELSE 'EQ' END AS series FROM part) GROUP BY series")
+def j07(t):
+    suffix = F.element_at(F.array(*map(F.lit, ["", "-BE", "-BZ", "-BL", "-XX"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t.raw("part").select(X.series_of(F.concat("p_brand", suffix)).alias("series")).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+
+
+POS, NEG = ["the", "and", "of"], ["der", "die", "la"]
+SENT = f"SELECT doc_id, any_value(symbol) AS symbol, count(*) FILTER (WHERE w IN {tuple(POS)}) AS p, count(*) FILTER (WHERE w IN {tuple(NEG)}) AS n FROM (SELECT doc_id, symbol, unnest(regexp_split_to_array(lower(headline), '[^a-z]+')) AS w FROM headlines) GROUP BY doc_id"
+
+
+@query("j08_headline_sentiment", "headlines", extra={"s": SENT, "z": "SELECT h.doc_id, h.symbol, CASE WHEN coalesce(p + n, 0) > 0 THEN (p - n) / CAST(p + n AS DOUBLE) ELSE 0 END AS score FROM headlines h LEFT JOIN s USING (doc_id)"}, sql="SELECT doc_id, symbol, R6(score) AS score, CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM z")
+def j08(t):
+    """The lexicon is a parameter; the documents are invented prose, so common words of two languages stand in."""
+    return X.headline_sentiment(t.headlines, POS, NEG)
+
+
+@query("j09_news_contradiction", "journal", sql="SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a AND m THEN 'contradicts' WHEN a OR m THEN 'caution' ELSE 'consistent' END AS verdict FROM (SELECT (direction = 'BUY' AND id % 3 = 0) OR (direction = 'SELL' AND id % 3 = 1) AS a, (direction = 'BUY' AND coalesce(pnl, 0) / 1e5 <= -2) OR (direction = 'SELL' AND coalesce(pnl, 0) / 1e5 >= 2) AS m FROM journal)) GROUP BY verdict")
+def j09(t):
+    label = F.when(F.col("id") % 3 == 0, "negative").when(F.col("id") % 3 == 1, "positive").otherwise("neutral")
+    v = X.contradiction(label, F.coalesce("pnl", F.lit(0.0)) / 1e5, F.col("direction"))
+    return t.journal.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j10_provider_sentiment", sql="SELECT source AS symbol, count(*) AS n, R6(avg(least(greatest(n_chars / 4000.0 - 0.5, -1), 1))) AS sentiment FROM documents GROUP BY source")
+def j10(t):
+    """Mean of entity scores clamped to -1..1 per symbol."""
+    score = F.least(F.greatest(F.col("n_chars") / 4000.0 - 0.5, F.lit(-1.0)), F.lit(1.0))
+    return t.raw("documents").groupBy(F.col("source").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("sentiment"))
+
+
+@query(
+    "j11_exit_reachability", "journal",
+    sql="SELECT id, R6(pct) AS participation_pct, CASE WHEN stop < lo OR stop > hi THEN 'stop_outside_band' WHEN pct >= 20 THEN 'illiquid' WHEN target < lo OR target > hi THEN 'target_outside_band' WHEN pct >= 5 THEN 'heavy' ELSE 'reachable' END AS exit_verdict FROM (SELECT id, entry * (1 - (id % 15) / 100.0) AS stop, entry * (1 + (id % 30) / 100.0) AS target, entry * 0.9 AS lo, entry * 1.2 AS hi, qty * 100.0 / (id % 1000 + 50) AS pct FROM journal)",
+)
+def j11(t):
+    e, i = F.col("entry"), F.col("id")
+    rows = t.journal.select("id", "qty", (e * (1 - (i % 15) / 100.0)).alias("stop"), (e * (1 + (i % 30) / 100.0)).alias("target"), (e * 0.9).alias("band_low"), (e * 1.2).alias("band_high"), (i % 1000 + 50).alias("adv"))
+    return X.exit_reachability(rows).select("id", "participation_pct", "exit_verdict")
+
+
+@query("j12_symbol_metadata", "bars", sql="SELECT symbol, string_agg(DISTINCT tf, ',') AS intervals, count(DISTINCT session_date) AS days, CAST(max(session_date) AS VARCHAR) AS last_date, CAST(date_diff('day', max(session_date), DATE '2024-03-01') AS INT) AS age_days FROM bars GROUP BY symbol")
+def j12(t):
+    return X.symbol_metadata(t.bars, F.lit("2024-03-01").cast("date"))

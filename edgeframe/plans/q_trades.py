@@ -239,9 +239,9 @@ def f03(t):
     return TS.curve_stats(trades(t)).select(*TS.KEY, "max_dd")
 
 
-@query("f04_sharpe", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(sd) AS sd, R6(sharpe) AS sharpe, R6(sharpe * sqrt(n)) AS t_stat FROM sharpe WHERE n >= 8")
+@query("f04_sharpe", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(sd) AS sd, R6(sharpe) AS sharpe, R6(sharpe * sqrt(n)) AS t_stat FROM sharpe WHERE n >= 8 AND sd > 0.001")
 def f04(t):
-    return TS.sharpe_stats(trades(t)).where("n >= 8").select(*TS.KEY, "sd", "sharpe", "t_stat")
+    return TS.sharpe_stats(trades(t)).where("n >= 8 AND sd > 0.001").select(*TS.KEY, "sd", "sharpe", "t_stat")
 
 
 @query(
@@ -308,7 +308,7 @@ OWN_INDEX = "SELECT 'ALL' AS index_name, session_date AS date, CAST(sum(CAST(clo
 
 def own_index(t):
     last = t.bars.groupBy("symbol", "session_date").agg(F.max_by("close", "bar_idx").alias("close"))
-    return last.groupBy(F.lit("ALL").alias("index_name"), F.col("session_date").alias("date")).agg(F.avg(F.col("close").cast("decimal(20,4)")).cast("double").alias("close"))
+    return last.groupBy(F.lit("ALL").alias("index_name"), F.col("session_date").alias("date")).agg((F.sum(F.col("close").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1))).alias("close"))
 
 
 @query("g06_regime_consistency", "bars", extra=X_TRADES | {"index_daily": OWN_INDEX, "regime": REGIME, "per": f"SELECT {K4}, count(*) FILTER (WHERE up) AS n_up, avg(r) FILTER (WHERE up) AS e_up, count(*) FILTER (WHERE NOT up) AS n_down, avg(r) FILTER (WHERE NOT up) AS e_down FROM trades t JOIN regime g ON t.session_date = g.date GROUP BY {K4}"}, sql=f"SELECT {K4}, n_up, n_down, CASE WHEN e_up > 0 AND e_down > 0 THEN true WHEN (n_up >= 10 AND e_up <= 0) OR (n_down >= 10 AND e_down <= 0) THEN false END AS regime_consistent FROM per")

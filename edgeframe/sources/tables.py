@@ -68,7 +68,7 @@ class Tables:
     def index_daily(self) -> DataFrame:
         """index_name (the region), date, close."""
         # Prices keep four places, so that sums do not depend on the order of rows.
-        close = F.avg(F.col("close").cast("decimal(20,4)")).cast("double")
+        close = F.sum(F.col("close").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1))
         return self.daily.join(self.symbols, "symbol").groupBy(F.col("region").alias("index_name"), "date").agg(close.alias("close"))
 
     @cached_property
