@@ -41,7 +41,7 @@ def j02(t):
 
 
 @query(
-    "j03_light_regime", "daily", "index_daily", extra={"firsts": "SELECT * FROM daily WHERE symbol IN (SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 207)", "b": BREADTH.format(src="some"), "tail": TAIL},
+    "j03_light_regime", "daily", "index_daily", extra={"firsts": "SELECT * FROM daily WHERE symbol IN (SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 207)", "b": BREADTH.format(src="firsts"), "tail": TAIL},
     sql="SELECT index_name, R6(m) AS move_pct, CASE WHEN m > 0.1 THEN 'Up' WHEN m < -0.1 THEN 'Down' ELSE 'Flat' END AS direction, R6(s) AS one_sided_pct, coalesce(s > 60, false) AS narrow FROM (SELECT index_name, (max(CASE WHEN age = 0 THEN close END) / max(CASE WHEN age = 1 THEN close END) - 1) * 100 AS m, any_value(greatest(advances, declines) * 100.0 / (advances + declines)) AS s FROM tail, b WHERE age < 2 GROUP BY index_name)",
 )
 def j03(t):

@@ -1 +1,103 @@
-"""Registered queries."""
+"""Registered queries of the trade journal."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import context as X
+from ..operators import journal as L
+from .q_bars import day
+from .registry import query
+
+ACC = ["account_id"]
+CLOSED = "SELECT *, row_number() OVER w AS pos, CAST(sum(CAST(pnl AS DECIMAL(20,2))) OVER w AS DOUBLE) AS equity FROM journal WHERE pnl IS NOT NULL WINDOW w AS (PARTITION BY account_id ORDER BY exit_date NULLS LAST, id)"
+DD = "SELECT *, greatest(max(equity) OVER (PARTITION BY account_id ORDER BY pos), 0) - equity AS dd FROM closed"
+PF = "CASE WHEN sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) > 0 THEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) WHEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) > 0 THEN 99 ELSE 0 END"
+
+
+def adv(t, k):
+    w = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    return t.daily.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("symbol").agg(F.avg("volume").alias("adv"))
+
+
+@query("l01_metrics", "journal", extra={"closed": CLOSED, "d": DD}, sql=f"SELECT account_id, count(*) AS trades, R6(avg(CAST(pnl > 0 AS DOUBLE)) * 100) AS win_pct, R6({PF}) AS profit_factor, R6(coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0)) AS sharpe, R6(max(dd)) AS max_drawdown, R6(CAST(sum(CAST(pnl AS DECIMAL(20,2))) AS DOUBLE)) AS total FROM d GROUP BY account_id")
+def l01(t):
+    return L.metrics(t.journal, ACC)
+
+
+@query("l02_equity_curve", "journal", extra={"closed": CLOSED}, sql="SELECT account_id, id, pos, R6(equity) AS equity, coalesce(CAST(exit_date AS VARCHAR), CAST(pos AS VARCHAR)) AS label FROM closed")
+def l02(t):
+    return L.curve(t.journal, ACC).select("account_id", "id", "pos", "equity", "label")
+
+
+@query("l03_slippage_pnl", "journal", sql="SELECT id, R6(CASE WHEN direction = 'BUY' THEN entry * 1.001 - entry ELSE entry - entry * 1.001 END) AS slippage, R6(CASE WHEN direction = 'BUY' THEN entry * 1.02 - entry * 1.001 ELSE entry * 1.001 - entry * 1.02 END * qty) AS pnl FROM journal")
+def l03(t):
+    e, actual = F.col("entry"), F.col("entry") * 1.001
+    return t.journal.select("id", L.slippage(F.col("direction"), e, actual).alias("slippage"), L.pnl(F.col("direction"), actual, e * 1.02, F.col("qty")).alias("pnl"))
+
+
+@query("l04_breaker", "journal", extra={"marks": "SELECT symbol, avg(entry) AS mark FROM journal GROUP BY symbol", "b": "SELECT account_id, sum(coalesce(pnl, (CASE WHEN direction = 'BUY' THEN mark - entry ELSE entry - mark END) * qty)) / 1e6 * 100 AS pct FROM journal JOIN marks USING (symbol) WHERE state = 'Manually_Accepted' GROUP BY account_id"}, sql="SELECT account_id, R6(pct) AS pct, pct <= -2 AS frozen FROM b")
+def l04(t):
+    marks = t.journal.groupBy("symbol").agg(F.avg("entry").alias("mark"))
+    return L.breaker(t.journal, marks, 1e6).drop("result")
+
+
+@query("l05_governor", "journal", extra={"c": "SELECT *, sum(CAST(pnl >= 0 AS INT)) OVER (PARTITION BY account_id ORDER BY exit_date DESC NULLS FIRST, id DESC) AS w FROM journal WHERE state = 'Manually_Accepted' AND pnl IS NOT NULL", "g": "SELECT account_id, count(*) AS trades, CAST(sum(CAST(pnl < 0 AS INT)) AS BIGINT) AS losses, CAST(sum(CAST(w = 0 AS INT)) AS BIGINT) AS loss_run, -sum(pnl) / 1e7 * 100 AS loss FROM c GROUP BY account_id"},
+       sql="SELECT account_id, trades, losses, loss_run, CASE WHEN trades >= 5 OR loss_run >= 3 OR loss >= 2 THEN 'closed' WHEN trades >= 4 OR loss_run >= 2 OR loss >= 1 THEN 'caution' ELSE 'open' END AS verdict FROM g")
+def l05(t):
+    return L.governor(t.journal, ACC).select("account_id", "trades", "losses", "loss_run", "verdict")
+
+
+EDG = "SELECT symbol, strategy, direction, avg(CAST(pnl > -50000 AS DOUBLE)) * 100 AS win_pct, avg(pnl) AS expectancy FROM journal WHERE pnl IS NOT NULL AND id % 2 = 0 GROUP BY ALL"
+
+
+def _edges(t):
+    return t.journal.where("pnl IS NOT NULL AND id % 2 = 0").groupBy("symbol", "strategy", "direction").agg((F.avg((F.col("pnl") > -50000).cast("double")) * 100).alias("win_pct"), F.avg("pnl").alias("expectancy"))
+
+
+@query("l06_calibration", "journal", extra={"e": EDG, "best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY expectancy DESC, strategy) AS n FROM e) WHERE n = 1", "p": "SELECT j.pnl, coalesce(e.win_pct, b.win_pct) AS p FROM journal j LEFT JOIN e USING (symbol, strategy, direction) LEFT JOIN best b ON b.symbol = j.symbol AND b.direction = j.direction WHERE j.pnl IS NOT NULL"},
+       sql="SELECT CASE WHEN p < 55 THEN '<55' WHEN p < 65 THEN '55-65' WHEN p < 75 THEN '65-75' ELSE '>=75' END AS bucket, count(*) AS trades, R6(avg(p)) AS predicted, R6(avg(CAST(pnl > 0 AS DOUBLE)) * 100) AS realised, R6(avg(CAST(pnl > 0 AS DOUBLE)) * 100 - avg(p)) AS gap FROM p WHERE p IS NOT NULL GROUP BY 1")
+def l06(t):
+    return L.calibration(t.journal, _edges(t))
+
+
+@query("l07_style", "journal", extra={"e": EDG, "caps": "SELECT DISTINCT symbol, CASE WHEN symbol < '3' THEN 10000.0 ELSE 30000.0 END AS cap FROM journal"}, sql=f"SELECT count(*) AS edges, count(DISTINCT symbol) AS names, R6(median(expectancy)) AS median_expectancy, R6(median(win_pct)) AS median_win_pct, CASE WHEN count(*) = 0 THEN 'no data' WHEN median(expectancy) > 0 THEN 'supported' ELSE 'not supported' END AS verdict FROM e JOIN caps USING (symbol) WHERE cap < 20000 AND direction = 'BUY' AND strategy IN {tuple(L.MOMENTUM)}")
+def l07(t):
+    caps = t.journal.select("symbol").distinct().withColumn("cap_crore", F.when(F.col("symbol") < "3", 10000.0).otherwise(30000.0))
+    return L.style_validation(_edges(t), caps)
+
+
+def _group(name, by):
+    @query(name, "journal", sql=f"SELECT {by}, count(*) AS trades, R6(avg(CAST(pnl > 0 AS DOUBLE)) * 100) AS win_pct, R6({PF}) AS profit_factor, R6(sum(pnl)) AS pnl FROM journal WHERE pnl IS NOT NULL GROUP BY {by}")
+    def run(t):
+        return L.group_results(t.journal, by)
+
+
+for _by in ("strategy", "sector", "symbol"):
+    _group(f"f08_by_{_by}", _by)
+
+
+@query("f09_medians", "daily", sql="SELECT symbol, R6(median(close)) AS median_close, R6(median(volume)) AS median_volume FROM daily GROUP BY symbol")
+def f09(t):
+    return t.daily.groupBy("symbol").agg(F.median("close").alias("median_close"), F.median("volume").alias("median_volume"))
+
+
+@query("f10_percentiles", "daily", sql="SELECT symbol, R6(quantile_cont(close, 0.05)) AS p05, R6(quantile_cont(close, 0.95)) AS p95 FROM daily GROUP BY symbol")
+def f10(t):
+    return t.daily.groupBy("symbol").agg(F.percentile("close", 0.05).alias("p05"), F.percentile("close", 0.95).alias("p95"))
+
+
+@query("f11_adv", "daily", sql="SELECT symbol, R6(avg(volume)) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 20 GROUP BY symbol")
+def f11(t):
+    return adv(t, 20)
+
+
+@query("f12_median_turnover", "daily", sql="SELECT symbol, R6(median(close * volume)) AS median_turnover FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 60 GROUP BY symbol")
+def f12(t):
+    return X.turnover_median(t.daily).drop("last_close")
+
+
+@query("f13_distinct_counts", "daily", "symbols", sql="SELECT count(DISTINCT symbol) AS symbols, count(DISTINCT sector) AS sectors, count(DISTINCT date) AS days FROM daily JOIN symbols USING (symbol)")
+def f13(t):
+    return t.daily.join(t.symbols, "symbol").agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("sector").alias("sectors"), F.count_distinct("date").alias("days"))

@@ -1 +1,216 @@
-"""Registered queries."""
+"""Registered queries of holdings and portfolio."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import context as X
+from ..operators import indicators as C
+from ..operators import portfolio as K
+from . import pipelines as P
+from .registry import query
+
+MERGED = """SELECT account_id, symbol, sum(qty) AS qty, sum(cost) / sum(qty) AS avg_cost, string_agg(broker, '/' ORDER BY o1) AS broker FROM (
+  SELECT account_id, symbol, broker, sum(qty) AS qty, sum(qty * avg_cost) AS cost, min(rn) AS o1 FROM (SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY pos) AS rn FROM holdings) GROUP BY ALL) GROUP BY account_id, symbol"""
+LASTC = "SELECT symbol, arg_max(close, date) AS close FROM daily GROUP BY symbol"
+VALUED = """SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY value DESC, symbol) AS rank FROM (SELECT *, value - cost AS unrealised, (value - cost) * 100 / cost AS unrealised_pct, value * 100 / sum(value) OVER (PARTITION BY account_id) AS weight FROM (
+  SELECT m.*, coalesce(l.close, avg_cost) AS price, l.close IS NULL AS at_cost, qty * coalesce(l.close, avg_cost) AS value, qty * avg_cost AS cost, s.sector FROM merged m LEFT JOIN lastc l USING (symbol) LEFT JOIN symbols s USING (symbol)))"""
+X_V = {"merged": MERGED, "lastc": LASTC, "v": VALUED}
+BASE = ("holdings", "daily", "symbols")
+
+
+def last_close(t):
+    """Last close of each symbol; every tenth symbol has no archive price."""
+    return t.daily.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+
+
+def valued(t):
+    return K.valued(K.mark(K.merge_holdings(t.holdings), last_close(t)).join(t.symbols.select("symbol", "sector"), "symbol", "left"))
+
+
+@query("k01_merge_holdings", "holdings", extra={"merged": MERGED}, sql="SELECT account_id, symbol, qty, R6(avg_cost) AS avg_cost, broker FROM merged")
+def k01(t):
+    return K.merge_holdings(t.holdings)
+
+
+@query("k02_resolve_names", "symbols", sql="SELECT s_name AS name, s_suppkey AS symbol FROM supplier")
+def k02(t):
+    names = t.symbols.select(F.concat(F.regexp_replace("name", "#", " # "), F.lit(" Ltd")).alias("name"))
+    return K.resolve_names(names, t.symbols).select(F.regexp_replace(F.regexp_replace("name", " # ", "#"), " Ltd$", "").alias("name"), "symbol")
+
+
+@query("k03_marks", *BASE, extra=X_V, sql="SELECT account_id, symbol, R6(price) AS price, at_cost FROM v")
+def k03(t):
+    return valued(t).select("account_id", "symbol", "price", "at_cost")
+
+
+@query("k04_values", *BASE, extra=X_V, sql="SELECT account_id, symbol, R6(value) AS value, R6(unrealised) AS unrealised, R6(weight) AS weight FROM v")
+def k04(t):
+    return valued(t).select("account_id", "symbol", "value", "unrealised", "weight")
+
+
+@query("k04_totals", *BASE, extra=X_V, sql="SELECT account_id, count(*) AS names, R6(sum(value)) AS value, R6(sum(cost)) AS cost, R6(sum(CASE WHEN rank <= 1 THEN weight ELSE 0 END)) AS top1, R6(sum(CASE WHEN rank <= 3 THEN weight ELSE 0 END)) AS top3, R6(sum(CASE WHEN rank <= 5 THEN weight ELSE 0 END)) AS top5 FROM v GROUP BY account_id")
+def k04b(t):
+    return K.totals(valued(t)).drop("unrealised")
+
+
+@query("k05_concentration", *BASE, extra=X_V, sql="SELECT account_id, R6(h) AS hhi, R6(10000 / h) AS effective_names, CASE WHEN h >= 2500 THEN 'concentrated' WHEN h >= 1500 THEN 'moderate' ELSE 'diversified' END AS label FROM (SELECT account_id, sum(weight * weight) AS h FROM v GROUP BY account_id)")
+def k05(t):
+    return K.concentration(valued(t))
+
+
+@query("k06_flags", *BASE, extra=X_V, sql="SELECT account_id, symbol, CASE WHEN unrealised_pct <= -25 THEN 'deep_loss' WHEN weight >= 25 THEN 'concentration' WHEN sum(weight) OVER (PARTITION BY account_id, sector) >= 40 THEN 'sector_overweight' WHEN symbol % 3 <> 0 THEN 'no_edge' END AS flag FROM v")
+def k06(t):
+    return K.flags(valued(t), t.symbols.where("symbol % 3 = 0")).select("account_id", "symbol", "flag")
+
+
+@query("k07_half_kelly", "journal", extra={"s": "SELECT strategy, avg(CAST(pnl > 0 AS DOUBLE)) * 100 AS w, avg(CASE WHEN pnl > 0 THEN pnl END) AS a, avg(CASE WHEN pnl <= 0 THEN pnl END) AS l FROM journal WHERE pnl IS NOT NULL GROUP BY strategy"}, sql="SELECT strategy, R6(least(greatest((w / 100 - (1 - w / 100) / (a / -l)) * 50, 0), 5)) AS half_kelly FROM s")
+def k07(t):
+    s = t.journal.where("pnl IS NOT NULL").groupBy("strategy").agg((F.avg((F.col("pnl") > 0).cast("double")) * 100).alias("w"), F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))).alias("a"), F.avg(F.when(F.col("pnl") <= 0, F.col("pnl"))).alias("l"))
+    return s.select("strategy", K.half_kelly(F.col("w"), F.col("a"), F.col("l")).alias("half_kelly"))
+
+
+def _exposure(name, by):
+    @query(name, *BASE, extra=X_V, sql=f"SELECT account_id, {by}, R6(value) AS value, R6(w) AS weight, names, CASE WHEN w >= 40 THEN 'hot' WHEN w >= 25 THEN 'warm' ELSE 'cool' END AS heat FROM (SELECT account_id, {by}, sum(value) AS value, sum(weight) AS w, count(*) AS names FROM v GROUP BY ALL)")
+    def run(t):
+        return K.exposure(valued(t), by)
+
+
+_exposure("k08_sector_exposure", "sector")
+_exposure("k08_broker_exposure", "broker")
+
+
+@query("k09_sector_clusters", *BASE, extra=X_V, sql="SELECT account_id, sector, count(*) AS names, R6(sum(weight)) AS weight FROM v GROUP BY account_id, sector HAVING count(*) >= 2 AND sum(weight) >= 25")
+def k09(t):
+    return K.sector_clusters(valued(t))
+
+
+SER = "SELECT * FROM vec_returns WHERE symbol % 5 = 0"
+
+
+@query("k10_align", "vec_returns", sql="SELECT account_id, count(DISTINCT symbol) AS names, count(DISTINCT session) AS sessions FROM vec_returns GROUP BY account_id")
+def k10(t):
+    return K.align(t.returns).groupBy("account_id").agg(F.count_distinct("symbol").alias("names"), F.count_distinct("session").alias("sessions"))
+
+
+RHO = "SELECT account_id, a, b, CASE WHEN a = b THEN 1.0 ELSE least(greatest(coalesce(c / nullif(sx * sy, 0), 0), -1), 1) END AS rho FROM (SELECT x.account_id, x.symbol AS a, y.symbol AS b, covar_pop(x.value, y.value) AS c, stddev_pop(x.value) AS sx, stddev_pop(y.value) AS sy FROM vec_returns x JOIN vec_returns y ON x.account_id = y.account_id AND x.session = y.session AND x.symbol <= y.symbol GROUP BY ALL)"
+
+
+@query("k11_correlation", "vec_returns", extra={"rho": RHO}, sql="SELECT account_id, a, b, R6(rho) AS rho FROM rho")
+def k11(t):
+    return K.correlations(K.align(t.returns))
+
+
+@query("k12_effective_bets", "vec_returns", extra={"rho": RHO}, sql="SELECT account_id, CAST(sum(CAST(a = b AS INT)) AS BIGINT) AS n, R6(pow(sum(CAST(a = b AS INT)), 2) / sum(CASE WHEN a <> b THEN 2 * rho * rho ELSE 1 END)) AS effective_bets, R6(avg(CASE WHEN a <> b THEN rho END)) AS avg_pair FROM rho GROUP BY account_id")
+def k12(t):
+    return K.effective_bets(K.correlations(K.align(t.returns)))
+
+
+@query("k13_linked_clusters")
+def k13(t):
+    c = K.linked_clusters(K.correlations(K.align(t.returns)), least=0.30)
+    return K.cluster_table(c, c.withColumn("weight", F.lit(1.0)))
+
+
+def signals(t):
+    return K.rotation_signals(t.daily, t.index_daily)
+
+
+ROT = """SELECT symbol, count(*) AS bars, max(CASE WHEN rn = 1 THEN x END) AS last, avg(CASE WHEN rn <= 50 THEN x END) AS m50, avg(CASE WHEN rn <= 200 THEN x END) AS m200, max(CASE WHEN rn = 64 THEN x END) AS x64, max(CASE WHEN rn = 127 THEN x END) AS x127, max(CASE WHEN rn = 253 THEN x END) AS x253,
+  max(CASE WHEN rn <= 252 THEN x END) AS top FROM (SELECT symbol, adj_close AS x, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM daily) WHERE rn <= 253 GROUP BY symbol"""
+BENCH = "SELECT (max(CASE WHEN rn = 1 THEN c END) / max(CASE WHEN rn = 127 THEN c END) - 1) * 100 AS i126, (max(CASE WHEN rn = 1 THEN c END) / max(CASE WHEN rn = 253 THEN c END) - 1) * 100 AS i252 FROM (SELECT CAST(sum(CAST(close AS DECIMAL(20,4))) AS DOUBLE) / count(*) AS c, row_number() OVER (ORDER BY date DESC) AS rn FROM index_daily GROUP BY date)"
+SIGS = """SELECT symbol, (last / m50 - 1) * 100 AS vs50, (last / m200 - 1) * 100 AS vs200, (last / x64 - 1) * 100 AS ret_63, (last / x127 - 1) * 100 - i126 AS rs_6m, (last / x253 - 1) * 100 - i252 AS rs_12m, (last / top - 1) * 100 AS off_high,
+  CASE WHEN last > m200 AND last > x64 THEN 'uptrend' WHEN last < m200 AND last < x253 AND last < x64 THEN 'downtrend' ELSE 'sideways' END AS trend FROM rot, bench WHERE bars >= 60"""
+X_S = {"rot": ROT, "bench": BENCH, "sigs": SIGS}
+
+
+@query("k14_rotation_signal", "daily", "index_daily", extra=X_S, sql="SELECT symbol, R6(vs50) AS vs50, R6(vs200) AS vs200, R6(ret_63) AS ret_63, R6(rs_6m) AS rs_6m, R6(rs_12m) AS rs_12m, R6(off_high) AS off_high, trend FROM sigs")
+def k14(t):
+    return signals(t)
+
+
+BUCKET = "SELECT v.*, CASE WHEN symbol % 50 = 0 THEN 'Hold*' WHEN trend = 'downtrend' AND rs_12m < -15 THEN 'Rotate out' WHEN trend = 'uptrend' AND coalesce(rs_12m > 0, true) THEN 'Leader' WHEN weight >= 12 AND vs200 < 0 AND rs_12m < 0 THEN 'Trim' ELSE 'Hold' END AS bucket FROM v JOIN sigs USING (symbol)"
+
+
+def bucketed(t):
+    j = valued(t).join(signals(t), "symbol")
+    return j.withColumn("bucket", K.rotation_bucket(F.col("trend"), F.col("rs_12m"), F.col("weight"), F.col("vs200"), F.col("symbol") % 50 == 0))
+
+
+@query("k15_rotation_bucket", *BASE, "index_daily", extra=X_V | X_S | {"bk": BUCKET}, sql="SELECT account_id, symbol, bucket FROM bk")
+def k15(t):
+    return bucketed(t).select("account_id", "symbol", "bucket")
+
+
+@query("k16_buy_screen", *BASE, "index_daily", extra=X_S | {"ok": "SELECT symbol, 1.0 / (symbol % 17 + 1) AS expectancy FROM sigs WHERE vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND off_high >= -99"}, sql="SELECT * FROM (SELECT a.account_id, ok.symbol, row_number() OVER (PARTITION BY a.account_id ORDER BY expectancy DESC, ok.symbol) AS rank FROM (SELECT DISTINCT account_id FROM holdings) a CROSS JOIN ok WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.account_id = a.account_id AND h.symbol = ok.symbol)) WHERE rank <= 12")
+def k16(t):
+    edges = t.symbols.select("symbol", (1.0 / (F.col("symbol") % 17 + 1)).alias("expectancy"))
+    return K.buy_screen(signals(t), edges, t.holdings, off_high=-99.0).select("account_id", "symbol", "rank")
+
+
+@query("k17_rebalance", *BASE, "index_daily", extra=X_V | X_S | {"bk": BUCKET, "s": "SELECT account_id, sum(f * value) AS cash, sum(f * unrealised) AS gain, count(*) FILTER (WHERE f > 0) AS sold FROM (SELECT *, CASE bucket WHEN 'Rotate out' THEN 1.0 WHEN 'Trim' THEN 0.6 ELSE 0.0 END AS f FROM bk) GROUP BY account_id"}, sql="SELECT account_id, R6(cash) AS cash, R6(gain) AS gain, sold, R6(greatest(gain - 125000, 0) * 0.125) AS tax, R6((cash - greatest(gain - 125000, 0) * 0.125) / 5) AS per_name FROM s")
+def k17(t):
+    return K.rebalance(bucketed(t))
+
+
+def factors(t):
+    tails = C.daily_tails(t.daily)
+    j = tails.join(signals(t), "symbol").join(t.symbols.select("symbol", "sector", "market_cap_inr"), "symbol")
+    return j.select(
+        "symbol", "sector", F.least("cagr", F.lit(60.0)).alias("cagr"), F.coalesce("rs_12m", F.lit(0.0)).alias("rs"), F.col("vs200").alias("trend"), (-F.col("max_dd_pct")).alias("drawdown"),
+        F.coalesce("consistency", F.lit(0.0)).alias("consistency"), F.log(1 + F.coalesce(F.col("market_cap_inr") / 1e7, F.lit(0.0))).alias("quality"), (F.col("symbol") % 3 == 0).alias("edge_backed"),
+    )
+
+
+@query("k18_horizon_screen")
+def k18(t):
+    return K.horizon_screen(factors(t))
+
+
+@query("k19_allocation")
+def k19(t):
+    """One plan per horizon and capital over the horizon's screen."""
+    s = K.horizon_screen(factors(t)).join(C.daily_tails(t.daily).select("symbol", F.col("last").alias("price"), F.col("vol_pct").alias("vol")), "symbol")
+    plans = s.withColumn("capital", F.explode(F.array(F.lit(1e5), F.lit(1e6), F.lit(1e7)))).withColumn("plan_id", F.concat_ws("-", "horizon", F.col("capital").cast("long")))
+    return K.allocate(plans.select("plan_id", "capital", "symbol", "price", "vol"))
+
+
+def candidates(t):
+    v = valued(t)
+    return v.select("account_id", "symbol", F.coalesce("sector", F.lit("")).alias("sector"), F.col("weight").alias("score"), (F.col("value") * 3).alias("notional"), (F.col("value") * 0.02).alias("risk"), F.sum("value").over(K.account()).alias("capital"), (F.col("symbol") % 40 + 40.0).alias("win_pct"))
+
+
+@query("k20_basket")
+def k20(t):
+    return K.basket(candidates(t))
+
+
+@query("k21_participation", *BASE, extra=X_V | {"adv": "SELECT symbol, avg(volume) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 20 GROUP BY symbol", "p": "SELECT account_id, symbol, qty * 100 / adv AS pct, floor(adv * 0.01) AS max_safe FROM v JOIN adv USING (symbol)"}, sql="SELECT account_id, symbol, R6(pct) AS pct, CASE WHEN pct < 1 THEN 'ok' WHEN pct < 5 THEN 'caution' WHEN pct < 20 THEN 'heavy' ELSE 'illiquid' END AS liquidity, CAST(max_safe AS BIGINT) AS max_safe FROM p")
+def k21(t):
+    from .q_journal import adv
+
+    p = X.participation(F.col("qty"), F.col("adv"))
+    return valued(t).join(adv(t, 20), "symbol").select("account_id", "symbol", p.alias("pct"), X.participation_verdict(p).alias("liquidity"), F.floor(F.col("adv") * 0.01).cast("long").alias("max_safe"))
+
+
+@query("k22_basket_bets", "vec_returns", extra={"rho": RHO, "e": "SELECT account_id, sum(CAST(a = b AS INT)) AS n, avg(CASE WHEN a <> b THEN rho END) AS r FROM rho GROUP BY account_id"}, sql="SELECT account_id, R6(n / (1 + (n - 1) * least(greatest(coalesce(r, 0.5), 0), 1))) AS bets FROM e")
+def k22(t):
+    e = K.effective_bets(K.correlations(K.align(t.returns)))
+    return e.select("account_id", K.basket_bets(F.col("n"), F.col("avg_pair")).alias("bets"))
+
+
+@query("k23_basket_losses")
+def k23(t):
+    return K.basket_losses(K.basket(candidates(t)).where("taken").join(candidates(t).select("account_id", "symbol", "win_pct"), ["account_id", "symbol"]))
+
+
+@query("k24_exposure_gauge", *BASE, extra=X_V, sql="SELECT account_id, R6(u) AS used_pct, CASE WHEN u >= 90 THEN 'red' WHEN u >= 60 THEN 'amber' ELSE 'green' END AS gauge FROM (SELECT account_id, sum(value) * 100 / 5e6 AS u FROM v GROUP BY account_id)")
+def k24(t):
+    u = F.sum("value") * 100 / 5e6
+    return valued(t).groupBy("account_id").agg(u.alias("used_pct"), K.exposure_gauge(u).alias("gauge"))
+
+
+@query("i08_position_size", "daily", extra={"l": LASTC}, sql="SELECT symbol, CAST(least(floor(500000.0 * 2 / 100 / (close * 0.015)), floor(500000.0 * 5 / close)) AS BIGINT) AS shares, R6(close * 0.985) AS stop, R6(close * 1.03) AS target FROM l")
+def i08(t):
+    d = F.col("close") * 0.015
+    return last_close(t).select("symbol", P.sizing(F.col("close"), d, 500_000.0, 2.0).cast("long").alias("shares"), (F.col("close") * 0.985).alias("stop"), (F.col("close") * 1.03).alias("target"))

@@ -1 +1,165 @@
-"""Registered queries."""
+"""Registered queries of tick features (batch twins) and of the streaming jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import ticks as M
+from ..operators import validation as V
+from ..sources.stage import shared_folder
+from ..streaming import features as S
+from .registry import query
+
+W = "(PARTITION BY symbol, session_date ORDER BY ts, event_id)"
+DELTA = f"SELECT *, CASE WHEN pv0 IS NULL THEN 0 ELSE greatest(volume_day - pv0, 0) END AS delta FROM (SELECT *, lag(volume_day) OVER {W} AS pv0 FROM (SELECT *, CAST(ts AS DATE) AS session_date FROM ticks))"
+FEAT = f"""SELECT *, CASE WHEN v > 0 THEN pv / v ELSE ltp END AS vwap FROM (SELECT *, sum(ltp * delta) OVER w AS pv, sum(delta) OVER w AS v, avg(ltp) OVER p AS mean, stddev_pop(ltp) OVER p AS sd,
+  CASE WHEN count(*) OVER s >= 5 THEN ltq / nullif(avg(ltq) OVER s, 0) ELSE 0 END AS block, ltp - lag(ltp) OVER w AS step FROM delta
+  WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts, event_id), p AS (PARTITION BY symbol, session_date ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol, session_date ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))"""
+SWEEP = f"SELECT event_id, CASE WHEN block > 1 AND count(step) OVER w = 6 AND min(step) OVER w > 0 THEN 1 WHEN block > 1 AND count(step) OVER w = 6 AND max(step) OVER w < 0 THEN -1 ELSE 0 END AS sweep FROM feat WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+X = {"delta": DELTA, "feat": FEAT}
+
+
+@query("m03_volume_delta", "ticks", extra={"delta": DELTA}, sql="SELECT event_id, delta FROM delta")
+def m03(t):
+    return M.volume_delta(t.ticks).select("event_id", "delta")
+
+
+@query("m04_session_vwap", "ticks", extra=X, sql="SELECT event_id, R6(vwap) AS vwap, R6((ltp - vwap) * 100 / nullif(vwap, 0)) AS dev_pct FROM feat")
+def m04(t):
+    return M.features(t.ticks).select("event_id", "vwap", "dev_pct")
+
+
+@query("m05_price_window", "ticks", extra=X, sql="SELECT event_id, R6(mean) AS mean, R6(sd) AS sd FROM feat")
+def m05(t):
+    return M.features(t.ticks).select("event_id", "mean", "sd")
+
+
+@query("m06_relative_volume", "ticks", extra={"delta": DELTA}, sql="SELECT event_id, R6(delta / avg(delta) OVER (PARTITION BY symbol, session_date ORDER BY ts, event_id ROWS BETWEEN 255 PRECEDING AND CURRENT ROW)) AS rvol FROM delta WHERE delta > 0")
+def m06(t):
+    return M.relative_volume(t.ticks).select("event_id", "rvol")
+
+
+BOOK_LEVELS = 5
+
+
+def with_depth(t):
+    """A five-level book around each tick, derived from its price and size."""
+    level = lambda i, s: F.struct((F.col("ltp") * (1 + s * 0.0005 * i)).alias("price"), (F.col("ltq") * (BOOK_LEVELS + 1 - i) + (F.col("event_id") + i) % 7 * (1 if s < 0 else 2)).alias("qty"), F.lit(1).cast("long").alias("orders"))
+    side = lambda s: F.array(*[level(i, s) for i in range(1, BOOK_LEVELS + 1)])
+    return t.ticks.withColumn("depth", F.struct(side(-1).alias("bids"), side(1).alias("asks")))
+
+
+_B = " + ".join(f"ltq * {6 - i} + (event_id + {i}) % 7" for i in range(1, 6))
+_A = " + ".join(f"ltq * {6 - i} + (event_id + {i}) % 7 * 2" for i in range(1, 6))
+
+
+@query("m07_order_book", "ticks", sql=f"SELECT event_id, R6(CASE WHEN ltp > 0 THEN (({_B}) - ({_A})) / CAST(({_B}) + ({_A}) AS DOUBLE) END) AS imbalance, R6(CASE WHEN ltp > 0 THEN 0.1 END) AS spread_pct FROM ticks")
+def m07(t):
+    imbalance, spread = M.book()
+    return with_depth(t).select("event_id", imbalance.alias("imbalance"), spread.alias("spread_pct"))
+
+
+@query("m09_block_multiple", "ticks", extra=X, sql="SELECT event_id, R6(coalesce(block, 0)) AS block FROM feat")
+def m09(t):
+    return M.features(t.ticks).select("event_id", "block")
+
+
+@query("m10_tick_sweep", "ticks", extra=X | {"sw": SWEEP}, sql="SELECT event_id, sweep FROM sw")
+def m10(t):
+    return M.features(t.ticks).select("event_id", "sweep")
+
+
+@query("m12_latency", "ticks", sql="SELECT symbol, CAST(floor(median(latency_us)) AS BIGINT) AS latency_median, count(*) AS ticks FROM ticks GROUP BY symbol")
+def m12(t):
+    return t.ticks.groupBy("symbol").agg(F.floor(F.median("latency_us")).cast("long").alias("latency_median"), F.count(F.lit(1)).alias("ticks"))
+
+
+EDGES = "SELECT symbol, d AS direction, 'vwap_cross' AS strategy, 0.1 + 0.05 * length(symbol) AS e, 30 + length(symbol) AS n FROM (SELECT DISTINCT symbol FROM ticks) CROSS JOIN (VALUES ('BUY'), ('SELL')) x(d)"
+SNAP = "SELECT symbol, arg_max((ltp - vwap) * 100 / nullif(vwap, 0), event_id) AS dev FROM feat GROUP BY symbol"
+SCORE = "least(greatest(1 + (CASE WHEN direction = 'BUY' THEN 1 ELSE -1 END) * least(greatest(dev / 2, -0.5), 0.5), 0), 2)"
+
+
+def edges(t):
+    return t.ticks.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit("BUY"), F.lit("SELL"))).alias("direction"), F.lit("vwap_cross").alias("strategy"), (0.1 + 0.05 * F.length("symbol")).alias("e"), (30 + F.length("symbol")).alias("n")).withColumn("shrunk", V.shrunk(F.col("n"), F.col("e"))).withColumn("shares", F.lit(1))
+
+
+def scored(t):
+    last = M.features(t.ticks).groupBy("symbol").agg(F.max_by("dev_pct", "event_id").alias("dev_pct"), F.max_by("z", "event_id").alias("z"))
+    return last.join(edges(t), "symbol").withColumn("score", F.col("shrunk") * M.live_score(F.lit(None).cast("double"), F.col("dev_pct"), F.col("direction") == "BUY"))
+
+
+@query("m13_candidates", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=f"SELECT symbol, direction, R6(n * e / (n + 40.0) * {SCORE}) AS score FROM e JOIN s USING (symbol)")
+def m13(t):
+    return scored(t).select("symbol", "direction", "score")
+
+
+@query("m14_snapshot_rank", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=f"SELECT * FROM (SELECT symbol, direction, row_number() OVER (PARTITION BY direction ORDER BY n * e / (n + 40.0) * {SCORE} DESC, symbol) AS rank FROM e JOIN s USING (symbol)) WHERE rank <= 10")
+def m14(t):
+    return M.rank_snapshot(scored(t)).select("symbol", "direction", "rank")
+
+
+@query("m15_caveat", "ticks", extra=X, sql="SELECT event_id, concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'wide spread' END, CASE WHEN event_id % 3 = 0 THEN 'thin' END, CASE WHEN abs(CASE WHEN sd > 0 THEN (ltp - mean) / sd ELSE 0 END) > 3 THEN 'stretched' END) AS note FROM feat")
+def m15(t):
+    rows = M.features(t.ticks).withColumn("spread_pct", F.when(F.col("event_id") % 5 == 0, 0.3).otherwise(0.1)).withColumn("tier", F.when(F.col("event_id") % 3 == 0, "thin").otherwise("deep"))
+    return rows.select("event_id", M.caveat().alias("note"))
+
+
+@query("m16_freeze", "ticks", "journal", sql="SELECT symbol, count(*) AS shown FROM ticks WHERE NOT coalesce((SELECT bool_or(p <= -500) FROM (SELECT account_id, sum(pnl) / 1e6 * 100 AS p FROM journal WHERE account_id % 97 = 3 GROUP BY account_id)), false) GROUP BY symbol")
+def m16(t):
+    """Output is empty while the breaker of the account group is frozen."""
+    b = t.journal.where("account_id % 97 = 3").groupBy("account_id").agg((F.sum("pnl") / 1e6 * 100).alias("p")).agg(F.coalesce(F.max(F.col("p") <= -500), F.lit(False)).alias("frozen"))
+    return t.ticks.crossJoin(F.broadcast(b)).where("NOT frozen").groupBy("symbol").agg(F.count(F.lit(1)).alias("shown"))
+
+
+@query("m17_enrichment", "ticks", sql="SELECT symbol, CAST(date AS VARCHAR) AS date, adv FROM (SELECT symbol, date, avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS adv0, R6(avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS adv FROM (SELECT symbol, CAST(ts AS DATE) AS date, sum(ltq) AS v FROM ticks GROUP BY 1, 2))")
+def m17(t):
+    from pyspark.sql.window import Window
+
+    d = t.ticks.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.sum("ltq").alias("v"))
+    return d.select("symbol", F.col("date").cast("string").alias("date"), F.avg("v").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-4, 0)).alias("adv"))
+
+
+# ---------------------------------------------------------------- streaming runs over the same ticks
+
+
+def stream_source(t, files: int = 4):
+    """The ticks as files in event-time order, to be read as a stream."""
+    folder = f"{shared_folder(t.spark)}/edgeframe-ticks-{uuid.uuid4().hex}"
+    cols = [c.split()[0] for c in S.TICKS.split(", ")]
+    t.ticks.select(*cols).repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(folder)
+    return folder
+
+
+def drain(t, df, mode: str = "append"):
+    """Runs a stream over all that its source holds and reads what it wrote."""
+    folder = f"{shared_folder(t.spark)}/edgeframe-stream-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(folder)
+
+
+@query("m01_stream_features", "ticks", extra=X, sql="SELECT event_id, delta, R6(vwap) AS vwap, R6(mean) AS mean, R6(coalesce(block, 0)) AS block FROM feat")
+def m01(t):
+    """The streaming processor over the whole tick table; it must agree with the batch twin's SQL."""
+    out = drain(t, S.tick_features(S.read_ticks(t.spark, stream_source(t))))
+    return out.select("event_id", "delta", "vwap", "mean", "block")
+
+
+@query("m02_session_gate", "ticks", sql="SELECT symbol, count(*) AS n FROM ticks WHERE hour(ts) * 60 + minute(ts) BETWEEN 555 AND 929 OR (hour(ts) * 60 + minute(ts) = 930 AND floor(second(ts)) = 0) GROUP BY symbol")
+def m02(t):
+    out = drain(t, S.market_hours(S.read_ticks(t.spark, stream_source(t))))
+    return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m08_stream_rsi")
+def m08(t):
+    out = drain(t, S.tick_features(S.read_ticks(t.spark, stream_source(t))))
+    return out.select("event_id", "rsi", "atr_proxy", "latency_median")
+
+
+@query("m18_stream_bars")
+def m18(t):
+    """Five-minute bars by event time with a watermark; the last windows stay open."""
+    return drain(t, S.bars_with_watermark(S.read_ticks(t.spark, stream_source(t)))).drop("ts")

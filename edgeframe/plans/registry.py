@@ -14,8 +14,9 @@ SQL: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to six places (and no negative zero), so that results compare across engines."""
-    return df.select(*[(F.round(F.col(f"`{f.name}`") * 10.0**places) / 10.0**places + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
+    """Doubles to six places (and no negative zero), so that results compare across engines. The nudge of a
+    thousandth of the last place keeps values that end in exactly half of it on one side."""
+    return df.select(*[(F.round(F.col(f"`{f.name}`") * 10.0**places + 0.001) / 10.0**places + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def _expand(text: str) -> str:
@@ -27,7 +28,7 @@ def _expand(text: str) -> str:
             if not depth:
                 break
             end += 1
-        text = f"{text[:at]}(round(CAST({text[at + 3 : end]} AS DOUBLE), 6) + 0.0){text[end + 1 :]}"
+        text = f"{text[:at]}(round(CAST({text[at + 3 : end]} AS DOUBLE) * 1000000.0 + 0.001) / 1000000.0 + 0.0){text[end + 1 :]}"
     return text
 
 

@@ -17,6 +17,11 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_q
 STRATEGIES = ["vwap_cross", "ema_cross_9_21", "rsi_reversion", "macd_cross", "bollinger_reversion", "supertrend", "orb_15m", "donchian_breakout", "zscore_reversion", "vwap_band_reversion", "cpr_pivot", "gap_and_go", "rvol_breakout"]
 
 
+def unit_price():
+    """Price of one unit to four places."""
+    return F.round(F.col("l_extendedprice") / F.col("l_quantity") * 10000.0) / 10000.0
+
+
 class Tables:
     """The logical tables of one directory."""
 
@@ -46,9 +51,8 @@ class Tables:
     @cached_property
     def daily(self) -> DataFrame:
         """symbol, date, open, high, low, close, adj_close, volume of one supplier's line items."""
-        price = F.col("l_extendedprice") / F.col("l_quantity")
         l = self.raw("lineitem").where("l_quantity > 0").select(
-            F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), price.alias("price"), F.col("l_quantity").alias("qty"), F.struct(*LINE_ORDER).alias("o")
+            F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), unit_price().alias("price"), F.col("l_quantity").alias("qty"), F.struct(*LINE_ORDER).alias("o")
         )
         return l.groupBy("symbol", "date").agg(
             F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"),
@@ -93,7 +97,7 @@ class Tables:
         l, o = self.raw("lineitem").where("l_quantity > 0"), self.raw("orders")
         return l.join(o, l.l_orderkey == o.o_orderkey).select(
             F.col("o_custkey").alias("account_id"), F.col("l_suppkey").alias("symbol"), F.col("l_quantity").alias("qty"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("avg_cost"), F.col("o_orderpriority").alias("broker"), F.struct(*LINE_ORDER).alias("pos"),
+            unit_price().alias("avg_cost"), F.col("o_orderpriority").alias("broker"), F.struct(*LINE_ORDER).alias("pos"),
         )
 
     @cached_property
@@ -134,7 +138,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         """SELECT symbol, date, max(CASE WHEN a = 1 THEN price END) AS open, max(price) AS high, min(price) AS low, max(CASE WHEN a = n THEN price END) AS close,
         max(CASE WHEN a = n THEN price END) AS adj_close, sum(qty) AS volume
         FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS a, count(*) OVER (PARTITION BY symbol, date) AS n
-        FROM (SELECT *, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price, l_quantity AS qty FROM lineitem WHERE l_quantity > 0)) GROUP BY symbol, date""",
+        FROM (SELECT *, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, round(l_extendedprice / l_quantity * 10000.0) / 10000.0 AS price, l_quantity AS qty FROM lineitem WHERE l_quantity > 0)) GROUP BY symbol, date""",
         (),
     ),
     "symbols": (
@@ -151,7 +155,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "holdings": (
-        """SELECT o_custkey AS account_id, l_suppkey AS symbol, l_quantity AS qty, l_extendedprice / l_quantity AS avg_cost, o_orderpriority AS broker,
+        """SELECT o_custkey AS account_id, l_suppkey AS symbol, l_quantity AS qty, round(l_extendedprice / l_quantity * 10000.0) / 10000.0 AS avg_cost, o_orderpriority AS broker,
         row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 0""",
         (),
     ),
