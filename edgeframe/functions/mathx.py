@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,15 +35,20 @@ def phi(x: Column) -> Column:
     return 0.5 * (1 + erf(x / F.sqrt(F.lit(2.0))))
 
 
-def phi_inv(p: Column) -> Column:
-    """Its inverse, with one Halley step; infinite at 0 and 1."""
+def with_phi_inv(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Adds the inverse of ``phi`` at ``p``, with one Halley step; infinite at 0 and 1.
+
+    Each step is a column of its own, so that no expression repeats the ones before it.
+    """
     tail = lambda q: _poly(q, *ACKLAM_C) / _poly(q, *ACKLAM_D)
-    inner = F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))
-    q, low, high = inner - 0.5, F.sqrt(-2 * F.log(inner)), F.sqrt(-2 * F.log(1 - inner))
-    x = F.when(p < ACKLAM_LOW, tail(low)).when(p > 1 - ACKLAM_LOW, -tail(high)).otherwise(_poly(q * q, *ACKLAM_A) * q / _poly(q * q, *ACKLAM_B))
-    e = phi(x) - inner
-    u = e * F.sqrt(F.lit(2 * 3.141592653589793)) * F.exp(x * x / 2)
-    return F.when(p <= 0, F.lit(float("-inf"))).when(p >= 1, F.lit(float("inf"))).otherwise(x - u / (1 + x * u / 2))
+    c = F.col
+    df = df.withColumn("__raw", p).withColumn("__p", F.least(F.greatest(c("__raw"), F.lit(1e-300)), F.lit(1 - 1e-16)))
+    df = df.withColumn("__q", c("__p") - 0.5).withColumn("__low", F.sqrt(-2 * F.log("__p"))).withColumn("__high", F.sqrt(-2 * F.log(1 - c("__p")))).withColumn("__qq", c("__q") * c("__q"))
+    middle = _poly(c("__qq"), *ACKLAM_A) * c("__q") / _poly(c("__qq"), *ACKLAM_B)
+    df = df.withColumn("__x", F.when(c("__p") < ACKLAM_LOW, tail(c("__low"))).when(c("__p") > 1 - ACKLAM_LOW, -tail(c("__high"))).otherwise(middle))
+    df = df.withColumn("__e", phi(c("__x")) - c("__p")).withColumn("__u", c("__e") * F.sqrt(F.lit(2 * 3.141592653589793)) * F.exp(c("__x") * c("__x") / 2))
+    df = df.withColumn(out, F.when(c("__raw") <= 0, F.lit(float("-inf"))).when(c("__raw") >= 1, F.lit(float("inf"))).otherwise(c("__x") - c("__u") / (1 + c("__x") * c("__u") / 2)))
+    return df.drop("__raw", "__p", "__q", "__low", "__high", "__qq", "__x", "__e", "__u")
 
 
 def wilson_low(wins_pct: Column, n: Column, z: float = 1.96) -> Column:

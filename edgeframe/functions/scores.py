@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (label, condition, points) in the order of the checks; within a check the first that holds counts.
@@ -77,3 +77,24 @@ def artifact_note(dsr: Column) -> Column:
 def break_even(cost: Column, win_pct: Column, avg_win: Column) -> Column:
     """R that a trade must earn to pay its costs, against what it earns on average."""
     return F.try_divide(cost * 100, F.nullif(win_pct * avg_win, F.lit(0.0)))
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """Adds net, the sum of signed factors (imbalance, move, pivot side, support, resistance, news), and its verdict.
+
+    Needs imbalance (null: no depth), move_pct, price, p, s1, s2, r1, r2, news, blocked.
+    """
+    c = F.col
+    steps = lambda x, a, b, hi, lo: F.when(x > b, hi).when(x > a, lo).when(x < -b, -hi).when(x < -a, -lo).otherwise(0)
+    near = lambda x: F.coalesce(F.abs(c("price") - c(x)) / c("price") < 0.004, F.lit(False)) & (c(x) > 0)
+    net = F.coalesce(steps(c("imbalance"), 0.15, 0.4, 3, 2), F.lit(0)) + steps(c("move_pct"), 0.2, 1.0, 2, 1) + F.coalesce(F.signum(c("price") - c("p")), F.lit(0.0)).cast("int")
+    net = net + F.when(near("s1") | near("s2"), 1).otherwise(0) - F.when(near("r1") | near("r2"), 1).otherwise(0)
+    net = net + F.when(c("news") == "positive", 1).when(c("news") == "negative", -1).otherwise(0)
+    df = df.withColumn("net", net)
+    return df.withColumn("lean", F.when(c("blocked"), "DO NOT TRADE").when(c("net") >= 2, "LEAN BUY").when(c("net") <= -2, "LEAN SELL").otherwise("STAND ASIDE"))
+
+
+def book_agrees(side: Column, imbalance: Column, bid_qty: Column, ask_qty: Column) -> Column:
+    """The live book leans to the side of the plan."""
+    buy = F.coalesce(bid_qty, F.lit(0)) >= F.coalesce(ask_qty, F.lit(0))
+    return ((side == "BUY") & ((imbalance > 0) | buy)) | ((side == "SELL") & ((imbalance < 0) | ~buy))

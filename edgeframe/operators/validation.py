@@ -80,12 +80,12 @@ def deflated_sharpe(stats: DataFrame, by: list[str]) -> DataFrame:
     s = s.withColumn("t_skew", clean(F.skewness("sharpe").over(w), 0.0)).withColumn("t_kurt", clean(F.kurtosis("sharpe").over(w) + 3, 3.0))
     gamma, e = 0.5772156649, 2.718281828459045
     n = F.col("trials").cast("double")
-    best = F.col("spread") * ((1 - gamma) * mathx.phi_inv(1 - 1 / n) + gamma * mathx.phi_inv(1 - 1 / (n * e)))
-    root = F.sqrt(F.greatest(F.col("n") - 1, F.lit(1)).cast("double"))
-    x = F.col("sharpe")
+    s = mathx.with_phi_inv(mathx.with_phi_inv(s, 1 - 1 / n, "__a"), 1 - 1 / (n * e), "__b")
+    x, root = F.col("sharpe"), F.sqrt(F.greatest(F.col("n") - 1, F.lit(1)).cast("double"))
     scale = F.sqrt(F.greatest(1 - F.col("t_skew") * x + (F.col("t_kurt") - 1) / 4 * x * x, F.lit(1e-9)))
-    dsr = F.when(F.col("trials") == 1, mathx.phi(x * root)).otherwise(mathx.phi((x - best) * root / scale))
-    return s.withColumn("dsr", F.least(F.greatest(dsr, F.lit(0.0)), F.lit(1.0))).drop("spread", "t_skew", "t_kurt")
+    best = F.col("spread") * ((1 - gamma) * F.col("__a") + gamma * F.col("__b"))
+    s = s.withColumn("__z", F.when(F.col("trials") == 1, x * root).otherwise((x - best) * root / scale))
+    return s.withColumn("dsr", F.least(F.greatest(mathx.phi(F.col("__z")), F.lit(0.0)), F.lit(1.0))).drop("spread", "t_skew", "t_kurt", "__a", "__b", "__z")
 
 
 def shrunk(n: Column, e: Column, prior: float = 0.0, strength: float = 40.0) -> Column:

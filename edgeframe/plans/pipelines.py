@@ -18,6 +18,7 @@ from ..operators import outcomes as E
 from ..operators import signals as D
 from ..operators import tradestats as TS
 from ..operators import validation as V
+from ..sources.stage import durable
 
 COST = costs.reference_fraction()
 LEVERAGE = 5.0
@@ -54,7 +55,7 @@ def edge_map(bars: DataFrame, k: float = 1.5, rr: float = 2.0, least_bars: int =
     long = bars.join(lengths(bars).where(F.col("total") >= least_bars).select("symbol"), "symbol", "left_semi")
     ind = C.all_indicators(long).withColumn("atr", F.col("atr14"))
     rules = {s: {**D.WINDOWED, **D.RECURSIVE}[s] for s in D.EDGE_SET}
-    t = backtest(ind, long, rules, [(k, rr)])
+    t = durable(backtest(ind, long, rules, [(k, rr)]), "trades")
     n = lengths(long)
     s = TS.full(t).join(V.split_stats(V.purged_split(t, n)), TS.KEY).join(V.walk_forward(t, n), TS.KEY)
     s = V.deflated_sharpe(s, ["symbol"])
@@ -177,7 +178,7 @@ def staged(rows: DataFrame, k: int = 5, tiers: tuple[float, ...] = (0.5, 1.0, 2.
 def deep_dive(bars: DataFrame, index: DataFrame, least: int = 20) -> DataFrame:
     """Card strategies, both sides, five configurations: best per (symbol, strategy); deflated over all configurations."""
     rules = {k: D.WINDOWED[k] for k in D.CARD_SET.values()}
-    t = backtest(with_mean_atr(C.windowed(bars)), bars, rules, CARD_CONFIGS)
+    t = durable(backtest(with_mean_atr(C.windowed(bars)), bars, rules, CARD_CONFIGS), "trades")
     s = scored(t, lengths(bars), index)
     pbo = V.overfit_probability(V.block_means(t, lengths(bars)), ["symbol"], ["strategy", "direction", "config_id"])
     best = best_per(s.where(F.col("n") >= least), ["symbol", "strategy"], *_best_first()).join(pbo, "symbol", "left")

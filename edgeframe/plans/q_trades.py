@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import costs, mathx, scores
 from ..operators import bootstrap as BS
@@ -14,6 +11,7 @@ from ..operators import outcomes as E
 from ..operators import signals as D
 from ..operators import tradestats as TS
 from ..operators import validation as V
+from ..sources.stage import durable
 from . import pipelines as P
 from .q_bars import EXTRA, day
 from .registry import query
@@ -334,8 +332,9 @@ def g07(t):
 def g08(t):
     """erf, phi, and the inverse, which must give the z-score back (to the approximation's five places)."""
     z = F.col("z20")
-    off = F.abs(mathx.phi_inv(mathx.phi(z)) - z) < 1e-5
-    return C.windowed(t.bars).where("z20 IS NOT NULL AND z20 <> 0").select("symbol", "bar_idx", mathx.erf(z).alias("erf"), mathx.phi(z).alias("phi"), F.when(F.abs(z) < 3, F.when(off, z).otherwise(F.lit(-99.0))).alias("back"))
+    d = C.windowed(t.bars).where("z20 IS NOT NULL AND z20 <> 0").select("symbol", "bar_idx", "z20", mathx.erf(z).alias("erf"), mathx.phi(z).alias("phi"))
+    d = mathx.with_phi_inv(d, F.col("phi"), "back")
+    return d.select("symbol", "bar_idx", "erf", "phi", F.when(F.abs(z) < 3, F.when(F.abs(F.col("back") - z) < 1e-5, z).otherwise(F.lit(-99.0))).alias("back"))
 
 
 @query("g09_wilson", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(greatest((p + 1.96*1.96/(2*n) - 1.96 * sqrt(p*(1-p)/n + 1.96*1.96/(4.0*n*n))) / (1 + 1.96*1.96/n), 0) * 100) AS wilson_low FROM (SELECT *, win_pct / 100 AS p FROM stats)")
@@ -374,8 +373,17 @@ def g14(t):
 # ---------------------------------------------------------------- scores
 
 
+def kept_trades(t):
+    """The trades, written once: every statistic reads them."""
+    if not hasattr(t, "_trades"):
+        t._trades = durable(trades(t), "trades")
+    return t._trades
+
+
 def scored(t):
-    return P.scored(trades(t), lengths(t), own_index(t))
+    if not hasattr(t, "_scored"):
+        t._scored = durable(P.scored(kept_trades(t), lengths(t), own_index(t)), "scored")
+    return t._scored
 
 
 @query("h01_confidence")
@@ -385,7 +393,7 @@ def h01(t):
 
 @query("h02_conviction")
 def h02(t):
-    s = P.with_conviction(scored(t), trades(t))
+    s = P.with_conviction(scored(t), kept_trades(t))
     return s.select(*TS.KEY, "conviction", "conviction_label")
 
 
@@ -455,4 +463,4 @@ def i11(t):
 
 @query("i13_setup_card")
 def i13(t):
-    return P.setup_cards(scored(t), trades(t), P.last_prices(t.bars))
+    return P.setup_cards(scored(t), kept_trades(t), P.last_prices(t.bars))
