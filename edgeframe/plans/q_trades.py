@@ -265,7 +265,7 @@ def f07(t):
 
 # ---------------------------------------------------------------- validation
 
-SPLIT = "SELECT t.*, total, CASE WHEN entry_idx >= floor(total * 0.7) THEN 'oos' WHEN entry_idx < floor(total * 0.7) - floor(total * 0.02) THEN 'is' END AS part FROM trades t JOIN len USING (symbol)"
+SPLIT = "SELECT t.*, total, CASE WHEN entry_idx >= floor(total * CAST(0.7 AS DOUBLE)) THEN 'oos' WHEN entry_idx < floor(total * CAST(0.7 AS DOUBLE)) - floor(total * CAST(0.02 AS DOUBLE)) THEN 'is' END AS part FROM trades t JOIN len USING (symbol)"
 
 
 @query("g01_purged_split", "bars", extra=X_TRADES | {"len": LEN, "split": SPLIT}, sql=f"SELECT {K4}, count(*) FILTER (WHERE part = 'is') AS is_n, R6(avg(r) FILTER (WHERE part = 'is')) AS is_expectancy, count(*) FILTER (WHERE part = 'oos') AS oos_n, R6(avg(r) FILTER (WHERE part = 'oos')) AS oos_expectancy, R6(avg(CAST(r > 0 AS DOUBLE)) FILTER (WHERE part = 'oos') * 100) AS oos_win_pct FROM split GROUP BY {K4}")
