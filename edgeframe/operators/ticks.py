@@ -61,6 +61,14 @@ def book(depth: str = "depth") -> tuple[Column, Column]:
     return F.try_divide((bids - asks).cast("double"), (bids + asks).cast("double")), F.try_divide((best_ask - best_bid) * 100, (best_ask + best_bid) / 2)
 
 
+def spread_widening(rows: DataFrame, spread: str = "spread_pct", times: float = 2.5, least: int = 8) -> DataFrame:
+    """Adds ``widening``: a spread of at least ``times`` the upper median of up to 63 positive ones before it."""
+    positive = F.when(F.col(spread) > 0, F.col(spread))
+    before = F.array_sort(F.collect_list(positive).over(history().rowsBetween(-(SIZES - 1), -1)))
+    out = rows.withColumn("__b", before).withColumn("__m", F.get("__b", F.floor(F.size("__b") / 2).cast("int")))
+    return out.withColumn("widening", F.coalesce((F.size("__b") >= least) & (F.col(spread) >= times * F.col("__m")), F.lit(False))).drop("__b", "__m")
+
+
 def live_score(imbalance: Column, dev_pct: Column, long: Column) -> Column:
     sign = F.when(long, 1.0).otherwise(-1.0)
     pull = F.least(F.greatest(dev_pct / 2, F.lit(-0.5)), F.lit(0.5))

@@ -71,6 +71,15 @@ def m10(t):
     return M.features(t.ticks).select("event_id", "sweep")
 
 
+SPREADS = f"SELECT event_id, x, list_sort(list(x) OVER (PARTITION BY symbol, session_date ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)) AS b FROM (SELECT *, CAST(ts AS DATE) AS session_date, CAST(ltq % 10 + 1 AS INTEGER) AS x FROM ticks)"
+
+
+@query("m11_spread_widening", "ticks", extra={"sp": SPREADS}, sql="SELECT event_id, coalesce(len(b) >= 8 AND x >= 2.5 * b[len(b) // 2 + 1], false) AS widening FROM sp")
+def m11(t):
+    rows = M.with_session(t.ticks).withColumn("spread_pct", F.col("ltq") % 10 + 1)
+    return M.spread_widening(rows).select("event_id", "widening")
+
+
 @query("m12_latency", "ticks", sql="SELECT symbol, CAST(floor(median(latency_us)) AS BIGINT) AS latency_median, count(*) AS ticks FROM ticks GROUP BY symbol")
 def m12(t):
     return t.ticks.groupBy("symbol").agg(F.floor(F.median("latency_us")).cast("long").alias("latency_median"), F.count(F.lit(1)).alias("ticks"))
