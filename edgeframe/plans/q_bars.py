@@ -35,7 +35,7 @@ def b03(t):
     return t.bars.select("symbol", "bar_idx", "open", "high", "low", "close", "volume")
 
 
-@query("b04_dedup_by_time", sql="SELECT symbol, count(*) AS n, sum(ltq) AS ltq FROM (SELECT event_type AS symbol, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ltq, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 GROUP BY symbol")
+@query("b04_dedup_by_time", sql="SELECT symbol, count(*) AS n, CAST(sum(ltq) AS BIGINT) AS ltq FROM (SELECT event_type AS symbol, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ltq, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 GROUP BY symbol")
 def b04(t):
     minute = t.ticks.withColumn("first_ts", F.col("ts")).withColumn("ts", F.date_trunc("minute", "ts"))
     return B.dedup_by_time(minute, ["first_ts", "event_id"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("ltq").alias("ltq"))

@@ -154,7 +154,7 @@ def e03(t):
     return touch(t).select(*TS.KEY, "entry_idx", "exit_idx", "mae_r")
 
 
-@query("e04_ambiguous", "bars", extra=X_TOUCH, sql=f"SELECT {K4}, count(*) AS n, sum(CAST(ambiguous AS INT)) AS ambiguous FROM touch GROUP BY {K4}")
+@query("e04_ambiguous", "bars", extra=X_TOUCH, sql=f"SELECT {K4}, count(*) AS n, CAST(sum(CAST(ambiguous AS INT)) AS BIGINT) AS ambiguous FROM touch GROUP BY {K4}")
 def e04(t):
     return touch(t).groupBy(*TS.KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ambiguous").cast("int")).alias("ambiguous"))
 
