@@ -364,8 +364,11 @@ def extract_pages(pages: list[str | None], model: gbdt.Trees) -> list[str]:
 
 def extract(pages: DataFrame, sample: int = 300) -> DataFrame:
     """page_id, url, text, n_chars."""
-    fit_on = pages.where(F.length("html").between(1, MOST_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample)
-    model = train([r["html"] for r in fit_on.collect()])
+    fits = pages.where(F.length("html").between(1, MOST_CHARS))
+    # Only ids are ranked; then at most `sample` ids pick their pages.
+    chosen = [r["page_id"] for r in fits.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    fit_on = fits.where(F.col("page_id").isin(chosen)).groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    model = train([r["html"] for r in sorted(fit_on, key=lambda r: chosen.index(r["page_id"]))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
