@@ -60,7 +60,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000)
         for pdf in batches:
             yield pd.DataFrame({"quality": pdf["quality"], "f": [features(t) for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(run, schema).toPandas()
+    # `some` has at most most_labels rows of two numbers, so texts stay where they are.
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(run, schema).toPandas()
     if rows["quality"].nunique() < 2:
         return None
     x = np.stack(rows["f"].to_numpy()).astype(np.float32)
