@@ -14,6 +14,8 @@ an empty table gives no rows; very long texts give many pieces; other columns ar
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,54 +34,99 @@ from .common import durable, prefix_sums
 
 #: Texts of these characters only split into words by WORD exactly as the tokenizer splits them.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u017f\\u2010-\\u2027]*")
-#: The pre-tokenizer's pattern, for lower-cased plain texts.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The pre-tokenizer's pattern (a fixed value).
+WORD = "'s|'t|'re|'ve|'m|'ll|'d|\\pL+|\\pN|[^\\s\\pL\\pN]+"
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes. Ids of a text are those of its words in turn."""
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes. Ids of a plain text are those of its words in turn, so
+    what stands between white space is tokenized once for each run of texts."""
 
-    MOST = 1_000_000
+    #: Characters of text taken at once; a longer text is taken alone.
+    AT_ONCE = 1 << 23
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        # Spark's tasks use the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.whole, self.plain = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
         # a marker string inside a text is ordinary text
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        ids = self[word] = self.slow(word)
-        return ids
-
-    def slow(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
-        return self.slow(text)
+        self.whole.encode_special_tokens = self.plain.encode_special_tokens = True
+        # plain texts are lower-cased and split beforehand, which is all that normalizing changes in them
+        self.plain.normalizer = normalizers.Sequence([])
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.whole).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def plain_ids(self, texts: list[str], at_once: int = 2000) -> list[bytes]:
+        lists = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        ids = [self.encode(" ".join(chunks[i : i + at_once]), self.plain) for i in range(0, len(chunks), at_once)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *ids])
+        # The ids at which words end, and the number of words of each chunk, tell the chunks' ids apart.
+        ends = np.r_[0, np.flatnonzero(self.last[ids]) + 1]
+        words = np.r_[0, np.cumsum(pc.count_substring_regex(coded.dictionary, WORD).to_numpy())]
+        if words[-1] != len(ends) - 1:
+            raise ValueError("the tokenizer splits words in another way")
+        start, size = ends[words[:-1]], np.diff(ends[words])
+        at = coded.indices.to_numpy()
+        sizes = size[at]
+        place = np.r_[0, np.cumsum(sizes)]
+        raw = ids[np.repeat(start[at] - place[:-1], sizes) + np.arange(place[-1])].tobytes()
+        bounds = (4 * place[lists.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        fast = iter(self.plain_ids([t for t, p in zip(texts, plain) if p]))
+        return [next(fast) if p else self.encode(t).tobytes() for t, p in zip(texts, plain)]
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """(first, end) of runs of texts to take at once."""
+        first, held = 0, 0
+        for i, text in enumerate(texts):
+            if held and held + len(text) > self.AT_ONCE:
+                yield first, i
+                first, held = i, 0
+            held += len(text)
+        if first < len(texts):
+            yield first, len(texts)
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for each Python worker, which Spark uses again for later tasks."""
+    return WordIds(tokenizer_file)
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
     end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_file)
-        for pdf in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = words.ids(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(tokenizer_file)
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for first, last in words.parts(texts):
+                rows: list[tuple] = []
+                for row, ids in enumerate(words.ids(texts[first:last]), first):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                row, *columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(pa.array(row)), *map(pa.array, columns, kinds.values())], names=["doc_id", *kinds]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------- patterns
