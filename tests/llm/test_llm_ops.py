@@ -141,6 +141,22 @@ def test_packing_none(spark):
     assert twice.groupby("sequence_id").length.sum().max() <= 4096 and not twice.duplicated(["sequence_id", "offset"]).any()
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_word_ids(at_once):
+    """Ids by distinct chunks are those of the tokenizer, whatever the runs of texts."""
+    import public_tokenizers
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.AT_ONCE = at_once
+    r = np.random.default_rng(at_once)
+    bits = ["don't", "'S", "we'll", "O''s", "a_b", "9", "42x", "ß", "Ĳ", "İ", "ŉ", "×", "…", "--", "<|endoftext|>", "</w>", " ", "\t", "\n", "\r\n", "Ünï", "s" * 300, ".,", "'"]
+    rare = ["\u3000", "你好", "\x1c", "e\u0301", "²", "\x00", "\u00a0", "😀"]
+    texts = ["".join(r.choice(bits + rare * int(i % 4 == 0), r.integers(0, 30))) for i in range(300)]
+    got = [ids for a, b in words.parts(texts) for ids in words.ids(texts[a:b])]
+    assert got == [np.array(words.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(bool(packing.PLAIN.fullmatch(t)) for t in texts) > 200 and list(words.parts([])) == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_histogram(seed):
     r = np.random.default_rng(seed)
