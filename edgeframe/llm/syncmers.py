@@ -1,10 +1,12 @@
-"""Document fingerprints from closed syncmers.
+"""Document fingerprints from closed syncmers, matched by position.
 
 Every ``S``-byte word of the UTF-8 text is hashed; a ``K``-byte window is a closed syncmer if the
 smallest of its inner words stands at one of its edges. Whether a window is chosen depends on its own
-bytes alone, so equal passages give equal anchors wherever they stand. The fingerprint is the
-``SKETCH`` smallest anchor hashes; the likeness of two fingerprints is the share of the smallest
-hashes of both that both have, an estimate of the share of anchors in common.
+bytes alone, so equal passages give equal anchors wherever they stand. The fingerprint holds all
+anchors of the text with their positions and grows with it. Anchors of two texts are matched one to
+one by hash, repeated hashes in the order of their positions; the likeness is the share of matched
+anchors in all anchors of both, and a shared passage is a run of matched anchors that keep their
+distance.
 
 Defined cases: null text is empty; an empty text has the empty fingerprint, like only to another
 empty one; a text shorter than one window is an anchor by itself; documents of equal doc_id stand in
@@ -14,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -22,8 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-S, K, SKETCH = 8, 16, 64
+S, K = 8, 16
 _STEP = 1 << 20
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+#: Characters of fingerprints that leave Python at once.
+_AT_ONCE = 1 << 23
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,27 +62,86 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> np.ndarray:
-    """The smallest distinct 32-bit anchor hashes, ascending."""
-    h = (anchors(text.encode("utf-8", "surrogatepass"))[1] >> np.uint64(32)).astype(np.uint32)
-    if len(h) > 4 * SKETCH:  # copies of one hash may crowd the lowest places: widen until enough differ
-        take = 4 * SKETCH
-        while take < len(h):
-            low = np.unique(np.partition(h, take)[:take])
-            if len(low) >= SKETCH:
-                return low[:SKETCH]
-            take *= 4
-    return np.unique(h)[:SKETCH]
+    """All anchors, ascending: the 32-bit hash above the 32-bit byte position."""
+    at, h = anchors(text.encode("utf-8", "surrogatepass"))
+    return np.sort((h & ~_LOW) | at.astype(np.uint64))
 
 
 def as_text(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+    """Base64 of the anchors in order of position: a byte of the distance from the one before (at most K - S), four of the hash."""
+    by_place = np.sort((s << _HALF) | (s >> _HALF))
+    out = np.empty(len(s), [("gap", "u1"), ("hash", ">u4")])
+    out["gap"] = np.diff(by_place >> _HALF, prepend=np.uint64(0))
+    out["hash"] = by_place & _LOW
+    return base64.b64encode(out.tobytes()).decode("ascii")
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def _numbered(s: np.ndarray) -> np.ndarray:
+    """Ascending: the hash above the number of its occurrence."""
+    i = np.arange(len(s))
+    h = s >> _HALF
+    first = np.maximum.accumulate(np.where(np.diff(h, prepend=~h[:1]) != 0, i, 0))
+    return (s & ~_LOW) | (i - first).astype(np.uint64)
+
+
+def _find(needles: np.ndarray, sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``sorted_values``, whether the value there is the needle)."""
+    place = np.minimum(np.searchsorted(sorted_values, needles), len(sorted_values) - 1)
+    return place, sorted_values[place] == needles
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions in both texts of the anchors matched one to one."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, hit = _find(_numbered(a), _numbered(b))
+    return (a[hit] & _LOW).astype(np.int64), (b[place[hit]] & _LOW).astype(np.int64)
+
+
+def _near(a: np.ndarray, b: np.ndarray, matched: int) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SKETCH]
-    return float((np.isin(both, a) & np.isin(both, b)).mean())
+    return matched / (len(a) + len(b) - matched)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    return _near(a, b, len(matches(a, b)[0]))
+
+
+def _once(s: np.ndarray) -> np.ndarray:
+    """The hashes that occur once."""
+    h = s >> _HALF
+    new = np.r_[True, h[1:] != h[:-1], True]
+    return h[new[:-1] & new[1:]]
+
+
+def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
+    """(likeness, matched anchors, bytes of the longest shared passage)."""
+    x, y = matches(a, b)
+    if not len(x):
+        return _near(a, b, 0), 0, 0
+    order = np.argsort(a & _LOW)
+    h, at = a[order] >> _HALF, (a[order] & _LOW).astype(np.int64)
+    shift = np.zeros(len(a), np.int64)
+    place = np.searchsorted(at, x)
+    shift[place] = y - x
+    ok = np.zeros(len(a), bool)
+    ok[place] = True
+    # Of a hash that repeats, the occurrence on the line of the last or the next anchor of a single hash is the passage's.
+    sure = place[np.isin(h[place], _once(a)) & np.isin(h[place], _once(b))]
+    if len(sure) and len(sure) < len(x):
+        sure.sort()
+        repeats = np.setdiff1d(np.flatnonzero(np.isin(h, b >> _HALF)), sure)
+        for step in (0, -1):  # the last one is looked at second and prevails
+            line = shift[sure[np.clip(np.searchsorted(sure, repeats) + step, 0, len(sure) - 1)]]
+            there = at[repeats] + line
+            on = there >= 0
+            on[on] = _find((h[repeats[on]] << _HALF) | there[on].astype(np.uint64), b)[1]
+            shift[repeats[on]] = line[on]
+            ok[repeats[on]] = True
+    starts = np.flatnonzero(np.r_[True, (shift[1:] != shift[:-1]) | (ok[1:] != ok[:-1])])
+    ends = np.r_[starts[1:], len(at)] - 1
+    return _near(a, b, len(x)), len(x), int((at[ends] - at[starts])[ok[starts]].max()) + K
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -113,14 +179,16 @@ def _descending_runs(docs: DataFrame, rows_each: int, most: int) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame, rows_each: int = 4096, most_runs: int = 10_000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each
-    document against its edited text and the next document in descending doc_id."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the
+    matched anchors and bytes of the longest shared passage (at least one window where an anchor is
+    shared) of each document against its edited text and the next document in descending doc_id."""
     dealt = _descending_runs(docs.select(F.col("doc_id").cast("long"), "text"), rows_each, most_runs)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "matched_edited", "passage_edited", "near_next", "matched_next", "passage_next"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the document that waits for its next: (doc_id, text, sketch)
         for pdf in batches:
-            rows = []
+            rows, chars = [], 0
             for doc_id, text, ahead in zip(pdf["doc_id"], pdf["text"], pdf["ahead"]):
                 if ahead and held is None:
                     continue
@@ -131,10 +199,14 @@ def edited_pairs(docs: DataFrame, rows_each: int = 4096, most_runs: int = 10_000
                     edited = old[: len(old) - half] + text[:half]
                     other = sketch(edited)
                     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((before, len(old), sha, as_text(fp), as_text(other), likeness(fp, other), likeness(fp, mine)))
+                    rows.append((before, len(old), sha, as_text(fp), as_text(other), *compare(fp, other), *compare(fp, mine)))
+                    chars += len(rows[-1][3]) + len(rows[-1][4])
+                    if chars > _AT_ONCE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, chars = [], 0
                 held = None if ahead else (doc_id, text, mine)
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame(rows, columns=names)
 
-    shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, matched_edited long, passage_edited long, near_next double, matched_next long, passage_next long"
     ordered = dealt.repartition("run").sortWithinPartitions("run", "ahead", F.desc("doc_id"), "text")
     return ordered.select("doc_id", "text", "ahead").mapInPandas(run, shape)

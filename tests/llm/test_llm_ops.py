@@ -349,6 +349,40 @@ def test_edited_pairs(spark, each):
     assert syncmers.anchor_rows(docs.where("doc_id = 5")).count() == 1
 
 
+def test_long_texts_share_a_passage(spark):
+    """A passage of 60 words in two texts of 20,000 words each is found and measured; all anchors stand in the fingerprint."""
+    import base64
+
+    r = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(n))
+    passage = words(60)
+    a, b = f"{words(12000)} {passage} {words(8000)}", f"{words(3000)} {passage} {words(17000)}"
+    rows = [(2, a, "en", "s", len(a), 7, 7, "c", 1), (1, b, "en", "s", len(b), 7, 7, "c", 1)]
+    got = {x.doc_id: x for x in syncmers.edited_pairs(edge_docs(spark, rows)).collect()}
+    assert got[2].near_next > 0 and got[2].matched_next >= len(syncmers.anchors(passage.encode())[0])
+    assert len(passage) - 16 <= got[2].passage_next <= len(passage) + 16 and got[2].passage_next == got[1].passage_next
+    at, h = syncmers.anchors(a.encode())
+    raw = np.frombuffer(base64.b64decode(got[2].fingerprint), [("gap", "u1"), ("hash", ">u4")])
+    assert len(at) > 20_000 and np.cumsum(raw["gap"], dtype=np.int64).tolist() == at.tolist() and (raw["hash"] == h >> np.uint64(32)).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_against_counts(seed):
+    r = np.random.default_rng(seed)
+    a, b = (bytes(r.integers(97, 99, n).astype(np.uint8)) for n in (900, 1500))
+    fa, fb = (syncmers.sketch(t.decode()) for t in (a, b))
+    from collections import Counter
+
+    count = [Counter(int(h) >> 32 for h in syncmers.anchors(t)[1]) for t in (a, b)]
+    both = sum((count[0] & count[1]).values())
+    x, y = syncmers.matches(fa, fb)
+    assert len(x) == both and len(set(x)) == len(set(y)) == both
+    near, matched, passage = syncmers.compare(fa, fb)
+    assert matched == both and near == syncmers.likeness(fa, fb) == both / (sum(map(sum, [c.values() for c in count])) - both)
+    assert passage == 0 or any(a[i : i + passage] in b for i in range(len(a) - passage + 1))
+    assert syncmers.compare(fa, fa) == (1.0, len(fa), int((fa & np.uint64(0xFFFFFFFF)).max() - (fa & np.uint64(0xFFFFFFFF)).min()) + 16)
+
+
 # ---------------------------------------------------------------- 9
 
 
