@@ -2,9 +2,10 @@
 
 Lines of a text are split at ``\\n``; blank lines take no part and stay where they are. Every run of
 ``window`` consecutive lines is hashed (128 bits, so that collisions stay out of reach at trillions
-of windows), a text of fewer lines is one window of all it has, and a single line of over
-``long_line_words`` words is a window by itself, because a passage pasted into unrelated text often
-sits on one line. The first occurrence of a window is the one with the smallest (doc_id, position);
+of windows), a text of fewer lines is one window of all it has, and every shorter run of lines (one
+line, two lines) of over ``long_line_words`` words is a window too, because a passage pasted into
+unrelated text often sits on one or two lines. So no passage of over that many words that fills whole
+lines stays. The first occurrence of a window is the one with the smallest (doc_id, position);
 all later ones cover their lines, overlapping cover merges, and covered lines are cut.
 
 Defined cases: null text stays null with no lines; a text that is wholly covered becomes empty; rows
@@ -24,7 +25,8 @@ SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
 def _windows(docs: DataFrame, window: int, long_line_words: int) -> DataFrame:
     """One row per window: h1, h2, doc_id, at (rank of its first line) and its lines' positions."""
     solid = f"filter(transform(split(text, '\\n'), (x, i) -> struct(regexp_replace(x, '{SPACE}$', '') AS s, i)), x -> x.s <> '')"
-    lines = docs.select("doc_id", F.expr(solid).alias("l")).where("size(l) > 0")
+    counted = "transform(l, x -> struct(x.s, x.i, regexp_count(x.s, '[^\\\\x20\\\\x09-\\\\x0D]+') AS n))"
+    lines = docs.select("doc_id", F.expr(solid).alias("l")).where("size(l) > 0").select("doc_id", F.expr(counted).alias("l"))
     run = ", ".join(f"l[k + {j}].s" for j in range(window))
     places = ", ".join(f"l[k + {j}].i" for j in range(window))
     whole = "array_join(transform(l, x -> x.s), '\\n')"
@@ -35,10 +37,15 @@ def _windows(docs: DataFrame, window: int, long_line_words: int) -> DataFrame:
             transform(sequence(0, size(l) - {window}), k ->
                 struct(xxhash64('run', {run}) AS h1, xxhash64({run}, 'run') AS h2, k AS at, array({places}) AS covers))
         END"""
-    alone = f"""
-        transform(filter(transform(l, (x, k) -> struct(x.s, x.i, k)), x -> regexp_count(x.s, '[^\\\\x20\\\\x09-\\\\x0D]+') > {long_line_words}),
-            x -> struct(xxhash64('one', x.s) AS h1, xxhash64(x.s, 'one') AS h2, x.k AS at, array(x.i) AS covers))"""
-    return lines.select("doc_id", F.inline(F.expr(f"concat({spans}, {alone})")))
+    short = []  # one line, and runs of fewer lines than a window
+    for m in range(1, max(2, window)):
+        words = " + ".join(f"get(l, k + {j}).n" for j in range(m))
+        part, kind = ", ".join(f"l[k + {j}].s" for j in range(m)), "one" if m == 1 else f"short{m}"
+        at = ", ".join(f"l[k + {j}].i" for j in range(m))
+        short.append(f"""
+        transform(filter(sequence(0, size(l) - 1), k -> k + {m} <= size(l) AND {words} > {long_line_words}),
+            k -> struct(xxhash64('{kind}', {part}) AS h1, xxhash64({part}, '{kind}') AS h2, k AS at, array({at}) AS covers))""")
+    return lines.select("doc_id", F.inline(F.expr(f"concat({spans}, {', '.join(short)})")))
 
 
 def covered_lines(docs: DataFrame, window: int = 3, long_line_words: int = 50) -> DataFrame:

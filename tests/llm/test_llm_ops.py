@@ -71,6 +71,42 @@ def test_line_dedup_edges(spark):
     assert len(twice) == 2 * len(got) and {(r.doc_id, r.text) for r in twice} == set(got.items())
 
 
+def brute_short_runs(rows, window=3, long_words=50):
+    """As brute_lines, with runs of two lines of over ``long_words`` words as windows too."""
+    where, solid_of = {}, {}
+    for doc_id, text in rows:
+        solid = solid_of[doc_id] = [(i, s.rstrip(" \t\n\r\v\f")) for i, s in enumerate((text or "").split("\n")) if s.strip(" \t\n\r\v\f")]
+        if 0 < len(solid) < window:
+            where.setdefault(("all", *[s for _, s in solid]), []).append((doc_id, 0, len(solid)))
+        for k in range(len(solid)):
+            for m in range(1, window + 1):
+                part = [s for _, s in solid[k : k + m]]
+                if len(part) == m and (m == window or sum(len(s.split()) for s in part) > long_words):
+                    where.setdefault((m, *part), []).append((doc_id, k, m))
+    cut = {}
+    for places in where.values():
+        for doc_id, k, m in sorted(places)[1:]:
+            cut.setdefault(doc_id, set()).update(i for i, _ in solid_of[doc_id][k : k + m])
+    return {d: None if t is None else "\n".join(s for i, s in enumerate(t.split("\n")) if i not in cut.get(d, ())) for d, t in rows}
+
+
+def test_line_dedup_two_line_passages(spark):
+    a, b = " ".join(f"a{i}" for i in range(43)), " ".join(f"b{i}" for i in range(49))
+    small, whole = "c " * 25, "d " * 25 + "d"
+    texts = [f"one\n{a}\n\n{b} \ntwo\nthree", f"four\nfive\n{a}\n{b}\nsix", f"{a}\n{b}", f"x\n{small}\n{small}e\ny", f"z\n{small}\n{small}e\nw", f"v\n{small}\n{whole}\nu", f"q\nr\n{small}\n{small}"]
+    docs = edge_docs(spark, [(i, t, "en", "s", len(t), 7, 7, "c", 1) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0] == texts[0] and got[1] == "four\nfive\nsix" and got[2] == ""
+    assert got[4] == "z\nw" and got[5] == texts[5] and got[6] == texts[6]  # 50 words are not over 50
+    assert got == brute_short_runs(list(enumerate(texts)))
+
+
+def test_line_dedup_short_runs_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_short_runs(rows)
+
+
 # ---------------------------------------------------------------- 2
 
 
