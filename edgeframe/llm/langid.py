@@ -3,9 +3,10 @@
 Learning counts hashed byte trigrams per language over all labelled texts. For a text, every segment
 of ``segment`` trigrams has a likelihood under each language; expectation-maximisation estimates the
 proportions in which languages make up the segments. The set of languages is then chosen by penalised
-likelihood: the single best, the best two and so on (by their proportions), each fitted again, where
-one more language must raise the log-likelihood by ``penalty * log(segments + 1)``. The prediction is
-the language with the largest share.
+likelihood: the single best, the best two and so on up to all learned languages (by their
+proportions), each fitted again, where one more language must raise the log-likelihood by
+``penalty * log(segments + 1)``; of all sizes the one of largest penalised likelihood is taken. The
+prediction is the language with the largest share.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as all are when nothing
 was learned; rows with null text or language teach nothing; repeated rows count each time; ties go to
@@ -83,7 +84,7 @@ def _mixture(like: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: in
     return share
 
 
-def infer(texts: list[str], model: Model, segment: int = 48, penalty: float = 2.0, most: int = 3, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def infer(texts: list[str], model: Model, segment: int = 48, penalty: float = 2.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(proportions within the chosen language set, proportions over all languages) of texts with trigrams."""
     parts = [_segments(t, model.log_p, segment) for t in texts]
     starts = np.cumsum([0, *map(len, parts[:-1])])
@@ -98,7 +99,7 @@ def infer(texts: list[str], model: Model, segment: int = 48, penalty: float = 2.
     score = single[np.arange(n), best]
     chosen = np.eye(k)[best]
     order = np.argsort(-every, axis=1, kind="stable")
-    for size in range(2, min(most, k) + 1):
+    for size in range(2, k + 1):
         share = np.zeros((n, k))
         np.put_along_axis(share, order[:, :size], 1 / size, axis=1)
         share = _mixture(like + 0.0, starts, share, rounds)

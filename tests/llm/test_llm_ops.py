@@ -313,6 +313,23 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.language_id(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) lang")).collect()} == {"und"}
 
 
+def test_language_mixture_of_four_and_more(spark):
+    """Every learned language of a text is in its mixture, with about its share."""
+    said = {
+        "de": "das haus und der garten liegen hinter dem alten wald ", "en": "the house of the rising sun with thirty windows ", "es": "los caminos blancos donde nunca llueve por la noche ",
+        "fr": "quelques fleurs jaunes dans notre cuisine au printemps ", "it": "gli amici della ragazza che abita sulla collina oggi ",
+    }
+    train = [(i, t * 20, l, "s", 1, 1, 1, "c", 1) for i, (l, t) in enumerate(list(said.items()) * 5)]
+    four = "".join(said[l] * n for l, n in (("de", 40), ("en", 60), ("es", 40), ("fr", 30)))
+    docs = edge_docs(spark, train + [(90, four, None, "s", 1, 1, 1, "c", 1), (91, "".join(t * 40 for t in said.values()), None, "s", 1, 1, 1, "c", 1), (92, said["fr"] * 40, None, "s", 1, 1, 1, "c", 1)])
+    got = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    share = {d: dict((p.split(":")[0], float(p.split(":")[1])) for p in got[d].mixture.split(",")) for d in (90, 91, 92)}
+    assert set(share[90]) == {"de", "en", "es", "fr"} and got[90].lang_pred == "en" and set(share[91]) == set(said) and set(share[92]) == {"fr"}
+    whole = sum(len(said[l]) * n for l, n in (("de", 40), ("en", 60), ("es", 40), ("fr", 30)))
+    for l, n in (("de", 40), ("en", 60), ("es", 40), ("fr", 30)):
+        assert abs(share[90][l] - len(said[l]) * n / whole) < 0.03
+
+
 # ---------------------------------------------------------------- 7
 
 
