@@ -11,6 +11,8 @@ characters each): their paragraphs and furniture are set into many layouts, so t
 nodes are known. Only this fit is bounded; every page is extracted whole.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end where their parent does;
+a head that is not closed ends at the first tag or text that cannot stand in it; the text of math and
+object elements is running text;
 a tag cut off by the end of the page is dropped; repeated rows give equal results; an empty table
 gives no rows; other columns are ignored.
 """
@@ -37,7 +39,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe math object head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe".split())
 #: An opening tag that ends an open element of the listed kinds first.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -151,9 +153,11 @@ def parse(page: str) -> list[Node]:
                     close(i)
                     break
             continue
+        if tag == "head":  # what belongs to it shows no text; the first other tag or text ends it, closed or not
+            continue
         if tag in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?>", re.I).search(page, at)
                 at = end.end() if end else size
             parts.append(" ")
             continue

@@ -119,6 +119,20 @@ def test_html_cases():
     assert [n.text for n in nodes if n.tag == "#"] == ["a", "b c d", "e"]
 
 
+def test_html_open_head_and_inline_objects():
+    leaves = lambda page: [n.text for n in html_extract.parse(page) if n.tag == "#"]
+    head = "<html><head lang=en><meta charset=utf-8><title>T</title><style>p {}</style><script>x()</script>"
+    body = "<header>Top</header><p>First words.</p><p>Second words.</p>"
+    want = ["Top", "First words.", "Second words."]
+    for page in (f"{head}</head><body>{body}</body></html>", f"{head}<body>{body}</body>", f"{head}{body}", f"{head}</HEAD >{body}"):
+        assert leaves(page) == want
+    assert leaves(f"{head}Bare words") == ["Bare words"]
+    assert leaves("<script>a</scripts>b</script >c") == ["c"]
+    assert leaves("<p>Let <math><mi>x</mi> = <mn>2</mn></math> and <object data=a.svg>a chart</object> show.</p>") == ["Let x = 2 and a chart show."]
+    pages = ["<article><p>One and two,\n three words here.<p>Four five, six.</article>"]
+    assert html_extract.extract_pages([f"{head}{pages[0]}"], html_extract.train(pages)) == ["One and two, three words here.\n\nFour five, six."]
+
+
 def test_html_layouts_held_out(spark):
     import random
 
