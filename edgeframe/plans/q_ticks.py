@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import ticks as M
 from ..operators import validation as V
-from ..sources.stage import shared_folder
+from ..sources.stage import durable, shared_folder
 from ..streaming import features as S
 from .registry import query
 
@@ -133,18 +134,35 @@ def m17(t):
 # ---------------------------------------------------------------- streaming runs over the same ticks
 
 
+#: Rows of one file of the stream's source.
+FILE_ROWS = 250_000
+
+
 def stream_source(t, files: int = 4):
-    """The ticks as files that arrive one after another in event-time order, to be read as a stream."""
+    """The ticks as files that arrive one after another in event-time order, to be read as a stream:
+    ``files`` or as many more as hold FILE_ROWS each. They are computed once and written side by side by
+    ranges of time; the times of the files, which the stream follows, are set in the order of the ranges."""
     folder = f"{shared_folder(t.spark)}/edgeframe-ticks-{uuid.uuid4().hex}"
-    cols = [c.split()[0] for c in S.TICKS.split(", ")]
-    second = F.unix_timestamp("ts")
-    low, high = t.ticks.agg(F.min(second), F.max(second)).first()
-    width = ((high or 0) - (low or 0)) // files + 1
-    for k in range(files):
-        t.ticks.where(second.between((low or 0) + k * width, (low or 0) + (k + 1) * width - 1)).select(*cols).coalesce(1).write.mode("append").parquet(folder)
+    ticks = durable(t.ticks.select(*[c.split()[0] for c in S.TICKS.split(", ")]), "all-ticks")
+    parts = max(files, -(-ticks.count() // FILE_ROWS))
+    ticks.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(folder)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    # Parts are numbered in the order of their ranges, and the files of a part in the order of its rows.
+    found = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda f: (f.getName().split("-")[1], f.getName().rsplit("-", 1)[1]))
+    now = int(time.time() * 1000)
+    for i, f in enumerate(found):
+        fs.setTimes(f, now - len(found) + i, -1)
     return folder
 
 
+def tick_stream(t, batches: int = 4):
+    """The ticks as a stream of about ``batches`` micro-batches of many files."""
+    folder = stream_source(t, batches)
+    n = len(t.spark.read.schema(S.TICKS).parquet(folder).inputFiles())
+    return S.read_ticks(t.spark, folder, max(1, -(-n // batches)))
+
+
 def drain(t, df, mode: str = "append"):
     """Runs a stream over all that its source holds and reads what it wrote."""
     folder = f"{shared_folder(t.spark)}/edgeframe-stream-{uuid.uuid4().hex}"
@@ -156,23 +174,23 @@ def drain(t, df, mode: str = "append"):
 @query("m01_stream_features", "ticks", extra=X, sql="SELECT event_id, delta, R6(vwap) AS vwap, R6(mean) AS mean, R6(coalesce(block, 0)) AS block FROM feat")
 def m01(t):
     """The streaming processor over the whole tick table; it must agree with the batch twin's SQL."""
-    out = drain(t, S.tick_features(S.read_ticks(t.spark, stream_source(t))))
+    out = drain(t, S.tick_features(tick_stream(t)))
     return out.select("event_id", "delta", "vwap", "mean", "block")
 
 
 @query("m02_session_gate", "ticks", sql="SELECT symbol, count(*) AS n FROM ticks WHERE hour(ts) * 60 + minute(ts) BETWEEN 555 AND 929 OR (hour(ts) * 60 + minute(ts) = 930 AND floor(second(ts)) = 0) GROUP BY symbol")
 def m02(t):
-    out = drain(t, S.market_hours(S.read_ticks(t.spark, stream_source(t))))
+    out = drain(t, S.market_hours(tick_stream(t)))
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m08_stream_rsi")
 def m08(t):
-    out = drain(t, S.tick_features(S.read_ticks(t.spark, stream_source(t))))
+    out = drain(t, S.tick_features(tick_stream(t)))
     return out.select("event_id", "rsi", "atr_proxy", "latency_median")
 
 
 @query("m18_stream_bars")
 def m18(t):
     """Five-minute bars by event time with a watermark; the last windows stay open."""
-    return drain(t, S.bars_with_watermark(S.read_ticks(t.spark, stream_source(t)))).drop("ts")
+    return drain(t, S.bars_with_watermark(tick_stream(t))).drop("ts")

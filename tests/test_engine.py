@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -228,6 +229,22 @@ def test_stream_is_free_of_batching(spark):
     assert batch == stream
 
 
+def test_stream_files_grow_with_the_ticks(spark, monkeypatch):
+    """More rows give more files, written by more tasks, and their times follow the ticks in them."""
+    from edgeframe.plans import q_ticks
+    from edgeframe.sources.tables import Tables
+
+    monkeypatch.setattr(q_ticks, "FILE_ROWS", 70, raising=False)
+    t = Tables(spark, SF)
+    path = Path(q_ticks.stream_source(t))
+    files = sorted(path.glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(f)).agg(F.min(F.struct("ts", "event_id")), F.max(F.struct("ts", "event_id")), F.count(F.lit(1))).first() for f in files]
+    assert len(files) > 8 and max(n for _, _, n in spans) <= 140 and sum(n for _, _, n in spans) == t.ticks.count()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    out = q_ticks.drain(t, q_ticks.S.tick_features(q_ticks.tick_stream(t))).select("event_id", "delta", F.round("vwap", 6).alias("vwap")).toPandas()
+    assert rows_of(out) == rows_of(M.features(t.ticks).select("event_id", "delta", F.round("vwap", 6).alias("vwap")).toPandas())
+
+
 def test_bootstrap_is_seeded():
     assert BS.path_stats(np.array([1.0, -1, 2, -1] * 10), 200) == BS.path_stats(np.array([1.0, -1, 2, -1] * 10), 200, at_once=7)
     assert BS.path_stats(np.ones(5), 50)[0] == 100.0
