@@ -1,39 +1,37 @@
-"""Shared helpers of the training-data operators: durable stages and salted prefix sums."""
+"""Shared helpers of the training-data operators: row keys, free names, salted prefix sums, joins to hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_LOCAL_STAGE: list[str] = []
+from ..sources.stage import durable
+
+__all__ = ["durable", "free", "join_hot", "prefix_sums", "row_key", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only a local master without it gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_STAGE:
-        _LOCAL_STAGE.append(tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp"))
-    return _LOCAL_STAGE[0]
+def free(taken: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column (names differ by more than case) has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
 
+def row_key(*columns: str) -> list[Column]:
+    """Two columns k1, k2 (128 bits, never null): rows share them if and only if they agree in ``columns``.
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so later steps neither recompute it
-    nor depend on the executors that made it."""
-    path = f"{stage_dir(df.sparkSession)}/edgeframe-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    A null and an empty text differ: what is null is hashed too.
+    """
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("k2"), *reversed(parts)).alias("k2")]
 
 
 def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column], weight: str, out: str) -> DataFrame:
@@ -49,3 +47,17 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return local.join(shifts, [*keys, bucket]).withColumn(out, F.col("__local") + F.col("__shift")).drop("__local", "__shift")
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], rows: str, spread: list[str], most_hot: int = 1000, parts: int = 64) -> DataFrame:
+    """Inner join of ``many`` to ``one``, which has one row for each key; ``rows`` counts the key's rows in ``many``.
+
+    A key with over 1 / ``most_hot`` of all rows is hot; there are fewer than ``most_hot`` of those, so
+    they are broadcast. Rows of a hot key are dealt into ``parts`` by a hash of ``spread``, and its
+    row of ``one`` is repeated for each part. ``one`` is read three times: pass a durable one.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = one.where(F.col(rows) * most_hot > total).select(*keys, F.lit(True).alias("__hot"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(0)).drop("__hot")
+    last = F.when(F.col(rows) * most_hot > total, parts - 1).otherwise(0)
+    return dealt.join(one.withColumn("__part", F.explode(F.sequence(F.lit(0), last))), [*keys, "__part"]).drop("__part")

@@ -6,11 +6,12 @@ stops at ``max_epochs`` times its source's size, and the excess is reshared by w
 is above. Within a source, documents stand in the order of a random key (an MD5 of doc_id), prefix
 sums of their sizes say where each begins, and the source is cut at its budget: whole epochs first,
 then the words before the cut; the document at the cut gives the part before it. Keys depend on
-doc_id alone, so reruns agree.
+doc_id alone (documents that share one stand by size and text), so reruns agree.
 
-Defined cases: null text has size 0; null is a source of its own; documents of size 0 take 0;
-repeated rows are separate documents side by side; an empty table gives no rows; other columns are
-ignored. A source is never held by one task: its keys are split into ``16 ** key_digits`` ranges.
+Defined cases: null text has size 0; null is a source of its own; a null doc_id is an id like any
+other; documents of size 0 take 0; repeated rows are separate documents side by side; an empty table
+gives no rows; other columns are ignored. A source is never held by one task: its keys are split into
+ranges of about ``range_rows`` documents.
 """
 
 from __future__ import annotations
@@ -48,30 +49,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return per.select("src", "source_size", F.least(stop.cast("double"), free).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, key_digits: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), start (words before it in its source)."""
-    key = F.md5(F.col("doc_id").cast("string"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, range_rows: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), start (words before it in its
+    source), and the columns ``keep`` of ``docs``."""
     sized = docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(key, 1, key_digits).alias("range"),
-        key.alias("key"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        F.xxhash64("text").alias("same"),
+        F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
     )
     sized = durable(sized, "mix-sizes")
-    placed = prefix_sums(sized, ["src"], "range", [F.col("key"), F.col("doc_id"), F.col("size")], "size", "start")
+    most = sized.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    digits = 1
+    while 16**digits * range_rows < most:
+        digits += 1
+    placed = prefix_sums(sized.withColumn("range", F.substring("key", 1, digits)), ["src"], "range", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("same")], "size", "start")
     budget = F.floor(F.col("target") + F.lit(0.5))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     taken = F.col("epochs") * F.col("size") + F.least("size", F.greatest(F.lit(0).cast("long"), rest - F.col("start")))
-    return (
-        placed.join(source_targets(sized, weights, max_epochs), "src")
-        .withColumn("budget", budget)
-        .withColumn("epochs", epochs.cast("long"))
-        .select(
-            "doc_id", F.when(F.col("src") != "1", F.expr("substring(src, 2)")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("start").cast("long").alias("start")
-        )
-    )
+    out = placed.join(source_targets(sized, weights, max_epochs), "src").withColumn("budget", budget).withColumn("epochs", epochs.cast("long"))
+    return out.select(
+        "doc_id", F.when(F.col("src") != "1", F.expr("substring(src, 2)")).alias("source"), "size", "source_size", "target",
+        taken.cast("long").alias("taken"), F.col("start").cast("long").alias("start"), *[F.col(f"kept.{c}").alias(c) for c in keep],
+    )
 
 
 ORACLE = """
