@@ -11,8 +11,12 @@ from . import chat, html_extract, langid, line_dedup, media, mixing, packing, qu
 from .common import table
 
 
+#: Passages of over this many words that repeat are cut even where they fill fewer than three lines.
+LONG_LINE_WORDS = 50
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_line_words=LONG_LINE_WORDS)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
