@@ -8,14 +8,15 @@ proportions), each fitted again, where one more language must raise the log-like
 ``penalty * log(segments + 1)``; of all sizes the one of largest penalised likelihood is taken. The
 prediction is the language with the largest share.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, as all are when nothing
-was learned; rows with null text or language teach nothing; repeated rows count each time; ties go to
-the language that sorts first; an empty table gives no rows; other columns are ignored.
+Defined cases: null texts and texts without a letter (``str.isalpha``: no digits, fractions or numerals)
+are ``und`` with score 0, as all are when nothing was learned; rows with null text or language teach
+nothing; a null doc_id counts as the empty string, which is held out; repeated rows count each time;
+ties go to the language that sorts first; an empty table gives no rows; other columns are ignored. The
+model holds every language value; more than ``most_languages`` of them are an error, not a cut.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
-LETTER = re.compile(r"[^\W\d_]")
-HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 5) = 0"
+HELD_OUT = "pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), 5) = 0"
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hash bins of the byte trigrams of the lower-cased text between two spaces."""
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(0, np.uint16)
-    return (((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.uint16)
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def trigrams(text: str, at_once: int = 48 << 14) -> Iterator[np.ndarray]:
+    """Hash bins of the byte trigrams of the lower-cased text between two spaces, ``at_once`` of them at a time."""
+    data = f" {text.lower()} ".encode("utf-8", "surrogatepass")
+    for at in range(0, len(data) - 2, at_once):
+        b = np.frombuffer(data, np.uint8, min(at_once + 2, len(data) - at), at).astype(np.uint32)
+        yield (((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
 @dataclass
@@ -43,7 +47,7 @@ class Model:
     log_p: np.ndarray  # (2 ** BITS, languages)
 
 
-def learn(docs: DataFrame, smoothing: float = 0.5) -> Model:
+def learn(docs: DataFrame, smoothing: float = 0.5, most_languages: int = 1000) -> Model:
     """Trigram counts of each language over all rows; what reaches the driver is 2 ** BITS counts a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,13 +56,16 @@ def learn(docs: DataFrame, smoothing: float = 0.5) -> Model:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 if lang not in seen:
                     seen[lang] = np.zeros(1 << BITS, np.int64)
-                for at in range(0, len(text), 1 << 20):
-                    seen[lang] += np.bincount(trigrams(text[at : at + (1 << 20)]), minlength=1 << BITS)
+                for bins in trigrams(text):
+                    seen[lang] += np.bincount(bins, minlength=1 << BITS)
         for lang, n in seen.items():
             bins = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bin": bins, "n": n[bins]})
 
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInPandas(count, "lang string, bin int, n long")
+    taught = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    if taught.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"over {most_languages} values of lang: not a language column")
+    rows = taught.mapInPandas(count, "lang string, bin int, n long")
     table = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     counts = np.zeros((1 << BITS, len(langs)))
@@ -67,10 +74,7 @@ def learn(docs: DataFrame, smoothing: float = 0.5) -> Model:
 
 
 def _segments(text: str, log_p: np.ndarray, segment: int) -> np.ndarray:
-    bins, out = trigrams(text), []
-    for at in range(0, len(bins), segment << 10):
-        part = bins[at : at + (segment << 10)]
-        out.append(np.add.reduceat(log_p[part], np.arange(0, len(part), segment), axis=0))
+    out = [np.add.reduceat(log_p[part], np.arange(0, len(part), segment), axis=0) for part in trigrams(text, segment << 10)]
     return np.concatenate(out).astype(np.float64)
 
 
@@ -118,7 +122,7 @@ def language_column(model: Model, text: str = "text", at_once: int = 256) -> Col
     def predict(column: pd.Series) -> pd.DataFrame:
         texts = column.tolist()
         lang, score, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
-        ok = [i for i, t in enumerate(texts) if model.langs and isinstance(t, str) and LETTER.search(t)]
+        ok = [i for i, t in enumerate(texts) if model.langs and isinstance(t, str) and has_letter(t)]
         for at in range(0, len(ok), at_once):
             some = ok[at : at + at_once]
             for i, c, e in zip(some, *infer([texts[i] for i in some], model)):
