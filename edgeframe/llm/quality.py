@@ -13,8 +13,9 @@ all rates, counts and posteriors cover all documents.
 
 Defined cases: null text counts as empty; a null host or path is a site of its own; without labels
 every document's own probability is one half; repeated labels of a document count once, by the
-smallest value; repeated documents count each time; an empty table gives no rows; other columns are
-ignored.
+smallest value; documents that share a labelled doc_id teach once, by the smallest features, and count
+each time otherwise; a null doc_id has no label; an empty table gives no rows; other columns are ignored.
+A site that holds many of the documents is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import durable
+from .common import durable, join_hot
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"!?()\-]")
 RAISED = re.compile(r"[!?|*#%&$<>{}\[\]\\^~=_+/@]")
@@ -41,7 +42,7 @@ def features(text: str | None) -> list[float]:
     n, c = max(1, len(words)), max(1, len(t))
     distinct = set(words)
     lines = [x for x in t.split("\n") if x]
-    letters = sum(map(str.isalpha, t)) if len(t) < 512 else sum(len(w) for w in re.findall(r"[^\W\d_]+", t))
+    letters = sum(map(str.isalpha, t))
     return [
         float(np.log1p(len(words))), len(distinct) / n, len(set(zip(words, words[1:]))) / n, (c - len(words) + 1) / n,
         letters / c, sum(1 for w in words if w.isupper() and len(w) > 1) / n, len(SYMBOLS.findall(t)) / c, len(RAISED.findall(t)) / n,
@@ -54,14 +55,15 @@ def fit_documents(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000)
     """Trees for the label ``quality``; only the features of a bounded sample reach the driver."""
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = marked.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most_labels)
-    schema = "quality int, f array<double>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"quality": pdf["quality"], "f": [features(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "f": [features(t) for t in pdf["text"]]})
 
     # `some` has at most most_labels rows of two numbers, so texts stay where they are.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(run, schema).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInPandas(run, schema)
+    rows = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("f").alias("f")).toPandas()
     if rows["quality"].nunique() < 2:
         return None
     x = np.stack(rows["f"].to_numpy()).astype(np.float32)
@@ -104,9 +106,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     base = min(max((all_s or 0.0) / (all_n or 1), 1e-6), 1 - 1e-6)
     k_host = _strength(hosts, F.lit(base))
     host_post = hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs"), ((F.lit(k_host * base) + F.col("s")) / (k_host + F.col("n"))).alias("hp"))
-    joined = paths.drop("d").join(host_post, "host")
+    joined = durable(paths.drop("d").join(host_post, "host"), "quality-sites")
     k_path = _strength(joined, F.col("hp"))
-    sites = scored.join(joined, ["host", "path"])
+    sites = join_hot(scored, joined, ["host", "path"], "n", ["doc_id", "own"])
     # a document's own evidence is left out of what its site says about it
     host_rate = (F.lit(k_host * base) + F.col("hs") - F.col("own")) / (F.lit(k_host - 1.0) + F.col("hn"))
     path_rate = (F.lit(k_path) * F.col("host_rate") + F.col("s") - F.col("own")) / (F.lit(k_path - 1.0) + F.col("n"))
