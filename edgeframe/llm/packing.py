@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,15 +31,15 @@ from .common import durable, prefix_sums
 
 # ---------------------------------------------------------------- tokens
 
-#: Texts of these characters only split into words by WORD exactly as the tokenizer splits them.
-PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u017f\\u2010-\\u2027]*")
+#: Chunks of these characters only split into words by WORD exactly as the tokenizer splits them.
+PLAIN = "^[\\x21-\\x7e\\x{c0}-\\x{17f}\\x{2010}-\\x{2027}]*$"
 #: The pre-tokenizer's pattern (a fixed value).
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|\\pL+|\\pN|[^\\s\\pL\\pN]+"
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes. Ids of a plain text are those of its words in turn, so
-    what stands between white space is tokenized once for each run of texts."""
+    """Ids of texts as little-endian 32-bit bytes. No token spans ASCII white space, so what stands between it
+    (a chunk) is tokenized once for each run of texts: plain chunks together, the others each by itself."""
 
     #: Characters of text taken at once; a longer text is taken alone.
     AT_ONCE = 1 << 23
@@ -53,27 +52,38 @@ class WordIds:
         self.whole, self.plain = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
         # a marker string inside a text is ordinary text
         self.whole.encode_special_tokens = self.plain.encode_special_tokens = True
-        # plain texts are lower-cased and split beforehand, which is all that normalizing changes in them
+        # plain chunks are lower-cased and split beforehand, which is all that normalizing changes in them
         self.plain.normalizer = normalizers.Sequence([])
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, text: str, tokenizer=None) -> np.ndarray:
-        return np.array((tokenizer or self.whole).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def plain_ids(self, texts: list[str], at_once: int = 2000) -> list[bytes]:
-        lists = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
-        coded = lists.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        ids = [self.encode(" ".join(chunks[i : i + at_once]), self.plain) for i in range(0, len(chunks), at_once)]
-        ids = np.concatenate([np.zeros(0, "<u4"), *ids])
+    def _plain_ids(self, chunks: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in turn, number of each chunk's ids)."""
+        lines = [" ".join(chunks[i : i + at_once]) for i in range(0, len(chunks), at_once)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]])
         # The ids at which words end, and the number of words of each chunk, tell the chunks' ids apart.
         ends = np.r_[0, np.flatnonzero(self.last[ids]) + 1]
-        words = np.r_[0, np.cumsum(pc.count_substring_regex(coded.dictionary, WORD).to_numpy())]
+        words = np.r_[0, np.cumsum(pc.count_substring_regex(pa.array(chunks, pa.string()), WORD).to_numpy())]
         if words[-1] != len(ends) - 1:
             raise ValueError("the tokenizer splits words in another way")
-        start, size = ends[words[:-1]], np.diff(ends[words])
+        return ids, np.diff(ends[words])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
+        lower = pc.split_pattern(pa.array(["\n".join(chunks.filter(pa.array(plain)).to_pylist()).lower()], pa.string()), "\n").values[: plain.sum()].dictionary_encode()
+        fast, fast_sizes = self._plain_ids(lower.dictionary.to_pylist())
+        odd = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(chunks.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        ids = np.concatenate([fast, *odd])
+        # Of each chunk, where its ids stand and how many they are: the plain ones by their lower case, then the others.
+        odd_sizes = np.array([len(o) for o in odd], np.int64)
+        start, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        of = lower.indices.to_numpy()
+        start[plain], size[plain] = (np.cumsum(fast_sizes) - fast_sizes)[of], fast_sizes[of]
+        start[~plain], size[~plain] = len(fast) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
         at = coded.indices.to_numpy()
         sizes = size[at]
         place = np.r_[0, np.cumsum(sizes)]
@@ -81,11 +91,6 @@ class WordIds:
         bounds = (4 * place[lists.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
-        fast = iter(self.plain_ids([t for t, p in zip(texts, plain) if p]))
-        return [next(fast) if p else self.encode(t).tobytes() for t, p in zip(texts, plain)]
-
     def parts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(first, end) of runs of texts to take at once."""
         first, held = 0, 0
@@ -228,19 +233,22 @@ def slot_table(packed: list[tuple[list[tuple[int, int]], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "last", "copies", "base", "at"]).astype("int64")
 
 
-def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = 4096, end_id: int = 1, buckets: int = 64) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = 4096, end_id: int = 1, range_rows: int = 1 << 16) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces of one length are ranked in buckets
+    of about ``range_rows``."""
     pieces = token_pieces(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"), capacity, end_id)
-    pieces = durable(pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece), {buckets})")).withColumn("one", F.lit(1)), "pack-pieces")
+    pieces = durable(pieces, "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most one row per length
         counts[row["length"]] = row["count"]
+    buckets = max(1, -(-int(counts.max()) // range_rows))
+    mark = F.xxhash64("doc_id", "piece", "ids_crc32")
     slots = slot_table(pack_histogram(counts, capacity))
     spark = docs.sparkSession
     shape = "length long, first long, last long, copies long, base long, at long"
     # At most about twice `capacity` groups of bins, each with under sqrt(2 * capacity) runs: a few MB.
     slots_df = spark.createDataFrame(slots, shape) if len(slots) else spark.createDataFrame([], shape)
-    ranked = prefix_sums(pieces, ["length"], "bucket", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "one", "rank")
+    ranked = prefix_sums(pieces.withColumn("bucket", F.pmod(mark, F.lit(buckets))).withColumn("one", F.lit(1)), ["length"], "bucket", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "one", "rank")
     s = F.broadcast(slots_df.withColumnRenamed("length", "slot_length"))
     nth = F.col("rank") - F.col("first")
     return ranked.join(s, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select(
