@@ -278,5 +278,7 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    kept = store(docs)
-    return read_back(kept.withColumn("found", sniff(F.col("content"), F.col("declared"))))
+    # Ids pass through Python as strings, which keep null and every digit.
+    kept = store(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    out = read_back(kept.withColumn("found", sniff(F.col("content"), F.col("declared"))))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

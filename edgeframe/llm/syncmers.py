@@ -10,7 +10,7 @@ distance.
 
 Defined cases: null text is empty; an empty text has the empty fingerprint, like only to another
 empty one; a text shorter than one window is an anchor by itself; documents of equal doc_id stand in
-the order of their texts; a table of one document is its own next; an empty table gives no rows;
+the order of their texts; a null doc_id comes after all others; a table of one document is its own next; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -29,6 +29,8 @@ S, K = 8, 16
 _STEP = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
+#: Stands for a null doc_id: the least long.
+NO_ID = -(1 << 63)
 #: Characters of fingerprints that leave Python at once.
 _AT_ONCE = 1 << 23
 
@@ -144,52 +146,43 @@ def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     return _near(a, b, len(x)), len(x), int((at[ends] - at[starts])[ok[starts]].max()) + K
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, position (of the anchor's first byte), anchor (hash): for positional matching."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                at, h = anchors((text or "").encode("utf-8", "surrogatepass"))
-                yield pd.DataFrame({"doc_id": doc_id, "position": at, "anchor": h.view(np.int64)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, position long, anchor long")
-
-
-def _descending_runs(docs: DataFrame, rows_each: int, most: int) -> DataFrame:
-    """doc_id, text, run, ahead: documents dealt into runs that follow one another in descending doc_id.
-    The first document of the next run stands at the end of each (``ahead`` = 1)."""
-    ids = docs.select("doc_id")
+def _descending_runs(docs: DataFrame, rows_each: int, most_runs: int) -> DataFrame:
+    """place (doc_id, the least number for null), text, run, ahead: documents dealt into runs that follow one another
+    in descending doc_id. The first document of the next run stands at the end of each (``ahead`` = 1)."""
+    ids = docs.select("place")
     n = ids.count()
-    runs = max(1, min(most, -(-n // rows_each)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 100_000)).first()[0] if n and runs > 1 else []
+    runs = max(1, min(most_runs, -(-n // rows_each)))
+    cuts = ids.agg(F.percentile_approx("place", [i / runs for i in range(1, runs)], 100_000)).first()[0] if n and runs > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
-    def run_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, doc_id.to_numpy(np.int64)))
+    def run_of(place: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, place.to_numpy(np.int64)))
 
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run_of("doc_id").alias("run"))
-    # At most `most` rows: the largest doc_id of each run.
-    heads = sorted((r["run"], r["top"]) for r in ids.select("doc_id", run_of("doc_id").alias("run")).groupBy("run").agg(F.max("doc_id").alias("top")).collect())
+    own = docs.select("place", F.coalesce("text", F.lit("")).alias("text"), run_of("place").alias("run"))
+    # At most `most_runs` rows: the largest doc_id of each run.
+    heads = sorted((r["run"], r["top"]) for r in ids.select("place", run_of("place").alias("run")).groupBy("run").agg(F.max("place").alias("top")).collect())
     ahead = [(heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
     look = F.broadcast(docs.sparkSession.createDataFrame(ahead, "head long, before int"))
     places = F.expr("CASE WHEN before IS NULL THEN array(struct(run, 0 AS ahead)) ELSE array(struct(run, 0 AS ahead), struct(before AS run, 1 AS ahead)) END")
-    return own.join(look, F.col("doc_id") == F.col("head"), "left").select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.*")
+    dealt = own.join(look, F.col("place") == F.col("head"), "left").select("place", "text", F.explode(places).alias("p")).select("place", "text", "p.*")
+    return dealt.repartitionById(len(bounds) + 1, F.col("run"))
 
 
 def edited_pairs(docs: DataFrame, rows_each: int = 4096, most_runs: int = 10_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the
     matched anchors and bytes of the longest shared passage (at least one window where an anchor is
-    shared) of each document against its edited text and the next document in descending doc_id."""
-    dealt = _descending_runs(docs.select(F.col("doc_id").cast("long"), "text"), rows_each, most_runs)
+    shared) of each document against its edited text and the next document in descending doc_id. A task
+    takes ``rows_each`` documents, more where that would make over ``most_runs`` tasks."""
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    dealt = _descending_runs(docs.select(place.alias("place"), "text"), rows_each, most_runs)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "matched_edited", "passage_edited", "near_next", "matched_next", "passage_next"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the document that waits for its next: (doc_id, text, sketch)
         for pdf in batches:
             rows, chars = [], 0
-            for doc_id, text, ahead in zip(pdf["doc_id"], pdf["text"], pdf["ahead"]):
+            for doc_id, text, ahead in zip(pdf["place"], pdf["text"], pdf["ahead"]):
                 if ahead and held is None:
                     continue
                 mine = sketch(text)
@@ -208,5 +201,6 @@ def edited_pairs(docs: DataFrame, rows_each: int = 4096, most_runs: int = 10_000
             yield pd.DataFrame(rows, columns=names)
 
     shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, matched_edited long, passage_edited long, near_next double, matched_next long, passage_next long"
-    ordered = dealt.repartition("run").sortWithinPartitions("run", "ahead", F.desc("doc_id"), "text")
-    return ordered.select("doc_id", "text", "ahead").mapInPandas(run, shape)
+    ordered = dealt.sortWithinPartitions("ahead", F.desc("place"), "text")
+    paired = ordered.select("place", "text", "ahead").mapInPandas(run, shape)
+    return paired.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
