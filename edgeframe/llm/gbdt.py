@@ -26,26 +26,29 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: float = 2.0) -> Trees:
-    """Logistic loss, Newton leaves, splits on quantile histograms. Deterministic."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: float = 2.0, every: int = 1) -> Trees:
+    """Logistic loss, Newton leaves, splits on quantile histograms; a tree sees one in ``every`` rows, in turn. Deterministic."""
     n, k = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(k)]
-    binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)], 1) if n else np.zeros((0, k), np.int64)
+    binned = [np.searchsorted(cuts[j], x[:, j], side="left").astype(np.int64) for j in range(k)]
+    useful = [j for j in range(k) if len(cuts[j])]
     share = (y.sum() + 1) / (n + 2)
     start = float(np.log(share / (1 - share)))
     inner = 2**depth - 1
     feature, cut, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     logit = np.full(n, start)
     for t in range(trees):
-        p = 1 / (1 + np.exp(-logit))
-        g, h = y - p, p * (1 - p)
-        at = np.zeros(n, np.int64)
+        some = slice(t % every, None, every)
+        p = 1 / (1 + np.exp(-logit[some]))
+        g, h = y[some] - p, p * (1 - p)
+        at = np.zeros(len(g), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
             node = at - first
             best = np.full(width, 1e-6)
-            for j in range(k):
-                key, size = node * bins + binned[:, j], width * bins
+            row, size = node * bins, width * bins
+            for j in useful:
+                key = row + binned[j][some]
                 gl = np.bincount(key, g, size).reshape(width, bins).cumsum(1)
                 hl = np.bincount(key, h, size).reshape(width, bins).cumsum(1)
                 ga, ha = gl[:, -1:], hl[:, -1:]
@@ -56,8 +59,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: flo
                 top = gain[np.arange(width), b]
                 for v in np.flatnonzero(top > best):
                     best[v], feature[t, first + v], cut[t, first + v] = top[v], j, cuts[j][b[v]]
-            at = 2 * at + 1 + (x[np.arange(n), feature[t][at]] > cut[t][at])
+            at = 2 * at + 1 + (x[some][np.arange(len(g)), feature[t][at]] > cut[t][at])
         place = at - inner
         leaf[t] = rate * np.bincount(place, g, inner + 1) / (np.bincount(place, h, inner + 1) + ridge)
-        logit += leaf[t][place]
+        logit += Trees(0.0, feature[t : t + 1], cut[t : t + 1], leaf[t : t + 1]).logit(x)
     return Trees(start, feature, cut, leaf)
