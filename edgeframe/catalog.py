@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import registry
-from .plans import q_bars, q_context, q_journal, q_market, q_portfolio, q_sources, q_ticks, q_trades  # noqa: F401  they register
+from .plans import q_bars, q_context, q_edges, q_journal, q_market, q_portfolio, q_sources, q_ticks, q_trades  # noqa: F401  they register
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

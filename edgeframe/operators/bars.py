@@ -10,6 +10,11 @@ from pyspark.sql.window import Window
 OPEN_MINUTE = 555
 
 
+def series(df: DataFrame) -> list[str]:
+    """The columns that tell one series of bars (and what is made of it) from another."""
+    return ["symbol", "tf"] if "tf" in df.columns else ["symbol"]
+
+
 def session_date(ts: Column, tz: str = "UTC") -> Column:
     """Exchange-local date of an instant."""
     return F.to_date(F.from_utc_timestamp(ts, tz))
@@ -26,7 +31,7 @@ def bars_from_ticks(ticks: DataFrame, width: str) -> DataFrame:
 
 def with_positions(bars: DataFrame) -> DataFrame:
     """Adds day_id (0-based session counter) and bar_idx (0-based position) per symbol and timeframe."""
-    key = ["symbol", "tf"] if "tf" in bars.columns else ["symbol"]
+    key = series(bars)
     return bars.withColumn("day_id", F.dense_rank().over(Window.partitionBy(key).orderBy("session_date")) - 1).withColumn("bar_idx", F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1)
 
 
@@ -35,12 +40,34 @@ def dedup_by_time(rows: DataFrame, tie: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(*tie))).where("__n = 1").drop("__n")
 
 
-def resample(bars: DataFrame, minutes: int) -> DataFrame:
-    """Bars of ``minutes`` from finer ones: left-closed, anchored at the session open."""
-    w = F.window("ts", f"{minutes} minutes", f"{minutes} minutes", f"{OPEN_MINUTE % minutes} minutes") if OPEN_MINUTE % minutes else F.window("ts", f"{minutes} minutes")
-    return bars.groupBy("symbol", w.alias("w")).agg(
+def _slot(ts: Column, minutes: Column | int, tz: str) -> Column:
+    """Number of the bar that holds an instant: local minutes since the open, in steps of ``minutes`` (a divisor of a day)."""
+    local = F.floor(F.unix_timestamp(F.from_utc_timestamp(ts, tz)) / 60)
+    return F.floor((local - OPEN_MINUTE) / minutes)
+
+
+def _slot_start(slot: Column, minutes: Column | int, tz: str) -> Column:
+    return F.to_utc_timestamp(F.timestamp_seconds((slot * minutes + OPEN_MINUTE) * 60), tz)
+
+
+def _merged(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("parts")
-    ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "parts")
+    )
+
+
+def resample(bars: DataFrame, minutes: int, tz: str = "UTC") -> DataFrame:
+    """Bars of ``minutes`` from finer ones: left-closed, anchored at the session open in the exchange's zone."""
+    merged = _merged(bars.withColumn("slot", _slot(F.col("ts"), minutes, tz)), "symbol", "slot")
+    return merged.select("symbol", _slot_start(F.col("slot"), minutes, tz).alias("ts"), "open", "high", "low", "close", "volume", "parts")
+
+
+def timeframes(bars: DataFrame, minutes: list[int], tz: str = "UTC") -> DataFrame:
+    """One table of bars of several widths (column ``tf``) from finer ones, in one pass, with positions."""
+    each = bars.withColumn("minutes", F.explode(F.array(*map(F.lit, minutes))))
+    merged = _merged(each.withColumn("slot", _slot(F.col("ts"), F.col("minutes"), tz)), "symbol", "minutes", "slot").withColumn("ts", _slot_start(F.col("slot"), F.col("minutes"), tz))
+    day = session_date(F.col("ts"), tz).alias("session_date")
+    return with_positions(merged.select("symbol", F.concat("minutes", F.lit("min")).alias("tf"), "ts", day, "open", "high", "low", "close", "volume"))
 
 
 def back_adjust(daily: DataFrame, actions: DataFrame) -> DataFrame:
@@ -56,7 +83,7 @@ def back_adjust(daily: DataFrame, actions: DataFrame) -> DataFrame:
 
 def session_bars(bars: DataFrame) -> DataFrame:
     """OHLC of each session with the position of its first bar."""
-    return bars.groupBy("symbol", "session_date").agg(
+    return bars.groupBy(*series(bars), "session_date").agg(
         F.min("day_id").alias("day_id"), F.min("bar_idx").alias("start_idx"), F.min_by("open", "bar_idx").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "bar_idx").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("bars"),
     )
@@ -64,9 +91,10 @@ def session_bars(bars: DataFrame) -> DataFrame:
 
 def with_prior_session(bars: DataFrame) -> DataFrame:
     """Adds the prior session's high, low and close, and this session's open."""
-    w = Window.partitionBy("symbol").orderBy("session_date")
-    s = session_bars(bars).select("symbol", "session_date", F.col("open").alias("session_open"), *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("high", "low", "close")])
-    return bars.join(s, ["symbol", "session_date"])
+    key = series(bars)
+    w = Window.partitionBy(*key).orderBy("session_date")
+    s = session_bars(bars).select(*key, "session_date", F.col("open").alias("session_open"), *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("high", "low", "close")])
+    return bars.join(s, [*key, "session_date"])
 
 
 def last_sessions(bars: DataFrame, k: int) -> DataFrame:

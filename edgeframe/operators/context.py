@@ -112,12 +112,18 @@ def tradability(daily: DataFrame, symbols: DataFrame, watch: DataFrame, unit: fl
     return t.withColumn("verdict", verdict.when((F.col("tier") == "thin") | F.col("low_price") | F.col("micro_cap"), "caution").otherwise("ok")).select("symbol", "tier", "low_price", "micro_cap", "measure", "verdict")
 
 
-# Sentiment words.
-POSITIVE = "gain gains rise rises rally surge surges beat beats upgrade profit growth record strong wins order the".split()[:-1]
-NEGATIVE = "loss losses fall falls drop drops plunge miss misses downgrade fraud probe weak cut cuts default".split()
-
-
-def headline_sentiment(rows: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
+# Sentiment words of headlines.
+POSITIVE = (
+    "surge surges surged jump jumps jumped gain gains gained rally rallies rallied soar soars soared rise rises rose record high profit profits beat beats upgrade upgrades upgraded bonus dividend "
+    "order orders win wins won approval approved expansion expands acquire acquires acquisition strong growth outperform bullish boost boosts hike hikes raises raised multibagger buyback"
+).split()
+NEGATIVE = (
+    "fall falls fell drop drops dropped plunge plunges plunged slump slumps slumped decline declines declined low loss losses miss misses missed downgrade downgrades downgraded cut cuts probe fraud "
+    "scam default defaults resign resigns resigned weak slowdown lawsuit penalty fine fined ban bans recall bearish warning warns concern concerns debt crash crashes tumble tumbles tumbled selloff raid"
+).split()
+
+
+def headline_sentiment(rows: DataFrame, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> DataFrame:
     """doc_id, score (p - n) / (p + n) over whole tokens, label with a band of 0.15."""
     spark = rows.sparkSession
     words = F.broadcast(spark.createDataFrame([(w, 1) for w in positive] + [(w, -1) for w in negative], "word string, sign int"))

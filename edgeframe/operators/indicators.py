@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-
-def _key(df: DataFrame) -> list[str]:
-    return ["symbol", "tf"] if "tf" in df.columns else ["symbol"]
+from .bars import series
 
 
 def _series(df: DataFrame) -> WindowSpec:
-    return Window.partitionBy(_key(df)).orderBy("bar_idx")
+    return Window.partitionBy(series(df)).orderBy("bar_idx")
 
 
 def _full(w: WindowSpec, n: int, value: Column) -> Column:
@@ -37,10 +35,13 @@ def true_range(df: DataFrame) -> Column:
 
 
 def windowed(bars: DataFrame, n: int = 20, tf_minutes: int = 60) -> DataFrame:
-    """Adds mean, sd, bands, VWAP and its bands, Donchian, relative volume, z-score, pivot, gap and opening range."""
+    """Adds mean, sd, bands, VWAP and its bands, Donchian, relative volume, z-score, pivot, gap and opening range.
+
+    The width of a bar is that of its ``tf``, without one ``tf_minutes``.
+    """
     from .bars import with_prior_session
 
-    key = _key(bars)
+    key = series(bars)
     tail = _series(bars).rowsBetween(-(n - 1), 0)
     prior = _series(bars).rowsBetween(-n, -1)
     day = Window.partitionBy(*key, "session_date").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +57,8 @@ def windowed(bars: DataFrame, n: int = 20, tf_minutes: int = 60) -> DataFrame:
         .withColumn("nth", F.row_number().over(Window.partitionBy(*key, "session_date").orderBy("bar_idx")))
         .drop("vol")
     )
-    first = max(15 // max(tf_minutes, 1), 1)
+    minutes = F.regexp_extract("tf", "^([0-9]+)", 1).cast("int") if "tf" in bars.columns else F.lit(tf_minutes)
+    first = F.greatest(F.floor(F.lit(15) / minutes), F.lit(1))
     opening = lambda f, c: f(F.when(F.col("nth") <= first, F.col(c))).over(Window.partitionBy(*key, "session_date"))
     return (
         out.withColumn("bb_up", F.col("mean20") + 2 * F.col("sd20"))
@@ -74,42 +76,57 @@ def windowed(bars: DataFrame, n: int = 20, tf_minutes: int = 60) -> DataFrame:
 # ---------------------------------------------------------------- recursive
 
 
+def decayed(x: np.ndarray, start: float, keep: float, gain: float, scale: float = 1e4) -> np.ndarray:
+    """y[i] = keep * y[i - 1] + gain * x[i], with y before the first equal to ``start``.
+
+    Blocks of the series are summed side by side with weights that stay within ``scale``; only what one
+    block hands to the next is worked out in turn.
+    """
+    width = max(1, int(np.log(scale) / -np.log(keep)))
+    blocks = -(-len(x) // width) or 1
+    padded = np.zeros(blocks * width)
+    padded[: len(x)] = x
+    weight = keep ** np.arange(width)
+    inside = np.cumsum(padded.reshape(blocks, width) * (gain / weight), axis=1) * weight
+    handed, now, fall = np.empty(blocks), start, keep**width
+    for i, last in enumerate(inside[:, -1].tolist()):
+        handed[i] = now
+        now = now * fall + last
+    return (inside + handed[:, None] * (weight * keep)).ravel()[: len(x)]
+
+
 def ema(x: np.ndarray, p: int) -> np.ndarray:
-    """Seeded with the mean of the first ``p`` finite values, placed at the last of them."""
+    """Seeded with the mean of the first ``p`` finite values, placed at the last of them; others carry the value on."""
     out, ok = np.full(len(x), np.nan), np.flatnonzero(np.isfinite(x))
     if len(ok) < p:
         return out
-    at, k = ok[p - 1], 2.0 / (p + 1)
-    now = out[at] = x[ok[:p]].mean()
-    for i in range(at + 1, len(x)):
-        if np.isfinite(x[i]):
-            now += k * (x[i] - now)
-        out[i] = now
+    seed, k = x[ok[:p]].mean(), 2.0 / (p + 1)
+    values = np.r_[seed, decayed(x[ok[p:]], seed, 1 - k, k)]
+    at = ok[p - 1]
+    out[at:] = values[np.searchsorted(ok[p - 1 :], np.arange(at, len(x)), side="right") - 1]
     return out
 
 
+def _wilder(x: np.ndarray, p: int) -> np.ndarray:
+    """Wilder's mean of each value and those before it, from the ``p``-th on."""
+    seed = x[:p].mean()
+    return np.r_[seed, decayed(x[p:], seed, (p - 1) / p, 1 / p)]
+
+
 def wilder_atr(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int = 14) -> np.ndarray:
     out = np.full(len(c), np.nan)
-    if len(c) <= p:
-        return out
-    tr = np.maximum.reduce([h[1:] - l[1:], abs(h[1:] - c[:-1]), abs(l[1:] - c[:-1])])
-    now = out[p] = tr[:p].mean()
-    for i in range(p + 1, len(c)):
-        now = out[i] = (now * (p - 1) + tr[i - 1]) / p
+    if len(c) > p:
+        out[p:] = _wilder(np.maximum.reduce([h[1:] - l[1:], abs(h[1:] - c[:-1]), abs(l[1:] - c[:-1])]), p)
     return out
 
 
 def wilder_rsi(c: np.ndarray, p: int = 14) -> np.ndarray:
     out = np.full(len(c), np.nan)
-    if len(c) <= p:
-        return out
-    d = np.diff(c)
-    up, down = np.maximum(d, 0), np.maximum(-d, 0)
-    gain, loss = up[:p].mean(), down[:p].mean()
-    for i in range(p, len(c)):
-        if i > p:
-            gain, loss = (gain * (p - 1) + up[i - 1]) / p, (loss * (p - 1) + down[i - 1]) / p
-        out[i] = 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+    if len(c) > p:
+        d = np.diff(c)
+        gain, loss = _wilder(np.maximum(d, 0), p), _wilder(np.maximum(-d, 0), p)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[p:] = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
     return out
 
 
@@ -135,7 +152,7 @@ RECURSIVE = ["ema9", "ema21", "ema50", "rsi14", "atr14", "macd", "macd_signal",
 
 def recursive(bars: DataFrame) -> DataFrame:
     """key, bar_idx and the recursive series; undefined values are null."""
-    key = _key(bars)
+    key = series(bars)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
@@ -151,25 +168,25 @@ def recursive(bars: DataFrame) -> DataFrame:
 
 
 def all_indicators(bars: DataFrame, tf_minutes: int = 60) -> DataFrame:
-    return windowed(bars, tf_minutes=tf_minutes).join(recursive(bars), [*_key(bars), "bar_idx"])
+    return windowed(bars, tf_minutes=tf_minutes).join(recursive(bars), [*series(bars), "bar_idx"])
 
 
 def final_wilder(bars: DataFrame, order: str, atr_period: int = 14, ema_period: int = 200) -> DataFrame:
-    """Last Wilder ATR and last EMA of each symbol, reduced inside one row per symbol."""
-    w = Window.partitionBy("symbol").orderBy(order)
+    """Last Wilder ATR and last EMA of each series: each is a weighted sum over its bars, so only sums are gathered."""
+    key = series(bars)
+    w = Window.partitionBy(*key).orderBy(order)
     prev = F.lag("close").over(w)
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
-    rows = bars.withColumn("tr", F.when(prev.isNotNull(), tr)).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "tr", "close"))), lambda x: F.struct(x["tr"].alias("tr"), x["close"].alias("close"))).alias("s"))
-    p, q = atr_period, ema_period
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    trs = F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: x["tr"])
-    closes = F.transform("s", lambda x: x["close"])
-    rows = rows.select("symbol", trs.alias("t"), closes.alias("c"))
-    rest = lambda a, n: F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
-    atr = F.when(F.size("t") >= p, F.aggregate(rest("t", p), total(F.slice("t", 1, p)) / p, lambda a, x: (a * (p - 1) + x) / p))
-    k = 2.0 / (q + 1)
-    long = F.when(F.size("c") >= q, F.aggregate(rest("c", q), total(F.slice("c", 1, q)) / q, lambda a, x: a + (x - a) * k))
-    return rows.select("symbol", atr.alias("atr"), long.alias("ema"))
+    rows = bars.select(*key, order, "close", F.when(prev.isNotNull(), tr).alias("tr"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("n"))
+
+    def last(value: str, nth: Column, count: Column, p: int, keep: float) -> Column:
+        """The first ``p`` values share what is left of the seed's weight; later ones fade by ``keep`` for every one after them."""
+        weight = F.when(nth <= p, F.pow(F.lit(keep), count - p) / p).otherwise((1 - keep) * F.pow(F.lit(keep), count - nth))
+        return F.when(F.max(count) >= p, F.sum(weight * F.col(value)))
+
+    i, n = F.col("i"), F.col("n")
+    atr = last("tr", i - 1, n - 1, atr_period, (atr_period - 1) / atr_period)
+    return rows.groupBy(*key).agg(atr.alias("atr"), last("close", i, n, ema_period, 1 - 2 / (ema_period + 1)).alias("ema"))
 
 
 def year_range(daily: DataFrame, order: str = "date", n: int = 252) -> DataFrame:

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-GROUP = ["symbol", "session_date", "strategy", "direction", "config_id"]
+from .bars import series
+
+
+def group(df: DataFrame) -> list[str]:
+    """What one position at a time is held in."""
+    return [*series(df), "session_date", "strategy", "direction", "config_id"]
 
 
 def configs(spark, pairs: list[tuple[float, float]]) -> DataFrame:
@@ -17,24 +22,25 @@ def configs(spark, pairs: list[tuple[float, float]]) -> DataFrame:
 def first_touch(entries: DataFrame, bars: DataFrame, cost: float = 0.0) -> DataFrame:
     """Outcome of each entry (symbol, session_date, strategy, direction, config_id, k, rr, entry_idx, entry, atr).
 
-    Entries meet the later bars of their own session only: the join is an equality on (symbol,
-    session), so its fan-out is bounded by the bars of one session.
+    Entries meet the later bars of their own series and session only: the join is an equality on those,
+    so its fan-out is bounded by the bars of one session.
     """
+    keys, own = group(entries), series(entries)
     sign = F.when(F.col("direction") == "BUY", 1.0).otherwise(-1.0)
     e = entries.where("atr > 0").withColumn("sign", sign).withColumn("risk", F.col("k") * F.col("atr"))
     e = e.withColumn("stop", F.col("entry") - F.col("sign") * F.col("risk")).withColumn("target", F.col("entry") + F.col("sign") * F.col("rr") * F.col("risk"))
-    later = bars.select("symbol", "session_date", "bar_idx", "high", "low", "close")
-    pairs = e.join(later, ["symbol", "session_date"]).where("bar_idx > entry_idx")
+    later = bars.select(*own, "session_date", "bar_idx", "high", "low", "close")
+    pairs = e.join(later, [*own, "session_date"]).where("bar_idx > entry_idx")
     long = F.col("sign") > 0
     pairs = pairs.withColumn("hit_stop", F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")))
     pairs = pairs.withColumn("hit_target", F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target")))
-    one = Window.partitionBy(*GROUP, "entry_idx")
+    one = Window.partitionBy(*keys, "entry_idx")
     touched = F.min(F.when(F.col("hit_stop") | F.col("hit_target"), F.col("bar_idx"))).over(one)
     pairs = pairs.withColumn("exit_idx", F.coalesce(touched, F.max("bar_idx").over(one))).where("bar_idx <= exit_idx")
     adverse = F.greatest(F.when(long, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")), F.lit(0.0)) / F.col("risk")
     at_exit = F.col("bar_idx") == F.col("exit_idx")
     price = F.when(F.col("hit_stop"), F.col("stop")).when(F.col("hit_target"), F.col("target")).otherwise(F.col("close"))
-    out = pairs.groupBy(*GROUP, "entry_idx").agg(
+    out = pairs.groupBy(*keys, "entry_idx").agg(
         *[F.first(c).alias(c) for c in ("entry", "risk", "sign", "exit_idx", "k", "rr")], F.max(F.when(at_exit, price)).alias("exit_price"),
         F.max(F.when(at_exit, F.col("hit_stop") & F.col("hit_target"))).alias("ambiguous"), F.max(adverse).alias("mae_r"),
     )
@@ -51,8 +57,9 @@ def one_at_a_time(trades: DataFrame) -> DataFrame:
         """aggregate(array_sort(collect_list(struct(entry_idx, exit_idx))), named_struct('free', -1, 'keep', CAST(array() AS ARRAY<INT>)),
         (a, x) -> IF(x.entry_idx > a.free, named_struct('free', CAST(x.exit_idx AS INT), 'keep', concat(a.keep, array(CAST(x.entry_idx AS INT)))), a)).keep"""
     )
-    kept = trades.groupBy(*GROUP).agg(chain.alias("keep")).select(*GROUP, F.explode("keep").alias("entry_idx"))
-    return trades.join(kept.withColumn("entry_idx", F.col("entry_idx").cast(trades.schema["entry_idx"].dataType)), [*GROUP, "entry_idx"])
+    keys = group(trades)
+    kept = trades.groupBy(*keys).agg(chain.alias("keep")).select(*keys, F.explode("keep").alias("entry_idx"))
+    return trades.join(kept.withColumn("entry_idx", F.col("entry_idx").cast(trades.schema["entry_idx"].dataType)), [*keys, "entry_idx"])
 
 
 def resolve_intrabar(trades: DataFrame, finer: DataFrame) -> DataFrame:
@@ -65,14 +72,16 @@ def resolve_intrabar(trades: DataFrame, finer: DataFrame) -> DataFrame:
     stop = F.when(long, F.col("fl") <= F.col("stop")).otherwise(F.col("fh") >= F.col("stop"))
     target = F.when(long, F.col("fh") >= F.col("target")).otherwise(F.col("fl") <= F.col("target"))
     first = F.min_by(F.when(stop, "stop").otherwise("target"), F.when(stop | target, F.col("fine_ts")))
-    return j.groupBy(*GROUP, "entry_idx").agg(F.coalesce(first, F.lit("stop")).alias("first_level"))
+    return j.groupBy(*group(trades), "entry_idx").agg(F.coalesce(first, F.lit("stop")).alias("first_level"))
 
 
 def winner_heat(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Median and 90th percentile (nearest rank, rounded) of the adverse excursion of winners."""
-    a = F.array_sort(F.collect_list(F.when(F.col("r") > 0, F.col("mae_r"))))
-    at = lambda q: F.get("a", F.round((F.size("a") - 1) * q).cast("int"))
-    return trades.groupBy(*keys).agg(a.alias("a")).select(*keys, F.size("a").alias("winners"), at(0.5).alias("heat_median"), at(0.9).alias("heat_p90"))
+    won = trades.withColumn("won", F.col("r") > 0)
+    by = Window.partitionBy(*keys, "won")
+    won = won.withColumn("nth", F.row_number().over(by.orderBy("mae_r")) - 1).withColumn("of", F.count(F.lit(1)).over(by))
+    at = lambda q: F.max(F.when(F.col("won") & (F.col("nth") == F.round((F.col("of") - 1) * q)), F.col("mae_r")))
+    return won.groupBy(*keys).agg(F.sum(F.col("won").cast("int")).alias("winners"), at(0.5).alias("heat_median"), at(0.9).alias("heat_p90"))
 
 
 def stressed_expectancy(trades: DataFrame, keys: list[str], fractions: dict[str, float], base: float) -> DataFrame:

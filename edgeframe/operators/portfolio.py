@@ -124,11 +124,11 @@ def linked_clusters(rho: DataFrame, least: float = 0.60, rounds: int = 50) -> Da
         now = label.join(near, ["account_id", "symbol"], "left").select("account_id", "symbol", F.least("label", F.coalesce("other", "label")).alias("label"))
         jump = now.select("account_id", F.col("symbol").alias("label"), F.col("label").alias("up"))
         label = durable(now.join(jump, ["account_id", "label"], "left").select("account_id", "symbol", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        total = label.agg(F.sum("label")).first()[0]
-        if total == before:
-            break
-        before = total
-    return label.withColumnRenamed("label", "cluster")
+        sign = label.agg(F.sum(F.xxhash64("account_id", "symbol", "label").cast("decimal(38,0)"))).first()[0]
+        if sign == before:
+            return label.withColumnRenamed("label", "cluster")
+        before = sign
+    raise RuntimeError("clusters did not settle")
 
 
 def cluster_table(clusters: DataFrame, weights: DataFrame) -> DataFrame:
@@ -173,12 +173,18 @@ def rotation_bucket(trend: Column, rs12: Column, weight: Column, vs200: Column,
 def buy_screen(signals: DataFrame, edges: DataFrame, held: DataFrame, k: int = 12, off_high: float = -18.0) -> DataFrame:
     """Per account: symbols it does not hold, above both means, stronger than the index, with the best long edge.
 
-    ``signals`` has one row per listed symbol (a few thousand), so the candidates are a small table.
+    The candidates are ranked once. An account that holds h names finds its ``k`` among the first k + h of
+    them, so it meets as many candidates as that and no more.
     """
     ok = signals.where("vs50 > 0 AND vs200 > 0 AND rs_6m > 0").where(F.col("off_high") >= off_high).join(edges, "symbol")
-    accounts = held.select("account_id").distinct()
-    pairs = accounts.crossJoin(F.broadcast(ok)).join(held.select("account_id", "symbol"), ["account_id", "symbol"], "left_anti")
-    return pairs.withColumn("rank", F.row_number().over(account().orderBy(F.desc("expectancy"), "symbol"))).where(F.col("rank") <= k)
+    names = held.select("account_id", "symbol").distinct()
+    accounts = names.groupBy("account_id").agg(F.count(F.lit(1)).alias("__held"))
+    most = k + (accounts.agg(F.max("__held")).first()[0] or 0)
+    first = ok.orderBy(F.desc("expectancy"), "symbol").limit(most)
+    first = first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("expectancy"), "symbol")))  # at most k and one account's names
+    met = accounts.select("account_id", F.explode(F.sequence(F.lit(1), (F.col("__held") + k).cast("int"))).alias("__place")).join(first, "__place")
+    free = met.join(names, ["account_id", "symbol"], "left_anti")
+    return free.withColumn("rank", F.row_number().over(account().orderBy("__place"))).where(F.col("rank") <= k).drop("__place")
 
 
 def rebalance(v: DataFrame, tax_free: float = 125_000.0, tax_rate: float = 0.125, names: int = 5) -> DataFrame:
@@ -302,28 +308,52 @@ def exposure_gauge(used_pct: Column) -> Column:
 
 # ---------------------------------------------------------------- names to symbols
 
-# Words that carry no identity and abbreviations.
-NOISE = ["ltd", "limited", "the", "co", "company", "corp", "corporation", "inc", "pvt", "private", "india"]
-SHORT = {"hsg": "housing", "urban": "urban", "dev": "development", "fin": "finance", "inds": "industries", "intl": "international"}
+# Words of statements and what they stand for; words that do not tell names apart.
+LONG_FORMS = {
+    "LTD": "LIMITED", "L": "LIMITED", "CORP": "CORPORATION", "CORPN": "CORPORATION", "FIN": "FINANCE", "DEV": "DEVELOPMENT", "HSG": "HOUSING", "CO": "COMPANY",
+    "PASS": "PASSENGER", "VEH": "VEHICLES", "PVT": "PRIVATE", "INDS": "INDUSTRIES", "INDUS": "INDUSTRIES", "TECH": "TECHNOLOGIES",
+}
+COMMON = ["LIMITED", "THE", "AND"]
+
+
+def name_words(name: Column) -> Column:
+    """Upper-case words of a name, ``&`` as AND, with abbreviations written out."""
+    plain = F.regexp_replace(F.regexp_replace(F.upper(name), "&", " AND "), "[^A-Z0-9]+", " ")
+    full = F.create_map(*[F.lit(x) for kv in LONG_FORMS.items() for x in kv])
+    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.coalesce(full[w], w))
 
 
 def name_tokens(name: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
-    full = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.coalesce(full[w], w)), lambda w: ~w.isin(NOISE)))
+    return F.array_distinct(F.filter(name_words(name), lambda w: ~w.isin(COMMON)))
 
 
 def resolve_names(names: DataFrame, symbols: DataFrame, least: float = 0.60, margin: float = 0.10) -> DataFrame:
-    """name -> symbol: exact normalised name, else the best token score if it is high and clear of the runner-up.
+    """name -> symbol (text), how (symbol, name, fuzzy, unmatched), score.
 
-    Candidates come from an inverted index of tokens, not from all pairs.
+    A name that is a symbol stands for itself; else the whole normalised name decides; else the symbol of the
+    best token score (half of shared words in all words, half of shared words in the name's) if that is at
+    least ``least`` and clear of the runner-up's by ``margin``. Only names that are still open meet the inverted
+    index of tokens, by those of their tokens that any acceptable partner or runner-up must share (the rarest).
     """
-    left = names.select("name").distinct().withColumn("t", name_tokens(F.col("name")))
-    right = symbols.select("symbol", name_tokens(F.col("name")).alias("s"))
-    hits = left.select("name", "t", F.explode("t").alias("w")).join(right.select("symbol", "s", F.explode("s").alias("w")), "w").groupBy("name", "symbol").agg(F.count(F.lit(1)).alias("c"), F.max(F.size("t")).alias("a"), F.max(F.size("s")).alias("b"))
-    score = 0.5 * F.col("c") / (F.col("a") + F.col("b") - F.col("c")) + 0.5 * F.col("c") / F.col("a")
-    hits = hits.withColumn("score", F.when((F.col("c") == F.col("a")) & (F.col("c") == F.col("b")), 2.0).otherwise(score))
+    left = names.select("name").distinct().withColumn("as_symbol", F.upper(F.trim("name")))
+    known = symbols.select(F.upper(F.col("symbol").cast("string")).alias("symbol"), "name")
+    by_symbol = left.join(known.select(F.col("symbol").alias("as_symbol")).distinct(), "as_symbol").select("name", F.col("as_symbol").alias("symbol"), F.lit("symbol").alias("how"), F.lit(1.0).alias("score"))
+    left = left.join(by_symbol, "name", "left_anti").withColumn("norm", F.array_join(name_words(F.col("name")), " "))
+    exact = known.select("symbol", F.array_join(name_words(F.col("name")), " ").alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min("symbol").alias("symbol"))
+    by_name = left.join(exact, "norm").select("name", "symbol", F.lit("name").alias("how"), F.lit(1.0).alias("score"))
+    open_ = left.join(by_name, "name", "left_anti").select("name", name_tokens(F.col("name")).alias("t"))
+    right = known.select("symbol", name_tokens(F.col("name")).alias("s")).where(F.size("s") > 0).distinct()
+    postings = right.select("symbol", "s", F.explode("s").alias("w"))
+    rare = postings.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    words = open_.select("name", "t", F.explode("t").alias("w")).join(rare, "w")
+    # A score is at most the share of the name's words that are shared; runners-up count from least - margin on.
+    need = F.ceil(F.size("t") * (least - margin) - 1e-9)
+    words = words.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("f", "w"))).withColumn("missing", F.size("t") - F.count(F.lit(1)).over(Window.partitionBy("name")))
+    pairs = words.where(F.col("nth") + F.col("missing") <= F.size("t") - need + 1).join(postings, "w").select("name", "t", "symbol", "s").distinct()
+    c, a, b = F.size(F.array_intersect("t", "s")), F.size("t"), F.size("s")
+    hits = pairs.groupBy("name", "symbol").agg(F.max(0.5 * c / (a + b - c) + 0.5 * c / a).alias("score"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "symbol")
     best = hits.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("n = 1")
-    ok = ((F.col("score") >= 2) | (F.col("score") >= least)) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin)
-    return left.select("name").join(best, "name", "left").select("name", F.when(ok, F.col("symbol")).alias("symbol"), F.least("score", F.lit(1.0)).alias("score"))
+    ok = (F.col("score") >= least) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))
+    fuzzy = open_.select("name").join(best, "name", "left").select("name", F.when(ok, F.col("symbol")).alias("symbol"), F.when(ok, "fuzzy").otherwise("unmatched").alias("how"), F.col("score"))
+    return by_symbol.unionByName(by_name).unionByName(fuzzy)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bars import series
+
 Signal = Callable[[Callable[[str], Column], Callable[[str], Column]], tuple[Column, Column]]
 
 
@@ -76,7 +78,7 @@ CARD_SET = {"VWAP Trend": "vwap_cross", "Opening Range": "orb_15m", "Gap-and-Go"
 
 def signals(bars: DataFrame, strategies: dict[str, Signal], keep: list[str]) -> DataFrame:
     """strategy, direction and the ``keep`` columns, one row per signal."""
-    key = ["symbol", "tf"] if "tf" in bars.columns else ["symbol"]
+    key = series(bars)
     w = Window.partitionBy(key).orderBy("bar_idx")
     used: set[str] = set()
 

@@ -30,10 +30,14 @@ def features(ticks: DataFrame) -> DataFrame:
     """VWAP and deviation, price window statistics, relative volume, block multiple and sweep of every tick."""
     t = volume_delta(ticks)
     run = history().rowsBetween(Window.unboundedPreceding, 0)
-    price = history().rowsBetween(-(PRICES - 1), 0)
     t = t.withColumn("pv", F.sum(F.col("ltp") * F.col("delta")).over(run)).withColumn("v", F.sum("delta").over(run))
     t = t.withColumn("vwap", F.when(F.col("v") > 0, F.try_divide("pv", "v")).otherwise(F.col("ltp"))).withColumn("dev_pct", F.try_divide((F.col("ltp") - F.col("vwap")) * 100, "vwap"))
-    t = t.withColumn("mean", F.avg("ltp").over(price)).withColumn("sd", F.stddev_pop("ltp").over(price))
+    # The window's sums are differences of running sums, of prices from the session's first, so a tick costs the same at any width.
+    x, n = F.col("ltp") - F.first("ltp").over(run), F.least(F.row_number().over(history()), F.lit(PRICES))
+    t = t.withColumn("base", F.col("ltp") - x).withColumn("x", x).withColumn("n", n).withColumn("s1", F.sum("x").over(run)).withColumn("s2", F.sum(F.col("x") * F.col("x")).over(run))
+    inside = lambda c: (F.col(c) - F.coalesce(F.lag(c, PRICES).over(history()), F.lit(0.0))) / F.col("n")
+    t = t.withColumn("m1", inside("s1")).withColumn("m2", inside("s2")).withColumn("mean", F.col("base") + F.col("m1"))
+    t = t.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))))
     t = t.withColumn("z", F.when(F.col("sd") > 0, (F.col("ltp") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).otherwise(0.0))
     sizes = history().rowsBetween(-(SIZES - 1), -1)
     block = F.when(F.count(F.lit(1)).over(sizes) >= 5, F.try_divide(F.col("ltq").cast("double"), F.avg("ltq").over(sizes))).otherwise(0.0)
@@ -43,7 +47,7 @@ def features(ticks: DataFrame) -> DataFrame:
         a, b = F.lag("ltp", k).over(history()) if k else F.col("ltp"), F.lag("ltp", k + 1).over(history())
         up, down = up & (a > b), down & (a < b)
     sweep = F.when((F.col("block") > 1) & F.coalesce(up, F.lit(False)), 1).when((F.col("block") > 1) & F.coalesce(down, F.lit(False)), -1).otherwise(0)
-    return t.withColumn("sweep", sweep).drop("pv", "v")
+    return t.withColumn("sweep", sweep).drop("pv", "v", "base", "x", "n", "s1", "s2", "m1", "m2")
 
 
 def relative_volume(ticks: DataFrame) -> DataFrame:

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from .tradestats import KEY
+from .bars import series
+from .tradestats import keys_of
 
 
 def purged_split(trades: DataFrame, lengths: DataFrame, oos: float = 0.30, embargo: float = 0.02) -> DataFrame:
-    """Adds ``part``: is, oos, or null inside the embargo; ``lengths`` gives bars per symbol as ``total``."""
+    """Adds ``part``: is, oos, or null inside the embargo; ``lengths`` gives bars per series as ``total``."""
     start = F.floor(F.col("total") * (1 - oos))
     gap = F.floor(F.col("total") * embargo)
     part = F.when(F.col("entry_idx") >= start, "oos").when(F.col("entry_idx") < start - gap, "is")
-    return trades.join(lengths, "symbol").withColumn("part", part).drop("total")
+    return trades.join(lengths, series(trades)).withColumn("part", part).drop("total")
 
 
-def split_stats(split: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def split_stats(split: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or keys_of(split)
     o = F.col("part") == "oos"
     return split.groupBy(*keys).agg(
         F.sum((F.col("part") == "is").cast("long")).alias("is_n"), F.avg(F.when(F.col("part") == "is", F.col("r"))).alias("is_expectancy"),
@@ -28,16 +30,18 @@ def split_stats(split: DataFrame, keys: list[str] = KEY) -> DataFrame:
     ).withColumns({"is_n": F.coalesce("is_n", F.lit(0)), "oos_n": F.coalesce("oos_n", F.lit(0))})
 
 
-def walk_forward(trades: DataFrame, lengths: DataFrame, folds: int = 5, keys: list[str] = KEY) -> DataFrame:
+def walk_forward(trades: DataFrame, lengths: DataFrame, folds: int = 5, keys: list[str] | None = None) -> DataFrame:
     """Share of non-empty folds (equal widths of bars) whose mean is positive; 1 with fewer than two folds."""
+    keys = keys or keys_of(trades)
     width = F.greatest(F.ceil(F.col("total") / folds), F.lit(1))
-    f = trades.join(lengths, "symbol").withColumn("fold", F.least(F.floor(F.col("entry_idx") / width), F.lit(folds - 1)))
+    f = trades.join(lengths, series(trades)).withColumn("fold", F.least(F.floor(F.col("entry_idx") / width), F.lit(folds - 1)))
     per = f.groupBy(*keys, "fold").agg(F.avg("r").alias("m")).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.avg((F.col("m") > 0).cast("double")).alias("s"))
     return per.select(*keys, F.when(F.col("c") < 2, 1.0).otherwise(F.col("s")).alias("wf_consistency"))
 
 
-def trade_walk_forward(trades: DataFrame, folds: int = 5, keys: list[str] = KEY) -> DataFrame:
+def trade_walk_forward(trades: DataFrame, folds: int = 5, keys: list[str] | None = None) -> DataFrame:
     """The same over windows of equal numbers of trades; the last takes the rest."""
+    keys = keys or keys_of(trades)
     w = Window.partitionBy(*keys)
     t = trades.withColumn("nth", F.row_number().over(w.orderBy("entry_idx")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     t = t.where(F.col("n") >= folds).withColumn("fold", F.least(F.floor(F.col("nth") / F.floor(F.col("n") / folds)), F.lit(folds - 1)))
@@ -45,8 +49,8 @@ def trade_walk_forward(trades: DataFrame, folds: int = 5, keys: list[str] = KEY)
 
 
 def robustness(stats: DataFrame, least: int = 20) -> DataFrame:
-    """Share of the configurations of a (symbol, strategy, direction) with enough trades that make money."""
-    w = Window.partitionBy("symbol", "strategy", "direction")
+    """Share of the configurations of a (series, strategy, direction) with enough trades that make money."""
+    w = Window.partitionBy(*series(stats), "strategy", "direction")
     ok = F.when(F.col("n") >= least, (F.col("expectancy") > 0).cast("double"))
     return stats.withColumn("robustness", F.coalesce(F.avg(ok).over(w), F.lit(0.0)))
 
@@ -60,8 +64,9 @@ def benchmark_regime(index: DataFrame, n: int = 20) -> DataFrame:
     return index.select("index_name", "date", "close", F.coalesce(F.when(sma.isNotNull(), F.col("close") >= sma), F.col("close") >= prev, F.lit(True)).alias("up"))
 
 
-def regime_consistency(trades: DataFrame, regime: DataFrame, keys: list[str] = KEY, least: int = 10) -> DataFrame:
+def regime_consistency(trades: DataFrame, regime: DataFrame, keys: list[str] | None = None, least: int = 10) -> DataFrame:
     """true: makes money in up and in down days; false: loses in one with enough trades; null: unknown."""
+    keys = keys or keys_of(trades)
     j = trades.join(regime, trades.session_date == regime.date)
     up, down = F.col("up"), ~F.col("up")
     per = j.groupBy(*keys).agg(
@@ -95,10 +100,11 @@ def shrunk(n: Column, e: Column, prior: float = 0.0, strength: float = 40.0) ->
 # ---------------------------------------------------------------- overfitting
 
 
-def block_means(trades: DataFrame, lengths: DataFrame, blocks: int = 8, keys: list[str] = KEY) -> DataFrame:
+def block_means(trades: DataFrame, lengths: DataFrame, blocks: int = 8, keys: list[str] | None = None) -> DataFrame:
     """keys, block, mean R of the trades of each of equal blocks of bars; empty blocks are 0."""
+    keys = keys or keys_of(trades)
     width = F.greatest(F.ceil(F.col("total") / blocks), F.lit(1))
-    t = trades.join(lengths, "symbol").withColumn("block", F.least(F.floor(F.col("entry_idx") / width), F.lit(blocks - 1)).cast("int"))
+    t = trades.join(lengths, series(trades)).withColumn("block", F.least(F.floor(F.col("entry_idx") / width), F.lit(blocks - 1)).cast("int"))
     per = t.groupBy(*keys, "block").agg(F.avg("r").alias("m"))
     grid = trades.select(*keys).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return grid.join(per, [*keys, "block"], "left").select(*keys, "block", F.coalesce("m", F.lit(0.0)).alias("m"))

@@ -18,6 +18,7 @@ from ..operators import outcomes as E
 from ..operators import signals as D
 from ..operators import tradestats as TS
 from ..operators import validation as V
+from ..operators.bars import series
 from ..sources.stage import durable
 
 COST = costs.reference_fraction()
@@ -28,67 +29,78 @@ CARD_CONFIGS = [(1.0, 1.5), (1.0, 2.0), (1.0, 3.0), (0.75, 2.0), (1.25, 2.0)]
 
 def with_mean_atr(ind: DataFrame, n: int = 14) -> DataFrame:
     """Adds ``atr`` as the mean of the last ``n`` true ranges."""
-    w = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy(*series(ind)).orderBy("bar_idx").rowsBetween(-(n - 1), 0)
     out = ind.withColumn("tr", C.true_range(ind))
     return out.withColumn("atr", F.when(F.count("tr").over(w) == n, F.avg("tr").over(w)))
 
 
 def last_prices(bars: DataFrame) -> DataFrame:
-    """symbol, ltp, atr at the last bar."""
-    return with_mean_atr(bars).groupBy("symbol").agg(F.max_by("close", "bar_idx").alias("ltp"), F.max_by("atr", "bar_idx").alias("atr"))
+    """symbol (and timeframe), ltp, atr at the last bar of each series."""
+    return with_mean_atr(bars).groupBy(*series(bars)).agg(F.max_by("close", "bar_idx").alias("ltp"), F.max_by("atr", "bar_idx").alias("atr"))
 
 
 def backtest(ind: DataFrame, bars: DataFrame, strategies: dict, pairs: list[tuple[float, float]], cost: float = COST) -> DataFrame:
     """Trades of all strategies and configurations; ``ind`` has the indicator columns and ``atr``."""
     rows = ind.withColumn("entry_idx", F.col("bar_idx")).withColumn("entry", F.col("close"))
-    sig = D.signals(rows, strategies, ["symbol", "session_date", "entry_idx", "entry", "atr"])
+    sig = D.signals(rows, strategies, [*series(ind), "session_date", "entry_idx", "entry", "atr"])
     table = F.broadcast(E.configs(bars.sparkSession, pairs))  # a literal of a few rows
     return E.one_at_a_time(E.first_touch(sig.crossJoin(table), bars, cost))
 
 
 def lengths(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
+    return bars.groupBy(*series(bars)).agg(F.count(F.lit(1)).alias("total"))
 
 
 def edge_map(bars: DataFrame, k: float = 1.5, rr: float = 2.0, least_bars: int = 100) -> DataFrame:
-    """One row per (symbol, strategy, direction): metrics, eligibility and robustness."""
-    long = bars.join(lengths(bars).where(F.col("total") >= least_bars).select("symbol"), "symbol", "left_semi")
+    """One row per (series, strategy, direction): metrics, eligibility, validation and robustness; each series is a
+    map of its own, with its own trials."""
+    own = series(bars)
+    n = lengths(bars).where(F.col("total") >= least_bars)
+    long = bars.join(n.select(*own), own, "left_semi")
     ind = C.all_indicators(long).withColumn("atr", F.col("atr14"))
     rules = {s: {**D.WINDOWED, **D.RECURSIVE}[s] for s in D.EDGE_SET}
     t = durable(backtest(ind, long, rules, [(k, rr)]), "trades")
-    n = lengths(long)
-    s = TS.full(t).join(V.split_stats(V.purged_split(t, n)), TS.KEY).join(V.walk_forward(t, n), TS.KEY)
-    s = V.deflated_sharpe(s, ["symbol"])
-    return s.select("symbol", "strategy", "direction", "n", "win_pct", "expectancy", "profit_factor", "avg_win", "avg_loss", "max_dd", "eligible", "oos_expectancy", "oos_n", "wf_consistency", "dsr")
+    keys = TS.keys_of(t)
+    s = TS.full(t).join(V.split_stats(V.purged_split(t, n)), keys).join(V.walk_forward(t, n), keys)
+    s = V.deflated_sharpe(s, own)
+    return s.select(*own, "strategy", "direction", "n", "win_pct", "expectancy", "profit_factor", "avg_win", "avg_loss", "max_dd", "eligible", "oos_expectancy", "oos_n", "wf_consistency", "dsr")
 
 
 def edge_index(edges: DataFrame) -> DataFrame:
-    """symbol and its eligible edges, best first."""
-    one = F.struct((-F.col("expectancy")).alias("worst"), "strategy", "direction", "n", "expectancy", "profit_factor")
-    return edges.where("eligible").groupBy("symbol").agg(F.array_sort(F.collect_list(one)).alias("edges"))
+    """Each series and its eligible edges, best first."""
+    one = F.struct((-F.round("expectancy", 9)).alias("worst"), "strategy", "direction", "n", "expectancy", "profit_factor")
+    return edges.where("eligible").groupBy(*series(edges)).agg(F.array_sort(F.collect_list(one)).alias("edges"))
 
 
 def scored(trades: DataFrame, n: DataFrame, index: DataFrame) -> DataFrame:
-    """All statistics, validation and the confidence score of each configuration."""
-    s = TS.full(trades)
-    s = s.join(V.split_stats(V.purged_split(trades, n)), TS.KEY).join(V.walk_forward(trades, n), TS.KEY).join(V.trade_walk_forward(trades), TS.KEY, "left")
-    s = s.join(V.regime_consistency(trades, V.benchmark_regime(index)).select(*TS.KEY, "regime_consistent"), TS.KEY, "left")
+    """All statistics, validation and the confidence score of each configuration; the trials of a symbol are all its
+    configurations, of every timeframe."""
+    s, keys = TS.full(trades), TS.keys_of(trades)
+    s = s.join(V.split_stats(V.purged_split(trades, n)), keys).join(V.walk_forward(trades, n), keys).join(V.trade_walk_forward(trades), keys, "left")
+    s = s.join(V.regime_consistency(trades, V.benchmark_regime(index)).select(*keys, "regime_consistent"), keys, "left")
     s = V.deflated_sharpe(V.robustness(s), ["symbol"])
     s = s.withColumn("wilson_low", mathx.wilson_low(F.col("win_pct"), F.col("n"))).withColumn("p_value", mathx.p_one_sided(F.col("t_stat")))
     return scores.confidence(s)
 
 
+def with_agreement(s: DataFrame, least: int = 20) -> DataFrame:
+    """Adds agree: the timeframes in which the (symbol, strategy) has a configuration of enough trades that makes money."""
+    tf = F.col("tf") if "tf" in s.columns else F.lit("")
+    pays = F.when((F.col("n") >= least) & (F.col("expectancy") > 0), tf)
+    return s.withColumn("agree", F.size(F.collect_set(pays).over(Window.partitionBy("symbol", "strategy"))).cast("double"))
+
+
 def with_conviction(s: DataFrame, trades: DataFrame, paths: int = 500) -> DataFrame:
-    boot = BS.bootstrap(trades, TS.KEY, paths).select(*TS.KEY, "prob_profit_pct", "dd_p95", "final_p05")
-    agree = F.sum((F.col("expectancy") > 0).cast("int")).over(Window.partitionBy("symbol", "strategy")).cast("double")
-    s = s.join(boot, TS.KEY).withColumn("agree", agree)
+    keys = TS.keys_of(trades)
+    boot = BS.bootstrap(trades, keys, paths).select(*keys, "prob_profit_pct", "dd_p95", "final_p05")
+    s = with_agreement(s).join(boot, keys)
     score = scores.conviction(F.col("agree"), F.col("prob_profit_pct"), F.coalesce("wf_trades", F.lit(1.0)), F.col("dsr"), F.col("oos_expectancy"), F.col("oos_n"), F.col("skew"), F.col("kurt"))
     return s.withColumn("conviction", score).withColumn("conviction_label", scores.conviction_label(F.col("conviction")))
 
 
 def best_per(s: DataFrame, by: list[str], *first: Column) -> DataFrame:
-    """The best row of each group; ties go to the smallest strategy and configuration."""
-    w = Window.partitionBy(*by).orderBy(*first, "strategy", "config_id", "direction")
+    """The best row of each group; ties go to the smallest strategy, timeframe, configuration and direction."""
+    w = Window.partitionBy(*by).orderBy(*first, "strategy", *series(s)[1:], "config_id", "direction")
     return s.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -97,17 +109,15 @@ def top_per(s: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-RANK = ("confidence", "expectancy")
-
-
 def _best_first() -> list[Column]:
-    return [F.desc_nulls_last(c) for c in RANK]
+    """By confidence, then by expectancy to nine places: configurations that traded alike are ties."""
+    return [F.desc_nulls_last("confidence"), F.round("expectancy", 9).desc_nulls_last()]
 
 
 def scanner(s: DataFrame, floor: int = 50, k: int = 10) -> DataFrame:
     """Per side, the ``k`` best symbols by their best configuration with enough confidence."""
     ok = best_per(s.where(F.col("confidence") >= floor), ["symbol", "direction"], *_best_first())
-    return top_per(ok, ["direction"], k, *_best_first()).select("direction", "rank", "symbol", "strategy", "config_id", "confidence", "band", "n", "win_pct", "wilson_low", "expectancy", "profit_factor", "dsr")
+    return top_per(ok, ["direction"], k, *_best_first()).select("direction", "rank", *series(s), "strategy", "config_id", "confidence", "band", "n", "win_pct", "wilson_low", "expectancy", "profit_factor", "dsr")
 
 
 def sizing(price: Column, stop_distance: Column, budget: Column | float, risk_pct: Column | float) -> Column:
@@ -134,14 +144,14 @@ def size_rows(rows: DataFrame, budget: float, risk_pct: float) -> DataFrame:
 
 def finder(s: DataFrame, prices: DataFrame, capital: float, risk_pct: float, max_atr: float | None = None) -> DataFrame:
     """Best setup of each symbol that the capital can hold, by fit."""
-    best = best_per(s.where("expectancy > 0"), ["symbol"], *_best_first()).join(prices, "symbol")
+    best = best_per(s.where("expectancy > 0"), ["symbol"], *_best_first()).join(prices, series(prices))
     if max_atr is not None:
         best = best.where(F.col("atr") <= max_atr)
     sized = size_rows(best, capital, risk_pct)
     used = F.col("shares") * F.col("ltp") / (capital * LEVERAGE)
     sized = sized.withColumn("deployed_pct", used * 100).withColumn("fit", F.when(used >= 0.5, "full").when(used >= 0.2, "partial").otherwise("small"))
     score = F.coalesce(F.col("confidence"), F.lit(0)) * (0.5 + 0.5 * F.least(used, F.lit(1.0)))
-    return sized.withColumn("fit_score", score).select("symbol", "strategy", "direction", "config_id", "confidence", "expectancy", "ltp", "atr", "shares", "stop", "target", "gain_at_target", "loss_at_stop", "deployed_pct", "fit", "fit_score")
+    return sized.withColumn("fit_score", score).select(*series(s), "strategy", "direction", "config_id", "confidence", "expectancy", "ltp", "atr", "shares", "stop", "target", "gain_at_target", "loss_at_stop", "deployed_pct", "fit", "fit_score")
 
 
 def picks(s: DataFrame, tradability: DataFrame | None = None, k: int = 5) -> DataFrame:
@@ -153,7 +163,7 @@ def picks(s: DataFrame, tradability: DataFrame | None = None, k: int = 5) -> Dat
         thin = F.coalesce(F.col("__t").isin("thin", "very_thin"), F.lit(False))
     best = best_per(ok, ["symbol"], *_best_first())
     out = top_per(best, ["direction"], k, *_best_first())
-    return out.select("direction", "rank", "symbol", "strategy", "config_id", "confidence", "expectancy", F.round(F.col("wilson_low") / 10).cast("int").alias("x_of_10"), thin.alias("thin"))
+    return out.select("direction", "rank", *series(s), "strategy", "config_id", "confidence", "expectancy", F.round(F.col("wilson_low") / 10).cast("int").alias("x_of_10"), thin.alias("thin"))
 
 
 def target_feasibility(s: DataFrame, risk_pct: float = 2.0, target_pct: float = 20.0, most_trades: int = 500) -> DataFrame:
@@ -172,26 +182,41 @@ def staged(rows: DataFrame, k: int = 5, tiers: tuple[float, ...] = (0.5, 1.0, 2.
     rows = rows.withColumn("stop", F.col("limit") - sign * F.col("d")).withColumn("target", F.col("limit") + sign * _config("rr") * F.col("d"))
     rows = rows.withColumn("shares", F.least(F.floor(F.try_divide(capital * F.col("risk_pct") / 100, F.col("d"))), F.floor(F.try_divide(F.lit(capital * LEVERAGE), F.col("limit")))))
     text = F.format_string("%s %s x%d LIMIT %.2f SL %.2f TP %.2f", "direction", F.col("symbol").cast("string"), "shares", "limit", "stop", "target")
-    return rows.where("shares >= 1").select("direction", "rank", "symbol", "strategy", "risk_pct", "limit", "stop", "target", "shares", text.alias("text"))
+    return rows.where("shares >= 1").select("direction", "rank", *series(rows), "strategy", "risk_pct", "limit", "stop", "target", "shares", text.alias("text"))
+
+
+def card_trades(bars: DataFrame, pairs: list[tuple[float, float]] = CARD_CONFIGS) -> DataFrame:
+    """Trades of the four card strategies on both sides, in every timeframe and configuration."""
+    return backtest(with_mean_atr(C.windowed(bars)), bars, {k: D.WINDOWED[k] for k in D.CARD_SET.values()}, pairs)
 
 
 def deep_dive(bars: DataFrame, index: DataFrame, least: int = 20) -> DataFrame:
-    """Card strategies, both sides, five configurations: best per (symbol, strategy); deflated over all configurations."""
-    rules = {k: D.WINDOWED[k] for k in D.CARD_SET.values()}
-    t = durable(backtest(with_mean_atr(C.windowed(bars)), bars, rules, CARD_CONFIGS), "trades")
-    s = scored(t, lengths(bars), index)
-    pbo = V.overfit_probability(V.block_means(t, lengths(bars)), ["symbol"], ["strategy", "direction", "config_id"])
-    best = best_per(s.where(F.col("n") >= least), ["symbol", "strategy"], *_best_first()).join(pbo, "symbol", "left")
-    return best.select("symbol", "strategy", "direction", "config_id", "n", "win_pct", "expectancy", "profit_factor", "confidence", "band", "dsr", "trials", "robustness", "pbo", scores.verdict(F.col("confidence")).alias("verdict"))
+    """Card strategies, both sides, five configurations, every timeframe: the best of each (symbol, strategy), deflated
+    over all configurations, with the timeframes that agree, the overfitting probability of its timeframe, and whether
+    it is the best of the symbol."""
+    t = durable(card_trades(bars), "trades")
+    n = lengths(bars)
+    s = with_agreement(scored(t, n, index), least)
+    by = series(bars)
+    pbo = V.overfit_probability(V.block_means(t, n), by, ["strategy", "direction", "config_id"])
+    best = best_per(s.where(F.col("n") >= least), ["symbol", "strategy"], *_best_first()).join(pbo, by, "left")
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(*_best_first(), "strategy"))
+    return best.withColumn("best_overall", place == 1).select(
+        *by, "strategy", "direction", "config_id", "n", "win_pct", "expectancy", "profit_factor", "confidence", "band", "dsr", "trials", "robustness", "agree", "pbo",
+        scores.verdict(F.col("confidence")).alias("verdict"), "best_overall",
+    )
 
 
 def setup_cards(s: DataFrame, trades: DataFrame, prices: DataFrame, budget: float = 500_000.0, risk_pct: float = 2.0) -> DataFrame:
     """The best configuration of each symbol with levels, quantity, itemised net profit and statistics."""
+    keys = TS.keys_of(trades)
     best = best_per(with_conviction(s, trades), ["symbol"], *_best_first())
-    heat = E.winner_heat(trades, TS.KEY)
-    rows = size_rows(best.join(heat, TS.KEY, "left").join(prices, "symbol"), budget, risk_pct)
+    rows = size_rows(best.join(E.winner_heat(trades, keys), keys, "left").join(prices, series(prices)), budget, risk_pct)
     net = costs.net_pnl(F.col("direction"), F.col("ltp"), F.col("target"), F.col("shares"))
-    return rows.withColumn("net_at_target", net).select("symbol", "strategy", "direction", "config_id", "ltp", "stop", "target", "shares", "gain_at_target", "loss_at_stop", "net_at_target", "n", "win_pct", "expectancy", "profit_factor", "max_dd", "confidence", "band", "conviction", "conviction_label", "prob_profit_pct", "heat_median", "heat_p90", "dsr")
+    return rows.withColumn("net_at_target", net).select(
+        *keys, "ltp", "stop", "target", "shares", "gain_at_target", "loss_at_stop", "net_at_target", "n", "win_pct", "expectancy", "profit_factor", "max_dd", "confidence", "band",
+        "conviction", "conviction_label", "prob_profit_pct", "heat_median", "heat_p90", "dsr",
+    )
 
 
 def baseline(bars: DataFrame, order: str = "bar_idx") -> DataFrame:

@@ -204,7 +204,33 @@ def c06(t):
     return C.recursive(t.bars).select("symbol", "bar_idx", "macd", "macd_signal")
 
 
-@query("c07_supertrend")
+def fading_sql(source, x, p, first, at, keep, gain):
+    """A recursive mean as a running sum of weighted values (of a series of a few thousand bars)."""
+    return f"""SELECT symbol, bar_idx, pow({keep!r}, bar_idx - {at}) * seed + {gain!r} * pow({keep!r}, bar_idx) * coalesce(sum(CASE WHEN bar_idx > {at} THEN {x} / pow({keep!r}, bar_idx) END) OVER (PARTITION BY symbol ORDER BY bar_idx), 0) AS e FROM (
+      SELECT symbol, bar_idx, {x}, avg(CASE WHEN bar_idx BETWEEN {first} AND {at} THEN {x} END) OVER (PARTITION BY symbol) AS seed FROM {source}) WHERE bar_idx >= {at}"""
+
+
+def ema_sql(source, x, p, first):
+    """EMA of column ``x`` of ``source`` from its ``first`` row on."""
+    return fading_sql(source, x, p, first, first + p - 1, 1 - 2 / (p + 1), 2 / (p + 1))
+
+
+def rma_sql(x, p=14):
+    """Wilder's mean of a column of ``moves``."""
+    return fading_sql("moves", x, p, 1, p, (p - 1) / p, 1 / p)
+
+
+MOVES = """SELECT symbol, bar_idx, high, low, close, pc, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS down, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr
+  FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx) AS pc FROM bars)"""
+TREND = "SELECT symbol, bar_idx, (high + low) / 2 + 3.0 * e AS u, (high + low) / 2 - 3.0 * e AS d, close, pc FROM moves JOIN rma10 USING (symbol, bar_idx)"
+SUPER = """SELECT symbol, bar_idx, u AS upper, d AS lower, 1.0 AS side FROM trend WHERE bar_idx = 10
+  UNION ALL SELECT symbol, bar_idx, upper, lower, CASE WHEN close > upper THEN 1.0 WHEN close < lower THEN -1.0 ELSE side END FROM (
+    SELECT t.symbol, t.bar_idx, t.close, s.side, CASE WHEN t.u < s.upper OR t.pc > s.upper THEN t.u ELSE s.upper END AS upper, CASE WHEN t.d > s.lower OR t.pc < s.lower THEN t.d ELSE s.lower END AS lower
+    FROM super s JOIN trend t ON t.symbol = s.symbol AND t.bar_idx = s.bar_idx + 1)"""
+X_SUPER = {"moves": MOVES, "rma10": rma_sql("tr", 10), "trend": TREND, "super": SUPER}
+
+
+@query("c07_supertrend", "bars", extra=X_SUPER, sql="SELECT b.symbol, b.bar_idx, CAST(side AS DOUBLE) AS st_dir FROM bars b LEFT JOIN super s USING (symbol, bar_idx)")
 def c07(t):
     return C.recursive(t.bars).select("symbol", "bar_idx", "st_dir")
 
@@ -214,7 +240,7 @@ FINAL = """SELECT symbol, arg_max(g, bar_idx) AS atr FROM w GROUP BY symbol"""
 
 @query("c15_final_wilder", "bars", extra={"steps": STEPS, "w": WILDER.format(g="tr", l="tr", name="w"), "e200": EMA.format(p=200, name="e200")}, sql=f"SELECT s.symbol, R6(a.atr) AS atr, R6(e.ema) AS ema FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN ({FINAL}) a USING (symbol) LEFT JOIN (SELECT symbol, arg_max(e, bar_idx) AS ema FROM e200 GROUP BY symbol) e USING (symbol)")
 def c15(t):
-    return C.final_wilder(t.bars, "bar_idx")
+    return C.final_wilder(t.bars, "bar_idx").drop("tf")
 
 
 @query("c16_year_range", "daily", sql="SELECT symbol, R6(max(high)) AS high_52w, R6(min(low)) AS low_52w FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 252 GROUP BY symbol")
@@ -231,7 +257,20 @@ def c17(t):
     return C.volume_histogram(t.bars).select("symbol", "bin", "volume")
 
 
-@query("c17_value_area")
+#: The value area grows by one bin a step; the last step of a symbol has it.
+X_AREA = {
+    "placed": """SELECT symbol, CAST(CASE WHEN w > 0 THEN least(floor((tp - lo) / w), 99) ELSE 0 END AS INT) AS bin, volume, lo, w FROM (SELECT symbol, tp, volume, min(tp) OVER s AS lo, (max(tp) OVER s - min(tp) OVER s) / 100 AS w FROM (
+      SELECT symbol, (high + low + close) / 3 AS tp, volume, dense_rank() OVER (PARTITION BY symbol ORDER BY session_date DESC) AS r FROM bars) WHERE r <= 25 WINDOW s AS (PARTITION BY symbol))""",
+    "binned": "SELECT symbol, bin, sum(volume) AS volume FROM placed GROUP BY symbol, bin",
+    "profile": """SELECT s.symbol, list(coalesce(volume, 0.0) ORDER BY i) AS v, sum(volume) AS total, CAST(arg_max(i, struct_pack(a := coalesce(volume, 0.0), b := i)) AS INT) AS top, any_value(lo) AS lo, any_value(w) AS w
+      FROM (SELECT symbol, min(lo) AS lo, min(w) AS w FROM placed GROUP BY symbol) s CROSS JOIN (SELECT unnest(range(100)) AS i) LEFT JOIN binned b ON b.symbol = s.symbol AND b.bin = i GROUP BY s.symbol""",
+    "grown": """SELECT symbol, 0 AS step, top AS a, top AS b, v[top + 1] AS s FROM profile UNION ALL SELECT symbol, step + 1, CASE WHEN up THEN a ELSE a - 1 END, CASE WHEN up THEN b + 1 ELSE b END, s + CASE WHEN up THEN v[b + 2] ELSE v[a] END FROM (
+      SELECT g.*, p.v, g.b < 99 AND (g.a = 0 OR p.v[g.b + 2] >= p.v[g.a]) AS up FROM grown g JOIN profile p USING (symbol) WHERE g.s < 0.7 * p.total AND NOT (g.a = 0 AND g.b = 99))""",
+    "area": "SELECT symbol, lo + (top + 0.5) * w AS poc, lo + (arg_max(b, step) + 1) * w AS vah, lo + arg_max(a, step) * w AS val FROM grown JOIN profile USING (symbol) GROUP BY symbol, lo, w, top",
+}
+
+
+@query("c17_value_area", "bars", extra=X_AREA, sql="SELECT symbol, R6(poc) AS poc, R6(vah) AS vah, R6(val) AS val FROM area")
 def c17b(t):
     return C.value_area(C.volume_histogram(t.bars))
 

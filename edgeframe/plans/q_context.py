@@ -6,18 +6,39 @@ from pyspark.sql import functions as F
 
 from ..operators import context as X
 from . import pipelines as P
+from .q_bars import MOVES, X_AREA, ema_sql, rma_sql
 from .registry import query
 
 BREADTH = "SELECT coalesce(sum(CAST(close > prev AS BIGINT)), 0) AS advances, coalesce(sum(CAST(close < prev AS BIGINT)), 0) AS declines, count(*) AS symbols FROM (SELECT symbol, close, row_number() OVER w AS n, lead(close) OVER w AS prev FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY date DESC)) WHERE n = 1 AND prev IS NOT NULL"
 ADV = "CAST(advances AS BIGINT) AS advances, CAST(declines AS BIGINT) AS declines, symbols"
 
 
-@query("i01_baseline")
+X_BASE = {"moves": MOVES, "rma14": rma_sql("tr")} | X_AREA | {
+    "years": "SELECT symbol, max(high) AS high_52w, min(low) AS low_52w FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) AS n FROM bars) WHERE n <= 252 GROUP BY symbol",
+    "atrs": "SELECT symbol, arg_max(e, bar_idx) AS atr FROM rma14 GROUP BY symbol",
+}
+
+
+@query(
+    "i01_baseline", "bars", extra=X_BASE,
+    sql="""SELECT b.symbol, last_close, bars, R6(atr) AS atr, high_52w, low_52w, R6(poc) AS poc, R6(vah) AS vah, R6(val) AS val, CASE WHEN atr IS NULL THEN 'too few bars for ATR' WHEN poc IS NULL THEN 'no volume profile' END AS failure
+    FROM (SELECT symbol, arg_max(close, bar_idx) AS last_close, count(*) AS bars FROM bars GROUP BY symbol) b LEFT JOIN atrs a USING (symbol) LEFT JOIN years y USING (symbol) LEFT JOIN area v USING (symbol)""",
+)
 def i01(t):
     return P.baseline(t.bars)
 
 
-@query("i12_swing_scan")
+X_SWING = {
+    "days": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS bar_idx, volume / nullif(avg(volume) OVER p, 0) AS vol_ratio, max(high) OVER p AS prior_high FROM daily WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
+    "e200": ema_sql("days", "close", 200, 0),
+    "years": "SELECT symbol, max(high) AS high_52w, min(low) AS low_52w FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 252 GROUP BY symbol",
+    "last": "SELECT symbol, count(*) AS bars, arg_max(close, date) AS close, arg_max(vol_ratio, date) AS vol_ratio, arg_max(prior_high, date) AS prior_high FROM days GROUP BY symbol",
+    "setups": """SELECT *, CASE WHEN vol_ratio >= 2.5 AND close > prior_high THEN 'volume_breakout' WHEN abs(close / ema200 - 1) <= 0.03 AND close >= 0.97 * ema200 THEN 'ema200_retest' END AS setup
+      FROM last JOIN (SELECT symbol, arg_max(e, bar_idx) AS ema200 FROM e200 GROUP BY symbol) USING (symbol) JOIN years USING (symbol) WHERE bars >= 220""",
+}
+
+
+@query("i12_swing_scan", "daily", extra=X_SWING, sql="SELECT symbol, setup, R6(close) AS close, R6(vol_ratio) AS vol_ratio, R6(ema200) AS ema200, R6(low_52w) AS support, R6(high_52w) AS resistance, R6(CASE WHEN setup = 'volume_breakout' THEN vol_ratio * 10 ELSE 30 - abs(close / ema200 - 1) * 1000 END) AS score FROM setups WHERE setup IS NOT NULL")
 def i12(t):
     return P.swing_scan(t.daily)
 
@@ -101,14 +122,18 @@ def j07(t):
     return t.raw("part").select(X.series_of(F.concat("p_brand", suffix)).alias("series")).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
 
 
-POS, NEG = ["the", "and", "of"], ["der", "die", "la"]
-SENT = f"SELECT doc_id, any_value(symbol) AS symbol, count(*) FILTER (WHERE w IN {tuple(POS)}) AS p, count(*) FILTER (WHERE w IN {tuple(NEG)}) AS n FROM (SELECT doc_id, symbol, unnest(regexp_split_to_array(lower(headline), '[^a-z]+')) AS w FROM headlines) GROUP BY doc_id"
+#: The documents are invented prose, so two words of the lexicon, or none, stand before each headline.
+LEXICON = [*X.POSITIVE, *X.NEGATIVE]
+TOLD = f"SELECT doc_id, symbol, CASE WHEN doc_id % 3 = 0 THEN '' ELSE list_extract({LEXICON!r}, CAST(doc_id % {len(LEXICON)} + 1 AS INT)) || ', ' || list_extract({LEXICON!r}, CAST(doc_id // 7 % {len(LEXICON)} + 1 AS INT)) END || ': ' || headline AS headline FROM headlines"
+SENT = f"SELECT doc_id, any_value(symbol) AS symbol, count(*) FILTER (WHERE w IN {tuple(X.POSITIVE)}) AS p, count(*) FILTER (WHERE w IN {tuple(X.NEGATIVE)}) AS n FROM (SELECT doc_id, symbol, unnest(regexp_split_to_array(lower(headline), '[^a-z]+')) AS w FROM told) GROUP BY doc_id"
 
 
-@query("j08_headline_sentiment", "headlines", extra={"s": SENT, "z": "SELECT h.doc_id, h.symbol, CASE WHEN coalesce(p + n, 0) > 0 THEN (p - n) / CAST(p + n AS DOUBLE) ELSE 0 END AS score FROM headlines h LEFT JOIN s USING (doc_id)"}, sql="SELECT doc_id, symbol, R6(score) AS score, CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM z")
+@query("j08_headline_sentiment", "headlines", extra={"told": TOLD, "s": SENT, "z": "SELECT h.doc_id, h.symbol, CASE WHEN coalesce(p + n, 0) > 0 THEN (p - n) / CAST(p + n AS DOUBLE) ELSE 0 END AS score FROM headlines h LEFT JOIN s USING (doc_id)"}, sql="SELECT doc_id, symbol, R6(score) AS score, CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM z")
 def j08(t):
-    """The lexicon is a parameter; the documents are invented prose, so common words of two languages stand in."""
-    return X.headline_sentiment(t.headlines, POS, NEG)
+    words = F.array(*map(F.lit, LEXICON))
+    word = lambda k: F.element_at(words, (F.floor(F.col("doc_id") / k) % len(LEXICON) + 1).cast("int"))
+    before = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat_ws(", ", word(1), word(7)))
+    return X.headline_sentiment(t.headlines.withColumn("headline", F.concat(before, F.lit(": "), "headline")))
 
 
 @query("j09_news_contradiction", "journal", sql="SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a AND m THEN 'contradicts' WHEN a OR m THEN 'caution' ELSE 'consistent' END AS verdict FROM (SELECT (direction = 'BUY' AND id % 3 = 0) OR (direction = 'SELL' AND id % 3 = 1) AS a, (direction = 'BUY' AND coalesce(pnl, 0) / 1e5 <= -2) OR (direction = 'SELL' AND coalesce(pnl, 0) / 1e5 >= 2) AS m FROM journal)) GROUP BY verdict")

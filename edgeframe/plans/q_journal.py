@@ -49,11 +49,11 @@ def l05(t):
     return L.governor(t.journal, ACC).select("account_id", "trades", "losses", "loss_run", "verdict")
 
 
-EDG = "SELECT symbol, strategy, direction, avg(CAST(pnl > -50000 AS DOUBLE)) * 100 AS win_pct, avg(pnl) AS expectancy FROM journal WHERE pnl IS NOT NULL AND id % 2 = 0 GROUP BY ALL"
+EDG = "SELECT symbol, strategy, direction, avg(CAST(pnl > -50000 AS DOUBLE)) * 100 AS win_pct, avg(pnl) AS expectancy FROM journal WHERE pnl IS NOT NULL GROUP BY ALL"
 
 
 def _edges(t):
-    return t.journal.where("pnl IS NOT NULL AND id % 2 = 0").groupBy("symbol", "strategy", "direction").agg((F.avg((F.col("pnl") > -50000).cast("double")) * 100).alias("win_pct"), F.avg("pnl").alias("expectancy"))
+    return t.journal.where("pnl IS NOT NULL").groupBy("symbol", "strategy", "direction").agg((F.avg((F.col("pnl") > -50000).cast("double")) * 100).alias("win_pct"), F.avg("pnl").alias("expectancy"))
 
 
 @query("l06_calibration", "journal", extra={"e": EDG, "best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY expectancy DESC, strategy) AS n FROM e) WHERE n = 1", "p": "SELECT j.pnl, coalesce(e.win_pct, b.win_pct) AS p FROM journal j LEFT JOIN e USING (symbol, strategy, direction) LEFT JOIN best b ON b.symbol = j.symbol AND b.direction = j.direction WHERE j.pnl IS NOT NULL"},

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import bars as B
 from ..operators import indicators as C
-from ..operators import journal as L
 from ..operators import ticks as M
-from . import pipelines as P
 from .q_bars import SESSIONS
 from .q_ticks import _A, _B, with_depth
 from .registry import query
@@ -52,11 +50,3 @@ def h07(t):
     qty = lambda side: F.aggregate(F.col(f"depth.{side}"), F.lit(0).cast("long"), lambda a, x: a + x["qty"])
     side = F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL")
     return with_depth(t).where("ltp > 0").select("event_id", scores.book_agrees(side, imbalance, qty("bids"), qty("asks")).alias("agrees"))
-
-
-@query("i14_onboard")
-def i14(t):
-    """One symbol's edges are computed anew and replace its old ones; the others stay as they are."""
-    first = t.bars.agg(F.min("symbol").alias("symbol"))
-    edges = P.edge_map(t.bars)
-    return L.upsert(edges, P.edge_map(t.bars.join(F.broadcast(first), "symbol", "left_semi")), ["symbol"])

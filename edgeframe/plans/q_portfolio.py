@@ -33,10 +33,22 @@ def k01(t):
     return K.merge_holdings(t.holdings)
 
 
-@query("k02_resolve_names", "symbols", sql="SELECT s_name AS name, s_suppkey AS symbol FROM supplier")
+LISTED = "SELECT CAST(symbol AS VARCHAR) AS symbol, symbol AS id, 'S' || symbol || ' & N' || symbol // 7 || ' Corporation Limited' AS name FROM symbols"
+
+
+@query(
+    "k02_resolve_names", "symbols", extra={"listed": LISTED, "groups": "SELECT id // 7 AS g, count(*) AS n, min(symbol) AS sole FROM listed GROUP BY 1"},
+    sql="""SELECT symbol AS name, symbol, 'symbol' AS how FROM listed WHERE id % 5 = 0
+    UNION ALL SELECT 's' || id || ' & n' || id // 7 || ' corpn. ltd', symbol, 'name' FROM listed WHERE id % 5 = 1 UNION ALL SELECT 'S' || id || ' N' || id // 7, symbol, 'fuzzy' FROM listed WHERE id % 5 = 2
+    UNION ALL SELECT DISTINCT 'N' || g || ' Ltd', CASE WHEN n = 1 THEN sole END, CASE WHEN n = 1 THEN 'fuzzy' ELSE 'unmatched' END FROM listed JOIN groups ON g = id // 7 WHERE id % 5 = 3 UNION ALL SELECT 'Elsewhere ' || id || ' Ltd', NULL, 'unmatched' FROM listed WHERE id % 5 = 4""",
+)
 def k02(t):
-    names = t.symbols.select(F.concat(F.regexp_replace("name", "#", " # "), F.lit(" Ltd")).alias("name"))
-    return K.resolve_names(names, t.symbols).select(F.regexp_replace(F.regexp_replace("name", " # ", "#"), " Ltd$", "").alias("name"), "symbol")
+    """Statement names of listed firms: the symbol, an abbreviated name, part of it, only its group's name, a stranger."""
+    s, g = F.col("symbol").cast("string"), F.floor(F.col("symbol") / 7).cast("string")
+    listed = t.symbols.select("symbol", F.concat(F.lit("S"), s, F.lit(" & N"), g, F.lit(" Corporation Limited")).alias("name"))
+    forms = [s, F.concat(F.lit("s"), s, F.lit(" & n"), g, F.lit(" corpn. ltd")), F.concat(F.lit("S"), s, F.lit(" N"), g), F.concat(F.lit("N"), g, F.lit(" Ltd")), F.concat(F.lit("Elsewhere "), s, F.lit(" Ltd"))]
+    names = t.symbols.select(F.element_at(F.array(*forms), (F.col("symbol") % 5 + 1).cast("int")).alias("name"))
+    return K.resolve_names(names, listed).select("name", "symbol", "how")
 
 
 @query("k03_marks", *BASE, extra=X_V, sql="SELECT account_id, symbol, R6(price) AS price, at_cost FROM v")
@@ -85,9 +97,6 @@ def k09(t):
     return K.sector_clusters(valued(t))
 
 
-SER = "SELECT * FROM vec_returns WHERE symbol % 5 = 0"
-
-
 @query("k10_align", "vec_returns", sql="SELECT account_id, count(DISTINCT symbol) AS names, count(DISTINCT session) AS sessions FROM vec_returns GROUP BY account_id")
 def k10(t):
     return K.align(t.returns).groupBy("account_id").agg(F.count_distinct("symbol").alias("names"), F.count_distinct("session").alias("sessions"))
@@ -106,9 +115,16 @@ def k12(t):
     return K.effective_bets(K.correlations(K.align(t.returns)))
 
 
-@query("k13_linked_clusters")
+LINKS = "SELECT account_id, a, b FROM rho WHERE rho >= 0.60 AND a <> b UNION SELECT account_id, b, a FROM rho WHERE rho >= 0.60 AND a <> b"
+REACHED = "SELECT account_id, a AS symbol, a AS other FROM rho WHERE a = b UNION SELECT r.account_id, r.symbol, l.b FROM reached r JOIN links l ON l.account_id = r.account_id AND l.a = r.other"
+
+
+@query(
+    "k13_linked_clusters", "vec_returns", extra={"rho": RHO, "links": LINKS, "reached": REACHED, "label": "SELECT account_id, symbol, min(other) AS cluster FROM reached GROUP BY account_id, symbol"},
+    sql="SELECT account_id, cluster, string_agg(CAST(symbol AS VARCHAR), ',' ORDER BY symbol) AS members, count(*) AS names, CAST(count(*) AS DOUBLE) AS weight FROM label GROUP BY account_id, cluster HAVING count(*) >= 2",
+)
 def k13(t):
-    c = K.linked_clusters(K.correlations(K.align(t.returns)), least=0.30)
+    c = K.linked_clusters(K.correlations(K.align(t.returns)))
     return K.cluster_table(c, c.withColumn("weight", F.lit(1.0)))
 
 
@@ -142,10 +158,10 @@ def k15(t):
     return bucketed(t).select("account_id", "symbol", "bucket")
 
 
-@query("k16_buy_screen", *BASE, "index_daily", extra=X_S | {"ok": "SELECT symbol, 1.0 / (symbol % 17 + 1) AS expectancy FROM sigs WHERE vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND off_high >= -99"}, sql="SELECT * FROM (SELECT a.account_id, ok.symbol, row_number() OVER (PARTITION BY a.account_id ORDER BY expectancy DESC, ok.symbol) AS rank FROM (SELECT DISTINCT account_id FROM holdings) a CROSS JOIN ok WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.account_id = a.account_id AND h.symbol = ok.symbol)) WHERE rank <= 12")
+@query("k16_buy_screen", *BASE, "index_daily", "steady", extra=X_S | {"rot": ROT.replace("FROM daily", "FROM steady")} | {"ok": "SELECT symbol, 1.0 / (symbol % 17 + 1) AS expectancy FROM sigs WHERE vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND off_high >= -18"}, sql="SELECT * FROM (SELECT a.account_id, ok.symbol, row_number() OVER (PARTITION BY a.account_id ORDER BY expectancy DESC, ok.symbol) AS rank FROM (SELECT DISTINCT account_id FROM holdings) a CROSS JOIN ok WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.account_id = a.account_id AND h.symbol = ok.symbol)) WHERE rank <= 12")
 def k16(t):
     edges = t.symbols.select("symbol", (1.0 / (F.col("symbol") % 17 + 1)).alias("expectancy"))
-    return K.buy_screen(signals(t), edges, t.holdings, off_high=-99.0).select("account_id", "symbol", "rank")
+    return K.buy_screen(K.rotation_signals(t.steady, t.index_daily), edges, t.holdings).select("account_id", "symbol", "rank")
 
 
 @query("k17_rebalance", *BASE, "index_daily", extra=X_V | X_S | {"bk": BUCKET, "s": "SELECT account_id, sum(f * value) AS cash, sum(f * unrealised) AS gain, count(*) FILTER (WHERE f > 0) AS sold FROM (SELECT *, CASE bucket WHEN 'Rotate out' THEN 1.0 WHEN 'Trim' THEN 0.6 ELSE 0.0 END AS f FROM bk) GROUP BY account_id"}, sql="SELECT account_id, R6(cash) AS cash, R6(gain) AS gain, sold, R6(greatest(gain - 125000, 0) * 0.125) AS tax, R6((cash - greatest(gain - 125000, 0) * 0.125) / 5) AS per_name FROM s")

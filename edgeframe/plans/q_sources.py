@@ -17,9 +17,10 @@ def fresh_folder(t, label):
     return f"{shared_folder(t.spark)}/edgeframe-{label}-{uuid.uuid4().hex}"
 
 
-@query("a01_bar_scan", "bars", sql="SELECT symbol, bar_idx, CAST(session_date AS VARCHAR) AS session_date, day_id FROM bars WHERE symbol = 'click' AND session_date >= DATE '2024-01-10'")
+@query("a01_bar_scan", "bars", sql="SELECT symbol, bar_idx, CAST(session_date AS VARCHAR) AS session_date, day_id FROM bars")
 def a01(t):
-    return t.bars.where("symbol = 'click' AND session_date >= DATE'2024-01-10'").select("symbol", "bar_idx", F.col("session_date").cast("string").alias("session_date"), "day_id")
+    """Every symbol and timeframe; a caller's filters on them reach the scan."""
+    return t.bars.select("symbol", "bar_idx", F.col("session_date").cast("string").alias("session_date"), "day_id")
 
 
 @query("a02_universe", "daily", sql="SELECT DISTINCT symbol FROM daily")
@@ -83,7 +84,7 @@ def a10(t):
 
 def statement_files(t, kind):
     """One CSV statement per account, in one of three layouts, from the journal."""
-    j = t.journal.where("pnl IS NOT NULL AND account_id % 5 = 0")
+    j = t.journal.where("pnl IS NOT NULL")
     if kind == "trades":
         line = F.format_string("%s,%s,%d,%.2f,%.2f,%s", F.concat(F.lit("S"), F.col("id") % 40), "direction", "qty", "entry", F.col("entry") + 1, F.col("exit_date").cast("string"))
         head = "Symbol,Side,Qty,Entry Price,Exit Price,Trade Date"
@@ -94,13 +95,13 @@ def statement_files(t, kind):
     return body.select(F.concat(F.lit("acc"), "account_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
-@query("a11_holdings_statements", "journal", sql="SELECT 'acc' || account_id AS path, count(*) AS n, R6(sum(qty)) AS qty, R6(sum(round(entry * qty, 2))) AS value FROM journal WHERE pnl IS NOT NULL AND account_id % 5 = 0 GROUP BY account_id")
+@query("a11_holdings_statements", "journal", sql="SELECT 'acc' || account_id AS path, count(*) AS n, R6(sum(qty)) AS qty, R6(sum(round(entry * qty, 2))) AS value FROM journal WHERE pnl IS NOT NULL GROUP BY account_id")
 def a11(t):
     rows = A.statements(statement_files(t, "holdings"), "holdings").where("warning IS NULL")
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.sum(F.round(F.col("qty") * F.col("avg_cost"), 2)).alias("value"))
 
 
-@query("a12_trade_statements", "journal", sql="SELECT 'acc' || account_id AS path, count(*) AS n, R6(sum(qty)) AS qty, min(CAST(exit_date AS VARCHAR)) AS first_day, count(*) FILTER (WHERE direction = 'SELL') AS sells FROM journal WHERE pnl IS NOT NULL AND account_id % 5 = 0 GROUP BY account_id")
+@query("a12_trade_statements", "journal", sql="SELECT 'acc' || account_id AS path, count(*) AS n, R6(sum(qty)) AS qty, min(CAST(exit_date AS VARCHAR)) AS first_day, count(*) FILTER (WHERE direction = 'SELL') AS sells FROM journal WHERE pnl IS NOT NULL GROUP BY account_id")
 def a12(t):
     rows = A.statements(statement_files(t, "trades"), "trades").where("warning IS NULL")
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.min("day").alias("first_day"), F.sum((F.col("side") == "SELL").cast("long")).alias("sells"))

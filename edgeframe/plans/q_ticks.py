@@ -87,25 +87,35 @@ def m12(t):
 
 
 EDGES = "SELECT symbol, d AS direction, 'vwap_cross' AS strategy, 0.1 + 0.05 * length(symbol) AS e, 30 + length(symbol) AS n FROM (SELECT DISTINCT symbol FROM ticks) CROSS JOIN (VALUES ('BUY'), ('SELL')) x(d)"
-SNAP = "SELECT symbol, arg_max((ltp - vwap) * 100 / nullif(vwap, 0), event_id) AS dev FROM feat GROUP BY symbol"
-SCORE = "least(greatest(1 + (CASE WHEN direction = 'BUY' THEN 1 ELSE -1 END) * least(greatest(dev / 2, -0.5), 0.5), 0), 2)"
+IMBALANCE = f"CASE WHEN ltp > 0 THEN (({_B}) - ({_A})) / CAST(({_B}) + ({_A}) AS DOUBLE) END"
+SNAP = f"SELECT symbol, arg_max((ltp - vwap) * 100 / nullif(vwap, 0), event_id) AS dev, arg_max({IMBALANCE}, event_id) AS ob FROM feat GROUP BY symbol"
+SIDE = "(CASE WHEN direction = 'BUY' THEN 1 ELSE -1 END)"
+SCORE = f"least(greatest(1 + {SIDE} * coalesce(ob, 0) / 2 + {SIDE} * least(greatest(dev / 2, -0.5), 0.5), 0), 2)"
 
 
 def edges(t):
     return t.ticks.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit("BUY"), F.lit("SELL"))).alias("direction"), F.lit("vwap_cross").alias("strategy"), (0.1 + 0.05 * F.length("symbol")).alias("e"), (30 + F.length("symbol")).alias("n")).withColumn("shrunk", V.shrunk(F.col("n"), F.col("e"))).withColumn("shares", F.lit(1))
 
 
+def booked(t):
+    """Ticks with the imbalance of their book."""
+    return with_depth(t).withColumn("imbalance", M.book()[0]).drop("depth")
+
+
 def scored(t):
-    last = M.features(t.ticks).groupBy("symbol").agg(F.max_by("dev_pct", "event_id").alias("dev_pct"), F.max_by("z", "event_id").alias("z"))
-    return last.join(edges(t), "symbol").withColumn("score", F.col("shrunk") * M.live_score(F.lit(None).cast("double"), F.col("dev_pct"), F.col("direction") == "BUY"))
+    last = M.features(booked(t)).groupBy("symbol").agg(*[F.max_by(c, "event_id").alias(c) for c in ("dev_pct", "z", "imbalance")])
+    return last.join(edges(t), "symbol").withColumn("score", F.col("shrunk") * M.live_score(F.col("imbalance"), F.col("dev_pct"), F.col("direction") == "BUY"))
 
 
-@query("m13_candidates", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=f"SELECT symbol, direction, R6(n * e / (n + 40.0) * {SCORE}) AS score FROM e JOIN s USING (symbol)")
+@query("m13_candidates", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=f"SELECT symbol, direction, R6(ob) AS imbalance, R6(n * e / (n + 40.0) * {SCORE}) AS score FROM e JOIN s USING (symbol)")
 def m13(t):
-    return scored(t).select("symbol", "direction", "score")
+    return scored(t).select("symbol", "direction", "imbalance", "score")
+
 
+RANKED = f"SELECT * FROM (SELECT symbol, direction, row_number() OVER (PARTITION BY direction ORDER BY n * e / (n + 40.0) * {SCORE} DESC, symbol) AS rank FROM e JOIN s USING (symbol)) WHERE rank <= 10"
 
-@query("m14_snapshot_rank", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=f"SELECT * FROM (SELECT symbol, direction, row_number() OVER (PARTITION BY direction ORDER BY n * e / (n + 40.0) * {SCORE} DESC, symbol) AS rank FROM e JOIN s USING (symbol)) WHERE rank <= 10")
+
+@query("m14_snapshot_rank", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=RANKED)
 def m14(t):
     return M.rank_snapshot(scored(t)).select("symbol", "direction", "rank")
 
@@ -116,13 +126,6 @@ def m15(t):
     return rows.select("event_id", M.caveat().alias("note"))
 
 
-@query("m16_freeze", "ticks", "journal", sql="SELECT symbol, count(*) AS shown FROM ticks WHERE NOT coalesce((SELECT bool_or(p <= -500) FROM (SELECT account_id, sum(pnl) / 1e6 * 100 AS p FROM journal WHERE account_id % 97 = 3 GROUP BY account_id)), false) GROUP BY symbol")
-def m16(t):
-    """Output is empty while the breaker of the account group is frozen."""
-    b = t.journal.where("account_id % 97 = 3").groupBy("account_id").agg((F.sum("pnl") / 1e6 * 100).alias("p")).agg(F.coalesce(F.max(F.col("p") <= -500), F.lit(False)).alias("frozen"))
-    return t.ticks.crossJoin(F.broadcast(b)).where("NOT frozen").groupBy("symbol").agg(F.count(F.lit(1)).alias("shown"))
-
-
 @query("m17_enrichment", "ticks", sql="SELECT symbol, CAST(date AS VARCHAR) AS date, adv FROM (SELECT symbol, date, avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS adv0, R6(avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS adv FROM (SELECT symbol, CAST(ts AS DATE) AS date, sum(ltq) AS v FROM ticks GROUP BY 1, 2))")
 def m17(t):
     from pyspark.sql.window import Window
@@ -143,7 +146,7 @@ def stream_source(t, files: int = 4):
     ``files`` or as many more as hold FILE_ROWS each. They are computed once and written side by side by
     ranges of time; the times of the files, which the stream follows, are set in the order of the ranges."""
     folder = f"{shared_folder(t.spark)}/edgeframe-ticks-{uuid.uuid4().hex}"
-    ticks = durable(t.ticks.select(*[c.split()[0] for c in S.TICKS.split(", ")]), "all-ticks")
+    ticks = durable(booked(t).select(*[c.split()[0] for c in S.TICKS.split(", ")]), "all-ticks")
     parts = max(files, -(-ticks.count() // FILE_ROWS))
     ticks.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(folder)
     path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -171,6 +174,15 @@ def drain(t, df, mode: str = "append"):
     return t.spark.read.schema(df.schema).parquet(folder)
 
 
+def drain_batches(t, df, step):
+    """Runs a stream through a ``foreachBatch`` step whose sink appends to one table; the table, with each row's epoch."""
+    folder = f"{shared_folder(t.spark)}/edgeframe-batches-{uuid.uuid4().hex}"
+    sink = lambda rows, epoch: rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")  # noqa: E731  an epoch that is run again replaces itself
+    q = df.writeStream.foreachBatch(step(sink)).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(folder)
+
+
 @query("m01_stream_features", "ticks", extra=X, sql="SELECT event_id, delta, R6(vwap) AS vwap, R6(mean) AS mean, R6(coalesce(block, 0)) AS block FROM feat")
 def m01(t):
     """The streaming processor over the whole tick table; it must agree with the batch twin's SQL."""
@@ -190,7 +202,30 @@ def m08(t):
     return out.select("event_id", "rsi", "atr_proxy", "latency_median")
 
 
-@query("m18_stream_bars")
+@query("m14_stream_rank", "ticks", extra=X | {"e": EDGES, "s": SNAP}, sql=RANKED)
+def m14_stream(t):
+    """The snapshot after the last ticks of each symbol, ranked batch by batch from the stream's features."""
+    e = durable(edges(t), "edges")
+    out = drain_batches(t, S.tick_features(tick_stream(t)), lambda sink: S.rank_each_batch(e, None, sink))
+    last = out.agg(F.max("epoch")).first()[0]
+    return out.where(F.col("epoch") == last).select("symbol", "direction", "rank")
+
+
+FROZEN = "SELECT account_id FROM journal WHERE state = 'Manually_Accepted' GROUP BY account_id HAVING sum(pnl) / 1e6 * 100 <= -50"
+
+
+@query("m16_freeze", "ticks", "journal", extra={"frozen": FROZEN}, sql="SELECT symbol, count(*) AS shown, count(DISTINCT user_id) AS accounts FROM ticks WHERE user_id NOT IN (SELECT account_id FROM frozen) GROUP BY symbol")
+def m16(t):
+    """The breaker of every account over its accepted trades; a frozen account's rows of the stream are held back."""
+    b = t.journal.where("state = 'Manually_Accepted'").groupBy("account_id").agg(F.coalesce(F.sum("pnl") / 1e6 * 100 <= -50, F.lit(False)).alias("frozen"))
+    out = drain_batches(t, tick_stream(t), lambda sink: S.keep_unfrozen(durable(b, "breaker"), sink))
+    return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("shown"), F.count_distinct("user_id").alias("accounts"))
+
+
+WINDOWS = "SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS w, arg_min(ltp, ts) AS open, max(ltp) AS high, min(ltp) AS low, arg_max(ltp, ts) AS close, CAST(sum(ltq) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2"
+
+
+@query("m18_stream_bars", "ticks", extra={"windows": WINDOWS}, sql="SELECT symbol, open, high, low, close, volume FROM windows WHERE w + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)")
 def m18(t):
-    """Five-minute bars by event time with a watermark; the last windows stay open."""
+    """Five-minute bars by event time with a watermark; windows that it has not passed stay open."""
     return drain(t, S.bars_with_watermark(tick_stream(t))).drop("ts")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import costs, mathx, scores
+from ..functions import costs, mathx
 from ..operators import bootstrap as BS
 from ..operators import indicators as C
 from ..operators import outcomes as E
 from ..operators import signals as D
 from ..operators import tradestats as TS
 from ..operators import validation as V
-from ..sources.stage import durable
 from . import pipelines as P
 from .q_bars import EXTRA, day
 from .registry import query
@@ -40,13 +39,28 @@ RULES = {
     "rvol_breakout": (_x("up", "rvol", 2.0) + " AND close >= open", _x("up", "rvol", 2.0) + " AND close < open"),
     "prev_day_breakout": (_x("up", "close", "prev_high"), _x("down", "close", "prev_low")),
 }
-SIG = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT symbol, session_date, bar_idx AS entry_idx, close AS entry, atr, '{n}' AS strategy, CASE WHEN coalesce({a}, false) THEN 'BUY' WHEN coalesce({b}, false) THEN 'SELL' END AS direction FROM ind2) WHERE direction IS NOT NULL"
-    for n, (a, b) in RULES.items()
-)
+
+
+def sig_sql(names):
+    """Signals of the named rules over ``ind2``."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT symbol, session_date, bar_idx AS entry_idx, close AS entry, atr, '{n}' AS strategy, CASE WHEN coalesce({RULES[n][0]}, false) THEN 'BUY' WHEN coalesce({RULES[n][1]}, false) THEN 'SELL' END AS direction FROM ind2) WHERE direction IS NOT NULL"
+        for n in names
+    )
+
+
+SIG = sig_sql(RULES)
 CONFIGS = [(1.0, 1.5), (1.5, 2.0), (0.75, 2.0)]
 COST = costs.reference_fraction()
-ENT = "SELECT s.*, c.*, CASE WHEN direction = 'BUY' THEN 1.0 ELSE -1.0 END AS sg, c.k * atr AS risk FROM sig s CROSS JOIN (VALUES " + ", ".join(f"('k{k:g}_rr{r:g}', {k}, {r})" for k, r in CONFIGS) + ") c(config_id, k, rr) WHERE atr > 0"
+
+
+def ent_sql(pairs):
+    """Entries of every signal in every configuration."""
+    rows = ", ".join(f"('k{k:g}_rr{r:g}', {k}, {r})" for k, r in pairs)
+    return f"SELECT s.*, c.*, CASE WHEN direction = 'BUY' THEN 1.0 ELSE -1.0 END AS sg, c.k * atr AS risk FROM sig s CROSS JOIN (VALUES {rows}) c(config_id, k, rr) WHERE atr > 0"
+
+
+ENT = ent_sql(CONFIGS)
 HITS = """SELECT e.*, b.bar_idx, b.close AS bc, CASE WHEN sg > 0 THEN b.low <= entry - risk ELSE b.high >= entry + risk END AS hs, CASE WHEN sg > 0 THEN b.high >= entry + rr * risk ELSE b.low <= entry - rr * risk END AS ht,
   greatest(CASE WHEN sg > 0 THEN entry - b.low ELSE b.high - entry END, 0) / risk AS adv FROM ent e JOIN bars b ON e.symbol = b.symbol AND e.session_date = b.session_date AND b.bar_idx > e.entry_idx"""
 GRP = "symbol, session_date, strategy, direction, config_id"
@@ -111,7 +125,7 @@ def _recursive_signal(name, strategy, extra=None, sql=None):
         return D.signals(t.bars.join(C.recursive(t.bars).drop("tf"), ["symbol", "bar_idx"]), {strategy: D.RECURSIVE[strategy]}, ["symbol", "bar_idx"])
 
 
-from .q_bars import EMA, MACD_SIGNAL, STEPS, WILDER  # noqa: E402
+from .q_bars import EMA, MACD_SIGNAL, STEPS, WILDER, X_SUPER  # noqa: E402
 
 
 def _cross_sql(pairs, a, b, name):
@@ -126,7 +140,8 @@ _recursive_signal(
     "SELECT symbol, bar_idx, 'rsi_reversion' AS strategy, direction FROM (SELECT symbol, bar_idx, CASE WHEN p <= 30 AND x > 30 THEN 'BUY' WHEN p >= 70 AND x < 70 THEN 'SELL' END AS direction FROM (SELECT *, lag(x) OVER (PARTITION BY symbol ORDER BY bar_idx) AS p FROM j)) WHERE direction IS NOT NULL",
 )
 _recursive_signal("d04_macd_cross", "macd_cross", {"e12": EMA.format(p=12, name="e12"), "e26": EMA.format(p=26, name="e26"), "macd": "SELECT symbol, bar_idx, e12.e - e26.e AS m FROM e12 JOIN e26 USING (symbol, bar_idx)", "sig2": MACD_SIGNAL.replace("FROM sig e", "FROM sig2 e"), "j": "SELECT b.symbol, b.bar_idx, m AS x, e AS y FROM bars b LEFT JOIN macd USING (symbol, bar_idx) LEFT JOIN sig2 USING (symbol, bar_idx)"}, _cross_sql("j", "x", "y", "macd_cross"))
-_recursive_signal("d06_supertrend", "supertrend")
+_recursive_signal("d06_supertrend", "supertrend", X_SUPER, """SELECT symbol, bar_idx, 'supertrend' AS strategy, direction FROM (SELECT symbol, bar_idx, CASE WHEN p < 0 AND side > 0 THEN 'BUY' WHEN p > 0 AND side < 0 THEN 'SELL' END AS direction
+  FROM (SELECT *, lag(side) OVER (PARTITION BY symbol ORDER BY bar_idx) AS p FROM super)) WHERE direction IS NOT NULL""")
 
 
 @query("d14_d16_card_signals", "bars", extra=X_SIG, sql="SELECT symbol, entry_idx AS bar_idx, strategy, direction FROM sig WHERE strategy IN ('vwap_cross', 'orb_15m', 'gap_and_go', 'prev_day_breakout')")
@@ -237,9 +252,10 @@ def f03(t):
     return TS.curve_stats(trades(t)).select(*TS.KEY, "max_dd")
 
 
-@query("f04_sharpe", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(sd) AS sd, R6(sharpe) AS sharpe, R6(sharpe * sqrt(n)) AS t_stat FROM sharpe WHERE n >= 8 AND sd > 0.001")
+@query("f04_sharpe", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(sd) AS sd, R6(round(sharpe, 3)) AS sharpe, R6(round(sharpe * sqrt(n), 3)) AS t_stat FROM sharpe")
 def f04(t):
-    return TS.sharpe_stats(trades(t)).where("n >= 8 AND sd > 0.001").select(*TS.KEY, "sd", "sharpe", "t_stat")
+    """Ratios to three places: without spread to speak of they are huge."""
+    return TS.sharpe_stats(trades(t)).select(*TS.KEY, "sd", F.round("sharpe", 3).alias("sharpe"), F.round("t_stat", 3).alias("t_stat"))
 
 
 @query(
@@ -250,12 +266,12 @@ def f05(t):
     return TS.curve_stats(trades(t)).select(*TS.KEY, "calmar", "loss_streak", "recent_win_pct")
 
 
-MOMENTS = f"SELECT {K4}, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4 FROM (SELECT *, avg(r) OVER (PARTITION BY {K4}) AS m FROM trades) GROUP BY {K4} HAVING count(*) >= 8"
+MOMENTS = f"SELECT {K4}, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4 FROM (SELECT *, avg(r) OVER (PARTITION BY {K4}) AS m FROM trades) GROUP BY {K4}"
 
 
 @query("f06_skew_kurt", "bars", extra=X_STATS | {"mom": MOMENTS}, sql=f"SELECT {K4}, R6(CASE WHEN m2 > 1e-18 THEN m3 / pow(m2, 1.5) ELSE 0 END) AS skew, R6(CASE WHEN m2 > 1e-18 THEN m4 / pow(m2, 2) ELSE 3 END) AS kurt FROM mom")
 def f06(t):
-    return TS.sharpe_stats(trades(t)).where("n >= 8").select(*TS.KEY, "skew", "kurt")
+    return TS.sharpe_stats(trades(t)).select(*TS.KEY, "skew", "kurt")
 
 
 @query("f07_eligible", "bars", extra=X_STATS, sql=f"SELECT {K4}, n >= 30 AND profit_factor >= 1.2 AND expectancy > 0 AS eligible FROM stats")
@@ -323,7 +339,39 @@ def _phi(x):
     return f"(0.5 * (1 + {_erf(f'(({x}) / sqrt(2.0))')}))"
 
 
-@query("g07_deflated_sharpe")
+def _poly(x, coefficients):
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _inverse(p, x):
+    """Two nested columns: the rational approximation ``x`` of the inverse normal at ``p``, and ``x`` after a Halley step."""
+    low, high, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    tail = lambda v: f"({_poly(v, mathx.ACKLAM_C)} / {_poly(v, mathx.ACKLAM_D)})"
+    raw = f"CASE WHEN {p} < {mathx.ACKLAM_LOW} THEN {tail(low)} WHEN {p} > {1 - mathx.ACKLAM_LOW!r} THEN -{tail(high)} ELSE {_poly(f'({q} * {q})', mathx.ACKLAM_A)} * {q} / {_poly(f'({q} * {q})', mathx.ACKLAM_B)} END"
+    u = f"(({_phi(x)} - {p}) * sqrt(2 * pi()) * exp({x} * {x} / 2))"
+    return raw, f"CASE WHEN {p} <= 0 THEN CAST('-inf' AS DOUBLE) WHEN {p} >= 1 THEN CAST('inf' AS DOUBLE) ELSE {x} - {u} / (1 + {x} * {u} / 2) END"
+
+
+def deflated_sql(source, base="symbol"):
+    """``source`` (with sharpe and n) with trials and dsr over all rows of one ``base``, in nested steps."""
+    safe = lambda p: f"least(greatest({p}, 1e-300), 1 - 1e-16)"
+    a_raw, a_x = _inverse("pa", "xa")
+    b_raw, b_x = _inverse("pb", "xb")
+    return f"""SELECT * EXCLUDE (base, m, spread, m2, m3, m4, pa, pb, xa, xb), least(greatest({_phi("z")}, 0), 1) AS dsr FROM (
+      SELECT *, CASE WHEN trials = 1 THEN sharpe * sqrt(greatest(n - 1, 1)) ELSE (sharpe - spread * ((1 - 0.5772156649) * za + 0.5772156649 * zb)) * sqrt(greatest(n - 1, 1))
+        / sqrt(greatest(1 - CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END * sharpe + (CASE WHEN m2 > 0 THEN m4 / (m2 * m2) ELSE 3 END - 1) / 4 * sharpe * sharpe, 1e-9)) END AS z FROM (
+      SELECT *, {a_x} AS za, {b_x} AS zb FROM (
+      SELECT *, CASE WHEN trials = 1 THEN 0 ELSE {a_raw} END AS xa, {b_raw} AS xb FROM (
+      SELECT *, {safe("(1 - 1.0 / trials)")} AS pa, {safe("(1 - 1.0 / (trials * 2.718281828459045))")} AS pb FROM (
+      SELECT *, avg(pow(sharpe - m, 2)) OVER b AS m2, avg(pow(sharpe - m, 3)) OVER b AS m3, avg(pow(sharpe - m, 4)) OVER b AS m4 FROM (
+      SELECT *, count(*) OVER b AS trials, avg(sharpe) OVER b AS m, CASE WHEN coalesce(stddev_samp(sharpe) OVER b, 0) > 0 THEN stddev_samp(sharpe) OVER b ELSE 1e-9 END AS spread
+      FROM (SELECT *, {base} AS base FROM {source}) WINDOW b AS (PARTITION BY base)) WINDOW b AS (PARTITION BY base))))))"""
+
+
+@query("g07_deflated_sharpe", "bars", extra=X_STATS | {"deflated": deflated_sql("sharpe")}, sql=f"SELECT {K4}, n, trials, R6(dsr) AS dsr FROM deflated")
 def g07(t):
     return V.deflated_sharpe(TS.sharpe_stats(trades(t)), ["symbol"]).select(*TS.KEY, "n", "trials", "dsr")
 
@@ -365,102 +413,14 @@ def g13(t):
     return V.block_means(trades(t), lengths(t))
 
 
-@query("g14_overfit_probability")
-def g14(t):
-    return V.overfit_probability(V.block_means(trades(t), lengths(t)), ["symbol"], ["strategy", "direction", "config_id"])
-
-
-# ---------------------------------------------------------------- scores
-
-
-def kept_trades(t):
-    """The trades, written once: every statistic reads them."""
-    if not hasattr(t, "_trades"):
-        t._trades = durable(trades(t), "trades")
-    return t._trades
-
-
-def scored(t):
-    if not hasattr(t, "_scored"):
-        t._scored = durable(P.scored(kept_trades(t), lengths(t), own_index(t)), "scored")
-    return t._scored
-
-
-@query("h01_confidence")
-def h01(t):
-    return scored(t).select(*TS.KEY, "n", "confidence", "band", F.to_json("penalties").alias("penalties"))
-
-
-@query("h02_conviction")
-def h02(t):
-    s = P.with_conviction(scored(t), kept_trades(t))
-    return s.select(*TS.KEY, "conviction", "conviction_label")
-
+#: Means of each half of the blocks, the best configuration in it (ties: the first), its middle rank in the other half.
+HALVES = "SELECT row_number() OVER (ORDER BY a, b, c, d) AS split, [a, b, c, d] AS half FROM (SELECT x.range AS a, y.range AS b, z.range AS c, w.range AS d FROM range(8) x, range(8) y, range(8) z, range(8) w WHERE x.range < y.range AND y.range < z.range AND z.range < w.range)"
+PARTS = f"SELECT symbol, split, c, count(*) OVER (PARTITION BY symbol, split) AS k, ins, outs FROM (SELECT symbol, split, c, round(sum(CASE WHEN list_contains(half, block) THEN m ELSE 0 END) / 4, 12) AS ins, round(sum(CASE WHEN NOT list_contains(half, block) THEN m ELSE 0 END) / 4, 12) AS outs FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY strategy, direction, config_id) AS c FROM blocks) CROSS JOIN halves GROUP BY symbol, split, c)"
+LOGITS = """SELECT symbol, split, ln(w / (1 - w)) AS logit FROM (SELECT symbol, split, least(greatest((sum(CAST(outs < best AS INT)) + 0.5 * sum(CAST(outs = best AS INT))) / any_value(k), 1e-6), 1 - 1e-6) AS w
+  FROM (SELECT *, first_value(outs) OVER (PARTITION BY symbol, split ORDER BY ins DESC, c) AS best FROM parts WHERE k >= 8) GROUP BY symbol, split)"""
+X_PBO = {"halves": HALVES, "parts": PARTS, "logits": LOGITS}
 
-@query("h03_shortlist")
-def h03(t):
-    return scored(t).select(*TS.KEY, scores.shortlist(F.col("confidence"), F.col("wilson_low"), F.col("dsr")).alias("shortlist"))
 
-
-@query("h04_artifact_note")
-def h04(t):
-    return scored(t).select(*TS.KEY, scores.artifact_note(F.col("dsr")).alias("note"))
-
-
-@query("h05_verdict")
-def h05(t):
-    return scored(t).select(*TS.KEY, scores.verdict(F.col("confidence")).alias("verdict"))
-
-
-# ---------------------------------------------------------------- pipelines of edges
-
-
-@query("i02_edge_map")
-def i02(t):
-    """The thirteen strategies on both sides with Wilder ATR, one position at a time, validated."""
-    return P.edge_map(t.bars)
-
-
-@query("i03_edge_index")
-def i03(t):
-    return P.edge_index(P.edge_map(t.bars)).withColumn("edges", F.to_json("edges"))
-
-
-@query("i04_deep_dive")
-def i04(t):
-    return P.deep_dive(t.bars, own_index(t))
-
-
-@query("i05_scanner")
-def i05(t):
-    return P.scanner(scored(t))
-
-
-@query("i06_sized_scanner")
-def i06(t):
-    return P.size_rows(P.scanner(scored(t)).join(P.last_prices(t.bars), "symbol"), budget=500_000.0, risk_pct=2.0)
-
-
-@query("i07_finder")
-def i07(t):
-    return P.finder(scored(t), P.last_prices(t.bars), capital=500_000.0, risk_pct=2.0)
-
-
-@query("i09_picks")
-def i09(t):
-    return P.picks(scored(t))
-
-
-@query("i10_target_feasibility")
-def i10(t):
-    return P.target_feasibility(scored(t))
-
-
-@query("i11_staged_orders")
-def i11(t):
-    return P.staged(P.scanner(scored(t)).join(P.last_prices(t.bars), "symbol"))
-
-
-@query("i13_setup_card")
-def i13(t):
-    return P.setup_cards(scored(t), kept_trades(t), P.last_prices(t.bars))
+@query("g14_overfit_probability", "bars", extra=X_TRADES | {"len": LEN, "blocks": BLOCKS} | X_PBO, sql="SELECT symbol, count(*) AS splits, R6(avg(CAST(logit <= 0 AS DOUBLE))) AS pbo, R6(list_sort(list(logit))[CAST(count(*) // 2 AS INT) + 1]) AS logit_median FROM logits GROUP BY symbol")
+def g14(t):
+    return V.overfit_probability(V.block_means(trades(t), lengths(t)), ["symbol"], ["strategy", "direction", "config_id"])

@@ -45,7 +45,7 @@ def with_tables(body: str, *names: str, extra: dict[str, str] | None = None) ->
     for name in names:
         need(name)
     parts = [f"{n} AS ({CTES[n][0]})" for n in order] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
-    recursive = "RECURSIVE " if "UNION ALL" in "".join(parts) else ""
+    recursive = "RECURSIVE " if "UNION" in "".join(parts) else ""
     return _expand((f"WITH {recursive}{', '.join(parts)} " if parts else "") + body)
 
 

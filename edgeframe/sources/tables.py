@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Order of lineitem rows within a day: the table has no unique key.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+#: Prices of events and line items jump without memory; these many are averaged where an operator looks for trends.
+TREND_TICKS, STEADY_DAYS = 256, 50
 #: Strategy names that the journal adapter deals out.
 STRATEGIES = ["vwap_cross", "ema_cross_9_21", "rsi_reversion", "macd_cross", "bollinger_reversion", "supertrend", "orb_15m", "donchian_breakout", "zscore_reversion", "vwap_band_reversion", "cpr_pivot", "gap_and_go", "rvol_breakout"]
 
@@ -22,6 +24,11 @@ def unit_price():
     return F.round(F.col("l_extendedprice") / F.col("l_quantity") * 10000.0) / 10000.0
 
 
+def exact_mean(price: str, w):
+    """Mean of prices of at most four places over a window, by exact sums, so that it does not depend on their order."""
+    return F.sum(F.col(price).cast("decimal(18,4)")).over(w).cast("double") / F.count(F.lit(1)).over(w)
+
+
 class Tables:
     """The logical tables of one directory."""
 
@@ -48,6 +55,24 @@ class Tables:
 
         return bars.with_positions(bars.bars_from_ticks(self.ticks, "1 hour").withColumn("tf", F.lit("60min")))
 
+    @cached_property
+    def trending(self) -> DataFrame:
+        """The ticks with prices that keep a direction for a while: means of the last TREND_TICKS prices."""
+        last = Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(-(TREND_TICKS - 1), 0)
+        return self.ticks.withColumn("ltp", exact_mean("ltp", last))
+
+    def timeframes(self, *minutes: int) -> DataFrame:
+        """Bars of several widths of the trending ticks per symbol, told apart by tf, anchored at the session open."""
+        from ..operators import bars
+
+        return bars.timeframes(bars.bars_from_ticks(self.trending, "1 minute"), list(minutes))
+
+    @cached_property
+    def steady(self) -> DataFrame:
+        """The daily table with adj_close as the mean of the last STEADY_DAYS closes."""
+        last = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(STEADY_DAYS - 1), 0)
+        return self.daily.withColumn("adj_close", exact_mean("close", last))
+
     @cached_property
     def daily(self) -> DataFrame:
         """symbol, date, open, high, low, close, adj_close, volume of one supplier's line items."""
@@ -115,9 +140,20 @@ class Tables:
 
     @cached_property
     def returns(self) -> DataFrame:
-        """symbol (a vector), session, value: one return series per embedding."""
-        e = self.raw("embeddings")
-        return e.select(F.col("vec_id").alias("symbol"), (F.col("vec_id") % 10).alias("account_id"), F.posexplode("embedding").alias("session", "value")).withColumn("value", F.col("value").cast("double"))
+        """symbol (a vector), session, value: one return series per embedding, drawn to the first of each three; fifty names an account."""
+        e = self.raw("embeddings").select(F.col("vec_id").alias("symbol"), F.posexplode("embedding").alias("session", "value")).withColumn("value", F.col("value").cast("double"))
+        lead = e.where("symbol % 3 = 0").select(F.col("symbol").alias("__lead"), "session", F.col("value").alias("__v"))
+        drawn = e.withColumn("__lead", F.col("symbol") - F.col("symbol") % 3).join(lead, ["__lead", "session"])
+        return drawn.select("symbol", F.floor(F.col("symbol") / 50).alias("account_id"), "session", (F.col("value") + 1.5 * F.col("__v")).alias("value"))
+
+
+def timeframe_sql(*minutes: int, open_minute: int = 555) -> str:
+    """The bars of ``Tables.timeframes`` as SQL, where symbol and timeframe are one name (``click@15min``)."""
+    widths = ", ".join(f"({m})" for m in minutes)
+    return f"""SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS day_id, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_idx FROM (
+      SELECT symbol || '@' || m || 'min' AS symbol, make_timestamp((slot * m + {open_minute}) * 60000000) AS ts, CAST(make_timestamp((slot * m + {open_minute}) * 60000000) AS DATE) AS session_date,
+        arg_min(ltp, t) AS open, max(ltp) AS high, min(ltp) AS low, arg_max(ltp, t) AS close, CAST(sum(ltq) AS DOUBLE) AS volume
+      FROM (SELECT symbol, ts AS t, ltp, ltq, m, CAST(floor((floor(epoch(ts) / 60) - {open_minute}) / m) AS BIGINT) AS slot FROM trending CROSS JOIN (VALUES {widths}) v(m)) GROUP BY symbol, m, slot)"""
 
 
 #: The same tables as SQL common table expressions for an ANSI engine.
@@ -128,6 +164,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         event_id % 997 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS latency_us FROM events""",
         (),
     ),
+    "trending": (f"SELECT * REPLACE (CAST(sum(CAST(ltp AS DECIMAL(18,4))) OVER w AS DOUBLE) / count(*) OVER w AS ltp) FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN {TREND_TICKS - 1} PRECEDING AND CURRENT ROW)", ("ticks",)),
+    "steady": (f"SELECT * REPLACE (CAST(sum(CAST(close AS DECIMAL(18,4))) OVER w AS DOUBLE) / count(*) OVER w AS adj_close) FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {STEADY_DAYS - 1} PRECEDING AND CURRENT ROW)", ("daily",)),
     "bars": (
         """SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS day_id, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_idx
         FROM (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(date_trunc('hour', ts) AS DATE) AS session_date, arg_min(ltp, ts) AS open, max(ltp) AS high, min(ltp) AS low,
@@ -166,5 +204,6 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         WHERE type IS NOT NULL GROUP BY symbol, date, type""",
         (),
     ),
-    "vec_returns": ("SELECT vec_id AS symbol, vec_id % 10 AS account_id, generate_subscripts(embedding, 1) - 1 AS session, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings", ()),
+    "vectors": ("SELECT vec_id AS symbol, generate_subscripts(embedding, 1) - 1 AS session, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings", ()),
+    "vec_returns": ("SELECT e.symbol, e.symbol // 50 AS account_id, e.session, e.value + 1.5 * l.value AS value FROM vectors e JOIN vectors l ON l.symbol = e.symbol - e.symbol % 3 AND l.session = e.session", ("vectors",)),
 }

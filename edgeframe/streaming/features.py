@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TICKS = "symbol string, ts timestamp, ltp double, ltq long, volume_day long, latency_us long, event_id long"
-OUT = "symbol string, session_date date, event_id long, delta long, vwap double, dev_pct double, mean double, sd double, z double, rvol double, rsi double, block double, sweep int, atr_proxy double, latency_median long"
-STATE = "prev long, pv double, v double, prices array<double>, deltas array<double>, sizes array<double>, latencies array<long>"
+TICKS = "symbol string, ts timestamp, ltp double, ltq long, volume_day long, latency_us long, event_id long, user_id long, imbalance double"
+OUT = "symbol string, session_date date, event_id long, user_id long, imbalance double, delta long, vwap double, dev_pct double, mean double, sd double, z double, rvol double, rsi double, block double, sweep int, atr_proxy double, latency_median long"
+STATE = "prev long, pv double, v double, prices array<double>, deltas array<double>, sizes array<double>, latencies array<double>"
+PRICES, DELTAS, SIZES = 1000, 256, 64
+#: A session's state goes this long after its last instant.
+LATE = pd.Timedelta("10min")
 
 
 def read_ticks(spark: SparkSession, folder: str, files_each: int = 1) -> DataFrame:
@@ -31,45 +34,92 @@ def market_hours(ticks: DataFrame) -> DataFrame:
 
 
 def tick_rsi(prices: np.ndarray, p: int = 14) -> float:
-    """RSI of the window from its first price; 50 until there are ``p + 1`` prices, or when flat."""
-    if len(prices) <= p:
+    """RSI of the window from its first price; 50 until there are ``p + 1`` prices, or when flat.
+
+    Wilder's means are weighted sums: the seed's first ``p`` moves share what is left of its weight.
+    """
+    n = len(prices) - 1
+    if n < p:
         return 50.0
-    d = np.diff(prices)
-    gain, loss = np.maximum(d[:p], 0).mean(), np.maximum(-d[:p], 0).mean()
-    for x in d[p:]:
-        gain, loss = (gain * (p - 1) + max(x, 0)) / p, (loss * (p - 1) + max(-x, 0)) / p
-    return 50.0 if gain + loss == 0 else 100.0 * gain / (gain + loss)
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev, pv, v, prices, deltas, sizes, lat = state.get if state.exists else (None, 0.0, 0.0, [], [], [], [])
-    prices, deltas, sizes, lat = list(prices), list(deltas), list(sizes), list(lat)
-    rows = []
-    for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-        delta = 0 if prev is None else max(int(r.volume_day) - prev, 0)
-        prev, pv, v = int(r.volume_day), pv + r.ltp * delta, v + delta
-        vwap = pv / v if v > 0 else r.ltp
-        prices = [*prices, float(r.ltp)][-1000:]
-        x = np.array(prices)
-        sd = float(x.std())
-        deltas = [*deltas, float(delta)][-256:] if delta > 0 else deltas
-        before = sizes[-63:]
-        block = r.ltq / np.mean(before) if len(before) >= 5 and np.mean(before) > 0 else 0.0
-        sizes = [*sizes, float(r.ltq)][-64:]
-        lat = [*lat, int(r.latency_us)][-256:]
-        steps = np.diff(x[-7:])
-        one_way = 1 if len(steps) == 6 and (steps > 0).all() else -1 if len(steps) == 6 and (steps < 0).all() else 0
-        rows.append((
-            key[0], key[1], int(r.event_id), delta, vwap, (r.ltp - vwap) * 100 / vwap if vwap else None, float(x.mean()), sd, (r.ltp - x.mean()) / sd if sd > 0 else 0.0,
-            deltas[-1] / np.mean(deltas) if deltas else None, tick_rsi(x), float(block), one_way if block > 1 else 0, max(sd, 0.002 * r.ltp), int(np.median(lat)),
-        ))
-    state.update((prev, float(pv), float(v), prices, deltas, sizes, lat))
-    yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUT.split(",")])
-
-
-def tick_features(ticks: DataFrame) -> DataFrame:
-    keyed = ticks.withColumn("session_date", F.to_date("ts"))
-    return keyed.groupBy("symbol", "session_date").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    d, keep = np.diff(prices), (p - 1) / p
+    weight = np.r_[np.full(p, keep ** (n - p) / p), keep ** np.arange(n - p - 1, -1, -1) / p]
+    gain, loss = weight @ np.maximum(d, 0), weight @ np.maximum(-d, 0)
+    return 50.0 if gain + loss == 0 else float(100.0 * gain / (gain + loss))
+
+
+def _trailing(old: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and for each new one the first of the ``most`` values up to it."""
+    both = np.r_[old, new]
+    ends = len(old) + np.arange(1, len(new) + 1)
+    return both, np.maximum(ends - most, 0)
+
+
+def _means(values: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.r_[0.0, np.cumsum(values)]
+    return (sums[ends] - sums[first]) / np.maximum(ends - first, 1)
+
+
+def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    """Features of the ticks of one (symbol, session), in event-time order, after what ``state`` keeps of those before."""
+    prev, pv, v, prices, deltas, sizes, lat = state or (None, 0.0, 0.0, [], [], [], [])
+    rows = rows.sort_values(["ts", "event_id"])
+    n, ltp, volume, ltq = len(rows), rows["ltp"].to_numpy(float), rows["volume_day"].to_numpy(np.int64), rows["ltq"].to_numpy(float)
+    delta = np.maximum(np.diff(volume, prepend=volume[0] if prev is None else prev), 0)
+    pvs, vs = pv + np.cumsum(ltp * delta), v + np.cumsum(delta)
+    vwap = np.where(vs > 0, pvs / np.where(vs > 0, vs, 1), ltp)
+
+    x, first = _trailing(np.array(prices, float), ltp, PRICES)
+    ends = len(prices) + np.arange(1, n + 1)
+    shifted = x - x[0]
+    mean = _means(shifted, first, ends)
+    sd = np.sqrt(np.maximum(_means(shifted**2, first, ends) - mean**2, 0.0))
+    mean += x[0]
+
+    moved = delta > 0
+    d, d_first = _trailing(np.array(deltas, float), delta[moved].astype(float), DELTAS)
+    count = len(deltas) + np.cumsum(moved)  # deltas up to each tick
+    from_ = np.maximum(count - DELTAS, 0)
+    rvol = np.where(count > 0, d[np.maximum(count - 1, 0)] / _means(d, from_, np.maximum(count, 1)), np.nan) if len(d) else np.full(n, np.nan)
+
+    q, _ = _trailing(np.array(sizes, float), ltq, SIZES)
+    q_ends = len(sizes) + np.arange(n)
+    q_first = np.maximum(q_ends - (SIZES - 1), 0)
+    usual = _means(q, q_first, q_ends)
+    block = np.where((q_ends - q_first >= 5) & (usual > 0), ltq / np.where(usual > 0, usual, 1), 0.0)
+
+    steps = np.sign(np.diff(x, prepend=x[0]))
+    run = np.r_[0.0, np.cumsum(steps)]
+    enough = (ends >= 7) & (ends - first >= 7)
+    whole = run[ends] - run[np.maximum(ends - 6, 0)]
+    one_way = np.where(enough & (whole == 6), 1, np.where(enough & (whole == -6), -1, 0))
+
+    t, t_first = _trailing(np.array(lat, float), rows["latency_us"].to_numpy(float), DELTAS)
+    t_ends = len(lat) + np.arange(1, n + 1)
+    out = pd.DataFrame({
+        "event_id": rows["event_id"].to_numpy(), "user_id": rows["user_id"].to_numpy(), "imbalance": rows["imbalance"].to_numpy(float), "delta": delta, "vwap": vwap,
+        "dev_pct": np.where(vwap != 0, (ltp - vwap) * 100 / np.where(vwap != 0, vwap, 1), np.nan), "mean": mean, "sd": sd, "z": np.where(sd > 0, (ltp - mean) / np.where(sd > 0, sd, 1), 0.0), "rvol": rvol,
+        "rsi": [tick_rsi(x[a:b]) for a, b in zip(first, ends)], "block": block, "sweep": np.where(block > 1, one_way, 0).astype(np.int32), "atr_proxy": np.maximum(sd, 0.002 * ltp),
+        "latency_median": [int(np.median(t[a:b])) for a, b in zip(t_first, t_ends)],
+    })
+    kept = (int(volume[-1]), float(pvs[-1]), float(vs[-1]), x[-PRICES:].tolist(), d[-DELTAS:].tolist(), q[-SIZES:].tolist(), t[-DELTAS:].tolist())
+    return out, kept
+
+
+def _keyed_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    out, kept = step(pd.concat(list(batches)), state.get if state.exists else None)
+    state.update(kept)
+    # The watermark has passed the end of the session when this time is reached: no tick of it can come.
+    state.setTimeoutTimestamp(int((pd.Timestamp(key[1]) + pd.Timedelta("1D") + LATE).timestamp() * 1000))
+    yield out.assign(symbol=key[0], session_date=key[1])[[c.strip().split(" ")[0] for c in OUT.split(",")]]
+
+
+def tick_features(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Features of every tick; the state of a session is dropped when the watermark has passed its end."""
+    keyed = ticks.withWatermark("ts", late).withColumn("session_date", F.to_date("ts"))
+    return keyed.groupBy("symbol", "session_date").applyInPandasWithState(_keyed_step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bars_with_watermark(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -79,15 +129,24 @@ def bars_with_watermark(ticks: DataFrame, width: str = "5 minutes", late: str =
     ).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def not_frozen(rows: DataFrame, breaker: DataFrame | None) -> DataFrame:
+    """Rows without those of accounts (user_id) that the breaker (account_id, frozen) holds."""
+    return rows if breaker is None else rows.join(breaker.where("frozen").select(F.col("account_id").alias("user_id")), "user_id", "left_anti")
+
+
 def rank_each_batch(edges: DataFrame, breaker: DataFrame | None, sink: Callable[[DataFrame, int], None], k: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` step: last features per symbol, joined to edges, ranked; nothing while the breaker is frozen."""
+    """A ``foreachBatch`` step: last features per symbol of accounts that are not frozen, joined to edges, scored with the
+    book's imbalance and the distance from VWAP, ranked."""
     from ..operators.ticks import live_score, rank_snapshot
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy("symbol").agg(*[F.max_by(c, "event_id").alias(c) for c in ("vwap", "dev_pct", "z")])
-        rows = last.join(edges, "symbol").withColumn("score", F.col("shrunk") * live_score(F.lit(None).cast("double"), F.col("dev_pct"), F.col("direction") == "BUY"))
-        if breaker is not None:
-            rows = rows.crossJoin(F.broadcast(breaker.agg(F.coalesce(F.max("frozen"), F.lit(False)).alias("__f")))).where("NOT __f").drop("__f")  # one row
+    def ranked(batch: DataFrame, epoch: int) -> None:
+        last = not_frozen(batch, breaker).groupBy("symbol").agg(*[F.max_by(c, "event_id").alias(c) for c in ("vwap", "dev_pct", "z", "imbalance")])
+        rows = last.join(edges, "symbol").withColumn("score", F.col("shrunk") * live_score(F.col("imbalance"), F.col("dev_pct"), F.col("direction") == "BUY"))
         sink(rank_snapshot(rows, k), epoch)
 
-    return step
+    return ranked
+
+
+def keep_unfrozen(breaker: DataFrame, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` step that passes on the rows of accounts that are not frozen."""
+    return lambda batch, epoch: sink(not_frozen(batch, breaker), epoch)
