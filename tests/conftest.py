@@ -26,6 +26,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from edgeframe.sources import stage
+
+    stage.release(session)
     session.stop()
 
 
