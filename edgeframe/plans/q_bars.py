@@ -76,7 +76,7 @@ SESSIONS = "SELECT symbol, session_date, min(day_id) AS day_id, min(bar_idx) AS
 
 @query("b08_session_bars", "bars", sql=f"SELECT symbol, {DAY}, day_id, start_idx, R6(open) AS open, R6(high) AS high, R6(low) AS low, R6(close) AS close, volume, bars FROM ({SESSIONS})")
 def b08(t):
-    return day(B.session_bars(t.bars))
+    return day(B.session_bars(t.bars).drop("tf"))
 
 
 PRIOR = "SELECT symbol, session_date, open AS session_open, lag(high) OVER w AS prev_high, lag(low) OVER w AS prev_low, lag(close) OVER w AS prev_close FROM sessions WINDOW w AS (PARTITION BY symbol ORDER BY session_date)"
