@@ -63,7 +63,7 @@ def learn(docs: DataFrame, smoothing: float = 0.5, most_languages: int = 1000) -
             yield pd.DataFrame({"lang": lang, "bin": bins, "n": n[bins]})
 
     taught = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    if taught.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+    if docs.where("lang IS NOT NULL").select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"over {most_languages} values of lang: not a language column")
     rows = taught.mapInPandas(count, "lang string, bin int, n long")
     table = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
