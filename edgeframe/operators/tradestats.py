@@ -48,8 +48,7 @@ def curve_stats(trades: DataFrame, keys: list[str] = KEY, recent: int = 20) -> D
     keys = keys or keys_of(trades)
     c = with_curve(trades, keys)
     streaks = c.where("r <= 0").groupBy(*keys, "wins_before").count().groupBy(*keys).agg(F.max("count").alias("loss_streak"))
-    back = Window.partitionBy(*keys).orderBy(F.desc("entry_idx"))
-    c = c.withColumn("from_end", F.row_number().over(back))
+    c = c.withColumn("from_end", F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.col("nth") + 1)
     per = c.groupBy(*keys).agg(
         F.max(F.col("peak") - F.col("equity")).alias("max_dd"), F.sum("r").alias("total_r"),
         (F.avg(F.when(F.col("from_end") <= recent, (F.col("r") > 0).cast("double"))) * 100).alias("recent_win_pct"),
