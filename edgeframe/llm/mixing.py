@@ -11,7 +11,7 @@ doc_id alone (documents that share one stand by size and text), so reruns agree.
 Defined cases: null text has size 0; null is a source of its own; a null doc_id is an id like any
 other; documents of size 0 take 0; repeated rows are separate documents side by side; an empty table
 gives no rows; other columns are ignored. A source is never held by one task: its keys are split into
-ranges of about ``range_rows`` documents.
+about as many ranges as each then has documents.
 """
 
 from __future__ import annotations
@@ -49,9 +49,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return per.select("src", "source_size", F.least(stop.cast("double"), free).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, range_rows: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, key_digits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted), start (words before it in its
-    source), and the columns ``keep`` of ``docs``."""
+    source), and the columns ``keep`` of ``docs``. ``key_digits`` makes 16 to that power ranges, by default from the counts."""
     sized = docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("src"),
@@ -62,9 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     )
     sized = durable(sized, "mix-sizes")
     most = sized.groupBy("src").count().agg(F.max("count")).first()[0] or 0
-    digits = 1
-    while 16**digits * range_rows < most:
-        digits += 1
+    digits = key_digits or next(d for d in range(1, 16) if 16 ** (2 * d) >= most)
     placed = prefix_sums(sized.withColumn("range", F.substring("key", 1, digits)), ["src"], "range", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("same")], "size", "start")
     budget = F.floor(F.col("target") + F.lit(0.5))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
