@@ -233,15 +233,15 @@ def slot_table(packed: list[tuple[list[tuple[int, int]], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "last", "copies", "base", "at"]).astype("int64")
 
 
-def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = 4096, end_id: int = 1, range_rows: int = 1 << 16) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces of one length are ranked in buckets
-    of about ``range_rows``."""
+def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces of one length are ranked in about
+    as many buckets as each then has pieces."""
     pieces = token_pieces(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json"), capacity, end_id)
     pieces = durable(pieces, "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most one row per length
         counts[row["length"]] = row["count"]
-    buckets = max(1, -(-int(counts.max()) // range_rows))
+    buckets = max(1, int(np.sqrt(counts.max())))
     mark = F.xxhash64("doc_id", "piece", "ids_crc32")
     slots = slot_table(pack_histogram(counts, capacity))
     spark = docs.sparkSession
