@@ -23,29 +23,31 @@ def first_touch(entries: DataFrame, bars: DataFrame, cost: float = 0.0) -> DataF
     """Outcome of each entry (symbol, session_date, strategy, direction, config_id, k, rr, entry_idx, entry, atr).
 
     Entries meet the later bars of their own series and session only: the join is an equality on those,
-    so its fan-out is bounded by the bars of one session.
+    so its fan-out is bounded by the bars of one session. What it gives is only counted and compared, in
+    aggregates that shrink it before any shuffle: once for the first touch of either level, once, over the bars up
+    to the exit, for the adverse excursion.
     """
     keys, own = group(entries), series(entries)
     sign = F.when(F.col("direction") == "BUY", 1.0).otherwise(-1.0)
     e = entries.where("atr > 0").withColumn("sign", sign).withColumn("risk", F.col("k") * F.col("atr"))
     e = e.withColumn("stop", F.col("entry") - F.col("sign") * F.col("risk")).withColumn("target", F.col("entry") + F.col("sign") * F.col("rr") * F.col("risk"))
+    each = [*keys, "entry_idx", "entry", "risk", "sign", "stop", "target", "k", "rr"]
     later = bars.select(*own, "session_date", "bar_idx", "high", "low", "close")
-    pairs = e.join(later, [*own, "session_date"]).where("bar_idx > entry_idx")
-    long = F.col("sign") > 0
-    pairs = pairs.withColumn("hit_stop", F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")))
-    pairs = pairs.withColumn("hit_target", F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target")))
-    one = Window.partitionBy(*keys, "entry_idx")
-    touched = F.min(F.when(F.col("hit_stop") | F.col("hit_target"), F.col("bar_idx"))).over(one)
-    pairs = pairs.withColumn("exit_idx", F.coalesce(touched, F.max("bar_idx").over(one))).where("bar_idx <= exit_idx")
-    adverse = F.greatest(F.when(long, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")), F.lit(0.0)) / F.col("risk")
-    at_exit = F.col("bar_idx") == F.col("exit_idx")
-    price = F.when(F.col("hit_stop"), F.col("stop")).when(F.col("hit_target"), F.col("target")).otherwise(F.col("close"))
-    out = pairs.groupBy(*keys, "entry_idx").agg(
-        *[F.first(c).alias(c) for c in ("entry", "risk", "sign", "exit_idx", "k", "rr")], F.max(F.when(at_exit, price)).alias("exit_price"),
-        F.max(F.when(at_exit, F.col("hit_stop") & F.col("hit_target"))).alias("ambiguous"), F.max(adverse).alias("mae_r"),
-    )
+    after = lambda t: t.join(later, [*own, "session_date"]).where("bar_idx > entry_idx")
+    long, at = F.col("sign") > 0, F.col("bar_idx")
+    hit_stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
+    hit_target = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    t = after(e.select(*each)).groupBy(*each).agg(
+        F.min(F.when(hit_stop, at)).alias("stop_idx"), F.min(F.when(hit_target, at)).alias("target_idx"), F.max(at).alias("last_idx"), F.max_by("close", at).alias("last_close")
+    )
+    t = t.withColumn("exit_idx", F.coalesce(F.least("stop_idx", "target_idx"), F.col("last_idx")))
+    at_stop, at_target = (F.coalesce(F.col(c) == F.col("exit_idx"), F.lit(False)) for c in ("stop_idx", "target_idx"))
+    price = F.when(at_stop, F.col("stop")).when(at_target, F.col("target")).otherwise(F.col("last_close"))
     r = F.col("sign") * (F.col("exit_price") - F.col("entry")) / F.col("risk") - cost * F.col("entry") / F.col("risk")
-    return out.withColumn("r", r).drop("sign")
+    t = t.withColumn("exit_price", price).withColumn("ambiguous", at_stop & at_target).withColumn("r", r)
+    adverse = F.greatest(F.when(long, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")), F.lit(0.0)) / F.col("risk")
+    done = [*keys, "entry_idx", "entry", "risk", "sign", "exit_idx", "k", "rr", "exit_price", "ambiguous", "r"]
+    return after(t.select(*done)).where("bar_idx <= exit_idx").groupBy(*done).agg(F.max(adverse).alias("mae_r")).drop("sign")
 
 
 def one_at_a_time(trades: DataFrame) -> DataFrame:
@@ -53,13 +55,14 @@ def one_at_a_time(trades: DataFrame) -> DataFrame:
 
     Positions end with their session, so the chain is cut by session and a group is a handful of rows.
     """
-    chain = F.expr(
-        """aggregate(array_sort(collect_list(struct(entry_idx, exit_idx))), named_struct('free', -1, 'keep', CAST(array() AS ARRAY<INT>)),
-        (a, x) -> IF(x.entry_idx > a.free, named_struct('free', CAST(x.exit_idx AS INT), 'keep', concat(a.keep, array(CAST(x.entry_idx AS INT)))), a)).keep"""
-    )
     keys = group(trades)
-    kept = trades.groupBy(*keys).agg(chain.alias("keep")).select(*keys, F.explode("keep").alias("entry_idx"))
-    return trades.join(kept.withColumn("entry_idx", F.col("entry_idx").cast(trades.schema["entry_idx"].dataType)), [*keys, "entry_idx"])
+    others = [c for c in trades.columns if c not in keys and c not in ("entry_idx", "exit_idx")]
+    held = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_idx", "exit_idx", *others))).alias("t"))
+    kept = F.expr(
+        """aggregate(t, named_struct('free', -1L, 'keep', CAST(array() AS ARRAY<LONG>)),
+        (a, x) -> IF(x.entry_idx > a.free, named_struct('free', CAST(x.exit_idx AS LONG), 'keep', concat(a.keep, array(CAST(x.entry_idx AS LONG)))), a)).keep"""
+    )
+    return held.withColumn("keep", kept).select(*keys, F.inline(F.expr("filter(t, x -> array_contains(keep, CAST(x.entry_idx AS LONG)))")))
 
 
 def resolve_intrabar(trades: DataFrame, finer: DataFrame) -> DataFrame:

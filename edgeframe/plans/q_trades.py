@@ -89,13 +89,13 @@ LEN = "SELECT symbol, count(*) AS total FROM bars GROUP BY symbol"
 
 
 def entries(t):
-    ind = P.with_mean_atr(C.windowed(t.bars))
+    ind = P.with_mean_atr(C.windowed(t.kept_bars))
     sig = D.signals(ind.withColumn("entry_idx", F.col("bar_idx")).withColumn("entry", F.col("close")), D.WINDOWED, ["symbol", "session_date", "entry_idx", "entry", "atr"])
     return sig.join(F.broadcast(E.configs(t.spark, CONFIGS)))
 
 
 def touch(t):
-    return E.first_touch(entries(t), t.bars, COST)
+    return E.first_touch(entries(t), t.kept_bars, COST)
 
 
 def trades(t):
@@ -103,7 +103,7 @@ def trades(t):
 
 
 def lengths(t):
-    return t.bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
+    return t.kept_bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
 
 
 # ---------------------------------------------------------------- signals

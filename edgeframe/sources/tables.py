@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stage import durable
+
 #: Order of lineitem rows within a day: the table has no unique key.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
 #: Prices of events and line items jump without memory; these many are averaged where an operator looks for trends.
@@ -24,9 +26,13 @@ def unit_price():
     return F.round(F.col("l_extendedprice") / F.col("l_quantity") * 10000.0) / 10000.0
 
 
-def exact_mean(price: str, w):
-    """Mean of prices of at most four places over a window, by exact sums, so that it does not depend on their order."""
-    return F.sum(F.col(price).cast("decimal(18,4)")).over(w).cast("double") / F.count(F.lit(1)).over(w)
+def exact_mean(price: str, w, n: int):
+    """Mean of the last ``n`` prices (of at most four places) in the order of ``w``: a difference of exact running sums,
+    so that it costs the same for any ``n`` and does not depend on the order of additions."""
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.col(price).cast("decimal(18,4)"))
+    before = F.coalesce(F.sum(F.col(price).cast("decimal(18,4)")).over(w.rowsBetween(Window.unboundedPreceding, -n)), F.lit(0))
+    return (total.over(run) - before).cast("double") / F.least(F.row_number().over(w), F.lit(n))
 
 
 class Tables:
@@ -34,6 +40,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._timeframes: dict[tuple[int, ...], DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -58,20 +65,25 @@ class Tables:
     @cached_property
     def trending(self) -> DataFrame:
         """The ticks with prices that keep a direction for a while: means of the last TREND_TICKS prices."""
-        last = Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(-(TREND_TICKS - 1), 0)
-        return self.ticks.withColumn("ltp", exact_mean("ltp", last))
+        return self.ticks.withColumn("ltp", exact_mean("ltp", Window.partitionBy("symbol").orderBy("ts", "event_id"), TREND_TICKS))
+
+    @cached_property
+    def kept_bars(self) -> DataFrame:
+        """``bars``, written once for plans that read them several times."""
+        return durable(self.bars, "bars")
 
     def timeframes(self, *minutes: int) -> DataFrame:
-        """Bars of several widths of the trending ticks per symbol, told apart by tf, anchored at the session open."""
+        """Bars of several widths of the trending ticks per symbol, told apart by tf, anchored at the session open; written once."""
         from ..operators import bars
 
-        return bars.timeframes(bars.bars_from_ticks(self.trending, "1 minute"), list(minutes))
+        if minutes not in self._timeframes:
+            self._timeframes[minutes] = durable(bars.timeframes(bars.bars_from_ticks(self.trending, "1 minute"), list(minutes)), "timeframes")
+        return self._timeframes[minutes]
 
     @cached_property
     def steady(self) -> DataFrame:
         """The daily table with adj_close as the mean of the last STEADY_DAYS closes."""
-        last = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(STEADY_DAYS - 1), 0)
-        return self.daily.withColumn("adj_close", exact_mean("close", last))
+        return self.daily.withColumn("adj_close", exact_mean("close", Window.partitionBy("symbol").orderBy("date"), STEADY_DAYS))
 
     @cached_property
     def daily(self) -> DataFrame:
