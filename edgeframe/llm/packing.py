@@ -32,7 +32,7 @@ from .common import durable, prefix_sums
 # ---------------------------------------------------------------- tokens
 
 #: Chunks of these characters only split into words by WORD exactly as the tokenizer splits them.
-PLAIN = "^[\\x21-\\x7e\\x{c0}-\\x{17f}\\x{2010}-\\x{2027}]*$"
+PLAIN = "^[\\x21-\\x7e\\x{a1}-\\x{17f}\\x{400}-\\x{45f}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{20a0}-\\x{20bf}]*$"
 #: The pre-tokenizer's pattern (a fixed value).
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|\\pL+|\\pN|[^\\s\\pL\\pN]+"
 
