@@ -17,7 +17,7 @@ from ..sources.stage import durable
 from ..sources.tables import CTES, timeframe_sql
 from . import pipelines as P
 from .q_bars import EXTRA, X_SUPER, ema_sql, rma_sql
-from .q_trades import BLOCKS, COST, CURVE, EXITS, HITS, IND2, K4, LEN, NEXT, OWN_INDEX, REGIME, RULES, SHARPE, SPLIT, STATS, TOUCH, TOUCH_R, TRADES, X_PBO, _phi, _wf, _x, deflated_sql, ent_sql, own_index, sig_sql
+from .q_trades import BLOCKS, CURVE, EXITS, HITS, IND2, K4, LEN, NEXT, OWN_INDEX, REGIME, RULES, SHARPE, SPLIT, STATS, TOUCH, TOUCH_R, TRADES, X_PBO, _wf, _x, deflated_sql, ent_sql, own_index, sig_sql
 from .q_trades import CHAIN as CHAIN_SQL
 from .registry import query
 

@@ -7,7 +7,6 @@ from pyspark.sql.window import Window
 
 from ..operators import context as X
 from ..operators import journal as L
-from .q_bars import day
 from .registry import query
 
 ACC = ["account_id"]
