@@ -34,17 +34,27 @@ from .common import durable, prefix_sums
 #: Chunks of these characters only split into words by WORD exactly as the tokenizer splits them.
 PLAIN = "^[\\x21-\\x7e\\x{a1}-\\x{17f}\\x{400}-\\x{45f}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{20a0}-\\x{20bf}]*$"
 #: The pre-tokenizer's pattern (a fixed value).
-WORD = "'s|'t|'re|'ve|'m|'ll|'d|\\pL+|\\pN|[^\\s\\pL\\pN]+"
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of ``ids`` one after another, where each begins and the last one ends)."""
+    place = np.r_[0, np.cumsum(size)]
+    return ids[np.repeat(start - place[:-1], size) + np.arange(place[-1])], place
 
 
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes. No token spans ASCII white space, so what stands between it
-    (a chunk) is tokenized once for each run of texts: plain chunks together, the others each by itself."""
+    (a chunk) is coded once for each run of texts: plain chunks by their words, the others each by itself.
+    The ids of words are kept for the runs that follow."""
 
     #: Characters of text taken at once; a longer text is taken alone.
     AT_ONCE = 1 << 23
+    #: Once more words than these are kept, the next run of texts starts anew.
+    KEPT = 1 << 19
 
     def __init__(self, tokenizer_file: str):
+        import regex
         from tokenizers import Tokenizer, normalizers
 
         # Spark's tasks use the cores already
@@ -57,17 +67,35 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.split = regex.compile(f"\n|{WORD}").findall
+        self._forget()
 
-    def _plain_ids(self, chunks: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in turn, number of each chunk's ids)."""
-        lines = [" ".join(chunks[i : i + at_once]) for i in range(0, len(chunks), at_once)]
+    def _forget(self) -> None:
+        # The line feed, which stands between chunks, is the first word and has no ids.
+        self.words = {"\n": 0}
+        self.kept, self.start, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str], at_once: int = 2000) -> None:
+        lines = [" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]
         ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]])
-        # The ids at which words end, and the number of words of each chunk, tell the chunks' ids apart.
+        # The ids at which words end tell the words' ids apart.
         ends = np.r_[0, np.flatnonzero(self.last[ids]) + 1]
-        words = np.r_[0, np.cumsum(pc.count_substring_regex(pa.array(chunks, pa.string()), WORD).to_numpy())]
-        if words[-1] != len(ends) - 1:
+        if len(words) != len(ends) - 1:
             raise ValueError("the tokenizer splits words in another way")
-        return ids, np.diff(ends[words])
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.start, self.size = np.r_[self.start, len(self.kept) + ends[:-1]], np.r_[self.size, np.diff(ends)]
+        self.kept = np.r_[self.kept, ids]
+
+    def _plain_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in turn, number of each chunk's ids)."""
+        words = self.split("\n".join(chunks))
+        if len(self.words) > self.KEPT:
+            self._forget()
+        self._learn(list(set(words).difference(self.words)))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        ids, place = _gather(self.kept, self.start[at], self.size[at])
+        ends = place[np.r_[np.flatnonzero(at == 0), len(at)]]
+        return ids, np.diff(np.r_[0, ends])[: len(chunks)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
@@ -85,9 +113,8 @@ class WordIds:
         start[plain], size[plain] = (np.cumsum(fast_sizes) - fast_sizes)[of], fast_sizes[of]
         start[~plain], size[~plain] = len(fast) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
         at = coded.indices.to_numpy()
-        sizes = size[at]
-        place = np.r_[0, np.cumsum(sizes)]
-        raw = ids[np.repeat(start[at] - place[:-1], sizes) + np.arange(place[-1])].tobytes()
+        stream, place = _gather(ids, start[at], size[at])
+        raw = stream.tobytes()
         bounds = (4 * place[lists.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
