@@ -133,13 +133,14 @@ def test_packing_none(spark):
     assert twice.groupby("sequence_id").length.sum().max() <= 4096 and not twice.duplicated(["sequence_id", "offset"]).any()
 
 
+@pytest.mark.parametrize("kept", [0, 30, 1 << 19])
 @pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
-def test_word_ids(at_once):
-    """Ids by distinct chunks are those of the tokenizer, whatever the runs of texts."""
+def test_word_ids(at_once, kept):
+    """Ids by distinct chunks are those of the tokenizer, whatever the runs of texts and however many words stay known."""
     import public_tokenizers
 
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    words.AT_ONCE = at_once
+    words.AT_ONCE, words.KEPT = at_once, kept
     r = np.random.default_rng(at_once)
     bits = ["don't", "'S", "we'll", "O''s", "a_b", "9", "42x", "ß", "Ĳ", "İ", "ŉ", "×", "…", "--", "<|endoftext|>", "</w>", " ", "\t", "\n", "\r\n", "Ünï", "s" * 300, ".,", "'"]
     bits += ["¿", "¡", "«hola»", "€5", "£", "Σίσυφος", "ΑΣ", "Σ"]
