@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, langid, line_dedup, media, mixing, packing, quality, simhash, syncmers
+from . import chat, html_extract, langid, line_dedup, media, mixing, packing, periods, pq, quality, simhash, syncmers, topk
 from .common import table
 
 
@@ -59,13 +59,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_simhash,
         op6_language_id, op7_media_columns, op8_document_fingerprints, op9_chat_formatting, op10_mixing,
+        op11_vector_codes, op12_periodic_runs, op13_exact_top_k,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE,
+        "op11_vector_codes": pq.ORACLE, "op13_exact_top_k": topk.ORACLE,
+    }
