@@ -117,7 +117,7 @@ def stretches(x: np.ndarray, sizes: np.ndarray, first: int = 1, last: int | None
 
 def tiles(n: int, tile_words: int) -> Iterator[tuple[int, int, int | None, int]]:
     """(begin, end, first octave, last octave or 0 for all) of the tiles of a text of ``n`` words."""
-    p, first = max(1, tile_words // _LONG), 1
+    p, first = 1 << (max(1, tile_words // _LONG).bit_length() - 1), 1
     while _LONG * p < n:
         for at in range(0, n, (_LONG - _SHARED) * p):
             yield at, min(n, at + _LONG * p), first, p
