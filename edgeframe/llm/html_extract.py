@@ -97,6 +97,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
 STOP = re.compile(r"[>=]")
+LONG_NUMBER = re.compile(r"&#([0-9]{8,});?")
 SPLIT = re.compile(r"[^a-z]+")
 PUNCT = re.compile(r"[.,;:!?]")
 WORDS = re.compile(r"[^\W\d_]{4,}|©")
@@ -122,8 +123,13 @@ class Tree:
         return [x for t, x in zip(self.tag, self.text) if t == "#"]
 
 
-def _mark(attrs: str) -> tuple[int, int]:
-    """Bits of the token groups in class, id, role and the like; the truth that training layouts carry."""
+def unescape(text: str) -> str:
+    """Character references decoded; numbers beyond the last code point, however long, are U+FFFD."""
+    return htmllib.unescape(LONG_NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'};", text))
+
+
+def _mark(attrs: str, layout: bool) -> tuple[int, int]:
+    """Bits of the token groups in class, id, role and the like; the truth, which only generated layouts carry."""
     mark, truth = 0, -1
     for name, a, b, c in ATTR.findall(attrs):
         value = (a or b or c).lower()
@@ -134,7 +140,7 @@ def _mark(attrs: str) -> tuple[int, int]:
             for token in SPLIT.split(value):
                 for g in TOKEN_GROUP.get(token, ()):
                     mark |= 1 << g
-        elif name == "data-truth":
+        elif name == "data-truth" and layout:
             truth = int(value)
     if HIDDEN.search(attrs):
         mark |= 1 << (GROUPS - 1)
@@ -155,7 +161,8 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
-def parse(page: str) -> Tree:
+def parse(page: str, layout: bool = False) -> Tree:
+    """``layout``: a generated page, whose attributes tell the truth; on others they mean nothing."""
     tree = Tree()
     now = tree.add("html", -1)
     stack: list[tuple[str, int]] = []  # open elements, inline ones too, with the block each stands in
@@ -168,7 +175,7 @@ def parse(page: str) -> Tree:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(htmllib.unescape("".join(parts)).split())
+            text = " ".join(unescape("".join(parts)).split())
             if text:
                 tree.add("#", now, 0, tree.truth[now], text, min(linked, len(text)))
             parts.clear()
@@ -252,7 +259,7 @@ def parse(page: str) -> Tree:
             continue
         if tag in ("html", "body"):
             flush()
-            tree.truth[now] = max(tree.truth[now], _mark(attrs)[1])
+            tree.truth[now] = max(tree.truth[now], _mark(attrs, layout)[1])
             continue
         before = now
         if tag in BLOCKS:
@@ -267,7 +274,7 @@ def parse(page: str) -> Tree:
                     break
             flush()
             before = now
-            mark, truth = _mark(attrs) if attrs else (0, -1)
+            mark, truth = _mark(attrs, layout) if attrs else (0, -1)
             blocks.append(len(stack))
             now = tree.add(tag, now, mark, truth if truth != -1 else tree.truth[now])
         else:
@@ -624,7 +631,7 @@ def train(pages: list[str], layouts: int = 4, seed: int = 7) -> gbdt.Trees:
         for _ in range(layouts):
             some = good[: r.choice([1, 2, 3, 5, 40])]
             short = [_Layout.cut(None, s, 60) for s in some] if r.random() < 0.15 else some
-            trees.append(parse(_Layout(r, short, bad + other[1:4]).page()))
+            trees.append(parse(_Layout(r, short, bad + other[1:4]).page(), layout=True))
     truth = np.concatenate([labels(t) for t in trees])
     known = np.flatnonzero(truth >= 0)
     return gbdt.fit(features(trees, forest(trees))[known], truth[known].astype(float), trees=80, depth=5, every=3)

@@ -68,7 +68,7 @@ def test_held_out_layouts(model):
     for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():
         good, bad = H._pieces(page)
         for _ in range(4):
-            t = H.parse(H._Layout(r, good[: r.choice([2, 5, 40])], bad).page())
+            t = H.parse(H._Layout(r, good[: r.choice([2, 5, 40])], bad).page(), layout=True)
             f = H.forest([t])
             kept = H.decode(f, model.logit(H.features([t], f)))
             marks = [(x == 1, k) for tag, x, k in zip(t.tag, t.truth, kept) if tag == "#" and x >= 0]
@@ -137,3 +137,24 @@ def test_nulls_and_repeats(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == sorted([(big, "u", A), (None, None, B), (None, "v", ""), (big, "u", A), (2, "w", "")], key=repr)
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_hostile_pages_raise_nothing():
+    """Attributes that look like training marks, endless references and attributes: each page gives its text."""
+    leaves = lambda page: H.parse(page).leaves()
+    assert leaves(f'<div data-truth="abc"><p data-truth=9999999999>{A}</p></div>') == [A]
+    assert leaves(f"<p>{A} &#{'1' * 5000};</p>") == [f"{A} \ufffd"]
+    assert leaves(f"<p>{A} &#{'0' * 5000}65;&#x{'0' * 5000}42;&#1114112;&#12345678</p>") == [f"{A} AB\ufffd\ufffd"]
+    assert leaves("&#65;&#0065;&amp;&lt;&nope;&#;&#x;" * 2000)[0].startswith("AA&<&nope;&#;&#x;AA")
+    assert leaves("<p " + "data-truth=x class='a' " * 50_000 + f">{A}</p>") == [A]
+    assert leaves("<p " + 'a="' * 50_000 + f">{A}</p>") in ([], [A])
+    for junk in ("&#", "&#9" * 9999, "<" * 9999, "<a " * 999, "</" * 999, "<!--" * 999, "<p>" * 9999, "<b data-truth>" * 999, "\x00&#0;&#55296;", "<p data-truth='-'>" * 99):
+        H.parse(junk)
+
+
+def test_marks_of_a_page_are_no_evidence():
+    """The same page with and without attributes named like the marks gives the same text."""
+    pages = [f"<nav><a href=/>Home</a></nav><article><h1>Council agrees</h1><p>{A}</p><p>{B}</p></article>"]
+    model = H.train(pages)
+    marked = [pages[0].replace("<nav>", "<nav data-truth=1>").replace("<article>", "<article data-truth='0'>")]
+    assert H.extract_pages(marked, model) == H.extract_pages(pages, model)
