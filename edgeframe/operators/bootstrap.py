@@ -17,6 +17,11 @@ def draws(seed: int, first: int, count: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def places(seed: int, first: int, count: int, n: int) -> np.ndarray:
+    """The same numbers as places among ``n``: the upper 53 bits as a fraction of one, times n."""
+    return np.minimum(((draws(seed, first, count) >> np.uint64(11)).astype(float) / 2.0**53 * n).astype(np.int64), n - 1)
+
+
 def percentile(sorted_x: np.ndarray, q: float) -> float:
     return float(np.percentile(sorted_x, q)) if len(sorted_x) else float("nan")
 
@@ -26,7 +31,7 @@ def path_stats(r: np.ndarray, paths: int = 5000, seed: int = 42, at_once: int =
     n, finals, dds = len(r), [], []
     for s in range(0, paths, at_once):
         m = min(at_once, paths - s)
-        picks = r[(draws(seed, s * n, m * n) % np.uint64(n)).astype(np.int64)].reshape(m, n)
+        picks = r[places(seed, s * n, m * n, n)].reshape(m, n)
         curve = picks.cumsum(1)
         finals.append(curve[:, -1])
         dds.append((np.maximum(np.maximum.accumulate(curve, 1), 0) - curve).max(1))

@@ -39,19 +39,20 @@ def last_prices(bars: DataFrame) -> DataFrame:
     return with_mean_atr(bars).groupBy(*series(bars)).agg(F.max_by("close", "bar_idx").alias("ltp"), F.max_by("atr", "bar_idx").alias("atr"))
 
 
-def backtest(ind: DataFrame, bars: DataFrame, strategies: dict, pairs: list[tuple[float, float]], cost: float = COST) -> DataFrame:
-    """Trades of all strategies and configurations; ``ind`` has the indicator columns and ``atr``."""
+def backtest(ind: DataFrame, bars: DataFrame, strategies: dict, pairs: list[tuple[float, float]], cost: float = COST, finer: DataFrame | None = None) -> DataFrame:
+    """Trades of all strategies and configurations; ``ind`` has the indicator columns and ``atr``. With ``finer`` bars, exits
+    that touch both levels are resolved by them; without, they take the stop."""
     rows = ind.withColumn("entry_idx", F.col("bar_idx")).withColumn("entry", F.col("close"))
     sig = D.signals(rows, strategies, [*series(ind), "session_date", "entry_idx", "entry", "atr"])
-    table = F.broadcast(E.configs(bars.sparkSession, pairs))  # a literal of a few rows
-    return E.one_at_a_time(E.first_touch(sig.crossJoin(table), bars, cost))
+    trades = E.one_at_a_time(E.first_touch(sig, bars, cost, pairs))
+    return trades if finer is None else E.with_intrabar(durable(trades, "trades"), finer, cost)
 
 
 def lengths(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*series(bars)).agg(F.count(F.lit(1)).alias("total"))
 
 
-def edge_map(bars: DataFrame, k: float = 1.5, rr: float = 2.0, least_bars: int = 100) -> DataFrame:
+def edge_map(bars: DataFrame, k: float = 1.5, rr: float = 2.0, least_bars: int = 100, finer: DataFrame | None = None) -> DataFrame:
     """One row per (series, strategy, direction): metrics, eligibility, validation and robustness; each series is a
     map of its own, with its own trials."""
     own = series(bars)
@@ -59,7 +60,7 @@ def edge_map(bars: DataFrame, k: float = 1.5, rr: float = 2.0, least_bars: int =
     long = bars.join(n.select(*own), own, "left_semi")
     ind = C.all_indicators(long).withColumn("atr", F.col("atr14"))
     rules = {s: {**D.WINDOWED, **D.RECURSIVE}[s] for s in D.EDGE_SET}
-    t = durable(backtest(ind, long, rules, [(k, rr)]), "trades")
+    t = durable(backtest(ind, long, rules, [(k, rr)], finer=finer), "trades")
     keys = TS.keys_of(t)
     s = TS.full(t).join(V.split_stats(V.purged_split(t, n)), keys).join(V.walk_forward(t, n), keys)
     s = V.deflated_sharpe(s, own)
@@ -90,7 +91,7 @@ def with_agreement(s: DataFrame, least: int = 20) -> DataFrame:
     return s.withColumn("agree", F.size(F.collect_set(pays).over(Window.partitionBy("symbol", "strategy"))).cast("double"))
 
 
-def with_conviction(s: DataFrame, trades: DataFrame, paths: int = 500) -> DataFrame:
+def with_conviction(s: DataFrame, trades: DataFrame, paths: int = 5000) -> DataFrame:
     keys = TS.keys_of(trades)
     boot = BS.bootstrap(trades, keys, paths).select(*keys, "prob_profit_pct", "dd_p95", "final_p05")
     s = with_agreement(s).join(boot, keys)

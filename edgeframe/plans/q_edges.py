@@ -17,7 +17,7 @@ from ..sources.stage import durable
 from ..sources.tables import CTES, timeframe_sql
 from . import pipelines as P
 from .q_bars import EXTRA, X_SUPER, ema_sql, rma_sql
-from .q_trades import BLOCKS, CURVE, EXITS, HITS, IND2, K4, LEN, NEXT, OWN_INDEX, REGIME, RULES, SHARPE, SPLIT, STATS, TOUCH, TOUCH_R, TRADES, X_PBO, _wf, _x, deflated_sql, ent_sql, own_index, sig_sql
+from .q_trades import BLOCKS, COST, CURVE, EXITS, HITS, IND2, K4, LEN, NEXT, OWN_INDEX, REGIME, RULES, SHARPE, SPLIT, STATS, TOUCH, TOUCH_R, TRADES, X_PBO, _wf, _x, deflated_sql, ent_sql, own_index, sig_sql
 from .q_trades import CHAIN as CHAIN_SQL
 from .registry import query
 
@@ -186,6 +186,23 @@ def i02(t):
     return P.edge_map(scan_bars(t))
 
 
+#: Exits that touch both levels: the level that a minute bar of the day touched first, the stop where none or both did.
+FINE = """SELECT symbol, CAST(date_trunc('minute', ts) AS DATE) AS session_date, date_trunc('minute', ts) AS ts, max(ltp) AS high, min(ltp) AS low FROM trending GROUP BY ALL"""
+WON = f"""SELECT {K4}, session_date, entry_idx, coalesce(arg_min(ht AND NOT hs, ts) FILTER (WHERE hs OR ht), false) AS won FROM (
+  SELECT t.*, f.ts, CASE WHEN sg > 0 THEN f.low <= entry - risk ELSE f.high >= entry + risk END AS hs, CASE WHEN sg > 0 THEN f.high >= entry + rr * risk ELSE f.low <= entry - rr * risk END AS ht
+  FROM trades0 t JOIN fine f ON {BASE.replace('symbol', 't.symbol')} = f.symbol AND t.session_date = f.session_date WHERE ambiguous) GROUP BY ALL"""
+MENDED = f"SELECT t.* REPLACE (CASE WHEN won THEN rr - {COST!r} * entry / risk ELSE r END AS r) FROM trades0 t LEFT JOIN won USING ({K4}, session_date, entry_idx)"
+X_FINE = {}
+for _name, _body in X_EDGES.items():
+    X_FINE |= {"trades0": _body, "fine": FINE, "won": WON, "trades": MENDED} if _name == "trades" else {_name: _body}
+
+
+@query("i02_edge_map_intrabar", "trending", extra=X_FINE, sql=EDGE_MAP)
+def i02_intrabar(t):
+    """The same map where minute bars decide exits that touch both levels, before any statistic."""
+    return P.edge_map(scan_bars(t), finer=t.minutes)
+
+
 @query("i03_edge_index", "trending", extra=X_EDGES, sql=f"SELECT {SERIES}, string_agg(strategy || ' ' || direction || ' ' || n, ', ' ORDER BY round(expectancy, 9) DESC, strategy, direction) AS edges FROM deflated WHERE {EDGE} GROUP BY symbol")
 def i03(t):
     one = F.transform("edges", lambda e: F.concat_ws(" ", e["strategy"], e["direction"], e["n"].cast("string")))

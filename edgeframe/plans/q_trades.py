@@ -90,12 +90,11 @@ LEN = "SELECT symbol, count(*) AS total FROM bars GROUP BY symbol"
 
 def entries(t):
     ind = P.with_mean_atr(C.windowed(t.kept_bars))
-    sig = D.signals(ind.withColumn("entry_idx", F.col("bar_idx")).withColumn("entry", F.col("close")), D.WINDOWED, ["symbol", "session_date", "entry_idx", "entry", "atr"])
-    return sig.join(F.broadcast(E.configs(t.spark, CONFIGS)))
+    return D.signals(ind.withColumn("entry_idx", F.col("bar_idx")).withColumn("entry", F.col("close")), D.WINDOWED, ["symbol", "session_date", "entry_idx", "entry", "atr"])
 
 
 def touch(t):
-    return E.first_touch(entries(t), t.kept_bars, COST)
+    return E.first_touch(entries(t), t.kept_bars, COST, CONFIGS)
 
 
 def trades(t):
@@ -227,11 +226,11 @@ def e10(t):
     return E.stressed_expectancy(trades(t), TS.KEY, {"expectancy_2x": C2, "expectancy_3x": C3}, COST)
 
 
-@query("e11_cost_floor", "bars", extra=X_TRADES, sql=f"SELECT {K4}, R6(avg({COST!r} * entry / risk)) AS break_even_r, avg({COST!r} * entry / risk) >= avg(r + {COST!r} * entry / risk) AS stand_aside FROM trades GROUP BY {K4}")
+@query("e11_cost_floor", "bars", extra=X_TRADES, sql=f"SELECT {K4}, R6(avg({COST!r} * entry / risk)) AS break_even_r, avg(r) < avg({COST!r} * entry / risk) AS stand_aside FROM trades GROUP BY {K4}")
 def e11(t):
-    """R that costs take on average, and whether they take all of the gross edge."""
+    """R that costs take on average, and whether the net edge is below it."""
     cost = COST * F.col("entry") / F.col("risk")
-    return trades(t).groupBy(*TS.KEY).agg(F.avg(cost).alias("break_even_r"), (F.avg(cost) >= F.avg(F.col("r") + cost)).alias("stand_aside"))
+    return trades(t).groupBy(*TS.KEY).agg(F.avg(cost).alias("break_even_r"), (F.avg("r") < F.avg(cost)).alias("stand_aside"))
 
 
 # ---------------------------------------------------------------- trade statistics
@@ -390,14 +389,17 @@ def g09(t):
     return TS.summary(trades(t)).select(*TS.KEY, mathx.wilson_low(F.col("win_pct"), F.col("n")).alias("wilson_low"))
 
 
+PATHS = 5000
+
+
 @query("g10_bootstrap")
 def g10(t):
-    return BS.bootstrap(trades(t), TS.KEY, paths=1000).select(*TS.KEY, "n", "prob_profit_pct", "dd_p95", "final_p05")
+    return BS.bootstrap(trades(t), TS.KEY, paths=PATHS).select(*TS.KEY, "n", "prob_profit_pct", "dd_p95", "final_p05")
 
 
 @query("g11_bootstrap_interval")
 def g11(t):
-    return BS.bootstrap(trades(t), TS.KEY, paths=1000).where("n >= 20").select(*TS.KEY, "n", "mean_p05", "mean_p50", "mean_p95")
+    return BS.bootstrap(trades(t), TS.KEY, paths=PATHS).where("n >= 20").select(*TS.KEY, "n", "mean_p05", "mean_p50", "mean_p95")
 
 
 @query("g12_shrunk", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(n * expectancy / (n + 40.0)) AS shrunk FROM stats")

@@ -46,12 +46,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
-    def ticks(self) -> DataFrame:
-        """symbol, ts, ltp, ltq, volume_day (running over the day), latency_us, event_id, user_id."""
-        e = self.raw("events").select(
+    def trades_only(self) -> DataFrame:
+        """The ticks without what runs over a day: symbol, ts, ltp, ltq, event_id, user_id."""
+        return self.raw("events").select(
             F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("ltp"),
             F.get_json_object("props", "$.k").cast("long").alias("ltq"), "event_id", "user_id",
         )
+
+    @cached_property
+    def ticks(self) -> DataFrame:
+        """symbol, ts, ltp, ltq, volume_day (running over the day), latency_us, event_id, user_id."""
+        e = self.trades_only
         day = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts", "event_id")
         return e.withColumn("volume_day", F.sum("ltq").over(day)).withColumn("latency_us", F.col("event_id") % 997 + F.col("ltq"))
 
@@ -64,14 +69,23 @@ class Tables:
 
     @cached_property
     def trending(self) -> DataFrame:
-        """The ticks with prices that keep a direction for a while: means of the last TREND_TICKS prices."""
-        return self.ticks.withColumn("ltp", exact_mean("ltp", Window.partitionBy("symbol").orderBy("ts", "event_id"), TREND_TICKS))
+        """symbol, ts, ltp, ltq of the ticks with prices that keep a direction for a while: means of the last TREND_TICKS prices."""
+        from ..operators import ranges
+
+        return ranges.trailing(self.trades_only.drop("user_id"), ["symbol"], ["ts", "event_id"], TREND_TICKS, lambda rows, w: rows.withColumn("ltp", exact_mean("ltp", w, TREND_TICKS)))
 
     @cached_property
     def kept_bars(self) -> DataFrame:
         """``bars``, written once for plans that read them several times."""
         return durable(self.bars, "bars")
 
+    @cached_property
+    def minutes(self) -> DataFrame:
+        """Minute bars of the trending ticks with their session date."""
+        from ..operators import bars
+
+        return bars.bars_from_ticks(self.trending, "1 minute").withColumn("session_date", F.to_date("ts"))
+
     def timeframes(self, *minutes: int) -> DataFrame:
         """Bars of several widths of the trending ticks per symbol, told apart by tf, anchored at the session open; written once."""
         from ..operators import bars

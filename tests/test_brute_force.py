@@ -196,7 +196,7 @@ def test_bootstrap_against_loops():
     for s in range(paths):
         equity = peak = fall = 0.0
         for k in range(len(r)):
-            equity += r[number(s * len(r) + k) % len(r)]
+            equity += r[int((number(s * len(r) + k) >> 11) / 2**53 * len(r))]
             peak = max(peak, equity)
             fall = max(fall, peak - equity)
         finals.append(equity)
