@@ -76,15 +76,26 @@ def breaker(journal: DataFrame, marks: DataFrame, pool: float, limit_pct: float
 
 
 def governor(journal: DataFrame, by: list[str], trades: int = 5, losses: int = 3, loss_pct: float = 2.0, pool: float = 1e7) -> DataFrame:
-    """Per session: trades, losses, trailing run of losses, day's loss; closed, caution or open with the reasons."""
-    c = journal.where("state = 'Manually_Accepted' AND pnl IS NOT NULL")
-    back = Window.partitionBy(*by).orderBy(F.desc_nulls_first("exit_date"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("__w", F.sum((F.col("pnl") >= 0).cast("int")).over(back))
-    per = c.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"), F.sum((F.col("pnl") < 0).cast("long")).alias("losses"), F.sum((F.col("__w") == 0).cast("long")).alias("loss_run"), F.sum("pnl").alias("result"))
-    loss = -F.col("result") / pool * 100
-    why = F.array_compact(F.array(F.when(F.col("trades") >= trades, F.lit("trades")), F.when(F.col("loss_run") >= losses, F.lit("loss run")), F.when(loss >= loss_pct, F.lit("daily loss"))))
-    near = (F.col("trades") >= trades - 1) | (F.col("loss_run") >= losses - 1) | (loss >= loss_pct / 2)
-    return per.withColumn("reasons", F.array_join(why, ", ")).withColumn("verdict", F.when(F.col("reasons") != "", "closed").when(near, "caution").otherwise("open"))
+    """Per ``by`` and day: accepted trades opened or closed that day (open ones count), wins, losses, the run of losses that
+    ends the day's closed trades in the order of exits, the day's result; closed, caution or open, with the reasons."""
+    j = journal.where("state = 'Manually_Accepted'").withColumn("day", F.explode(F.array_distinct(F.array_compact(F.array("entry_date", "exit_date")))))
+    key, closed = [*by, "day"], F.col("pnl").isNotNull()
+    back = Window.partitionBy(*key).orderBy(F.desc_nulls_last("exit_date"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("__w", F.sum((F.col("pnl") >= 0).cast("int")).over(back))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    per = j.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("trades"), count(F.col("pnl") > 0).alias("wins"), count(F.col("pnl") < 0).alias("losses"),
+        count(closed & (F.coalesce("__w", F.lit(0)) == 0)).alias("loss_run"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("result"),
+    )
+    cap, n, run, result = -max(pool, 0.0) * max(loss_pct, 0.0) / 100, F.col("trades"), F.col("loss_run"), F.col("result")
+    limits = [
+        ("daily loss", F.lit(cap < 0) & (result <= cap), F.lit(cap < 0) & (result <= 0.7 * cap)),
+        ("trades", F.lit(trades > 0) & (n >= trades), F.lit(trades > 0) & (n + 1 >= trades)),
+        ("loss run", F.lit(losses > 0) & (run >= losses), F.lit(losses > 0) & (run + 1 >= losses) & (run > 0)),
+    ]
+    why = F.concat_ws(", ", *[F.when(hit, name).when(near, f"near {name}") for name, hit, near in limits])
+    any_of = lambda i: limits[0][i] | limits[1][i] | limits[2][i]
+    return per.withColumn("reasons", why).withColumn("verdict", F.when(any_of(1), "closed").when(any_of(2), "caution").otherwise("open"))
 
 
 def calibration(journal: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,11 +109,22 @@ def calibration(journal: DataFrame, edges: DataFrame) -> DataFrame:
     return per.withColumn("gap", F.col("realised") - F.col("predicted"))
 
 
-MOMENTUM = ["vwap_cross", "ema_cross_9_21", "macd_cross", "supertrend", "orb_15m", "donchian_breakout", "gap_and_go", "rvol_breakout"]
-
-
-def style_validation(edges: DataFrame, caps: DataFrame, cap_limit: float = 20_000.0) -> DataFrame:
-    """One row: does long momentum hold in small caps? Edges, names, medians and a verdict."""
-    j = edges.where("direction = 'BUY'").where(F.col("strategy").isin(MOMENTUM)).join(caps.where(F.col("cap_crore") < cap_limit), "symbol")
-    per = j.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("symbol").alias("names"), F.median("expectancy").alias("median_expectancy"), F.median("win_pct").alias("median_win_pct"))
-    return per.withColumn("verdict", F.when(F.col("edges") == 0, "no data").when(F.col("median_expectancy") > 0, "supported").otherwise("not supported"))
+# The family of breakouts with momentum.
+MOMENTUM = ["gap_and_go", "rvol_breakout", "donchian_breakout", "orb_15m"]
+
+
+def style_validation(edges: DataFrame, caps: DataFrame, cap_limit: float = 20_000.0, top: int = 8) -> DataFrame:
+    """One row: does long momentum hold in small caps (symbols with a cap above 0 and up to ``cap_limit``)? The universe, names
+    with an edge among the eligible ``edges``, their share, edges, medians (0 without edges), the best edges and a verdict."""
+    small = caps.where((F.col("cap_crore") > 0) & (F.col("cap_crore") <= cap_limit))
+    j = edges.where("direction = 'BUY'").where(F.col("strategy").isin(MOMENTUM)).join(small, "symbol")
+    median = lambda c: F.coalesce(F.median(c), F.lit(0.0)).alias(f"median_{c}")
+    per = j.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("symbol").alias("names"), median("expectancy"), median("profit_factor"), median("win_pct"))
+    line = F.concat_ws(" ", F.col("symbol").cast("string"), "strategy")
+    # a fixed number of rows reaches the list
+    best = j.orderBy(F.round("expectancy", 9).desc(), "symbol", "strategy").limit(top).select(F.struct((-F.round("expectancy", 9)).alias("o"), "symbol", "strategy").alias("k"), line.alias("line"))
+    named = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), ", ").alias("top"))
+    out = small.agg(F.count(F.lit(1)).alias("universe")).crossJoin(per).crossJoin(named)  # one row each
+    share = F.coalesce(F.try_divide(F.col("names").cast("double"), F.col("universe")), F.lit(0.0))
+    out = out.withColumn("coverage", share)
+    return out.withColumn("verdict", F.when(F.col("universe") == 0, "unavailable").when(F.col("edges") == 0, "no edge").when(F.col("coverage") < 0.05, "thin, name-specific").otherwise("name-specific"))

@@ -5,6 +5,8 @@ The key is account_id, so every account of a statement table is handled in one p
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,8 +57,14 @@ def concentration(v: DataFrame) -> DataFrame:
 
 
 def exposure(v: DataFrame, by: str) -> DataFrame:
-    e = v.groupBy("account_id", by).agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("names"))
-    return e.withColumn("heat", F.when(F.col("weight") >= 40, "hot").when(F.col("weight") >= 25, "warm").otherwise("cool"))
+    """Per account and group (no name: Unknown): value, weight, names, unrealised result, heat (high from 40 percent, elevated
+    from 20) and the group's place by value."""
+    name = F.coalesce(F.nullif(F.col(by), F.lit("")), F.lit("Unknown")).alias(by)
+    e = v.select("account_id", name, "symbol", "value", "weight", "unrealised").groupBy("account_id", by).agg(
+        F.sum("value").alias("value"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("names"), F.sum("unrealised").alias("unrealised"), F.sort_array(F.collect_list("symbol")).alias("members")
+    )
+    place = F.row_number().over(Window.partitionBy("account_id").orderBy(F.round("value", 6).desc(), by))
+    return e.withColumn("heat", F.when(F.col("weight") >= 40, "high").when(F.col("weight") >= 20, "elevated").otherwise("normal")).withColumn("place", place)
 
 
 def flags(v: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,14 +75,16 @@ def flags(v: DataFrame, edges: DataFrame) -> DataFrame:
     return j.withColumn("flag", flag).drop("__e")
 
 
-def half_kelly(win_pct: Column, avg_win: Column, avg_loss: Column) -> Column:
-    """Half of the Kelly fraction in percent, clamped to 0..5."""
-    p, b = win_pct / 100, F.try_divide(avg_win, -avg_loss)
-    return F.coalesce(F.least(F.greatest((p - F.try_divide(1 - p, b)) * 50, F.lit(0.0)), F.lit(5.0)), F.lit(0.0))
+def kelly_band(win_pct: Column, profit_factor: Column) -> tuple[Column, Column]:
+    """A quarter and a half of the Kelly share w * (1 - 1 / pf) in percent, each within 0..5."""
+    full = F.when(profit_factor > 0, F.least(F.greatest(win_pct / 100, F.lit(0.0)), F.lit(1.0)) * (1 - 1 / profit_factor) * 100)
+    return tuple(F.coalesce(F.least(F.greatest(part * full, F.lit(0.0)), F.lit(5.0)), F.lit(0.0)) for part in (0.25, 0.5))
 
 
 def sector_clusters(v: DataFrame) -> DataFrame:
-    return exposure(v, "sector").where("names >= 2 AND weight >= 25").select("account_id", "sector", "names", "weight")
+    """Known sectors of two names or more that weigh 25 percent together, with their members."""
+    e = exposure(v, "sector").where("names >= 2 AND weight >= 25 AND sector <> 'Unknown'")
+    return e.select("account_id", "sector", "names", "weight", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 # ---------------------------------------------------------------- correlation
@@ -235,19 +245,30 @@ def capped_weights(vol: np.ndarray, cap: float = 0.25) -> np.ndarray:
     return w
 
 
+def whole_shares(weight: np.ndarray, capital: float, price: np.ndarray) -> tuple[np.ndarray, float]:
+    """Whole shares of each slice, then one by one to the name furthest below its slice (ties: the first) that the cash can
+    buy, until it buys none; what is left. Cash and deficits only fall, so a queue of deficits serves all steps."""
+    shares = np.where(price > 0, np.floor(weight * capital / np.where(price > 0, price, 1)), 0)
+    cash = capital - float(shares @ price)
+    queue = [(-(capital * weight[i] - shares[i] * price[i]), i) for i in range(len(price)) if price[i] > 0]
+    heapq.heapify(queue)
+    while queue:
+        _, i = heapq.heappop(queue)
+        if price[i] <= cash:
+            shares[i] += 1
+            cash -= price[i]
+            heapq.heappush(queue, (-(capital * weight[i] - shares[i] * price[i]), i))
+    return shares.astype(int), cash
+
+
 def allocate(plans: DataFrame, cap: float = 0.25) -> DataFrame:
-    """plan_id, capital, symbol, price, vol -> weight, shares: whole shares, then top-ups of the most underweight."""
+    """plan_id, capital, symbol, price, vol -> weight, shares, cash_left: inverse-volatility slices in whole shares."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("symbol").reset_index(drop=True)
-        w, capital, price = capped_weights(pdf["vol"].to_numpy(float), cap), float(pdf["capital"].iloc[0]), pdf["price"].to_numpy(float)
-        shares = np.floor(w * capital / price)
-        cash = capital - float(shares @ price)
-        for i in np.argsort(-(w * capital - shares * price), kind="stable"):
-            if price[i] <= cash:
-                shares[i] += 1
-                cash -= price[i]
-        return pdf[["plan_id", "symbol"]].assign(weight=w, shares=shares.astype(int), cash_left=cash)
+        w = capped_weights(pdf["vol"].to_numpy(float), cap)
+        shares, cash = whole_shares(w, float(pdf["capital"].iloc[0]), pdf["price"].to_numpy(float))
+        return pdf[["plan_id", "symbol"]].assign(weight=w, shares=shares, cash_left=cash)
 
     types = {x.name: x.dataType.simpleString() for x in plans.schema.fields}
     return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {types['plan_id']}, symbol {types['symbol']}, weight double, shares long, cash_left double")

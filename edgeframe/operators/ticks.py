@@ -86,4 +86,7 @@ def rank_snapshot(rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def caveat() -> Column:
-    return F.concat_ws("; ", F.when(F.col("spread_pct") > 0.2, F.lit("wide spread")), F.when(F.col("tier").isin("thin", "very_thin"), F.lit("thin")), F.when(F.abs("z") > 3, F.lit("stretched")))
+    """What speaks for caution in a ranked row: few trades, a wide spread, a thin book, a loss out of sample, folds that disagree."""
+    out = F.when(F.col("oos_expectancy") <= 0, F.format_string("OOS %+.2fR (fails out-of-sample)", "oos_expectancy"))
+    folds = F.when((F.col("oos_n") > 0) & (F.col("wf_consistency") < 0.5), F.format_string("WF %.0f%% (inconsistent)", F.col("wf_consistency") * 100))
+    return F.concat_ws(", ", F.when(F.col("n") < 50, "low n"), F.when(F.col("spread_pct") > 0.2, "wide spread"), F.when(F.abs("obi") < 0.05, "thin OBI"), out, folds)

@@ -49,10 +49,10 @@ def trade_walk_forward(trades: DataFrame, folds: int = 5, keys: list[str] | None
 
 
 def robustness(stats: DataFrame, least: int = 20) -> DataFrame:
-    """Share of the configurations of a (series, strategy, direction) with enough trades that make money."""
+    """Share of the configurations of a (series, strategy, direction) with enough trades that make money; 1 if none has enough."""
     w = Window.partitionBy(*series(stats), "strategy", "direction")
     ok = F.when(F.col("n") >= least, (F.col("expectancy") > 0).cast("double"))
-    return stats.withColumn("robustness", F.coalesce(F.avg(ok).over(w), F.lit(0.0)))
+    return stats.withColumn("robustness", F.coalesce(F.avg(ok).over(w), F.lit(1.0)))
 
 
 def benchmark_regime(index: DataFrame, n: int = 20) -> DataFrame:
@@ -65,7 +65,7 @@ def benchmark_regime(index: DataFrame, n: int = 20) -> DataFrame:
 
 
 def regime_consistency(trades: DataFrame, regime: DataFrame, keys: list[str] | None = None, least: int = 10) -> DataFrame:
-    """true: makes money in up and in down days; false: loses in one with enough trades; null: unknown."""
+    """true: makes money in up and in down days, with enough trades in each; false: loses in one with enough; null: unknown."""
     keys = keys or keys_of(trades)
     j = trades.join(regime, trades.session_date == regime.date)
     up, down = F.col("up"), ~F.col("up")
@@ -73,7 +73,7 @@ def regime_consistency(trades: DataFrame, regime: DataFrame, keys: list[str] | N
         F.sum(up.cast("long")).alias("n_up"), F.avg(F.when(up, F.col("r"))).alias("e_up"), F.sum(down.cast("long")).alias("n_down"), F.avg(F.when(down, F.col("r"))).alias("e_down")
     )
     bad = ((F.col("n_up") >= least) & (F.col("e_up") <= 0)) | ((F.col("n_down") >= least) & (F.col("e_down") <= 0))
-    return per.withColumn("regime_consistent", F.when((F.col("e_up") > 0) & (F.col("e_down") > 0), True).when(bad, False))
+    return per.withColumn("regime_consistent", F.when(bad, False).when((F.col("n_up") >= least) & (F.col("n_down") >= least), True))
 
 
 def deflated_sharpe(stats: DataFrame, by: list[str]) -> DataFrame:

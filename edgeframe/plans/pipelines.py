@@ -161,7 +161,7 @@ def picks(s: DataFrame, tradability: DataFrame | None = None, k: int = 5) -> Dat
     thin = F.lit(False)
     if tradability is not None:
         ok = ok.join(tradability.select("symbol", F.col("verdict").alias("__v"), F.col("tier").alias("__t")), "symbol", "left").where(F.coalesce(F.col("__v") != "blocked", F.lit(True)))
-        thin = F.coalesce(F.col("__t").isin("thin", "very_thin"), F.lit(False))
+        thin = F.coalesce(F.col("__t").isin("thin", "very thin"), F.lit(False))
     best = best_per(ok, ["symbol"], *_best_first())
     out = top_per(best, ["direction"], k, *_best_first())
     return out.select("direction", "rank", *series(s), "strategy", "config_id", "confidence", "expectancy", F.round(F.col("wilson_low") / 10).cast("int").alias("x_of_10"), thin.alias("thin"))
@@ -228,14 +228,17 @@ def baseline(bars: DataFrame, order: str = "bar_idx") -> DataFrame:
 
 
 def swing_scan(daily: DataFrame, least: int = 220) -> DataFrame:
-    """Volume breakout, else a retest of the 200-day EMA, of each symbol's last day."""
+    """Each symbol's last day: a breakout above the 20 highs before it on 2.5 times the mean volume of the 50 days before it,
+    else a retest of the 200-day EMA; with Wilder's ATR and the year's range."""
     up = Window.partitionBy("symbol").orderBy("date")
-    prior = up.rowsBetween(-20, -1)
-    d = daily.withColumn("vol_ratio", F.try_divide("volume", F.avg("volume").over(prior))).withColumn("prior_high", F.max("high").over(prior))
+    usual, high = F.avg("volume").over(up.rowsBetween(-50, -1)), F.max("high").over(up.rowsBetween(-20, -1))
+    d = daily.withColumn("vol_ratio", F.when(usual > 0, F.col("volume") / usual).otherwise(0.0)).withColumn("prior_high", high)
     last = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), *[F.max_by(c, "date").alias(c) for c in ("close", "vol_ratio", "prior_high")])
-    base = last.where(F.col("bars") >= least).join(C.final_wilder(daily, "date").select("symbol", F.col("ema").alias("ema200")), "symbol").join(C.year_range(daily), "symbol")
+    smooth = C.final_wilder(daily, "date").select("symbol", F.col("ema").alias("ema200"), "atr")
+    base = last.where(F.col("bars") >= least).join(smooth, "symbol").join(C.year_range(daily), "symbol").where("ema200 IS NOT NULL AND atr IS NOT NULL")
+    dist = F.abs(F.col("close") - F.col("ema200")) / F.col("ema200")
     breakout = (F.col("vol_ratio") >= 2.5) & (F.col("close") > F.col("prior_high"))
-    retest = (F.abs(F.col("close") / F.col("ema200") - 1) <= 0.03) & (F.col("close") >= 0.97 * F.col("ema200"))
-    out = base.withColumn("setup", F.when(breakout, "volume_breakout").when(retest, "ema200_retest")).where("setup IS NOT NULL")
-    score = F.when(F.col("setup") == "volume_breakout", F.col("vol_ratio") * 10).otherwise(30 - F.abs(F.col("close") / F.col("ema200") - 1) * 1000)
-    return out.withColumn("score", score).select("symbol", "setup", "close", "vol_ratio", "ema200", F.col("low_52w").alias("support"), F.col("high_52w").alias("resistance"), "score")
+    retest = (F.col("ema200") > 0) & (dist <= 0.03) & (F.col("close") >= 0.97 * F.col("ema200"))
+    out = base.withColumn("setup", F.when(breakout, "volume_delivery_breakout").when(retest, "mean_reversion_200ema")).where("setup IS NOT NULL")
+    score = F.when(F.col("setup") == "volume_delivery_breakout", F.col("vol_ratio")).otherwise(1 / (1 + dist))
+    return out.withColumn("score", score).select("symbol", "setup", F.lit("BUY").alias("side"), "close", "vol_ratio", "ema200", "atr", F.col("low_52w").alias("support"), F.col("high_52w").alias("resistance"), "score")

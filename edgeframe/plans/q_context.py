@@ -29,16 +29,16 @@ def i01(t):
 
 
 X_SWING = {
-    "days": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS bar_idx, volume / nullif(avg(volume) OVER p, 0) AS vol_ratio, max(high) OVER p AS prior_high FROM daily WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
-    "e200": ema_sql("days", "close", 200, 0),
+    "days": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS bar_idx, CASE WHEN avg(volume) OVER u > 0 THEN volume / avg(volume) OVER u ELSE 0 END AS vol_ratio, max(high) OVER p AS prior_high FROM daily WINDOW u AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
+    "moves": MOVES.replace("FROM bars", "FROM days"), "rma14": rma_sql("tr"), "e200": ema_sql("days", "close", 200, 0),
     "years": "SELECT symbol, max(high) AS high_52w, min(low) AS low_52w FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 252 GROUP BY symbol",
     "last": "SELECT symbol, count(*) AS bars, arg_max(close, date) AS close, arg_max(vol_ratio, date) AS vol_ratio, arg_max(prior_high, date) AS prior_high FROM days GROUP BY symbol",
-    "setups": """SELECT *, CASE WHEN vol_ratio >= 2.5 AND close > prior_high THEN 'volume_breakout' WHEN abs(close / ema200 - 1) <= 0.03 AND close >= 0.97 * ema200 THEN 'ema200_retest' END AS setup
-      FROM last JOIN (SELECT symbol, arg_max(e, bar_idx) AS ema200 FROM e200 GROUP BY symbol) USING (symbol) JOIN years USING (symbol) WHERE bars >= 220""",
+    "setups": """SELECT *, abs(close - ema200) / ema200 AS dist, CASE WHEN vol_ratio >= 2.5 AND close > prior_high THEN 'volume_delivery_breakout' WHEN abs(close - ema200) / ema200 <= 0.03 AND close >= 0.97 * ema200 THEN 'mean_reversion_200ema' END AS setup
+      FROM last JOIN (SELECT symbol, arg_max(e, bar_idx) AS ema200 FROM e200 GROUP BY symbol) USING (symbol) JOIN (SELECT symbol, arg_max(e, bar_idx) AS atr FROM rma14 GROUP BY symbol) USING (symbol) JOIN years USING (symbol) WHERE bars >= 220""",
 }
 
 
-@query("i12_swing_scan", "daily", extra=X_SWING, sql="SELECT symbol, setup, R6(close) AS close, R6(vol_ratio) AS vol_ratio, R6(ema200) AS ema200, R6(low_52w) AS support, R6(high_52w) AS resistance, R6(CASE WHEN setup = 'volume_breakout' THEN vol_ratio * 10 ELSE 30 - abs(close / ema200 - 1) * 1000 END) AS score FROM setups WHERE setup IS NOT NULL")
+@query("i12_swing_scan", "daily", extra=X_SWING, sql="SELECT symbol, setup, 'BUY' AS side, R6(close) AS close, R6(vol_ratio) AS vol_ratio, R6(ema200) AS ema200, R6(atr) AS atr, R6(low_52w) AS support, R6(high_52w) AS resistance, R6(CASE WHEN setup = 'volume_delivery_breakout' THEN vol_ratio ELSE 1 / (1 + dist) END) AS score FROM setups WHERE setup IS NOT NULL")
 def i12(t):
     return P.swing_scan(t.daily)
 
@@ -62,8 +62,9 @@ def j02(t):
 
 
 @query(
-    "j03_light_regime", "daily", "index_daily", extra={"firsts": "SELECT * FROM daily WHERE symbol IN (SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 207)", "b": BREADTH.format(src="firsts"), "tail": TAIL},
-    sql="SELECT index_name, R6(m) AS move_pct, CASE WHEN m > 0.1 THEN 'Up' WHEN m < -0.1 THEN 'Down' ELSE 'Flat' END AS direction, R6(s) AS one_sided_pct, coalesce(s > 60, false) AS narrow FROM (SELECT index_name, (max(CASE WHEN age = 0 THEN close END) / max(CASE WHEN age = 1 THEN close END) - 1) * 100 AS m, any_value(greatest(advances, declines) * 100.0 / (advances + declines)) AS s FROM tail, b WHERE age < 2 GROUP BY index_name)",
+    "j03_light_regime", "daily", "index_daily", extra={"firsts": "SELECT * FROM daily WHERE symbol IN (SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 207)", "b": BREADTH.format(src="firsts"), "tail": TAIL,
+    "dev": "SELECT index_name, CASE WHEN count(close) = 20 AND avg(close) > 0 THEN max(CASE WHEN age = 0 THEN close END) / avg(close) - 1 END AS d FROM tail WHERE age < 20 GROUP BY index_name"},
+    sql="SELECT index_name, CASE WHEN d > 0.001 THEN 'Up' WHEN d < -0.001 THEN 'Down' ELSE 'Flat' END AS direction, CAST(advances AS BIGINT) AS advances, CAST(declines AS BIGINT) AS declines, CASE WHEN advances + declines = 0 THEN 'neutral' WHEN greatest(advances, declines) * 1.0 / (advances + declines) > 0.6 THEN 'narrow' ELSE 'broad' END AS breadth_label FROM dev, b",
 )
 def j03(t):
     return X.light_regime(t.index_daily, t.daily)
@@ -71,44 +72,62 @@ def j03(t):
 
 def _ret(src, key, p):
     at = lambda k: f"max(CASE WHEN n = {k} THEN close END)"
-    return f"SELECT {key}, " + ", ".join(f"({at(0)} / {at(k)} - 1) * 100 AS {p}{k}" for k in (1, 5, 20)) + f" FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date DESC) - 1 AS n FROM {src}) GROUP BY {key}"
+    return f"SELECT {key}, " + ", ".join(f"CASE WHEN {at(k)} > 0 THEN ({at(0)} / {at(k)} - 1) * 100 END AS {p}{k}" for k in (1, 5, 20)) + f" FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date DESC) - 1 AS n FROM {src}) GROUP BY {key}"
+
+
+#: A sector's index is its region's; those of one region have none and take the broad one.
+BROAD, WITHOUT = "EUROPE", "AFRICA"
 
 
 @query(
-    "j04_sector_strength", "daily", "index_daily", "symbols", extra={"a": _ret("daily", "symbol", "r"), "b": _ret("index_daily", "index_name", "i")},
-    sql="SELECT symbol, sector, R6(r1 - i1) AS rs_1, R6(r5 - i5) AS rs_5, R6(r20 - i20) AS rs_20, CASE WHEN r20 - i20 >= 1.5 THEN 'leader' WHEN r20 - i20 <= -1.5 THEN 'laggard' ELSE 'in line' END AS label FROM a JOIN symbols USING (symbol) JOIN b ON region = index_name",
+    "j04_sector_strength", "daily", "index_daily", "symbols", extra={"a": _ret("daily", "symbol", "r"), "b": _ret("index_daily", "index_name", "i"), "named": f"SELECT symbol, sector, region = '{WITHOUT}' AS broad_fallback, CASE WHEN region = '{WITHOUT}' THEN '{BROAD}' ELSE region END AS index_name FROM symbols"},
+    sql="SELECT symbol, sector, index_name, broad_fallback, R6(r1 - i1) AS rs_1, R6(r5 - i5) AS rs_5, R6(r20 - i20) AS rs_20, CASE WHEN r5 - i5 IS NULL THEN 'unknown' WHEN r5 - i5 >= 1.5 THEN 'leader' WHEN r5 - i5 <= -1.5 THEN 'laggard' ELSE 'in-line' END AS label FROM a JOIN named USING (symbol) LEFT JOIN b USING (index_name)",
 )
 def j04(t):
-    return X.sector_strength(t.daily, t.symbols, t.index_daily)
+    own = t.symbols.where(F.col("region") != WITHOUT).select("sector", F.col("region").alias("index_name")).distinct()
+    return X.sector_strength(t.daily, t.symbols, t.index_daily, own, BROAD)
 
 
 @query(
     "j05_data_quality", "daily", "corp_actions",
-    extra={"d": "SELECT *, CASE WHEN prev > 0 THEN greatest(close / prev, prev / close) END AS jump FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM daily)",
+    extra={"d": "SELECT *, CASE WHEN prev > 0 AND close > 0 THEN greatest(close / prev, prev / close) END AS jump FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM daily)",
     "base": "SELECT symbol, count(*) AS bars, CAST(sum(CASE WHEN close <= 0 OR high < low OR close IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS invalid, min(close) AS min_close, max(jump) AS worst_jump FROM d GROUP BY symbol",
     "worst": "SELECT symbol, CAST(date AS VARCHAR) AS worst_date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY jump DESC NULLS LAST, date) AS n FROM d) WHERE n = 1",
     "seen": "SELECT symbol, ex_date, ratio, close / prev AS obs FROM (SELECT d.symbol, c.date AS ex_date, c.value AS ratio, d.close, d.prev, row_number() OVER (PARTITION BY d.symbol, c.date, c.value ORDER BY d.date) AS n FROM corp_actions c JOIN d ON d.symbol = c.symbol AND d.date >= c.date WHERE c.type = 'split' AND c.value >= 1.5) WHERE n = 1",
     "raw": "SELECT symbol, count(*) AS uncorrected FROM seen WHERE obs < 0.85 AND abs(obs * ratio - 1) <= 0.25 GROUP BY symbol"},
-    sql="SELECT symbol, bars, invalid, R6(min_close) AS min_close, R6(worst_jump) AS worst_jump, worst_date, coalesce(uncorrected, 0) AS uncorrected, CASE WHEN coalesce(uncorrected, 0) > 0 OR invalid > 0 THEN 'unreliable' WHEN worst_jump > 1.5 THEN 'suspect' ELSE 'ok' END AS verdict FROM base JOIN worst USING (symbol) LEFT JOIN raw USING (symbol)",
+    sql="""SELECT symbol, bars, invalid, R6(min_close) AS min_close, R6(greatest(coalesce(worst_jump, 1), 1)) AS worst_jump, CASE WHEN worst_jump > 1 THEN worst_date END AS worst_date, coalesce(uncorrected, 0) AS uncorrected,
+    concat_ws('; ', CASE WHEN invalid > 0 THEN 'bad ticks' END, CASE WHEN worst_jump >= 3 THEN 'discontinuity' WHEN worst_jump >= 1.8 THEN 'jump' END, CASE WHEN uncorrected > 0 THEN 'uncorrected split' END, CASE WHEN min_close < 1 THEN 'price under one' END) AS flags,
+    CASE WHEN coalesce(uncorrected, 0) > 0 OR invalid > 0 OR worst_jump >= 3 THEN 'unreliable' WHEN worst_jump >= 1.8 OR min_close < 1 THEN 'caution' ELSE 'ok' END AS verdict FROM base JOIN worst USING (symbol) LEFT JOIN raw USING (symbol)""",
 )
 def j05(t):
     return X.data_quality(t.daily, t.corp_actions)
 
 
 MED = "SELECT symbol, median(close * volume) AS med, max(CASE WHEN n = 1 THEN close END) AS last_close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM daily) WHERE n <= 60 GROUP BY symbol"
-WATCH = "SELECT symbol, CASE WHEN symbol % 14 = 0 THEN 'trade to trade' ELSE 'graded surveillance' END AS measure FROM symbols WHERE symbol % 7 = 0"
+WATCH = "SELECT symbol, CASE WHEN symbol % 14 = 0 THEN 'GSM' ELSE 'ASM' END AS measure FROM symbols WHERE symbol % 7 = 0"
+DELIVERY = "SELECT symbol, CASE WHEN symbol % 11 = 0 THEN 'BE' WHEN symbol % 11 = 1 THEN 'BZ' ELSE 'EQ' END AS series FROM symbols WHERE symbol % 11 < 3"
 
 
 def watch(t):
-    return t.symbols.where("symbol % 7 = 0").select("symbol", F.when(F.col("symbol") % 14 == 0, "trade to trade").otherwise("graded surveillance").alias("measure"))
+    return t.symbols.where("symbol % 7 = 0").select("symbol", F.when(F.col("symbol") % 14 == 0, "GSM").otherwise("ASM").alias("measure"))
 
 
-@query(
-    "j06_tradability", "daily", "symbols", extra={"med": MED, "watch": WATCH, "x": "SELECT m.symbol, measure, CASE WHEN med / 1e5 >= 50 THEN 'deep' WHEN med / 1e5 >= 5 THEN 'ok' WHEN med / 1e5 >= 1 THEN 'thin' ELSE 'very_thin' END AS tier, last_close < 20 AS low_price, coalesce(market_cap_inr / 1e7 < 500, false) AS micro_cap FROM med m LEFT JOIN symbols s USING (symbol) LEFT JOIN watch w ON w.symbol = m.symbol"},
-    sql="SELECT symbol, tier, low_price, micro_cap, measure, CASE WHEN measure = 'trade to trade' OR tier = 'very_thin' THEN 'blocked' WHEN measure <> '' THEN 'high_risk' WHEN tier = 'thin' OR low_price OR micro_cap THEN 'caution' ELSE 'ok' END AS verdict FROM x",
-)
+def delivery(t):
+    return t.symbols.where("symbol % 11 < 3").select("symbol", F.when(F.col("symbol") % 11 == 0, "BE").when(F.col("symbol") % 11 == 1, "BZ").otherwise("EQ").alias("series"))
+
+
+X_TRADE = {"med": MED, "watch": WATCH, "delivery": DELIVERY, "x": """SELECT symbol, coalesce(series, 'EQ') AS series, measure, coalesce(measure <> '', false) AS w, coalesce(series IN ('BE', 'BZ', 'BL'), false) AS t2t,
+  CASE WHEN coalesce(med, 0) <= 0 THEN 'unknown' WHEN med / 1e5 >= 50 THEN 'deep' WHEN med / 1e5 >= 5 THEN 'ok' WHEN med / 1e5 >= 1 THEN 'thin' ELSE 'very thin' END AS tier,
+  coalesce(last_close > 0 AND last_close < 20, false) AS low_price, coalesce(market_cap_inr > 0 AND market_cap_inr / 1e7 < 500, false) AS micro_cap FROM symbols FULL JOIN med USING (symbol) LEFT JOIN watch USING (symbol) LEFT JOIN delivery USING (symbol)""",
+  "y": "SELECT *, CASE WHEN tier = 'thin' THEN 'thin liquidity' END AS a, CASE WHEN low_price THEN 'low-priced' END AS b, CASE WHEN micro_cap THEN 'micro-cap' END AS c FROM x",
+  "judged": """SELECT symbol, series, tier, low_price, micro_cap, measure, CASE WHEN w OR t2t THEN 'blocked' WHEN tier = 'very thin' THEN 'high_risk' WHEN tier = 'thin' OR low_price OR micro_cap THEN 'caution' ELSE 'ok' END AS verdict,
+  CASE WHEN w THEN 'surveillance: ' || measure WHEN t2t THEN 'trade-to-trade series ' || series WHEN tier = 'very thin' THEN 'very thin liquidity' ELSE concat_ws(' / ', a, b, c) END AS reason,
+  concat_ws(' · ', CASE WHEN w THEN 'under ' || measure END, CASE WHEN t2t THEN series || ' series' END, CASE WHEN tier IN ('thin', 'very thin') THEN tier || ' liquidity' END, b, c) AS caption, NOT (w OR t2t) AS intraday_ok FROM y"""}
+
+
+@query("j06_tradability", "daily", "symbols", extra=X_TRADE, sql="SELECT * FROM judged")
 def j06(t):
-    return X.tradability(t.daily, t.symbols, watch(t), unit=1e5)
+    return X.tradability(t.daily, t.symbols, watch(t), 1e5, delivery(t))
 
 
 @query("j06_coverage", "daily", "symbols", sql="SELECT count(*) AS symbols, count(market_cap_inr) AS with_cap FROM (SELECT DISTINCT symbol FROM daily) LEFT JOIN symbols USING (symbol)")
@@ -136,11 +155,11 @@ def j08(t):
     return X.headline_sentiment(t.headlines.withColumn("headline", F.concat(before, F.lit(": "), "headline")))
 
 
-@query("j09_news_contradiction", "journal", sql="SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a AND m THEN 'contradicts' WHEN a OR m THEN 'caution' ELSE 'consistent' END AS verdict FROM (SELECT (direction = 'BUY' AND id % 3 = 0) OR (direction = 'SELL' AND id % 3 = 1) AS a, (direction = 'BUY' AND coalesce(pnl, 0) / 1e5 <= -2) OR (direction = 'SELL' AND coalesce(pnl, 0) / 1e5 >= 2) AS m FROM journal)) GROUP BY verdict")
+@query("j09_news_contradiction", "journal", sql="""SELECT id, CASE WHEN buy AND (l = 1 OR m <= -2) OR NOT buy AND (l = 2 OR m >= 2) THEN 'cautious' WHEN buy AND (l = 2 OR m >= 2) OR NOT buy AND (l = 1 OR m <= -2) THEN 'aligned' ELSE 'neutral' END AS verdict
+  FROM (SELECT id, direction = 'BUY' AS buy, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS l, coalesce(pnl, 0) / 1e5 AS m FROM journal)""")
 def j09(t):
-    label = F.when(F.col("id") % 3 == 0, "negative").when(F.col("id") % 3 == 1, "positive").otherwise("neutral")
-    v = X.contradiction(label, F.coalesce("pnl", F.lit(0.0)) / 1e5, F.col("direction"))
-    return t.journal.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    label = F.when(F.col("id") % 4 == 0, "negative").when(F.col("id") % 4 == 1, "positive").otherwise("neutral")
+    return t.journal.select("id", X.contradiction(label, F.col("pnl") / 1e5, F.col("direction")).alias("verdict"))
 
 
 @query("j10_provider_sentiment", sql="SELECT source AS symbol, count(*) AS n, R6(avg(least(greatest(n_chars / 4000.0 - 0.5, -1), 1))) AS sentiment FROM documents GROUP BY source")
@@ -150,14 +169,26 @@ def j10(t):
     return t.raw("documents").groupBy(F.col("source").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("sentiment"))
 
 
-@query(
-    "j11_exit_reachability", "journal",
-    sql="SELECT id, R6(pct) AS participation_pct, CASE WHEN stop < lo OR stop > hi THEN 'stop_outside_band' WHEN pct >= 20 THEN 'illiquid' WHEN target < lo OR target > hi THEN 'target_outside_band' WHEN pct >= 5 THEN 'heavy' ELSE 'reachable' END AS exit_verdict FROM (SELECT id, entry * (1 - (id % 15) / 100.0) AS stop, entry * (1 + (id % 30) / 100.0) AS target, entry * 0.9 AS lo, entry * 1.2 AS hi, qty * 100.0 / (id % 1000 + 50) AS pct FROM journal)",
-)
+X_EXIT = {
+    "given": """SELECT id, direction AS side, entry, CASE WHEN direction = 'BUY' THEN entry * (1 - (id % 25) / 100.0) ELSE entry * (1 + (id % 25) / 100.0) END AS stop, qty * entry AS notional,
+      CASE WHEN id % 4 > 0 THEN CASE WHEN direction = 'BUY' THEN entry * (0.95 - (id % 16) / 100.0) ELSE entry * (1.05 + (id % 16) / 100.0) END END AS band,
+      CASE WHEN id % 13 = 0 THEN 'blocked' WHEN id % 11 = 0 THEN 'high_risk' WHEN id % 9 = 0 THEN 'caution' WHEN id % 5 > 0 THEN 'ok' END AS tradability, CASE WHEN id % 6 > 0 THEN (id % 1000 + 50) * 1000.0 END AS turnover FROM journal""",
+    "found": "SELECT *, CASE WHEN band > 0 AND entry > 0 THEN abs(entry - band) / entry * 100 END AS room, CASE WHEN band > 0 AND entry > 0 THEN CASE WHEN side = 'BUY' THEN stop > band ELSE stop < band END END AS inside, CASE WHEN turnover > 0 AND notional > 0 THEN notional / turnover * 100 END AS part FROM given",
+    "told": "SELECT *, CASE WHEN tradability = 'blocked' THEN 'blocked' WHEN NOT inside THEN 'unreachable_stop' WHEN part > 5 OR tradability IN ('high_risk', 'caution') THEN 'caution' WHEN inside IS NULL THEN 'unknown' ELSE 'ok' END AS v FROM found",
+}
+
+
+@query("j11_exit_reachability", "journal", extra=X_EXIT, sql="SELECT id, R6(room) AS circuit_room_pct, inside AS stop_inside_band, R6(part) AS participation_pct, v AS exit_verdict, CASE v WHEN 'blocked' THEN 'danger' WHEN 'unreachable_stop' THEN 'danger' WHEN 'ok' THEN 'info' ELSE 'warn' END AS severity FROM told")
 def j11(t):
-    e, i = F.col("entry"), F.col("id")
-    rows = t.journal.select("id", "qty", (e * (1 - (i % 15) / 100.0)).alias("stop"), (e * (1 + (i % 30) / 100.0)).alias("target"), (e * 0.9).alias("band_low"), (e * 1.2).alias("band_high"), (i % 1000 + 50).alias("adv"))
-    return X.exit_reachability(rows).select("id", "participation_pct", "exit_verdict")
+    e, i, buy = F.col("entry"), F.col("id"), F.col("direction") == "BUY"
+    away = lambda pct: F.when(buy, e * (1 - pct)).otherwise(e * (1 + pct))
+    band = F.when(i % 4 > 0, F.when(buy, e * (0.95 - (i % 16) / 100.0)).otherwise(e * (1.05 + (i % 16) / 100.0)))
+    named = F.when(i % 13 == 0, "blocked").when(i % 11 == 0, "high_risk").when(i % 9 == 0, "caution").when(i % 5 > 0, "ok")
+    rows = t.journal.select(
+        "id", F.col("direction").alias("side"), "entry", away((i % 25) / 100.0).alias("stop"), (F.col("qty") * e).alias("notional"), F.when(buy, band).alias("band_low"), F.when(~buy, band).alias("band_high"),
+        named.alias("tradability"), F.when(i % 6 > 0, (i % 1000 + 50) * 1000.0).alias("turnover"),
+    )
+    return X.exit_reachability(rows).select("id", "circuit_room_pct", "stop_inside_band", "participation_pct", "exit_verdict", "severity")
 
 
 @query("j12_symbol_metadata", "bars", sql="SELECT symbol, string_agg(DISTINCT tf, ',') AS intervals, count(DISTINCT session_date) AS days, CAST(max(session_date) AS VARCHAR) AS last_date, CAST(date_diff('day', max(session_date), DATE '2024-03-01') AS INT) AS age_days FROM bars GROUP BY symbol")

@@ -43,10 +43,10 @@ STREAK = f"SELECT {K4}, max(c) AS loss_streak FROM (SELECT {K4}, wins_before, co
 DRAWN = f"SELECT {K4}, max(peak - equity) AS max_dd, avg(CASE WHEN from_end <= 20 THEN CAST(r > 0 AS DOUBLE) END) * 100 AS recent_win_pct FROM curve GROUP BY {K4}"
 OOS = f"SELECT {K4}, count(*) FILTER (WHERE part = 'oos') AS oos_n, avg(r) FILTER (WHERE part = 'oos') AS oos_expectancy, avg(CAST(r > 0 AS DOUBLE)) FILTER (WHERE part = 'oos') * 100 AS oos_win_pct FROM split GROUP BY {K4}"
 FOLDS = f"SELECT {K4}, s AS wf_consistency FROM ({_wf('greatest(ceil(total / 5.0), 1)', 4)})"
-REGIMES = f"""SELECT {K4}, CASE WHEN e_up > 0 AND e_down > 0 THEN true WHEN (n_up >= 10 AND e_up <= 0) OR (n_down >= 10 AND e_down <= 0) THEN false END AS regime_consistent FROM (
+REGIMES = f"""SELECT {K4}, CASE WHEN (n_up >= 10 AND e_up <= 0) OR (n_down >= 10 AND e_down <= 0) THEN false WHEN n_up >= 10 AND n_down >= 10 THEN true END AS regime_consistent FROM (
   SELECT {K4}, count(*) FILTER (WHERE up) AS n_up, avg(r) FILTER (WHERE up) AS e_up, count(*) FILTER (WHERE NOT up) AS n_down, avg(r) FILTER (WHERE NOT up) AS e_down FROM trades t JOIN regime g ON t.session_date = g.date GROUP BY {K4})"""
 GATHERED = f"""SELECT s.*, h.sharpe, h.sharpe * sqrt(s.n) AS t_stat, d.max_dd, d.recent_win_pct, coalesce(k.loss_streak, 0) AS loss_streak, o.oos_n, o.oos_expectancy, o.oos_win_pct, f.wf_consistency, g.regime_consistent,
-  coalesce(avg(CASE WHEN s.n >= 20 THEN CAST(s.expectancy > 0 AS DOUBLE) END) OVER (PARTITION BY s.symbol, s.strategy, s.direction), 0) AS robustness,
+  coalesce(avg(CASE WHEN s.n >= 20 THEN CAST(s.expectancy > 0 AS DOUBLE) END) OVER (PARTITION BY s.symbol, s.strategy, s.direction), 1) AS robustness,
   greatest((s.win_pct / 100 + 1.96*1.96/(2*s.n) - 1.96 * sqrt(s.win_pct / 100 * (1 - s.win_pct / 100)/s.n + 1.96*1.96/(4.0*s.n*s.n))) / (1 + 1.96*1.96/s.n), 0) * 100 AS wilson_low
   FROM stats s JOIN sharpe h USING ({K4}) JOIN drawn d USING ({K4}) LEFT JOIN streak k USING ({K4}) JOIN oos o USING ({K4}) JOIN folds f USING ({K4}) LEFT JOIN regimes g USING ({K4})"""
 

@@ -42,17 +42,25 @@ def l04(t):
     return L.breaker(t.journal, marks, 1e6).drop("result")
 
 
-@query("l05_governor", "journal", extra={"c": "SELECT *, sum(CAST(pnl >= 0 AS INT)) OVER (PARTITION BY account_id ORDER BY exit_date DESC NULLS FIRST, id DESC) AS w FROM journal WHERE state = 'Manually_Accepted' AND pnl IS NOT NULL", "g": "SELECT account_id, count(*) AS trades, CAST(sum(CAST(pnl < 0 AS INT)) AS BIGINT) AS losses, CAST(sum(CAST(w = 0 AS INT)) AS BIGINT) AS loss_run, -sum(pnl) / 1e7 * 100 AS loss FROM c GROUP BY account_id"},
-       sql="SELECT account_id, trades, losses, loss_run, CASE WHEN trades >= 5 OR loss_run >= 3 OR loss >= 2 THEN 'closed' WHEN trades >= 4 OR loss_run >= 2 OR loss >= 1 THEN 'caution' ELSE 'open' END AS verdict FROM g")
+X_DAYS = {
+    "d": "SELECT * FROM (SELECT *, unnest(list_distinct([entry_date, exit_date])) AS day FROM journal WHERE state = 'Manually_Accepted') WHERE day IS NOT NULL",
+    "w": "SELECT *, coalesce(sum(CAST(pnl >= 0 AS INT)) OVER (PARTITION BY account_id, day ORDER BY exit_date DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING), 0) AS w FROM d",
+    "g": "SELECT account_id, day, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losses, count(*) FILTER (WHERE pnl IS NOT NULL AND w = 0) AS loss_run, coalesce(sum(pnl), 0) AS result FROM w GROUP BY account_id, day",
+}
+
+
+@query("l05_governor", "journal", extra=X_DAYS, sql="""SELECT account_id, CAST(day AS VARCHAR) AS day, trades, wins, losses, loss_run, R6(result) AS result,
+  concat_ws(', ', CASE WHEN result <= -200000 THEN 'daily loss' WHEN result <= -140000 THEN 'near daily loss' END, CASE WHEN trades >= 3 THEN 'trades' WHEN trades >= 2 THEN 'near trades' END, CASE WHEN loss_run >= 2 THEN 'loss run' WHEN loss_run >= 1 THEN 'near loss run' END) AS reasons,
+  CASE WHEN result <= -200000 OR trades >= 3 OR loss_run >= 2 THEN 'closed' WHEN result <= -140000 OR trades >= 2 OR loss_run >= 1 THEN 'caution' ELSE 'open' END AS verdict FROM g""")
 def l05(t):
-    return L.governor(t.journal, ACC).select("account_id", "trades", "losses", "loss_run", "verdict")
+    return L.governor(t.journal, ACC, trades=3, losses=2).withColumn("day", F.col("day").cast("string"))
 
 
-EDG = "SELECT symbol, strategy, direction, avg(CAST(pnl > -50000 AS DOUBLE)) * 100 AS win_pct, avg(pnl) AS expectancy FROM journal WHERE pnl IS NOT NULL GROUP BY ALL"
+EDG = "SELECT symbol, strategy, direction, avg(CAST(pnl > -50000 AS DOUBLE)) * 100 AS win_pct, avg(pnl) AS expectancy, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 0) AS profit_factor FROM journal WHERE pnl IS NOT NULL GROUP BY ALL"
 
 
 def _edges(t):
-    return t.journal.where("pnl IS NOT NULL").groupBy("symbol", "strategy", "direction").agg((F.avg((F.col("pnl") > -50000).cast("double")) * 100).alias("win_pct"), F.avg("pnl").alias("expectancy"))
+    return t.journal.where("pnl IS NOT NULL").groupBy("symbol", "strategy", "direction").agg((F.avg((F.col("pnl") > -50000).cast("double")) * 100).alias("win_pct"), F.avg("pnl").alias("expectancy"), F.try_divide(F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")).otherwise(0.0))).alias("profit_factor"))
 
 
 @query("l06_calibration", "journal", extra={"e": EDG, "best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY expectancy DESC, strategy) AS n FROM e) WHERE n = 1", "p": "SELECT j.pnl, coalesce(e.win_pct, b.win_pct) AS p FROM journal j LEFT JOIN e USING (symbol, strategy, direction) LEFT JOIN best b ON b.symbol = j.symbol AND b.direction = j.direction WHERE j.pnl IS NOT NULL"},
@@ -61,9 +69,12 @@ def l06(t):
     return L.calibration(t.journal, _edges(t))
 
 
-@query("l07_style", "journal", extra={"e": EDG, "caps": "SELECT DISTINCT symbol, CASE WHEN symbol < '3' THEN 10000.0 ELSE 30000.0 END AS cap FROM journal"}, sql=f"SELECT count(*) AS edges, count(DISTINCT symbol) AS names, R6(median(expectancy)) AS median_expectancy, R6(median(win_pct)) AS median_win_pct, CASE WHEN count(*) = 0 THEN 'no data' WHEN median(expectancy) > 0 THEN 'supported' ELSE 'not supported' END AS verdict FROM e JOIN caps USING (symbol) WHERE cap < 20000 AND direction = 'BUY' AND strategy IN {tuple(L.MOMENTUM)}")
+@query("l07_style", "journal", extra={"e": EDG, "small": "SELECT * FROM (SELECT symbol, CASE WHEN symbol < '2' THEN 0.0 WHEN symbol < '4' THEN 20000.0 ELSE 30000.0 END AS cap FROM (SELECT DISTINCT symbol FROM journal)) WHERE cap > 0 AND cap <= 20000", "m": f"SELECT e.* FROM e JOIN small USING (symbol) WHERE direction = 'BUY' AND strategy IN {tuple(L.MOMENTUM)}"},
+       sql="""SELECT universe, edges, names, R6(median_expectancy) AS median_expectancy, R6(median_profit_factor) AS median_profit_factor, R6(median_win_pct) AS median_win_pct, R6(coverage) AS coverage, coalesce(top, '') AS top, CASE WHEN universe = 0 THEN 'unavailable' WHEN edges = 0 THEN 'no edge' WHEN coverage < 0.05 THEN 'thin, name-specific' ELSE 'name-specific' END AS verdict FROM (
+    SELECT *, coalesce(names * 1.0 / nullif(universe, 0), 0) AS coverage FROM (SELECT (SELECT count(*) FROM small) AS universe, count(*) AS edges, count(DISTINCT symbol) AS names, coalesce(median(expectancy), 0) AS median_expectancy, coalesce(median(profit_factor), 0) AS median_profit_factor, coalesce(median(win_pct), 0) AS median_win_pct FROM m),
+    (SELECT string_agg(symbol || ' ' || strategy, ', ' ORDER BY round(expectancy, 9) DESC, symbol, strategy) AS top FROM (SELECT * FROM m ORDER BY round(expectancy, 9) DESC, symbol, strategy LIMIT 8)))""")
 def l07(t):
-    caps = t.journal.select("symbol").distinct().withColumn("cap_crore", F.when(F.col("symbol") < "3", 10000.0).otherwise(30000.0))
+    caps = t.journal.select("symbol").distinct().withColumn("cap_crore", F.when(F.col("symbol") < "2", 0.0).when(F.col("symbol") < "4", 20000.0).otherwise(30000.0))
     return L.style_validation(_edges(t), caps)
 
 

@@ -76,23 +76,26 @@ def k06(t):
     return K.flags(valued(t), t.symbols.where("symbol % 3 = 0")).select("account_id", "symbol", "flag")
 
 
-@query("k07_half_kelly", "journal", extra={"s": "SELECT strategy, avg(CAST(pnl > 0 AS DOUBLE)) * 100 AS w, avg(CASE WHEN pnl > 0 THEN pnl END) AS a, avg(CASE WHEN pnl <= 0 THEN pnl END) AS l FROM journal WHERE pnl IS NOT NULL GROUP BY strategy"}, sql="SELECT strategy, R6(least(greatest((w / 100 - (1 - w / 100) / (a / -l)) * 50, 0), 5)) AS half_kelly FROM s")
+@query("k07_half_kelly", "journal", extra={"s": "SELECT strategy, avg(CAST(pnl > 0 AS DOUBLE)) AS w, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(sum(CASE WHEN pnl <= 0 THEN -pnl ELSE 0 END), 0) AS pf FROM journal WHERE pnl IS NOT NULL GROUP BY strategy"},
+       sql="SELECT strategy, R6(coalesce(least(greatest(w * (1 - 1 / pf) * 25, 0), 5), 0)) AS kelly_low, R6(coalesce(least(greatest(w * (1 - 1 / pf) * 50, 0), 5), 0)) AS kelly_high FROM s")
 def k07(t):
-    s = t.journal.where("pnl IS NOT NULL").groupBy("strategy").agg((F.avg((F.col("pnl") > 0).cast("double")) * 100).alias("w"), F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))).alias("a"), F.avg(F.when(F.col("pnl") <= 0, F.col("pnl"))).alias("l"))
-    return s.select("strategy", K.half_kelly(F.col("w"), F.col("a"), F.col("l")).alias("half_kelly"))
+    win, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") <= 0, -F.col("pnl")).otherwise(0.0))
+    s = t.journal.where("pnl IS NOT NULL").groupBy("strategy").agg((F.avg((F.col("pnl") > 0).cast("double")) * 100).alias("w"), F.try_divide(win, loss).alias("pf"))
+    low, high = K.kelly_band(F.col("w"), F.col("pf"))
+    return s.select("strategy", low.alias("kelly_low"), high.alias("kelly_high"))
 
 
 def _exposure(name, by):
-    @query(name, *BASE, extra=X_V, sql=f"SELECT account_id, {by}, R6(value) AS value, R6(w) AS weight, names, CASE WHEN w >= 40 THEN 'hot' WHEN w >= 25 THEN 'warm' ELSE 'cool' END AS heat FROM (SELECT account_id, {by}, sum(value) AS value, sum(weight) AS w, count(*) AS names FROM v GROUP BY ALL)")
+    @query(name, *BASE, extra=X_V, sql=f"SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY value DESC, {by}) AS place FROM (SELECT account_id, {by}, R6(sum(value)) AS value, R6(sum(weight)) AS weight, count(*) AS names, R6(sum(unrealised)) AS unrealised, CASE WHEN sum(weight) >= 40 THEN 'high' WHEN sum(weight) >= 20 THEN 'elevated' ELSE 'normal' END AS heat FROM (SELECT * REPLACE (coalesce(nullif({by}, ''), 'Unknown') AS {by}) FROM v) GROUP BY account_id, {by})")
     def run(t):
-        return K.exposure(valued(t), by)
+        return K.exposure(valued(t), by).drop("members")
 
 
 _exposure("k08_sector_exposure", "sector")
 _exposure("k08_broker_exposure", "broker")
 
 
-@query("k09_sector_clusters", *BASE, extra=X_V, sql="SELECT account_id, sector, count(*) AS names, R6(sum(weight)) AS weight FROM v GROUP BY account_id, sector HAVING count(*) >= 2 AND sum(weight) >= 25")
+@query("k09_sector_clusters", *BASE, extra=X_V, sql="SELECT account_id, sector, count(*) AS names, R6(sum(weight)) AS weight, string_agg(symbol, ',' ORDER BY symbol) AS members FROM v WHERE coalesce(sector, '') <> '' GROUP BY account_id, sector HAVING count(*) >= 2 AND sum(weight) >= 25")
 def k09(t):
     return K.sector_clusters(valued(t))
 

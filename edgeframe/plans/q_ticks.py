@@ -120,9 +120,13 @@ def m14(t):
     return M.rank_snapshot(scored(t)).select("symbol", "direction", "rank")
 
 
-@query("m15_caveat", "ticks", extra=X, sql="SELECT event_id, concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'wide spread' END, CASE WHEN event_id % 3 = 0 THEN 'thin' END, CASE WHEN abs(CASE WHEN sd > 0 THEN (ltp - mean) / sd ELSE 0 END) > 3 THEN 'stretched' END) AS note FROM feat")
+@query("m15_caveat", "ticks", sql="""SELECT event_id, concat_ws(', ', CASE WHEN n < 50 THEN 'low n' END, CASE WHEN spread > 0.2 THEN 'wide spread' END, CASE WHEN abs(obi) < 0.05 THEN 'thin OBI' END, CASE WHEN oos <= 0 THEN printf('OOS %+.2fR (fails out-of-sample)', oos) END,
+  CASE WHEN oos_n > 0 AND wf < 0.5 THEN printf('WF %.0f%% (inconsistent)', wf * 100) END) AS note FROM (SELECT event_id, event_id % 90 + 20 AS n, event_id % 5 / 10.0 AS spread, (event_id % 41 - 20) / 100.0 AS obi, CASE WHEN event_id % 6 > 0 THEN (event_id % 8 - 3) / 4.0 END AS oos, event_id % 3 AS oos_n, event_id % 5 / 4.0 AS wf FROM ticks)""")
 def m15(t):
-    rows = M.features(t.ticks).withColumn("spread_pct", F.when(F.col("event_id") % 5 == 0, 0.3).otherwise(0.1)).withColumn("tier", F.when(F.col("event_id") % 3 == 0, "thin").otherwise("deep"))
+    i = F.col("event_id")
+    rows = t.ticks.select(
+        "event_id", (i % 90 + 20).alias("n"), (i % 5 / 10.0).alias("spread_pct"), ((i % 41 - 20) / 100.0).alias("obi"), F.when(i % 6 > 0, (i % 8 - 3) / 4.0).alias("oos_expectancy"), (i % 3).alias("oos_n"), (i % 5 / 4.0).alias("wf_consistency")
+    )
     return rows.select("event_id", M.caveat().alias("note"))
 
 

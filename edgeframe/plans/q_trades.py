@@ -302,7 +302,7 @@ def g03(t):
     return V.trade_walk_forward(trades(t))
 
 
-@query("g04_robustness", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(coalesce(avg(CASE WHEN n >= 20 THEN CAST(expectancy > 0 AS DOUBLE) END) OVER (PARTITION BY symbol, strategy, direction), 0)) AS robustness FROM stats")
+@query("g04_robustness", "bars", extra=X_STATS, sql=f"SELECT {K4}, R6(coalesce(avg(CASE WHEN n >= 20 THEN CAST(expectancy > 0 AS DOUBLE) END) OVER (PARTITION BY symbol, strategy, direction), 1)) AS robustness FROM stats")
 def g04(t):
     return V.robustness(TS.summary(trades(t))).select(*TS.KEY, "robustness")
 
@@ -324,7 +324,7 @@ def own_index(t):
     return last.groupBy(F.lit("ALL").alias("index_name"), F.col("session_date").alias("date")).agg((F.sum(F.col("close").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1))).alias("close"))
 
 
-@query("g06_regime_consistency", "bars", extra=X_TRADES | {"index_daily": OWN_INDEX, "regime": REGIME, "per": f"SELECT {K4}, count(*) FILTER (WHERE up) AS n_up, avg(r) FILTER (WHERE up) AS e_up, count(*) FILTER (WHERE NOT up) AS n_down, avg(r) FILTER (WHERE NOT up) AS e_down FROM trades t JOIN regime g ON t.session_date = g.date GROUP BY {K4}"}, sql=f"SELECT {K4}, n_up, n_down, CASE WHEN e_up > 0 AND e_down > 0 THEN true WHEN (n_up >= 10 AND e_up <= 0) OR (n_down >= 10 AND e_down <= 0) THEN false END AS regime_consistent FROM per")
+@query("g06_regime_consistency", "bars", extra=X_TRADES | {"index_daily": OWN_INDEX, "regime": REGIME, "per": f"SELECT {K4}, count(*) FILTER (WHERE up) AS n_up, avg(r) FILTER (WHERE up) AS e_up, count(*) FILTER (WHERE NOT up) AS n_down, avg(r) FILTER (WHERE NOT up) AS e_down FROM trades t JOIN regime g ON t.session_date = g.date GROUP BY {K4}"}, sql=f"SELECT {K4}, n_up, n_down, CASE WHEN (n_up >= 10 AND e_up <= 0) OR (n_down >= 10 AND e_down <= 0) THEN false WHEN n_up >= 10 AND n_down >= 10 THEN true END AS regime_consistent FROM per")
 def g06(t):
     return V.regime_consistency(trades(t), V.benchmark_regime(own_index(t))).select(*TS.KEY, "n_up", "n_down", "regime_consistent")
 

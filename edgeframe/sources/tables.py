@@ -128,7 +128,7 @@ class Tables:
 
     @cached_property
     def journal(self) -> DataFrame:
-        """One trade per order: id, symbol, strategy, direction, state, exit_date, qty, entry, exit, pnl, sector."""
+        """One trade per order: id, symbol, strategy, direction, state, entry_date, exit_date, qty, entry, exit, pnl, sector."""
         o = self.raw("orders")
         names = F.array(*map(F.lit, STRATEGIES))
         closed = F.col("o_orderstatus") != "O"
@@ -137,7 +137,7 @@ class Tables:
             F.element_at(names, (F.col("o_orderkey") % 13 + 1).cast("int")).alias("strategy"),
             F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("direction"),
             F.when(F.col("o_orderkey") % 10 == 9, "Manually_Rejected").otherwise("Manually_Accepted").alias("state"),
-            F.when(closed, F.to_date("o_orderdate")).alias("exit_date"), (F.col("o_orderkey") % 50 + 1).alias("qty"),
+            F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3).cast("int")).alias("entry_date"), F.when(closed, F.to_date("o_orderdate")).alias("exit_date"), (F.col("o_orderkey") % 50 + 1).alias("qty"),
             (F.col("o_totalprice") / 1000).alias("entry"), F.when(closed, F.col("o_totalprice") - 250000).alias("pnl"),
             F.concat(F.lit("SEG"), F.col("o_custkey") % 7).alias("sector"),
         )
@@ -214,7 +214,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "journal": (
         f"""SELECT o_orderkey AS id, o_orderpriority AS symbol, o_custkey AS account_id, list_extract({STRATEGIES!r}, CAST(o_orderkey % 13 + 1 AS INT)) AS strategy,
         CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, CASE WHEN o_orderkey % 10 = 9 THEN 'Manually_Rejected' ELSE 'Manually_Accepted' END AS state,
-        CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) END AS exit_date, o_orderkey % 50 + 1 AS qty, o_totalprice / 1000 AS entry,
+        CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 3 AS INT) AS DATE) AS entry_date, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) END AS exit_date, o_orderkey % 50 + 1 AS qty, o_totalprice / 1000 AS entry,
         CASE WHEN o_orderstatus <> 'O' THEN o_totalprice - 250000 END AS pnl, 'SEG' || CAST(o_custkey % 7 AS VARCHAR) AS sector FROM orders""",
         (),
     ),

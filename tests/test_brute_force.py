@@ -246,9 +246,13 @@ def test_allocation_against_loops(spark):
             fixed |= over
         capital, shares = rows[0][1], {p[2]: math.floor(weight[p[2]] * rows[0][1] / p[3]) for p in rows}
         cash = capital - sum(shares[p[2]] * p[3] for p in rows)
-        for p in sorted(rows, key=lambda p: -(weight[p[2]] * capital - math.floor(weight[p[2]] * capital / p[3]) * p[3])):
-            if p[3] <= cash:
-                shares[p[2]], cash = shares[p[2]] + 1, cash - p[3]
+        while True:  # the affordable name furthest below its slice, again and again
+            below = [(capital * weight[p[2]] - shares[p[2]] * p[3], p) for p in rows if p[3] <= cash]
+            if not below:
+                break
+            _, p = max(below, key=lambda b: b[0])
+            shares[p[2]], cash = shares[p[2]] + 1, cash - p[3]
+        assert cash < min(p[3] for p in rows)
         for p in rows:
             assert (got[plan, p[2]].weight, got[plan, p[2]].shares, got[plan, p[2]].cash_left) == (pytest.approx(weight[p[2]]), shares[p[2]], pytest.approx(cash))
 
