@@ -170,7 +170,7 @@ def rotation_signals(daily: DataFrame, index: DataFrame) -> DataFrame:
     s = s.withColumn("vs50", (F.col("last") / F.col("m50") - 1) * 100).withColumn("vs200", (F.col("last") / F.col("m200") - 1) * 100)
     s = s.withColumn("rs_6m", F.col("ret_126") - F.col("i_126")).withColumn("rs_12m", F.col("ret_252") - F.col("i_252")).withColumn("off_high", (F.col("last") / F.col("top") - 1) * 100)
     trend = F.when((F.col("vs200") > 0) & (F.col("ret_63") > 0), "uptrend").when((F.col("vs200") < 0) & (F.col("ret_252") < 0) & (F.col("ret_63") < 0), "downtrend").otherwise("sideways")
-    return s.select("symbol", "vs50", "vs200", "ret_63", "rs_6m", "rs_12m", "off_high", trend.alias("trend"))
+    return s.select("symbol", "last", "vs50", "vs200", "ret_63", "rs_6m", "rs_12m", "off_high", trend.alias("trend"))
 
 
 def rotation_bucket(trend: Column, rs12: Column, weight: Column, vs200: Column, excluded: Column) -> Column:
@@ -181,28 +181,63 @@ def rotation_bucket(trend: Column, rs12: Column, weight: Column, vs200: Column,
 
 
 def buy_screen(signals: DataFrame, edges: DataFrame, held: DataFrame, k: int = 12, off_high: float = -18.0) -> DataFrame:
-    """Per account: symbols it does not hold, above both means, stronger than the index, with the best long edge.
+    """Per account: symbols it does not hold, above both means, stronger than the index over 6 and 12 months, near their
+    high, with a long edge; the strongest over both spans first.
 
     The candidates are ranked once. An account that holds h names finds its ``k`` among the first k + h of
     them, so it meets as many candidates as that and no more.
     """
-    ok = signals.where("vs50 > 0 AND vs200 > 0 AND rs_6m > 0").where(F.col("off_high") >= off_high).join(edges, "symbol")
+    ok = signals.where("vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND rs_12m > 0").where(F.col("off_high") >= off_high).join(edges, "symbol").withColumn("strength", F.round(F.col("rs_12m") + F.col("rs_6m"), 9))
     names = held.select("account_id", "symbol").distinct()
     accounts = names.groupBy("account_id").agg(F.count(F.lit(1)).alias("__held"))
     most = k + (accounts.agg(F.max("__held")).first()[0] or 0)
-    first = ok.orderBy(F.desc("expectancy"), "symbol").limit(most)
-    first = first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("expectancy"), "symbol")))  # at most k and one account's names
+    first = ok.orderBy(F.desc("strength"), "symbol").limit(most)
+    first = first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("strength"), "symbol")))  # at most k and one account's names
     met = accounts.select("account_id", F.explode(F.sequence(F.lit(1), (F.col("__held") + k).cast("int"))).alias("__place")).join(first, "__place")
     free = met.join(names, ["account_id", "symbol"], "left_anti")
     return free.withColumn("rank", F.row_number().over(account().orderBy("__place"))).where(F.col("rank") <= k).drop("__place")
 
 
-def rebalance(v: DataFrame, tax_free: float = 125_000.0, tax_rate: float = 0.125, names: int = 5) -> DataFrame:
-    """Per account: cash from selling ``Rotate out`` whole and 60 percent of ``Trim``, gain, tax, and each new name's share."""
-    f = F.when(F.col("bucket") == "Rotate out", 1.0).when(F.col("bucket") == "Trim", 0.6).otherwise(0.0)
-    per = v.withColumn("f", f).groupBy("account_id").agg(F.sum(F.col("f") * F.col("value")).alias("cash"), F.sum(F.col("f") * F.col("unrealised")).alias("gain"), F.sum((F.col("f") > 0).cast("long")).alias("sold"))
-    tax = F.greatest(F.col("gain") - tax_free, F.lit(0.0)) * tax_rate
-    return per.withColumn("tax", tax).withColumn("per_name", (F.col("cash") - F.col("tax")) / names)
+def _sold() -> Column:
+    return F.when(F.col("bucket") == "Rotate out", 1.0).when(F.col("bucket") == "Trim", 0.6).otherwise(0.0)
+
+
+def rebalance_sells(v: DataFrame) -> DataFrame:
+    """What an account sells: ``Rotate out`` whole, 60 percent of ``Trim``; shares, cash and gain in whole units."""
+    f = _sold()
+    return v.where(f > 0).select("account_id", "symbol", "bucket", f.alias("part"), F.round(F.col("qty") * f).cast("long").alias("shares"), F.round(F.col("value") * f).alias("cash"), F.round(F.col("unrealised") * f).alias("gain"))
+
+
+def rebalance(v: DataFrame, candidates: DataFrame, tax_free: float = 125_000.0, tax_rate: float = 0.125, names: int = 5) -> DataFrame:
+    """Per account with something to sell: cash raised, gain, tax, what is left to spend (not below 0), the number of its
+    ``candidates`` (account_id, symbol, rank) that share it, at most ``names``, and the share of each."""
+    per = rebalance_sells(v).groupBy("account_id").agg(F.sum("cash").alias("cash"), F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("sold"))
+    found = candidates.where(F.col("rank") <= names).groupBy("account_id").agg(F.count(F.lit(1)).alias("names"))
+    out = per.join(found, "account_id", "left").withColumn("names", F.coalesce("names", F.lit(0)))
+    out = out.withColumn("tax", F.greatest(F.col("gain") - tax_free, F.lit(0.0)) * tax_rate)
+    out = out.withColumn("to_spend", F.greatest(F.col("cash") - F.col("tax"), F.lit(0.0)))
+    return out.withColumn("per_name", F.when(F.col("to_spend") > 0, F.try_divide("to_spend", "names")))
+
+
+def rebalance_buys(plan: DataFrame, candidates: DataFrame, names: int = 5) -> DataFrame:
+    """The candidates (with ``last``) that share what ``rebalance`` has to spend, in whole shares."""
+    j = candidates.where(F.col("rank") <= names).join(plan.where("per_name IS NOT NULL").select("account_id", "per_name"), "account_id")
+    return j.select("account_id", "symbol", "rank", F.round("per_name").alias("amount"), F.when(F.col("last") > 0, F.floor(F.col("per_name") / F.col("last"))).otherwise(0).cast("long").alias("shares"))
+
+
+def rebalance_profiles(v: DataFrame, buys: DataFrame) -> DataFrame:
+    """Per account before and after: share in uptrends, sectors, the two largest names, concentration, in whole numbers."""
+    before = v.select("account_id", F.lit("before").alias("stage"), "value", (F.col("vs200") > 0).alias("up"), "sector")
+    after = v.select("account_id", F.lit("after").alias("stage"), (F.col("value") * (1 - _sold())).alias("value"), (F.col("vs200") > 0).alias("up"), "sector").where("value > 0")
+    new = buys.select("account_id", F.lit("after").alias("stage"), F.col("amount").alias("value"), F.lit(True).alias("up"), F.lit("New").alias("sector"))
+    rows = before.unionByName(after).unionByName(new)
+    by = Window.partitionBy("account_id", "stage")
+    rows = rows.withColumn("w", F.col("value") / F.greatest(F.sum("value").over(by), F.lit(1.0)) * 100).withColumn("n", F.row_number().over(by.orderBy(F.desc("value"))))
+    known = F.when(F.col("sector") != "", F.col("sector"))
+    return rows.groupBy("account_id", "stage").agg(
+        F.round(F.sum(F.when(F.col("up"), F.col("w")).otherwise(0.0))).alias("uptrend_pct"), F.count_distinct(known).alias("sectors"),
+        F.round(F.sum(F.when(F.col("n") <= 2, F.col("w")).otherwise(0.0))).alias("top2_pct"), F.round(F.sum(F.col("w") * F.col("w"))).alias("hhi"),
+    )
 
 
 # ---------------------------------------------------------------- horizon screen and allocation
@@ -215,17 +250,67 @@ HORIZONS = {
 }
 
 
+# Least market capitalisation and daily turnover in crore, and least share of positive one-year holds.
+FLOORS = {"1y": (3000.0, 5.0, 0.45), "2y": (3000.0, 5.0, 0.45), "3y": (5000.0, 5.0, 0.50), "5y": (10000.0, 3.0, 0.55), "10y": (20000.0, 3.0, 0.60)}
+
+
+def span_stats(daily: DataFrame, spans: list[int], year: int = 252, price: str = "adj_close") -> DataFrame:
+    """Per symbol and span of so many years that its history is longer than: return in percent and a year's share of it (cagr),
+    largest fall (negative percent) over the span's bars, yearly volatility of its returns (0 below two)."""
+    down, up = Window.partitionBy("symbol").orderBy(F.desc("date")), Window.partitionBy("symbol").orderBy("date")
+    x = daily.select("symbol", "date", F.col(price).alias("x"), F.row_number().over(down).alias("rn"), F.lag(price).over(up).alias("prev"))
+    wide = x.where(F.col("rn") <= max(spans) * year + 1).withColumn("years", F.explode(F.array(*map(F.lit, spans)))).where(F.col("rn") <= F.col("years") * year + 1)
+    inside = F.col("rn") <= F.col("years") * year
+    peak = F.max(F.when(inside, F.col("x"))).over(Window.partitionBy("symbol", "years").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    wide = wide.withColumn("fall", F.when(inside & (peak > 0), F.col("x") / peak - 1)).withColumn("r", F.when(inside & (F.col("prev") > 0), F.col("x") / F.col("prev") - 1))
+    base, last = F.max(F.when(~inside, F.col("x"))), F.max(F.when(F.col("rn") == 1, F.col("x")))
+    ratio = F.when(base > 0, last / base)
+    return wide.groupBy("symbol", "years").agg(
+        ((ratio - 1) * 100).alias("ret"), ((F.pow(ratio, 1 / F.col("years")) - 1) * 100).alias("cagr"), (F.least(F.min("fall"), F.lit(0.0)) * 100).alias("max_dd"),
+        F.when(F.count("r") >= 2, F.stddev_pop("r") * F.sqrt(F.lit(float(year))) * 100).otherwise(0.0).alias("vol"), F.max((~inside).cast("int")).alias("__whole"),
+    ).where("__whole = 1").drop("__whole")
+
+
+def horizon_features(daily: DataFrame, symbols: DataFrame, index: DataFrame, edges: DataFrame, year: int = 252, unit: float = 1e7, stale_days: int = 30, price: str = "adj_close") -> DataFrame:
+    """horizon, symbol, sector, last, vol and the six factors of every symbol that passes a horizon's gates.
+
+    Gates: a last bar within ``stale_days`` of the newest, max(years, 2) * ``year`` + 5 bars, a positive CAGR, a close above
+    the mean of 200, and the horizon's floors. ``edges``: symbols with a long edge. ``unit`` is a crore of turnover.
+    """
+    up, down = Window.partitionBy("symbol").orderBy("date"), Window.partitionBy("symbol").orderBy(F.desc("date"))
+    d = daily.select("symbol", "date", F.col(price).alias("x"), (F.col("close") * F.col("volume")).alias("turn"), (F.row_number().over(up) - 1).alias("i"), F.row_number().over(down).alias("rn"), F.lag(price, year).over(up).alias("ago"))
+    held = (F.col("i") >= year) & ((F.col("i") - year) % 21 == 0) & (F.col("ago") > 0)
+    per = d.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("bars"), F.max("date").alias("newest"), F.max(F.when(F.col("rn") == 1, F.col("x"))).alias("last"), F.avg(F.when(F.col("rn") <= 200, F.col("x"))).alias("sma"),
+        F.coalesce(F.avg(F.when(held, (F.col("x") > F.col("ago")).cast("double"))), F.lit(0.0)).alias("holds"), (F.median(F.when(F.col("rn") <= 60, F.col("turn"))) / unit).alias("liquid"),
+    )
+    years = [int(h[:-1]) for h in HORIZONS]
+    market = index.groupBy("date").agg((F.sum(F.col("close").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1))).alias("adj_close"))
+    bench = span_stats(market.withColumn("symbol", F.lit("")), years, year).select("years", F.col("ret").alias("bench"))  # a row for each span
+    rows = F.array(*[F.struct(F.lit(int(h[:-1])).alias("years"), F.lit(h).alias("horizon"), *[F.lit(v).alias(n) for v, n in zip(FLOORS[h], ("least_cap", "least_liquid", "least_holds"))]) for h in HORIZONS])
+    f = span_stats(daily, years, year, price).join(per, "symbol").join(symbols.select("symbol", F.coalesce(F.nullif("sector", F.lit("")), F.lit("Unknown")).alias("sector"), F.coalesce(F.col("market_cap_inr") / 1e7, F.lit(0.0)).alias("cap")), "symbol", "left")
+    f = f.withColumn("h", F.explode(rows)).where("h.years = years").select("*", "h.horizon", "h.least_cap", "h.least_liquid", "h.least_holds").join(F.broadcast(bench), "years", "left")
+    f = f.crossJoin(F.broadcast(per.agg(F.max("newest").alias("__newest"))))  # one row
+    vs200 = (F.col("last") / F.col("sma") - 1) * 100
+    gates = (F.datediff("__newest", "newest") <= stale_days) & (F.col("bars") >= F.greatest("years", F.lit(2)) * year + 5) & (F.col("last") > 0) & (F.col("cagr") > 0) & (vs200 > 0)
+    gates = gates & (F.coalesce("cap", F.lit(0.0)) >= F.col("least_cap")) & (F.col("liquid") >= F.col("least_liquid")) & (F.col("holds") >= F.col("least_holds"))
+    backed = edges.select("symbol", F.lit(True).alias("__e")).distinct()
+    return f.where(gates).join(backed, "symbol", "left").select(
+        "horizon", "symbol", "sector", "last", "vol", F.least("cagr", F.lit(60.0)).alias("cagr"), F.coalesce(F.col("ret") - F.col("bench"), F.lit(0.0)).alias("rs"), vs200.alias("trend"),
+        F.col("max_dd").alias("drawdown"), (F.col("holds") * 100).alias("consistency"), F.log(F.greatest("cap", F.lit(0.0)) + 1).alias("quality"), F.col("__e").isNotNull().alias("edge_backed"),
+    )
+
+
 def horizon_screen(f: DataFrame, per_sector: int = 2, k: int = 8) -> DataFrame:
-    """f: symbol, sector, the six factors, edge_backed. Each horizon's best: z-scored factors, weights, at most two a sector.
+    """f: horizon, symbol, sector, the six factors, edge_backed. Each horizon's best: z-scored factors, weights, at most two a sector.
 
-    The z-scores come from one aggregate row joined back, never from an unpartitioned window.
+    The z-scores come from one aggregate row of each horizon joined back, never from an unpartitioned window.
     """
-    stats = f.agg(*[F.avg(c).alias(f"m_{c}") for c in FACTORS], *[F.stddev_pop(c).alias(f"s_{c}") for c in FACTORS])
-    z = f.crossJoin(F.broadcast(stats))  # one row
-    for c in FACTORS:
-        z = z.withColumn(f"z_{c}", F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)))
-    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), (sum((F.col(f"z_{c}") * w for c, w in zip(FACTORS, ws)), F.lit(0.0)) + F.when(F.col("edge_backed"), 0.25).otherwise(0.0)).alias("score")) for h, ws in HORIZONS.items()])
-    z = z.select("symbol", "sector", F.explode(rows).alias("h")).select("symbol", "sector", "h.*")
+    stats = f.groupBy("horizon").agg(*[F.avg(c).alias(f"m_{c}") for c in FACTORS], *[F.stddev_pop(c).alias(f"s_{c}") for c in FACTORS])
+    weights = f.sparkSession.createDataFrame([(h, *ws) for h, ws in HORIZONS.items()], "horizon string, " + ", ".join(f"w_{c} double" for c in FACTORS))
+    z = f.join(F.broadcast(stats.join(weights, "horizon")), "horizon")  # a row for each horizon
+    score = sum((F.col(f"w_{c}") * F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)) for c in FACTORS), F.lit(0.0))
+    z = z.select("horizon", "symbol", "sector", (score + F.when(F.col("edge_backed"), 0.25).otherwise(0.0)).alias("score"))
     z = z.withColumn("in_sector", F.row_number().over(Window.partitionBy("horizon", "sector").orderBy(F.desc("score"), "symbol"))).where(F.col("in_sector") <= per_sector)
     return z.withColumn("rank", F.row_number().over(Window.partitionBy("horizon").orderBy(F.desc("score"), "symbol"))).where(F.col("rank") <= k)
 
@@ -274,8 +359,9 @@ def allocate(plans: DataFrame, cap: float = 0.25) -> DataFrame:
     return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {types['plan_id']}, symbol {types['symbol']}, weight double, shares long, cash_left double")
 
 
-def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float = 6.0, leverage: float = 5.0) -> DataFrame:
-    """Greedy choice by score of each account's candidates: leverage, names, sector and risk caps; skipped rows say why."""
+def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float = 6.0, leverage: float = 5.0, trade_risk_pct: float = 2.0) -> DataFrame:
+    """Greedy choice by score of each account's candidates: names, sector (an unknown one has no cap), leverage, and a risk cap
+    of at least one trade's risk; skipped rows say why."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "symbol"], ascending=[False, True])
@@ -284,11 +370,11 @@ def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float
             reason = ""
             if taken >= most:
                 reason = "names"
-            elif sectors.get(r.sector, 0) >= per_sector:
+            elif r.sector and sectors.get(r.sector, 0) >= per_sector:
                 reason = "sector"
             elif spent + r.notional > capital * leverage:
                 reason = "leverage"
-            elif risk + r.risk > capital * risk_pct / 100:
+            elif risk + r.risk > capital * max(risk_pct, trade_risk_pct) / 100:
                 reason = "risk"
             else:
                 taken, spent, risk = taken + 1, spent + r.notional, risk + r.risk
@@ -300,6 +386,13 @@ def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float
     return rows.groupBy("account_id").applyInPandas(run, f"account_id {types['account_id']}, symbol {types['symbol']}, score double, notional double, risk double, taken boolean, skipped string")
 
 
+def basket_totals(b: DataFrame) -> DataFrame:
+    """Per account of ``basket``: ideas considered and taken, money and risk in use, and how many each cap left out."""
+    left = lambda why: F.sum((F.col("skipped") == why).cast("long")).alias(f"skipped_{why}")
+    used = lambda c: F.sum(F.when(F.col("taken"), F.col(c)).otherwise(0.0))
+    return b.groupBy("account_id").agg(F.count(F.lit(1)).alias("considered"), F.sum(F.col("taken").cast("long")).alias("positions"), used("notional").alias("deployed"), used("risk").alias("total_risk"), *map(left, ("names", "sector", "leverage", "risk")))
+
+
 def basket_bets(n: Column, rho: Column) -> Column:
     """Independent bets of ``n`` names at an average correlation (0.5 if unknown)."""
     r = F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
@@ -307,20 +400,23 @@ def basket_bets(n: Column, rho: Column) -> Column:
 
 
 def basket_losses(rows: DataFrame, draws: int = 4000, seed: int = 42) -> DataFrame:
-    """Per account: seeded draws of the day's loss of its basket (rows: risk, win_pct), nearest-rank percentiles."""
+    """Per account: seeded draws of the day's result of its basket (rows: risk, win_pct, rr), each name winning rr times its
+    risk or losing it: mean, nearest-rank 5th and 95th percentile, share of losing days and of days that lose half the risk."""
     from .bootstrap import draws as numbers
 
+    names = ["account_id", "names", "expected", "p05", "p95", "losing_pct", "big_loss_pct"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("symbol")
-        n = len(pdf)
+        n, risk = len(pdf), pdf["risk"].to_numpy(float)
         u = (numbers(seed, 0, draws * n) >> np.uint64(11)).astype(float).reshape(draws, n) / 2.0**53
-        win = u < pdf["win_pct"].to_numpy(float) / 100
-        loss = np.sort(-(np.where(win, 2.0, -1.0) * pdf["risk"].to_numpy(float)).sum(1))
-        at = lambda q: float(loss[int(np.floor(q * (draws - 1) + 0.5))])
-        return pd.DataFrame([[pdf["account_id"].iloc[0], n, at(0.5), at(0.95), at(0.99)]], columns=["account_id", "names", "loss_p50", "loss_p95", "loss_p99"])
+        win = u < np.clip(pdf["win_pct"].to_numpy(float) / 100, 0, 1)
+        day = np.sort(np.where(win, pdf["rr"].to_numpy(float) * risk, -risk).sum(1))
+        at = lambda q: float(day[int(np.floor(q * (draws - 1) + 0.5))])
+        return pd.DataFrame([[pdf["account_id"].iloc[0], n, float(day.mean()), at(0.05), at(0.95), float((day < 0).mean() * 100), float((day <= -0.5 * risk.sum()).mean() * 100)]], columns=names)
 
     kind = rows.schema["account_id"].dataType.simpleString()
-    return rows.groupBy("account_id").applyInPandas(run, f"account_id {kind}, names long, loss_p50 double, loss_p95 double, loss_p99 double")
+    return rows.groupBy("account_id").applyInPandas(run, f"account_id {kind}, names long, expected double, p05 double, p95 double, losing_pct double, big_loss_pct double")
 
 
 def exposure_gauge(used_pct: Column) -> Column:

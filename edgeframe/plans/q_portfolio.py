@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import context as X
 from ..operators import indicators as C
 from ..operators import portfolio as K
+from ..sources.stage import durable
 from . import pipelines as P
 from .registry import query
 
@@ -145,7 +146,7 @@ X_S = {"rot": ROT, "bench": BENCH, "sigs": SIGS}
 
 @query("k14_rotation_signal", "daily", "index_daily", extra=X_S, sql="SELECT symbol, R6(vs50) AS vs50, R6(vs200) AS vs200, R6(ret_63) AS ret_63, R6(rs_6m) AS rs_6m, R6(rs_12m) AS rs_12m, R6(off_high) AS off_high, trend FROM sigs")
 def k14(t):
-    return signals(t)
+    return signals(t).drop("last")
 
 
 BUCKET = "SELECT v.*, CASE WHEN symbol % 50 = 0 THEN 'Hold*' WHEN trend = 'downtrend' AND rs_12m < -15 THEN 'Rotate out' WHEN trend = 'uptrend' AND coalesce(rs_12m > 0, true) THEN 'Leader' WHEN weight >= 12 AND vs200 < 0 AND rs_12m < 0 THEN 'Trim' ELSE 'Hold' END AS bucket FROM v JOIN sigs USING (symbol)"
@@ -161,35 +162,69 @@ def k15(t):
     return bucketed(t).select("account_id", "symbol", "bucket")
 
 
-@query("k16_buy_screen", *BASE, "index_daily", "steady", extra=X_S | {"rot": ROT.replace("FROM daily", "FROM steady")} | {"ok": "SELECT symbol, 1.0 / (symbol % 17 + 1) AS expectancy FROM sigs WHERE vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND off_high >= -18"}, sql="SELECT * FROM (SELECT a.account_id, ok.symbol, row_number() OVER (PARTITION BY a.account_id ORDER BY expectancy DESC, ok.symbol) AS rank FROM (SELECT DISTINCT account_id FROM holdings) a CROSS JOIN ok WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.account_id = a.account_id AND h.symbol = ok.symbol)) WHERE rank <= 12")
+#: The candidates of each account on steady closes.
+X_BUY = {
+    "rot_s": ROT.replace("FROM daily", "FROM steady"), "sigs_s": SIGS.replace("FROM rot,", "FROM rot_s,").replace("SELECT symbol,", "SELECT symbol, last,", 1),
+    "ok": "SELECT symbol, last, round(rs_12m + rs_6m, 9) AS strength FROM sigs_s WHERE vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND rs_12m > 0 AND off_high >= -18 AND symbol % 4 > 0",
+    "cand": "SELECT * FROM (SELECT a.account_id, ok.symbol, ok.last, row_number() OVER (PARTITION BY a.account_id ORDER BY strength DESC, ok.symbol) AS rank FROM (SELECT DISTINCT account_id FROM holdings) a CROSS JOIN ok WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.account_id = a.account_id AND h.symbol = ok.symbol)) WHERE rank <= 12",
+}
+
+
+def buyable(t):
+    edges = t.symbols.where("symbol % 4 > 0").select("symbol")
+    return K.buy_screen(K.rotation_signals(t.steady, t.index_daily), edges, t.holdings)
+
+
+@query("k16_buy_screen", *BASE, "index_daily", "steady", extra={"bench": BENCH} | X_BUY, sql="SELECT account_id, symbol, rank FROM cand")
 def k16(t):
-    edges = t.symbols.select("symbol", (1.0 / (F.col("symbol") % 17 + 1)).alias("expectancy"))
-    return K.buy_screen(K.rotation_signals(t.steady, t.index_daily), edges, t.holdings).select("account_id", "symbol", "rank")
+    return buyable(t).select("account_id", "symbol", "rank")
 
 
-@query("k17_rebalance", *BASE, "index_daily", extra=X_V | X_S | {"bk": BUCKET, "s": "SELECT account_id, sum(f * value) AS cash, sum(f * unrealised) AS gain, count(*) FILTER (WHERE f > 0) AS sold FROM (SELECT *, CASE bucket WHEN 'Rotate out' THEN 1.0 WHEN 'Trim' THEN 0.6 ELSE 0.0 END AS f FROM bk) GROUP BY account_id"}, sql="SELECT account_id, R6(cash) AS cash, R6(gain) AS gain, sold, R6(greatest(gain - 125000, 0) * 0.125) AS tax, R6((cash - greatest(gain - 125000, 0) * 0.125) / 5) AS per_name FROM s")
+X_SELL = X_V | X_S | X_BUY | {
+    "bk": BUCKET, "sells": "SELECT account_id, round(f * value) AS cash, round(f * unrealised) AS gain FROM (SELECT *, CASE bucket WHEN 'Rotate out' THEN 1.0 WHEN 'Trim' THEN 0.6 ELSE 0.0 END AS f FROM bk) WHERE f > 0",
+    "plan": "SELECT *, to_spend / nullif(names, 0) AS per_name FROM (SELECT *, greatest(cash - tax, 0) AS to_spend FROM (SELECT account_id, cash, gain, sold, coalesce(names, 0) AS names, greatest(gain - 125000, 0) * 0.125 AS tax FROM (SELECT account_id, sum(cash) AS cash, sum(gain) AS gain, count(*) AS sold FROM sells GROUP BY 1) LEFT JOIN (SELECT account_id, count(*) AS names FROM cand WHERE rank <= 5 GROUP BY 1) USING (account_id)))",
+}
+
+
+@query("k17_rebalance", *BASE, "index_daily", "steady", extra=X_SELL, sql="SELECT account_id, R6(cash) AS cash, R6(gain) AS gain, sold, names, R6(tax) AS tax, R6(to_spend) AS to_spend, CASE WHEN to_spend > 0 THEN R6(per_name) END AS per_name FROM plan")
 def k17(t):
-    return K.rebalance(bucketed(t))
+    return K.rebalance(bucketed(t), buyable(t))
+
+
+@query("k17_buys", *BASE, "index_daily", "steady", extra=X_SELL, sql="SELECT account_id, symbol, rank, round(per_name) AS amount, CAST(CASE WHEN last > 0 THEN floor(per_name / last) ELSE 0 END AS BIGINT) AS shares FROM cand JOIN plan USING (account_id) WHERE rank <= 5 AND to_spend > 0")
+def k17_buys(t):
+    c = durable(buyable(t), "candidates")
+    return K.rebalance_buys(K.rebalance(bucketed(t), c), c)
 
 
-def factors(t):
-    tails = C.daily_tails(t.daily)
-    j = tails.join(signals(t), "symbol").join(t.symbols.select("symbol", "sector", "market_cap_inr"), "symbol")
-    return j.select(
-        "symbol", "sector", F.least("cagr", F.lit(60.0)).alias("cagr"), F.coalesce("rs_12m", F.lit(0.0)).alias("rs"), F.col("vs200").alias("trend"), (-F.col("max_dd_pct")).alias("drawdown"),
-        F.coalesce("consistency", F.lit(0.0)).alias("consistency"), F.log(1 + F.coalesce(F.col("market_cap_inr") / 1e7, F.lit(0.0))).alias("quality"), (F.col("symbol") % 3 == 0).alias("edge_backed"),
-    )
+#: The suppliers' days make two years of 252; a year of 50 lets every horizon be met.
+YEAR = 50
+
+
+def features(t):
+    return K.horizon_features(t.steady, t.symbols, t.index_daily, t.symbols.where("symbol % 3 = 0"), year=YEAR, unit=1e3)
+
+
+SPAN = f"""SELECT symbol, years, (last / base - 1) * 100 AS ret, (power(last / base, 1.0 / years) - 1) * 100 AS cagr, least(fall, 0) * 100 AS max_dd, CASE WHEN n >= 2 THEN sd * sqrt({YEAR}) * 100 ELSE 0 END AS vol FROM (
+  SELECT symbol, years, max(CASE WHEN rn = 1 THEN x END) AS last, max(CASE WHEN rn > years * {YEAR} THEN x END) AS base, min(CASE WHEN inside THEN x / peak - 1 END) AS fall, stddev_pop(CASE WHEN inside THEN x / prev - 1 END) AS sd, count(CASE WHEN inside THEN prev END) AS n FROM (
+  SELECT *, max(CASE WHEN inside THEN x END) OVER (PARTITION BY symbol, years ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, rn <= years * {YEAR} AS inside FROM (SELECT symbol, date, adj_close AS x, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, lag(adj_close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM steady) CROSS JOIN (VALUES (1), (2), (3), (5), (10)) v(years) WHERE rn <= years * {YEAR} + 1)) GROUP BY symbol, years) WHERE base > 0"""
+
+
+@query("c18_c20_spans", "steady", extra={"span": SPAN}, sql="SELECT symbol, years, R6(ret) AS ret, R6(cagr) AS cagr, R6(max_dd) AS max_dd, R6(vol) AS vol FROM span")
+def c18_spans(t):
+    return K.span_stats(t.steady, [1, 2, 3, 5, 10], YEAR)
 
 
 @query("k18_horizon_screen")
 def k18(t):
-    return K.horizon_screen(factors(t))
+    return K.horizon_screen(features(t))
 
 
 @query("k19_allocation")
 def k19(t):
     """One plan per horizon and capital over the horizon's screen."""
-    s = K.horizon_screen(factors(t)).join(C.daily_tails(t.daily).select("symbol", F.col("last").alias("price"), F.col("vol_pct").alias("vol")), "symbol")
+    f = durable(features(t), "features")
+    s = K.horizon_screen(f).join(f.select("horizon", "symbol", F.col("last").alias("price"), "vol"), ["horizon", "symbol"])
     plans = s.withColumn("capital", F.explode(F.array(F.lit(1e5), F.lit(1e6), F.lit(1e7)))).withColumn("plan_id", F.concat_ws("-", "horizon", F.col("capital").cast("long")))
     return K.allocate(plans.select("plan_id", "capital", "symbol", "price", "vol"))
 
@@ -218,9 +253,16 @@ def k22(t):
     return e.select("account_id", K.basket_bets(F.col("n"), F.col("avg_pair")).alias("bets"))
 
 
+@query("k20_totals")
+def k20_totals(t):
+    return K.basket_totals(K.basket(candidates(t)))
+
+
 @query("k23_basket_losses")
 def k23(t):
-    return K.basket_losses(K.basket(candidates(t)).where("taken").join(candidates(t).select("account_id", "symbol", "win_pct"), ["account_id", "symbol"]))
+    """Each name's reward is 1 to 3 times its risk."""
+    rated = candidates(t).select("account_id", "symbol", "win_pct", (F.col("symbol") % 5 / 2.0 + 1).alias("rr"))
+    return K.basket_losses(K.basket(candidates(t)).where("taken").join(rated, ["account_id", "symbol"]))
 
 
 @query("k24_exposure_gauge", *BASE, extra=X_V, sql="SELECT account_id, R6(u) AS used_pct, CASE WHEN u >= 90 THEN 'red' WHEN u >= 60 THEN 'amber' ELSE 'green' END AS gauge FROM (SELECT account_id, sum(value) * 100 / 5e6 AS u FROM v GROUP BY account_id)")

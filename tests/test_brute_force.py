@@ -207,11 +207,13 @@ def test_bootstrap_against_loops():
 
 
 def test_basket_losses_against_loops(spark):
-    rows = [("x", "A", 100.0, 55.0), ("x", "B", 250.0, 40.0), ("y", "C", 10.0, 90.0)]
-    got = {r.account_id: r for r in K.basket_losses(spark.createDataFrame(rows, "account_id string, symbol string, risk double, win_pct double"), draws=50).collect()}
+    rows = [("x", "A", 100.0, 55.0, 2.0), ("x", "B", 250.0, 40.0, 1.5), ("y", "C", 10.0, 90.0, 3.0)]
+    got = {r.account_id: r for r in K.basket_losses(spark.createDataFrame(rows, "account_id string, symbol string, risk double, win_pct double, rr double"), draws=50).collect()}
     u = BS.draws(42, 0, 100)
-    losses = sorted(-sum((2.0 if (int(u[d * 2 + i]) >> 11) / 2**53 < w / 100 else -1.0) * risk for i, (_, _, risk, w) in enumerate(rows[:2])) for d in range(50))
-    assert (got["x"].names, got["x"].loss_p50, got["x"].loss_p95) == (2, losses[round(0.5 * 49 + 1e-9)], losses[int(0.95 * 49 + 0.5)]) and got["y"].names == 1
+    day = sorted(sum(rr * risk if (int(u[d * 2 + i]) >> 11) / 2**53 < w / 100 else -risk for i, (_, _, risk, w, rr) in enumerate(rows[:2])) for d in range(50))
+    r = got["x"]
+    assert (r.names, r.expected, r.p05, r.p95) == (2, pytest.approx(sum(day) / 50), day[int(0.05 * 49 + 0.5)], day[int(0.95 * 49 + 0.5)]) and got["y"].names == 1
+    assert (r.losing_pct, r.big_loss_pct) == (pytest.approx(2 * sum(d < 0 for d in day)), pytest.approx(2 * sum(d <= -175 for d in day)))
 
 
 # ---------------------------------------------------------------- choices
@@ -260,7 +262,7 @@ def test_allocation_against_loops(spark):
 def test_horizon_screen_against_loops(spark):
     r = np.random.default_rng(6)
     f = [(f"s{i:02d}", f"sec{i % 5}", *map(float, r.normal(0, 10, 6)), bool(i % 3 == 0)) for i in range(40)]
-    got = {(x.horizon, x.symbol): (x.rank, x.score) for x in K.horizon_screen(spark.createDataFrame(f, "symbol string, sector string, " + ", ".join(f"{c} double" for c in K.FACTORS) + ", edge_backed boolean")).collect()}
+    got = {(x.horizon, x.symbol): (x.rank, x.score) for x in K.horizon_screen(spark.createDataFrame(f, "symbol string, sector string, " + ", ".join(f"{c} double" for c in K.FACTORS) + ", edge_backed boolean").withColumn("horizon", F.explode(F.array(*map(F.lit, K.HORIZONS))))).collect()}
     x = np.array([row[2:8] for row in f])
     z = (x - x.mean(0)) / x.std(0)
     want = {}
@@ -276,14 +278,77 @@ def test_horizon_screen_against_loops(spark):
 
 
 def test_buy_screen_against_loops(spark):
-    signals = spark.createDataFrame([(i, 1.0, 1.0, 1.0, -5.0 if i % 4 else -50.0) for i in range(40)], "symbol long, vs50 double, vs200 double, rs_6m double, off_high double")
-    edges = spark.createDataFrame([(i, float(i % 9)) for i in range(40)], "symbol long, expectancy double")
+    signals = spark.createDataFrame([(i, 1.0, 1.0, 1.0, -5.0 if i % 4 else -50.0, float(i % 9)) for i in range(40)], "symbol long, vs50 double, vs200 double, rs_6m double, off_high double, rs_12m double")
+    edges = spark.createDataFrame([(i,) for i in range(39)], "symbol long")
     held = [("x", i) for i in range(30)] + [("y", 17), ("y", 17), ("z", 99)]
     got = {(r.account_id, r.rank): r.symbol for r in K.buy_screen(signals, edges, spark.createDataFrame(held, "account_id string, symbol long"), k=5).collect()}
-    order = sorted((i for i in range(40) if i % 4), key=lambda i: (-(i % 9), i))
+    order = sorted((i for i in range(39) if i % 4 and i % 9), key=lambda i: (-(i % 9), i))
     assert got == {(a, n + 1): s for a in "xyz" for n, s in enumerate([i for i in order if (a, i) not in held][:5])}
 
 
+def test_rebalance_by_hand(spark):
+    """Sells in whole units, tax above the exemption, as many shares of the cash as there are candidates, at most five."""
+    v = [("a", "s1", 10.0, 400_000.0, 300_000.0, "Rotate out", -1.0, "Bank"), ("a", "s2", 5.0, 1000.4, -100.0, "Trim", -2.0, "Auto"), ("a", "s3", 5.0, 1000.0, 1.0, "Hold", 3.0, ""), ("b", "s4", 1.0, 5.0, 1.0, "Leader", 1.0, "Bank"), ("c", "s5", 4.0, 100.0, 1e6, "Rotate out", 1.0, "Bank")]
+    df = spark.createDataFrame(v, "account_id string, symbol string, qty double, value double, unrealised double, bucket string, vs200 double, sector string")
+    cand = spark.createDataFrame([("a", "n1", 1, 700.0), ("a", "n2", 2, 1e9), ("b", "n1", 1, 700.0), ("c", "n1", 1, 700.0), ("c", "n9", 6, 1.0)], "account_id string, symbol string, rank int, last double")
+    assert {(r.symbol, r.shares, r.cash, r.gain) for r in K.rebalance_sells(df).collect()} == {("s1", 10, 400_000.0, 300_000.0), ("s2", 3, 600.0, -60.0), ("s5", 4, 100.0, 1e6)}
+    plan = K.rebalance(df, cand)
+    got = {r.account_id: r for r in plan.collect()}
+    tax = (299_940 - 125_000) * 0.125
+    assert set(got) == {"a", "c"} and (got["a"].cash, got["a"].tax, got["a"].to_spend, got["a"].per_name) == (400_600.0, tax, 400_600 - tax, (400_600 - tax) / 2)
+    assert (got["c"].to_spend, got["c"].per_name) == (0.0, None)
+    per = (400_600 - tax) / 2
+    buys = K.rebalance_buys(plan, cand)
+    assert {(r.account_id, r.symbol, r.amount, r.shares) for r in buys.collect()} == {("a", "n1", float(round(per)), int(per / 700)), ("a", "n2", float(round(per)), 0)}
+    p = {(r.account_id, r.stage): r for r in K.rebalance_profiles(df, buys).collect()}
+    assert (p["a", "before"].sectors, p["a", "after"].sectors, p["a", "before"].uptrend_pct, p["a", "after"].uptrend_pct) == (2, 2, 0.0, 100.0) and p["a", "after"].hhi < p["a", "before"].hhi
+
+
+def test_basket_totals_and_unknown_sectors(spark):
+    rows = [("a", f"s{i}", "" if i < 4 else "x", 10.0 - i, 100.0, 1.5, 100.0) for i in range(8)]
+    b = K.basket(spark.createDataFrame(rows, "account_id string, symbol string, sector string, score double, notional double, risk double, capital double"), leverage=50, risk_pct=1.0, trade_risk_pct=8.0)
+    r = K.basket_totals(b).first()
+    assert (r.considered, r.positions, r.deployed, r.total_risk, r.skipped_names, r.skipped_sector, r.skipped_risk) == (8, 5, 500.0, 7.5, 3, 0, 0)
+
+
+def test_horizon_features_against_loops(spark):
+    """Gates and spans written out for one symbol after another."""
+    import datetime as dt
+
+    r, year = np.random.default_rng(11), 30
+    series = {}
+    for s in range(24):
+        n = int(r.choice([64, 66, 70, 200, 310]))
+        x = 100 * np.exp(np.cumsum(r.normal(0.004, 0.02, n)))
+        series[f"s{s:02d}"] = (x, r.uniform(1, 9, n), 400 - n if s % 6 else 360 - n)
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(int(o + i)), float(p), float(p), float(v)) for s, (x, vs, o) in series.items() for i, (p, v) in enumerate(zip(x, vs))]
+    daily = spark.createDataFrame(rows, "symbol string, date date, close double, adj_close double, volume double")
+    caps = {s: float(r.choice([1e10, 4e10, 3e11])) for s in series}
+    symbols = spark.createDataFrame([(s, "sec", c) for s, c in caps.items()], "symbol string, sector string, market_cap_inr double")
+    index = [("i", dt.date(2020, 1, 1) + dt.timedelta(i), 100.0 + i // 4) for i in range(400)]
+    got = {(x.horizon, x.symbol): x for x in K.horizon_features(daily, symbols, spark.createDataFrame(index, "index_name string, date date, close double"), symbols.where("symbol < 's05'"), year=year, unit=100.0).collect()}
+    want = {}
+    for s, (x, vol, offset) in series.items():
+        n, turn = len(x), sorted((x * vol)[-60:])
+        liquid = (turn[len(turn) // 2] + turn[(len(turn) - 1) // 2]) / 2 / 100
+        holds = [x[i] > x[i - year] for i in range(year, n, 21)]
+        share = sum(holds) / len(holds) if holds else 0.0
+        vs200 = (x[-1] / x[-200:].mean() - 1) * 100
+        for h, (cap, least, hold) in K.FLOORS.items():
+            y = int(h[:-1])
+            if offset + n < 400 - 30 or n < max(y, 2) * year + 5 or n <= y * year:
+                continue
+            cagr = ((x[-1] / x[-1 - y * year]) ** (1 / y) - 1) * 100
+            if cagr <= 0 or vs200 <= 0 or caps[s] / 1e7 < cap or liquid < least or share < hold:
+                continue
+            span = x[-y * year :]
+            fall = min(0.0, min(p / max(span[: i + 1]) - 1 for i, p in enumerate(span)) * 100)
+            steps = x[-y * year :] / x[-y * year - 1 : -1] - 1
+            i_now, i_then = 100.0 + 399 // 4, 100.0 + (399 - y * year) // 4
+            want[h, s] = (min(cagr, 60), (x[-1] / x[-1 - y * year] - i_now / i_then) * 100, vs200, fall, share * 100, math.log(caps[s] / 1e7 + 1), s < "s05", steps.std() * math.sqrt(year) * 100)
+    assert len(want) > 5 and {k: tuple(got[k][c] for c in (*K.FACTORS, "edge_backed", "vol")) for k in got} == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_clusters_of_text_symbols(spark):
     r = np.random.default_rng(7)
     names = [f"n{i:02d}" for i in range(30)]
