@@ -143,36 +143,48 @@ def size_rows(rows: DataFrame, budget: float, risk_pct: float) -> DataFrame:
     return out.withColumn("gain_at_target", F.col("shares") * F.col("stop_distance") * _config("rr")).withColumn("loss_at_stop", -F.col("shares") * F.col("stop_distance")).where("shares >= 1")
 
 
-def finder(s: DataFrame, prices: DataFrame, capital: float, risk_pct: float, max_atr: float | None = None) -> DataFrame:
-    """Best setup of each symbol that the capital can hold, by fit."""
-    best = best_per(s.where("expectancy > 0"), ["symbol"], *_best_first()).join(prices, series(prices))
+def finder(s: DataFrame, prices: DataFrame, capital: float, risk_pct: float, max_atr: float | None = None, floor: int = 50) -> DataFrame:
+    """Best setup with a confidence of ``floor`` or more of each symbol of which the capital can hold a share, sized to it; the
+    fit score is the confidence times the part of the shares by risk that the money reaches."""
+    best = best_per(s.where(F.col("confidence") >= floor), ["symbol"], *_best_first()).join(prices, series(prices))
     if max_atr is not None:
         best = best.where(F.col("atr") <= max_atr)
-    sized = size_rows(best, capital, risk_pct)
-    used = F.col("shares") * F.col("ltp") / (capital * LEVERAGE)
-    sized = sized.withColumn("deployed_pct", used * 100).withColumn("fit", F.when(used >= 0.5, "full").when(used >= 0.2, "partial").otherwise("small"))
-    score = F.coalesce(F.col("confidence"), F.lit(0)) * (0.5 + 0.5 * F.least(used, F.lit(1.0)))
-    return sized.withColumn("fit_score", score).select(*series(s), "strategy", "direction", "config_id", "confidence", "expectancy", "ltp", "atr", "shares", "stop", "target", "gain_at_target", "loss_at_stop", "deployed_pct", "fit", "fit_score")
-
-
-def picks(s: DataFrame, tradability: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """Top ``k`` per side, one row per symbol, without blocked symbols or edges that costs eat; chance as X of 10."""
-    ok = s.where((F.col("expectancy") > 0) & (F.col("n") >= 20))
-    thin = F.lit(False)
-    if tradability is not None:
-        ok = ok.join(tradability.select("symbol", F.col("verdict").alias("__v"), F.col("tier").alias("__t")), "symbol", "left").where(F.coalesce(F.col("__v") != "blocked", F.lit(True)))
-        thin = F.coalesce(F.col("__t").isin("thin", "very thin"), F.lit(False))
-    best = best_per(ok, ["symbol"], *_best_first())
-    out = top_per(best, ["direction"], k, *_best_first())
-    return out.select("direction", "rank", *series(s), "strategy", "config_id", "confidence", "expectancy", F.round(F.col("wilson_low") / 10).cast("int").alias("x_of_10"), thin.alias("thin"))
-
-
-def target_feasibility(s: DataFrame, risk_pct: float = 2.0, target_pct: float = 20.0, most_trades: int = 500) -> DataFrame:
-    """Per side: trades that a median edge needs to compound to the target, and how realistic that is."""
-    per = s.where("expectancy > 0").groupBy("direction").agg(F.median("expectancy").alias("median_expectancy"), F.count(F.lit(1)).alias("edges"))
-    step = F.col("median_expectancy") * risk_pct / 100
-    need = F.least(F.ceil(F.log(F.lit(1 + target_pct / 100)) / F.log(1 + step)), F.lit(most_trades))
-    return per.withColumn("trades_needed", need).withColumn("label", F.when(need <= 20, "realistic").when(need <= 60, "ambitious").otherwise("unrealistic"))
+    sized = size_rows(best.where("ltp > 0 AND atr > 0"), capital, risk_pct)
+    by_risk, by_money = F.floor(capital * risk_pct / 100 / F.col("stop_distance")), F.floor(capital * LEVERAGE / F.col("ltp"))
+    sized = sized.withColumn("shares_by_risk", by_risk.cast("double")).withColumn("shares_by_money", by_money.cast("double"))
+    net = lambda level: costs.net_pnl(F.col("direction"), F.col("ltp"), F.col(level), F.col("shares"))
+    sized = sized.withColumn("net_profit", net("target")).withColumn("net_loss", net("stop")).withColumn("deployed_pct", F.col("shares") * F.col("ltp") / (capital * LEVERAGE) * 100)
+    sized = sized.withColumn("fit", F.when(F.col("shares_by_risk") <= F.col("shares_by_money"), "ideal").otherwise("leverage_bound"))
+    return sized.withColumn("fit_score", F.col("confidence") * F.least(F.col("shares") / F.col("shares_by_risk"), F.lit(1.0))).select(
+        *series(s), "strategy", "direction", "config_id", "confidence", "expectancy", "win_pct", "wilson_low", "profit_factor", "n", "ltp", "atr", "shares", "shares_by_risk", "shares_by_money", "stop", "target",
+        "net_profit", "net_loss", "deployed_pct", "fit", "fit_score",
+    )
+
+
+def picks(rows: DataFrame, tradability: DataFrame, k: int = 5, cost: float = COST) -> DataFrame:
+    """Top ``k`` per side of the finder's rows by fit, without blocked symbols and without edges below what a round trip costs
+    in R; the chance as X of 10 from the Wilson bound. A symbol that ``tradability`` (symbol, verdict, reason) does not have is unverified."""
+    known = tradability.select("symbol", F.col("verdict").alias("__v"), F.col("reason").alias("__r"))
+    j = rows.join(known, "symbol", "left").withColumn("tradability", F.coalesce("__v", F.lit("unverified")))
+    floor = cost * F.col("ltp") / F.abs(F.col("ltp") - F.col("stop"))
+    ok = j.where("tradability <> 'blocked' AND expectancy > 0 AND shares > 0").where(~(F.col("expectancy") < floor))
+    note = F.when(F.col("tradability").isin("high_risk", "caution"), F.col("__r")).when(F.col("tradability") == "unverified", "not verified")
+    one = Window.partitionBy("direction", "symbol").orderBy(F.round("fit_score", 9).desc(), *series(rows)[1:], "strategy", "config_id")
+    ok = ok.withColumn("note", note).withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    out = top_per(ok, ["direction"], k, F.round("fit_score", 9).desc())
+    return out.withColumn("x_of_10", F.least(F.greatest(F.round(F.col("wilson_low") / 10), F.lit(0)), F.lit(10)).cast("int")).drop("__v", "__r", "__n")
+
+
+def target_feasibility(picked: DataFrame, risk_pct: float, start: float, goal: float) -> DataFrame:
+    """One row: the trades of the picks' median expectancy that compound ``start`` to ``goal`` (0 without a gain, a million at
+    most), and how realistic that is: reasonable to 1.5 times, aggressive to 3."""
+    multiple = goal / start
+    growth = risk_pct / 100 * F.coalesce(F.median("expectancy"), F.lit(0.0))
+    per = picked.agg(growth.alias("g"), F.count(F.lit(1)).alias("picks"))
+    need = F.least(F.greatest(F.ceil(F.log(F.lit(multiple)) / F.log(1 + F.col("g"))), F.lit(0)), F.lit(1_000_000))
+    label = "reasonable" if multiple <= 1.5 else "aggressive" if multiple <= 3.0 else "unrealistic"
+    pays = F.col("g") > 0
+    return per.select("picks", F.lit(multiple).alias("multiple"), (F.col("g") * 100).alias("growth_pct"), F.when(pays, need).otherwise(0).cast("long").alias("trades_needed"), F.when(pays, label).otherwise("unrealistic").alias("label"))
 
 
 def staged(rows: DataFrame, k: int = 5, tiers: tuple[float, ...] = (0.5, 1.0, 2.0), capital: float = 500_000.0) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions import costs as FEE
 from ..functions import scores
 from ..operators import journal as L
 from ..operators import signals as D
@@ -254,44 +255,69 @@ def i06(t):
     return rows.select("direction", "rank", "symbol", "tf", "strategy", "config_id", "ltp", "atr", F.col("shares").cast("double").alias("shares"), "stop", "target", "gain_at_target", "loss_at_stop")
 
 
-FOUND = f"SELECT *, shares * ltp / ({CAPITAL} * 5) AS used FROM ({_sized_sql(_best_sql('scored', BASE, 'expectancy > 0'))})"
+def _net_sql(level):
+    """Profit after the itemised costs of ``shares`` from ltp to a level."""
+    a, b = "ltp * shares", f"{level} * shares"
+    long = "direction = 'BUY'"
+    fees = f"(least({a} * {FEE.BROKERAGE_RATE}, {FEE.BROKERAGE_MAX}) + least({b} * {FEE.BROKERAGE_RATE}, {FEE.BROKERAGE_MAX}) + ({a} + {b}) * {FEE.EXCHANGE + FEE.REGULATOR!r}) * {1 + FEE.GST}"
+    legs = f"CASE WHEN {long} THEN {b} * {FEE.STT_SELL} + {a} * {FEE.STAMP_BUY} ELSE {a} * {FEE.STT_SELL} + {b} * {FEE.STAMP_BUY} END"
+    return f"(CASE WHEN {long} THEN {b} - {a} ELSE {a} - {b} END - {fees} - {legs} - ({a} + {b}) * {FEE.SLIPPAGE})"
+
+
+FOUND = f"""SELECT *, {_net_sql('target')} AS net_profit, {_net_sql('stop')} AS net_loss, shares * ltp / ({CAPITAL} * 5) * 100 AS deployed_pct, CASE WHEN by_risk <= by_money THEN 'ideal' ELSE 'leverage_bound' END AS fit, confidence * least(shares / by_risk, 1.0) AS fit_score FROM (
+  SELECT *, floor({CAPITAL} * 2 / 100 / stop_distance) AS by_risk, floor({CAPITAL} * 5 / ltp) AS by_money FROM ({_sized_sql(_best_sql('scored', BASE, 'confidence >= 50'))}))"""
+#: One symbol is blocked, one needs caution, one is not known.
+VERDICTS = [("error", "blocked", "surveillance: ASM"), ("signup", "caution", "thin liquidity"), ("click", "ok", ""), ("view", "ok", "")]
+PICKED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY round(fit_score, 9) DESC, {BASE}, strategy, config_id) AS rank FROM (
+  SELECT f.*, coalesce(v.verdict, 'unverified') AS tradability, CASE WHEN v.verdict = 'caution' THEN v.reason WHEN v.verdict IS NULL THEN 'not verified' END AS note FROM found f LEFT JOIN (VALUES {', '.join(map(str, VERDICTS))}) v(name, verdict, reason) ON name = {BASE.replace('symbol', 'f.symbol')})
+  WHERE tradability <> 'blocked' AND expectancy > 0 AND shares > 0 AND NOT expectancy < {COST!r} * ltp / abs(ltp - stop)) WHERE rank <= 5"""
+X_FOUND = X | {"prices": PRICES, "found": FOUND, "picked": PICKED}
+
+
+def found(t):
+    return P.finder(scored(t), P.last_prices(scan_bars(t)), capital=CAPITAL, risk_pct=2.0)
+
+
+def picked(t):
+    return P.picks(found(t), t.spark.createDataFrame(VERDICTS, "symbol string, verdict string, reason string"))
 
 
 @query(
-    "i07_finder", "trending", extra=X | {"prices": PRICES, "found": FOUND},
-    sql=f"""SELECT {SERIES}, strategy, direction, config_id, confidence, R6(expectancy) AS expectancy, R6(ltp) AS ltp, R6(atr) AS atr, shares, R6(stop) AS stop, R6(target) AS target, R6(gain_at_target) AS gain_at_target, R6(loss_at_stop) AS loss_at_stop,
-    R6(used * 100) AS deployed_pct, CASE WHEN used >= 0.5 THEN 'full' WHEN used >= 0.2 THEN 'partial' ELSE 'small' END AS fit, R6(coalesce(confidence, 0) * (0.5 + 0.5 * least(used, 1.0))) AS fit_score FROM found""",
+    "i07_finder", "trending", extra=X_FOUND,
+    sql=f"""SELECT {SERIES}, strategy, direction, config_id, confidence, R6(expectancy) AS expectancy, R6(win_pct) AS win_pct, R6(wilson_low) AS wilson_low, R6(profit_factor) AS profit_factor, n, R6(ltp) AS ltp, R6(atr) AS atr, shares, by_risk AS shares_by_risk, by_money AS shares_by_money,
+    R6(stop) AS stop, R6(target) AS target, R6(net_profit) AS net_profit, R6(net_loss) AS net_loss, R6(deployed_pct) AS deployed_pct, fit, R6(fit_score) AS fit_score FROM found""",
 )
 def i07(t):
-    return P.finder(scored(t), P.last_prices(scan_bars(t)), capital=CAPITAL, risk_pct=2.0).withColumn("shares", F.col("shares").cast("double"))
+    return found(t).withColumn("shares", F.col("shares").cast("double"))
 
 
-@query("i09_picks", "trending", extra=X | {"picked": _top_sql(_best_sql("scored", BASE, "expectancy > 0 AND n >= 20"), 5)}, sql=f"SELECT direction, rank, {SERIES}, strategy, config_id, confidence, R6(expectancy) AS expectancy, CAST(round(wilson_low / 10) AS INT) AS x_of_10, false AS thin FROM picked")
+@query("i09_picks", "trending", extra=X_FOUND, sql=f"SELECT direction, rank, {SERIES}, strategy, config_id, confidence, R6(expectancy) AS expectancy, shares, R6(net_profit) AS net_profit, R6(net_loss) AS net_loss, CAST(round(wilson_low / 10) AS INT) AS x_of_10, tradability, note FROM picked")
 def i09(t):
-    return P.picks(scored(t))
+    rows = picked(t).withColumn("shares", F.col("shares").cast("double"))
+    return rows.select("direction", "rank", "symbol", "tf", "strategy", "config_id", "confidence", "expectancy", "shares", "net_profit", "net_loss", "x_of_10", "tradability", "note")
 
 
 @query(
-    "i10_target_feasibility", "trending", extra=X,
-    sql="""SELECT direction, R6(m) AS median_expectancy, edges, need AS trades_needed, CASE WHEN need <= 20 THEN 'realistic' WHEN need <= 60 THEN 'ambitious' ELSE 'unrealistic' END AS label FROM (
-    SELECT *, least(ceil(ln(1 + 20.0 / 100) / ln(1 + m * 2 / 100)), 500) AS need FROM (SELECT direction, median(expectancy) AS m, count(*) AS edges FROM scored WHERE expectancy > 0 GROUP BY direction))""",
+    "i10_target_feasibility", "trending", extra=X_FOUND,
+    sql="""SELECT picks, 2.0::DOUBLE AS multiple, R6(g * 100) AS growth_pct, CAST(CASE WHEN g > 0 THEN least(greatest(ceil(ln(2.0) / ln(1 + g)), 0), 1000000) ELSE 0 END AS BIGINT) AS trades_needed, CASE WHEN g > 0 THEN 'aggressive' ELSE 'unrealistic' END AS label
+    FROM (SELECT count(*) AS picks, coalesce(median(expectancy), 0) * 2 / 100 AS g FROM picked)""",
 )
 def i10(t):
-    return P.target_feasibility(scored(t)).withColumn("trades_needed", F.col("trades_needed").cast("double"))
+    return P.target_feasibility(picked(t), 2.0, CAPITAL, 2 * CAPITAL)
 
 
 STAGED = f"""SELECT *, least(floor({CAPITAL} * risk_pct / 100 / nullif(d, 0)), floor({CAPITAL} * 5 / nullif(lim, 0))) AS shares, lim - {SIGN} * d AS stop, lim + {SIGN} * {RR} * d AS target FROM (
-  SELECT s.*, risk_pct, ltp - {SIGN} * 0.1 * p.atr AS lim, {K} * p.atr AS d FROM scanned s JOIN prices p USING (symbol) CROSS JOIN (VALUES (0.5), (1.0), (2.0)) v(risk_pct) WHERE rank <= 5)"""
+  SELECT s.*, risk_pct, ltp - {SIGN} * 0.1 * p.atr AS lim, {K} * p.atr AS d FROM (SELECT * EXCLUDE (shares, stop, target, atr) FROM picked) s JOIN (SELECT symbol, atr FROM prices) p USING (symbol) CROSS JOIN (VALUES (0.5), (1.0), (2.0)) v(risk_pct) WHERE rank <= 5)"""
 
 
 @query(
-    "i11_staged_orders", "trending", extra=X | {"scanned": SCANNED, "prices": PRICES, "staged": STAGED},
-    sql=f"SELECT direction, rank, {SERIES}, strategy, CAST(risk_pct AS DOUBLE) AS risk_pct, R6(lim) AS \"limit\", R6(stop) AS stop, R6(target) AS target, shares, len(split_part(symbol, '@', 1)) AS name_length FROM staged WHERE shares >= 1",
+    "i11_staged_orders", "trending", extra=X_FOUND | {"staged": STAGED},
+    sql=f"""SELECT direction, rank, {SERIES}, strategy, CAST(risk_pct AS DOUBLE) AS risk_pct, R6(lim) AS "limit", R6(stop) AS stop, R6(target) AS target, shares,
+    printf('%s %s x%d LIMIT %.2f SL %.2f TP %.2f', direction, {BASE}, CAST(shares AS BIGINT), lim, stop, target) AS text FROM staged WHERE shares >= 1""",
 )
 def i11(t):
-    """The staged orders; of their texts the length of the symbol at their second place."""
-    rows = P.staged(_priced(t))
-    return rows.withColumn("shares", F.col("shares").cast("double")).withColumn("name_length", F.length(F.split("text", " ")[1]).cast("long")).drop("text")
+    """The picks staged at three risks, with the text of each order."""
+    return P.staged(picked(t)).withColumn("shares", F.col("shares").cast("double"))
 
 
 @query("i13_setup_card")

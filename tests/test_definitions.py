@@ -163,3 +163,24 @@ def test_swing(spark):
     mean = (21 * 1.0 + 29 * 100.0) / 50
     assert (got["break"].setup, got["break"].vol_ratio, got["break"].score) == ("volume_delivery_breakout", pytest.approx(150 / mean), pytest.approx(150 / mean))
     assert (got["quiet"].setup, got["retest"].score, got["retest"].side, got["retest"].atr) == ("mean_reversion_200ema", pytest.approx(1.0), "BUY", 0.0)
+
+
+def test_finder_and_picks(spark):
+    """Confidence of 50, fit by the shares that money reaches, blocked names and edges below their cost left out."""
+    s = spark.createDataFrame([(n, "60min", "s", d, "k1_rr2", c, e, 60.0, 48.0, 2.0, 100) for n, d, c, e in [("a", "BUY", 80, 0.5), ("b", "BUY", 90, 0.5), ("c", "SELL", 60, 0.5), ("d", "BUY", 49, 9.0), ("e", "BUY", 70, 0.5), ("f", "BUY", 75, 0.001), ("g", "BUY", 95, 0.5)]], "symbol string, tf string, strategy string, direction string, config_id string, confidence int, expectancy double, win_pct double, wilson_low double, profit_factor double, n int")
+    prices = spark.createDataFrame([(n, "60min", p, a) for n, p, a in [("a", 100.0, 10.0), ("b", 1000.0, 1.0), ("c", 100.0, 10.0), ("d", 1.0, 1.0), ("e", 100.0, 10.0), ("f", 100.0, 10.0), ("g", 600_000.0, 10.0)]], "symbol string, tf string, ltp double, atr double")
+    rows = P.finder(s, prices, 100_000.0, 2.0)
+    got = {r.symbol: r for r in rows.collect()}
+    assert set(got) == {"a", "b", "c", "e", "f"}  # d lacks confidence, of g not one share is affordable
+    assert (got["a"].shares, got["a"].fit, got["a"].fit_score, got["a"].stop, got["a"].target) == (200, "ideal", 80.0, 90.0, 120.0)
+    assert (got["b"].shares, got["b"].shares_by_risk, got["b"].fit, got["b"].fit_score) == (500, 2000.0, "leverage_bound", 22.5)
+    assert (got["c"].stop, got["c"].target) == (110.0, 80.0) and 0 < got["c"].net_profit < 4000 and got["c"].net_loss < -2000
+    known = spark.createDataFrame([("a", "caution", "thin liquidity"), ("b", "ok", ""), ("e", "blocked", "x"), ("f", "ok", "")], "symbol string, verdict string, reason string")
+    chosen = P.picks(rows, known)
+    # the round trip of b costs about 1.3 R, of f more than its edge
+    assert {(r.direction, r.rank): (r.symbol, r.tradability, r.note, r.x_of_10) for r in chosen.collect()} == {("BUY", 1): ("a", "caution", "thin liquidity", 5), ("SELL", 1): ("c", "unverified", "not verified", 5)}
+    r = P.target_feasibility(chosen, 2.0, 100.0, 140.0).first()
+    assert (r.picks, r.trades_needed, r.label, r.growth_pct) == (2, 34, "reasonable", pytest.approx(1.0))  # ln 1.4 / ln 1.01 = 33.8
+    assert [P.target_feasibility(chosen, 2.0, 100.0, g).first().label for g in (150.0, 300.0, 301.0)] == ["reasonable", "aggressive", "unrealistic"]
+    none = P.target_feasibility(chosen.where("false"), 2.0, 100.0, 140.0).first()
+    assert (none.trades_needed, none.label) == (0, "unrealistic")
