@@ -210,7 +210,7 @@ def m08(t):
 def m14_stream(t):
     """The snapshot after the last ticks of each symbol, ranked batch by batch from the stream's features."""
     e = durable(edges(t), "edges")
-    out = drain_batches(t, S.tick_features(tick_stream(t)), lambda sink: S.rank_each_batch(e, None, sink))
+    out = drain_batches(t, S.tick_features(tick_stream(t)), lambda sink: S.rank_each_batch(e, None, sink, f"{shared_folder(t.spark)}/edgeframe-latest-{uuid.uuid4().hex}"))
     last = out.agg(F.max("epoch")).first()[0]
     return out.where(F.col("epoch") == last).select("symbol", "direction", "rank")
 

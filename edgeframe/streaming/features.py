@@ -134,13 +134,30 @@ def not_frozen(rows: DataFrame, breaker: DataFrame | None) -> DataFrame:
     return rows if breaker is None else rows.join(breaker.where("frozen").select(F.col("account_id").alias("user_id")), "user_id", "left_anti")
 
 
-def rank_each_batch(edges: DataFrame, breaker: DataFrame | None, sink: Callable[[DataFrame, int], None], k: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` step: last features per symbol of accounts that are not frozen, joined to edges, scored with the
-    book's imbalance and the distance from VWAP, ranked."""
+LATEST = ["vwap", "dev_pct", "z", "imbalance"]
+
+
+def carry_latest(batch: DataFrame, epoch: int, folder: str) -> DataFrame:
+    """The newest features of every symbol seen so far: those of the epoch before and of the batch, by event_id, written as the
+    epoch's table in ``folder``. An epoch that runs again writes the same; the table before the last is kept for that."""
+    spark, columns = batch.sparkSession, ["symbol", "event_id", *LATEST]
+    rows = batch.select(*columns)
+    if epoch > 0:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/epoch={epoch - 1}"))
+    rows.groupBy("symbol").agg(F.max("event_id").alias("event_id"), *[F.max_by(c, "event_id").alias(c) for c in LATEST]).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/epoch={epoch - 2}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/epoch={epoch}")
+
+
+def rank_each_batch(edges: DataFrame, breaker: DataFrame | None, sink: Callable[[DataFrame, int], None], carried: str, k: int = 10) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` step: the latest features of every symbol, whether or not it has ticks in the batch (carried from epoch
+    to epoch in the folder ``carried``), of accounts that are not frozen, joined to edges, scored with the book's imbalance
+    and the distance from VWAP, ranked."""
     from ..operators.ticks import live_score, rank_snapshot
 
     def ranked(batch: DataFrame, epoch: int) -> None:
-        last = not_frozen(batch, breaker).groupBy("symbol").agg(*[F.max_by(c, "event_id").alias(c) for c in ("vwap", "dev_pct", "z", "imbalance")])
+        last = carry_latest(not_frozen(batch, breaker), epoch, carried)
         rows = last.join(edges, "symbol").withColumn("score", F.col("shrunk") * live_score(F.col("imbalance"), F.col("dev_pct"), F.col("direction") == "BUY"))
         sink(rank_snapshot(rows, k), epoch)
 

@@ -184,3 +184,19 @@ def test_finder_and_picks(spark):
     assert [P.target_feasibility(chosen, 2.0, 100.0, g).first().label for g in (150.0, 300.0, 301.0)] == ["reasonable", "aggressive", "unrealistic"]
     none = P.target_feasibility(chosen.where("false"), 2.0, 100.0, 140.0).first()
     assert (none.trades_needed, none.label) == (0, "unrealistic")
+
+
+def test_silent_symbols_stay_ranked(spark, tmp_path):
+    """A symbol without ticks in a batch keeps its latest features, and an epoch that runs again changes nothing."""
+    from edgeframe.streaming import features as S
+
+    cols = "symbol string, event_id long, user_id long, vwap double, dev_pct double, z double, imbalance double"
+    batches = [[("a", 1, 7, 10.0, 0.1, 0.0, 0.5), ("a", 2, 7, 10.0, -0.1, 0.0, 0.4), ("b", 3, 7, 10.0, 0.1, 0.0, 0.9), ("c", 4, 8, 10.0, 0.0, 0.0, 0.9)], [("a", 5, 7, 10.0, 0.1, 0.0, 0.6)], [("b", 6, 7, 10.0, 0.1, 0.0, 0.1)]]
+    edges = spark.createDataFrame([(x, "BUY", 0.5, 1, "s") for x in "abc"], "symbol string, direction string, shrunk double, shares int, strategy string")
+    frozen = spark.createDataFrame([(8, True)], "account_id long, frozen boolean")
+    seen = {}
+    step = S.rank_each_batch(edges, frozen, lambda rows, epoch: seen.setdefault(epoch, []).append({r.symbol: r.imbalance for r in rows.collect()}), str(tmp_path))
+    for epoch in (0, 1, 1, 2):
+        step(spark.createDataFrame(batches[epoch], cols), epoch)
+    assert seen == {0: [{"a": 0.4, "b": 0.9}], 1: [{"a": 0.6, "b": 0.9}] * 2, 2: [{"a": 0.6, "b": 0.1}]}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["epoch=1", "epoch=2"]
