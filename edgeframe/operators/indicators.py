@@ -2,7 +2,8 @@
 
 Windowed indicators share the window specs (symbol[, session]) so that one sort serves them all. The
 recursive ones (EMA, Wilder RSI and ATR, MACD, Supertrend) need the previous value of their own
-series: one task holds the few numeric columns of one (symbol, timeframe).
+series: one task holds the few numeric columns of one (symbol, timeframe), or of a range of it when the bars
+are too many for one range (``scan``).
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from . import ranges
 from .bars import series
 
+#: Periods of the EMAs of closes, Wilder means of moves, and the parameters of MACD's signal and Supertrend.
+EMAS, WILDER = [9, 21, 50, 12, 26], [("gain", 14), ("loss", 14), ("tr", 14), ("tr", 10)]
+SIGNAL, ST_PERIOD, ST_WIDTH = 9, 10, 3.0
+
 
 def _series(df: DataFrame) -> WindowSpec:
     return Window.partitionBy(series(df)).orderBy("bar_idx")
@@ -34,26 +40,30 @@ def true_range(df: DataFrame) -> Column:
     return F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
 
 
-def windowed(bars: DataFrame, n: int = 20, tf_minutes: int = 60) -> DataFrame:
+def windowed(bars: DataFrame, n: int = 20, tf_minutes: int = 60, rows_each: int = ranges.ROWS_EACH) -> DataFrame:
     """Adds mean, sd, bands, VWAP and its bands, Donchian, relative volume, z-score, pivot, gap and opening range.
 
-    The width of a bar is that of its ``tf``, without one ``tf_minutes``.
+    The width of a bar is that of its ``tf``, without one ``tf_minutes``. Frames over a series run on its ranges.
     """
     from .bars import with_prior_session
 
     key = series(bars)
-    tail = _series(bars).rowsBetween(-(n - 1), 0)
-    prior = _series(bars).rowsBetween(-n, -1)
     day = Window.partitionBy(*key, "session_date").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+
+    def over_series(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        tail, prior = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-n, -1)
+        return (
+            rows.withColumn("mean20", _full(tail, n, F.avg("close").over(tail)))
+            .withColumn("sd20", _full(tail, n, F.stddev_pop("close").over(tail)))
+            .withColumn("don_hi", _full(prior, n, F.max("high").over(prior)))
+            .withColumn("don_lo", _full(prior, n, F.min("low").over(prior)))
+            .withColumn("rvol", _full(prior, n, F.try_divide("volume", F.avg("volume").over(prior))))
+        )
+
     out = (
-        with_prior_session(bars)
-        .withColumn("mean20", _full(tail, n, F.avg("close").over(tail)))
-        .withColumn("sd20", _full(tail, n, F.stddev_pop("close").over(tail)))
+        with_prior_session(ranges.trailing(bars, key, ["bar_idx"], n, over_series, rows_each))
         .withColumn("vol", F.sum("volume").over(day))
         .withColumn("vwap", F.when(F.col("vol") > 0, F.sum(typical() * F.col("volume")).over(day) / F.nullif("vol", F.lit(0.0))).otherwise(F.col("close")))
-        .withColumn("don_hi", _full(prior, n, F.max("high").over(prior)))
-        .withColumn("don_lo", _full(prior, n, F.min("low").over(prior)))
-        .withColumn("rvol", _full(prior, n, F.try_divide("volume", F.avg("volume").over(prior))))
         .withColumn("nth", F.row_number().over(Window.partitionBy(*key, "session_date").orderBy("bar_idx")))
         .drop("vol")
     )
@@ -124,35 +134,52 @@ def wilder_rsi(c: np.ndarray, p: int = 14) -> np.ndarray:
     out = np.full(len(c), np.nan)
     if len(c) > p:
         d = np.diff(c)
-        gain, loss = _wilder(np.maximum(d, 0), p), _wilder(np.maximum(-d, 0), p)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[p:] = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+        out[p:] = rsi_of(_wilder(np.maximum(d, 0), p), _wilder(np.maximum(-d, 0), p))
     return out
 
 
-def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int = 10, width: float = 3.0) -> np.ndarray:
+def rsi_of(gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+
+
+def sides(u: np.ndarray, d: np.ndarray, c: np.ndarray, prev: np.ndarray, state: tuple[float, float, float] | None = None) -> list[float]:
+    """The side after each bar of upper and lower bands, closes and the closes before them, from (side, upper, lower) if begun."""
+    out = []
+    side, upper, lower = state or (1.0, None, None)
+    for up, down, close, was in zip(u.tolist(), d.tolist(), c.tolist(), prev.tolist()):
+        if upper is None:
+            upper, lower = up, down
+        else:
+            upper = up if up < upper or was > upper else upper
+            lower = down if down > lower or was < lower else lower
+            side = 1.0 if close > upper else -1.0 if close < lower else side
+        out.append(side)
+    return out
+
+
+def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int = ST_PERIOD, width: float = ST_WIDTH) -> np.ndarray:
     """+1 or -1: the side of the carried band that the close last crossed."""
     atr, mid = wilder_atr(h, l, c, p), (h + l) / 2
     out = np.full(len(c), np.nan)
-    side, upper, lower = 1.0, None, None
-    for i in np.flatnonzero(np.isfinite(atr)):
-        u, d = mid[i] + width * atr[i], mid[i] - width * atr[i]
-        if upper is None:
-            upper, lower = u, d
-        else:
-            upper = u if u < upper or c[i - 1] > upper else upper
-            lower = d if d > lower or c[i - 1] < lower else lower
-            side = 1.0 if c[i] > upper else -1.0 if c[i] < lower else side
-        out[i] = side
+    at = np.flatnonzero(np.isfinite(atr))
+    out[at] = sides((mid + width * atr)[at], (mid - width * atr)[at], c[at], c[at - 1])
     return out
 
 
 RECURSIVE = ["ema9", "ema21", "ema50", "rsi14", "atr14", "macd", "macd_signal", "st_dir"]
 
 
-def recursive(bars: DataFrame) -> DataFrame:
-    """key, bar_idx and the recursive series; undefined values are null."""
+def recursive(bars: DataFrame, rows_each: int = ranges.ROWS_EACH) -> DataFrame:
+    """key, bar_idx and the recursive series; undefined values are null.
+
+    Bars that fit one range of ``rows_each`` rows take a task a series; more of them are cut into ranges, whatever the series.
+    """
     key = series(bars)
+    if ranges.ranges_of(bars, rows_each) > 1:
+        from . import scan
+
+        return _defined(scan.recursive(bars, key, rows_each), key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
@@ -164,6 +191,10 @@ def recursive(bars: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
     shape = ", ".join([f"{k} {types[k]}" for k in [*key, "bar_idx"]] + [f"{c} double" for c in RECURSIVE])
     out = bars.select(*key, "bar_idx", "high", "low", "close").groupBy(*key).applyInPandas(run, shape)
+    return _defined(out, key)
+
+
+def _defined(out: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, "bar_idx", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
 
 
