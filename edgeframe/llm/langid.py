@@ -5,8 +5,10 @@ of ``segment`` trigrams has a likelihood under each language; expectation-maximi
 proportions in which languages make up the segments. The set of languages is then chosen by penalised
 likelihood: the single best, the best two and so on up to all learned languages (by their
 proportions), each fitted again, where one more language must raise the log-likelihood by
-``penalty * log(segments + 1)``; of all sizes the one of largest penalised likelihood is taken. The
-prediction is the language with the largest share.
+``penalty * log(segments + 1)``; of all sizes the one of largest penalised likelihood is taken. A text
+is done with larger sets as soon as even segments that were each explained by their best language could
+not pay for one, so what it costs grows with its own languages. The prediction is the language with the
+largest share.
 
 Defined cases: null texts and texts without a letter (``str.isalpha``: no digits, fractions or numerals)
 are ``und`` with score 0, as all are when nothing was learned; rows with null text or language teach
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 16
@@ -48,7 +50,7 @@ class Model:
 
 
 def learn(docs: DataFrame, smoothing: float = 0.5, most_languages: int = 1000) -> Model:
-    """Trigram counts of each language over all rows; what reaches the driver is 2 ** BITS counts a language."""
+    """Trigram counts of each language over all rows; what reaches the driver is one row of at most 2 ** BITS counts a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
@@ -66,10 +68,12 @@ def learn(docs: DataFrame, smoothing: float = 0.5, most_languages: int = 1000) -
     if docs.where("lang IS NOT NULL").select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"over {most_languages} values of lang: not a language column")
     rows = taught.mapInPandas(count, "lang string, bin int, n long")
-    table = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
+    each = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts"))
+    table = each.select("lang", "counts.bin", "counts.n").toPandas().sort_values("lang", ignore_index=True)
+    langs = table["lang"].tolist()
     counts = np.zeros((1 << BITS, len(langs)))
-    counts[table["bin"].to_numpy(int), np.searchsorted(langs, table["lang"].to_numpy(str)) if langs else []] = table["n"]
+    for i, (bins, n) in enumerate(zip(table["bin"], table["n"])):
+        counts[np.asarray(bins, int), i] = n
     return Model(langs, np.log((counts + smoothing) / (counts.sum(0) + smoothing * (1 << BITS))).astype(np.float32))
 
 
@@ -103,28 +107,51 @@ def infer(texts: list[str], model: Model, segment: int = 48, penalty: float = 2.
     score = single[np.arange(n), best]
     chosen = np.eye(k)[best]
     order = np.argsort(-every, axis=1, kind="stable")
+    # No set explains a segment better than the segment's own best language does.
+    bound, price = np.add.reduceat(top[:, 0], starts), penalty * np.log(sizes + 1)
+    open_ = np.arange(n)
     for size in range(2, k + 1):
-        share = np.zeros((n, k))
-        np.put_along_axis(share, order[:, :size], 1 / size, axis=1)
-        share = _mixture(like + 0.0, starts, share, rounds)
-        fit = np.log((like * np.repeat(share, sizes, axis=0)).sum(1) + 1e-300) + top[:, 0]
-        fit = np.add.reduceat(fit, starts) - penalty * (size - 1) * np.log(sizes + 1)
-        better = fit > score
-        score = np.where(better, fit, score)
-        chosen[better] = share[better]
+        open_ = open_[bound[open_] - price[open_] * (size - 1) > score[open_] - 1e-9]
+        if not len(open_):
+            break
+        these, heads = sizes[open_], np.cumsum(np.r_[0, sizes[open_][:-1]])
+        rows = np.arange(these.sum()) + np.repeat(starts[open_] - heads, these)
+        langs = np.sort(order[open_, :size], axis=1)
+        some = like[rows[:, None], np.repeat(langs, these, axis=0)]
+        share = _mixture(some, heads, np.full((len(open_), size), 1 / size), rounds)
+        fit = np.add.reduceat(np.log((some * np.repeat(share, these, axis=0)).sum(1) + 1e-300) + top[rows, 0], heads) - price[open_] * (size - 1)
+        better = np.flatnonzero(fit > score[open_])
+        score[open_[better]] = fit[better]
+        chosen[open_[better]] = 0.0
+        chosen[open_[better][:, None], langs[better]] = share[better]
     return chosen, every
 
 
-def language_column(model: Model, text: str = "text", at_once: int = 256) -> Column:
+def _runs(texts: list[str], languages: int, segment: int = 48, cells: int = 1 << 21) -> Iterator[list[int]]:
+    """Places of texts in runs whose segments times languages stay within ``cells``, or of one text."""
+    run, size = [], 0
+    for i, t in enumerate(texts):
+        more = (len(t) // segment + 1) * languages
+        if run and size + more > cells:
+            yield run
+            run, size = [], 0
+        run.append(i)
+        size += more
+    if run:
+        yield run
+
+
+def language_column(model: Model, text: str = "text") -> Column:
     """A struct column: lang_pred, score (its share over all languages), mixture (chosen languages and shares)."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, mixture string")
     def predict(column: pd.Series) -> pd.DataFrame:
-        texts = column.tolist()
+        model, texts = shared.value, column.tolist()
         lang, score, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
         ok = [i for i, t in enumerate(texts) if model.langs and isinstance(t, str) and has_letter(t)]
-        for at in range(0, len(ok), at_once):
-            some = ok[at : at + at_once]
+        for run in _runs([texts[i] for i in ok], len(model.langs)):
+            some = [ok[j] for j in run]
             for i, c, e in zip(some, *infer([texts[i] for i in some], model)):
                 best = int(c.argmax())
                 lang[i], score[i] = model.langs[best], float(min(1.0, e[best]))

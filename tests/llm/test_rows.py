@@ -105,6 +105,47 @@ def test_mixture_against_plain_em():
     assert got[0] == pytest.approx(every, abs=1e-3) and chosen[0] == pytest.approx([best.get(j, 0.0) for j in range(3)], abs=1e-3)
 
 
+@pytest.mark.parametrize("k", [2, 5, 24])
+def test_sets_that_cannot_win_are_left_out(k):
+    """The chosen sets of texts side by side against every size of set fitted for each text; the early end loses none."""
+    import numpy as np
+
+    r = np.random.default_rng(k)
+    words = [[bytes(r.integers(97, 123, 4).astype(np.uint8)).decode() for _ in range(40)] for _ in range(k)]
+    counts = np.zeros((1 << langid.BITS, k))
+    for j in range(k):
+        for bins in langid.trigrams(" ".join(r.choice(words[j], 4000))):
+            counts[:, j] += np.bincount(bins, minlength=1 << langid.BITS)
+    model = langid.Model([f"l{j:02}" for j in range(k)], np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (1 << langid.BITS))).astype(np.float32))
+    texts = [" ".join(" ".join(r.choice(words[j], 120)) for j in r.choice(k, int(r.integers(1, min(k, 6) + 1)), replace=False)) for _ in range(12)] + ["ab", "no word of any"]
+    chosen, every = langid.infer(texts, model)
+    sizes = set()
+    for text, got, shares in zip(texts, chosen, every):
+        bins = np.concatenate(list(langid.trigrams(text)))
+        parts = np.array([model.log_p[bins[i : i + 48]].sum(0, dtype=np.float64) for i in range(0, len(bins), 48)])
+        best, score = np.eye(k)[parts.sum(0).argmax()], parts.sum(0).max()
+        order, top = np.argsort(-shares, kind="stable"), parts.max(1, keepdims=True)
+        for size in range(2, k + 1):
+            share = np.zeros(k)
+            share[order[:size]] = 1 / size
+            for _ in range(12):
+                post = np.exp(parts - top) * share
+                share = (post / post.sum(1, keepdims=True)).mean(0)
+            fit = (np.log((np.exp(parts - top) * share).sum(1)) + top[:, 0]).sum() - 2.0 * (size - 1) * np.log(len(parts) + 1)
+            if fit > score:
+                best, score = share, fit
+        np.testing.assert_allclose(got, best, atol=1e-3)
+        sizes.add(int((best > 0.05).sum()))
+    assert len(sizes) > 1
+
+
+def test_runs_of_texts_stay_within_their_cells():
+    texts = ["x" * n for n in (0, 10, 5000, 10, 10, 100_000, 3)]
+    runs = list(langid._runs(texts, 20, cells=3000))
+    assert [i for run in runs for i in run] == list(range(7)) and [5] in runs and list(langid._runs([], 4)) == []
+    assert all(len(run) == 1 or sum(len(texts[i]) // 48 + 1 for i in run) * 20 <= 3000 for run in runs)
+
+
 def test_quality_against_plain_bayes(spark):
     """The posteriors and the final probability by loops over documents, from the operator's own document scores."""
     import math
