@@ -149,10 +149,15 @@ def stream_source(t, files: int = 4):
     """The ticks as files that arrive one after another in event-time order, to be read as a stream:
     ``files`` or as many more as hold FILE_ROWS each. They are computed once and written side by side by
     ranges of time; the times of the files, which the stream follows, are set in the order of the ranges."""
+    return in_time(t, booked(t).select(*[c.split()[0] for c in S.TICKS.split(", ")]), "event_id", files)
+
+
+def in_time(t, rows, then: str, files: int = 4):
+    """The folder of ``rows`` as files in the order of ``ts`` and ``then``."""
     folder = f"{shared_folder(t.spark)}/edgeframe-ticks-{uuid.uuid4().hex}"
-    ticks = durable(booked(t).select(*[c.split()[0] for c in S.TICKS.split(", ")]), "all-ticks")
+    ticks = durable(rows, "all-ticks")
     parts = max(files, -(-ticks.count() // FILE_ROWS))
-    ticks.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(folder)
+    ticks.repartitionByRange(parts, "ts", then).sortWithinPartitions("ts", then).write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(folder)
     path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
     # Parts are numbered in the order of their ranges, and the files of a part in the order of its rows.
@@ -182,11 +187,14 @@ def drain_batches(t, df, step):
     """Runs a stream through a ``foreachBatch`` step whose sink appends to one table; the table, with each row's epoch."""
     folder = f"{shared_folder(t.spark)}/edgeframe-batches-{uuid.uuid4().hex}"
     sink = lambda rows, epoch: rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")  # noqa: E731  an epoch that is run again replaces itself
-    q = df.writeStream.foreachBatch(step(sink)).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run_batches(df, step(sink), f"{folder}-state")
     return t.spark.read.parquet(folder)
 
 
+def run_batches(df, step, state: str):
+    df.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 @query("m01_stream_features", "ticks", extra=X, sql="SELECT event_id, delta, R6(vwap) AS vwap, R6(mean) AS mean, R6(coalesce(block, 0)) AS block FROM feat")
 def m01(t):
     """The streaming processor over the whole tick table; it must agree with the batch twin's SQL."""
@@ -226,6 +234,69 @@ def m16(t):
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("shown"), F.count_distinct("user_id").alias("accounts"))
 
 
+#: Trades have dates of other years than the ticks: they are laid over the ticks' time by their number.
+TRADE_TIMES = "SELECT min(ts) AS a, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) + 1 AS span FROM ticks"
+ACCOUNT_ROWS = """SELECT user_id AS account_id, ts, symbol, CAST(NULL AS DOUBLE) AS pnl FROM ticks
+  UNION ALL SELECT account_id, a + to_seconds(id * 7919 % span), NULL, pnl FROM journal, trade_times WHERE state = 'Manually_Accepted' AND pnl IS NOT NULL"""
+SO_FAR = "SELECT *, coalesce(sum(CAST(pnl AS DECIMAL(28,4))) OVER (PARTITION BY account_id ORDER BY ts), 0) AS result FROM account_rows"
+
+
+@query(
+    "m16_live_breaker", "ticks", "journal", extra={"trade_times": TRADE_TIMES, "account_rows": ACCOUNT_ROWS, "so_far": SO_FAR},
+    sql="SELECT symbol, count(*) AS shown, count(DISTINCT account_id) AS accounts, CAST(min(result) AS DOUBLE) AS lowest FROM so_far WHERE pnl IS NULL AND result > -50000 GROUP BY symbol",
+)
+def m16_live(t):
+    """Ticks and closed trades as one stream by time; an account's rows pass while its result is above the threshold."""
+    span = t.ticks.agg(F.min("ts").alias("a"), (F.floor(F.max("ts").cast("double") - F.min("ts").cast("double")) + 1).alias("span"))
+    trades = t.journal.where("state = 'Manually_Accepted' AND pnl IS NOT NULL").crossJoin(F.broadcast(span))
+    trades = trades.select("account_id", F.expr("a + make_dt_interval(0, 0, 0, id * 7919 % span)").alias("ts"), "id", "pnl", F.lit(None).cast("string").alias("symbol"))
+    rows = t.ticks.select(F.col("user_id").alias("account_id"), "ts", F.col("event_id").alias("id"), F.lit(None).cast("double").alias("pnl"), "symbol").unionByName(trades)
+    folder = in_time(t, rows, "id")
+    found = t.spark.read.parquet(folder)
+    stream = t.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", max(1, -(-len(found.inputFiles()) // 4))).parquet(folder)
+    out = drain_batches(t, stream, lambda sink: S.live_breaker(sink, f"{shared_folder(t.spark)}/edgeframe-results-{uuid.uuid4().hex}", -50000.0))
+    return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("shown"), F.count_distinct("account_id").alias("accounts"), F.min("result").cast("double").alias("lowest"))
+
+
+#: Tokens move on by one symbol at a tick in the middle of the time; the last symbol's new token is never listed.
+TOKENS = {
+    "listed": "SELECT symbol, row_number() OVER (ORDER BY symbol) AS r FROM (SELECT DISTINCT symbol FROM ticks)",
+    "turn": "SELECT min(ts) AS a, make_timestamp(CAST(floor((epoch(min(ts)) + epoch(max(ts))) / 2) AS BIGINT) * 1000000) AS mid, (SELECT max(r) FROM listed) AS last FROM ticks",
+}
+
+
+@query(
+    "m01_token_stream", "ticks", extra=TOKENS,
+    sql="SELECT CASE WHEN ts >= mid AND r = last THEN 'unknown' ELSE symbol END AS symbol, CASE WHEN ts >= mid THEN 101 + r ELSE 100 + r END AS token, count(*) AS n, CAST(sum(ltq) AS BIGINT) AS volume FROM ticks JOIN listed USING (symbol), turn GROUP BY 1, 2",
+)
+def m01_tokens(t):
+    """Ticks that carry a token: the mapping's second version is published while the stream runs, and one token is never listed."""
+    from pyspark.sql.window import Window
+
+    listed = durable(t.ticks.select("symbol").distinct().withColumn("r", F.row_number().over(Window.orderBy("symbol")).cast("long")), "listed")
+    turn = t.ticks.agg(F.min("ts").alias("a"), F.floor((F.min("ts").cast("double") + F.max("ts").cast("double")) / 2).cast("timestamp").alias("mid"))
+    a, mid = turn.select(F.unix_micros("a"), F.unix_micros("mid")).first()
+    at = lambda us: F.timestamp_micros(F.lit(us).cast("long"))
+    ticks = t.ticks.join(listed, "symbol").select((F.col("r") + F.when(F.col("ts") >= at(mid), 101).otherwise(100)).alias("token"), "ts", "event_id", "ltp", "ltq")
+    folder, mapping = in_time(t, ticks, "event_id"), f"{shared_folder(t.spark)}/edgeframe-tokens-{uuid.uuid4().hex}"
+    listed.select((F.col("r") + 100).alias("token"), "symbol", at(a).alias("valid_from")).write.parquet(f"{mapping}/version=0")
+    turned = listed.where(F.col("r") < listed.agg(F.max("r")).first()[0]).select((F.col("r") + 101).alias("token"), "symbol", at(mid).alias("valid_from"))
+    second = turned.unionByName(listed.where("r = 1").select((F.col("r") + 100).alias("token"), F.lit(None).cast("string").alias("symbol"), at(mid).alias("valid_from")))
+    put = lambda name: lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{folder}-{name}/epoch={epoch}")
+    resolve = S.resolve_each_batch(lambda: t.spark.read.parquet(mapping), put("known"), put("unknown"))
+
+    def step(batch, epoch):
+        if not batch.where(F.col("ts") >= at(mid)).isEmpty():  # the second version comes with the first batch of its time
+            second.write.mode("overwrite").parquet(f"{mapping}/version=1")
+        resolve(batch, epoch)
+
+    found = t.spark.read.parquet(folder)
+    stream = t.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", max(1, -(-len(found.inputFiles()) // 4))).parquet(folder)
+    run_batches(stream, step, f"{folder}-state")
+    known, unknown = t.spark.read.parquet(f"{folder}-known"), t.spark.read.parquet(f"{folder}-unknown").withColumn("symbol", F.lit("unknown"))
+    return known.unionByName(unknown).groupBy("symbol", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("ltq").alias("volume"))
+
+
 WINDOWS = "SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS w, arg_min(ltp, ts) AS open, max(ltp) AS high, min(ltp) AS low, arg_max(ltp, ts) AS close, CAST(sum(ltq) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2"
 
 

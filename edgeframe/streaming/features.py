@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 TICKS = "symbol string, ts timestamp, ltp double, ltq long, volume_day long, latency_us long, event_id long, user_id long, imbalance double"
 OUT = "symbol string, session_date date, event_id long, user_id long, imbalance double, delta long, vwap double, dev_pct double, mean double, sd double, z double, rvol double, rsi double, block double, sweep int, atr_proxy double, latency_median long"
@@ -167,3 +168,66 @@ def rank_each_batch(edges: DataFrame, breaker: DataFrame | None, sink: Callable[
 def keep_unfrozen(breaker: DataFrame, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step that passes on the rows of accounts that are not frozen."""
     return lambda batch, epoch: sink(not_frozen(batch, breaker), epoch)
+
+
+# ---------------------------------------------------------------- tokens
+
+
+def validity(mapping: DataFrame) -> DataFrame:
+    """token, symbol, valid_from and valid_to (null: open) of a mapping of rows (token, symbol, valid_from): a later row of a
+    token ends the earlier; one without a symbol retires the token; equal times go to the symbol that sorts last."""
+    one = mapping.groupBy("token", "valid_from").agg(F.max("symbol").alias("symbol"))
+    return one.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("token").orderBy("valid_from")))
+
+
+def with_symbols(ticks: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Ticks of a token with the symbol that the token had at their time; null when it had none."""
+    span = validity(mapping).withColumnRenamed("token", "__token")
+    at = (F.col("token") == F.col("__token")) & (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
+    return ticks.join(span, at, "left").drop("__token", "valid_from", "valid_to")
+
+
+def resolve_each_batch(mapping: Callable[[], DataFrame], known: Callable[[DataFrame, int], None], unknown: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` step that gives token ticks their symbols. ``mapping`` is read anew for every batch, so that a table
+    that has changed counts from the next batch on; ticks whose token has no symbol at their time go to ``unknown``."""
+
+    def resolved(batch: DataFrame, epoch: int) -> None:
+        rows = with_symbols(batch, mapping())
+        known(rows.where("symbol IS NOT NULL"), epoch)
+        unknown(rows.where("symbol IS NULL").drop("symbol"), epoch)
+
+    return resolved
+
+
+# ---------------------------------------------------------------- breaker
+
+
+MONEY = "decimal(28,4)"
+
+
+def live_breaker(sink: Callable[[DataFrame, int], None], carried: str, threshold: float) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` step over rows of accounts and their closed trades in one stream: account_id, ts, id, pnl (null but for
+    trades) and what else the rows carry. A row passes while the account's realised result, trades of its own instant
+    included, is above ``threshold``; a later profit opens the account again.
+
+    The result of each account is carried from epoch to epoch in the folder ``carried``; an epoch that runs again writes the
+    same. Batches should follow event time: a trade counts for rows of its own batch by time, and for all later batches.
+    """
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        gained = batch.where("pnl IS NOT NULL").groupBy("account_id").agg(F.sum(F.col("pnl").cast(MONEY)).cast(MONEY).alias("result"))
+        shape, before = gained.schema, None
+        if epoch > 0:
+            before = spark.read.schema(shape).parquet(f"{carried}/epoch={epoch - 1}")
+            gained = before.unionByName(gained).groupBy("account_id").agg(F.sum("result").cast(MONEY).alias("result"))
+        gained.write.mode("overwrite").parquet(f"{carried}/epoch={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{carried}/epoch={epoch - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        so_far = F.sum(F.col("pnl").cast(MONEY)).over(Window.partitionBy("account_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0))
+        rows = batch.withColumn("result", F.coalesce(so_far, F.lit(0)).cast(MONEY)).where("pnl IS NULL")
+        if before is not None:
+            rows = rows.join(before.withColumnRenamed("result", "__before"), "account_id", "left").withColumn("result", (F.col("result") + F.coalesce("__before", F.lit(0))).cast(MONEY)).drop("__before")
+        sink(rows.where(F.col("result") > threshold).drop("pnl"), epoch)
+
+    return step
