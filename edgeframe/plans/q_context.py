@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as X
+from ..sources import ingest as A
 from . import pipelines as P
 from .q_bars import MOVES, X_AREA, ema_sql, rma_sql
 from .registry import query
@@ -162,11 +163,24 @@ def j09(t):
     return t.journal.select("id", X.contradiction(label, F.col("pnl") / 1e5, F.col("direction")).alias("verdict"))
 
 
-@query("j10_provider_sentiment", sql="SELECT source AS symbol, count(*) AS n, R6(avg(least(greatest(n_chars / 4000.0 - 0.5, -1), 1))) AS sentiment FROM documents GROUP BY source")
+@query(
+    "j10_provider_sentiment",
+    sql="""SELECT doc_id, provider, CASE WHEN doc_id % 5 > 0 THEN R6(greatest(least(CASE provider WHEN 'marketaux' THEN (x + y + 3) / 3 ELSE (x + y) / 2 END, 1), -1)) END AS sentiment,
+      CASE WHEN doc_id % 5 > 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'text ' ELSE 'title ' END || doc_id END AS headline, CASE WHEN doc_id % 5 > 0 THEN coalesce(lang, provider) END AS source
+      FROM (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'marketaux' ELSE 'eodhd' END AS provider, (doc_id % 21 - 10) / 5.0 AS x, (length(coalesce(text, '')) % 7 - 3) / 4.0 AS y FROM documents)""",
+)
 def j10(t):
-    """Mean of entity scores clamped to -1..1 per symbol."""
-    score = F.least(F.greatest(F.col("n_chars") / 4000.0 - 0.5, F.lit(-1.0)), F.lit(1.0))
-    return t.raw("documents").groupBy(F.col("source").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("sentiment"))
+    """Answers of both providers made of each document's id, length and language, some without articles, then read back."""
+    i = F.col("doc_id")
+    d = t.raw("documents").select("doc_id", "lang", ((i % 21 - 10) / 5.0).alias("x"), ((F.length(F.coalesce("text", F.lit(""))) % 7 - 3) / 4.0).cast("string").alias("y"))
+    title, text = F.when(i % 3 > 0, F.concat(F.lit(" title "), i)).alias("title"), F.concat(F.lit("text "), i, F.lit(" "))
+    source = F.col("lang").alias("source")
+    aux = F.struct(title, text.alias("description"), source, F.array(*[F.struct(c.cast("string").alias("sentiment_score")) for c in (F.col("x"), F.col("y"), F.lit("n/a"))]).alias("entities"))
+    more = F.struct(F.lit("second").alias("title"), F.lit("").alias("description"), F.lit("s").alias("source"), F.array(F.struct(F.lit("3").alias("sentiment_score"))).alias("entities"))
+    items = [F.struct(title, text.alias("content"), source, F.struct(c.alias("polarity")).alias("sentiment")) for c in (F.col("x").cast("string"), F.col("y"), F.lit(None).cast("string"))]
+    body = F.when(i % 5 == 0, F.when(i % 2 == 0, '{"data": []}').otherwise("[]")).otherwise(F.when(i % 2 == 0, F.to_json(F.struct(F.array(aux, more).alias("data")))).otherwise(F.to_json(F.array(*items))))
+    feed = d.select("doc_id", F.when(i % 2 == 0, "marketaux").otherwise("eodhd").alias("provider"), body.alias("body"))
+    return A.provider_sentiment(feed).select("doc_id", "provider", "sentiment", "headline", "source")
 
 
 X_EXIT = {

@@ -260,3 +260,38 @@ def export_journal(journal: DataFrame, path: str) -> None:
 def edge_freshness(edges: DataFrame) -> DataFrame:
     ok = F.col("eligible")
     return edges.agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct(F.when(ok, F.col("symbol"))).alias("eligible_symbols"), F.sum(ok.cast("long")).alias("eligible_edges"), F.count(F.lit(1)).alias("edges"))
+
+
+_ARTICLE = "title: string, source: string"
+#: Where the two providers keep their articles, the text behind a missing title, and the scores of an article.
+PROVIDERS = {
+    "marketaux": (f"struct<data: array<struct<{_ARTICLE}, description: string, entities: array<struct<sentiment_score: string>>>>>", "data", "description", "a.entities.sentiment_score"),
+    "eodhd": (f"array<struct<{_ARTICLE}, content: string, sentiment: struct<polarity: string>>>", "", "content", "array(a.sentiment.polarity)"),
+}
+
+
+def provider_sentiment(feed: DataFrame) -> DataFrame:
+    """``feed`` (with provider and body, a provider's JSON answer) with sentiment, headline and source.
+
+    The sentiment is the mean of all scores of all articles, numbers or numbers as text, clamped to -1..1, and 0 when articles
+    have none; headline and source are the first article's. Answers without articles, broken ones and those of other
+    providers have null in all three.
+    """
+    from functools import reduce
+
+    found = []
+    for name, (shape, at, text, scores) in PROVIDERS.items():
+        read = F.from_json("body", shape)
+        articles = (read[at] if at else read).alias("articles")
+        rows = feed.where(F.col("provider") == name).withColumn("__a", articles).withColumn("__a", F.when(F.size("__a") > 0, F.col("__a")))
+        rows = rows.withColumn("__s", F.expr(f"filter(transform(flatten(transform(__a, a -> coalesce({scores}, array()))), s -> try_cast(trim(s) AS double)), s -> s IS NOT NULL)"))
+        mean = F.expr("aggregate(__s, 0D, (t, s) -> t + s) / nullif(size(__s), 0)")
+        first = F.col("__a")[0]
+        here = F.col("__a").isNotNull()
+        found.append(rows.select(
+            *feed.columns, F.when(here, F.greatest(F.least(F.coalesce(mean, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))).alias("sentiment"),
+            F.when(here, F.trim(F.coalesce(first["title"], first[text], F.lit("")))).alias("headline"), F.when(here, F.trim(F.coalesce(first["source"], F.lit(name)))).alias("source"),
+        ))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("sentiment", "double"), ("headline", "string"), ("source", "string"))]
+    found.append(feed.where(F.coalesce(~F.col("provider").isin(*PROVIDERS), F.lit(True))).select(*feed.columns, *none))
+    return reduce(DataFrame.unionByName, found)

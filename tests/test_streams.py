@@ -59,3 +59,20 @@ def test_breaker_on_the_stream(spark, tmp_path, cuts):
     assert got == sorted(set(want)) and 6 not in got and 7 not in got and 11 in got and 9 in got
     last = spark.read.parquet(f"{tmp_path}/carried/epoch={len(bounds) - 2}").select("account_id", F.col("result").cast("double")).collect()
     assert {r[0]: r[1] for r in last} == {"x": pytest.approx(-99.99), "y": pytest.approx(-99.99)}
+
+
+def test_provider_feeds(spark):
+    """Scores as numbers, as text and broken; articles without entities, title or source; empty, broken and unknown answers."""
+    from edgeframe.sources import ingest
+
+    rows = [
+        (1, "marketaux", '{"data": [{"title": " Up ", "source": "wire", "entities": [{"sentiment_score": 0.5}, {"sentiment_score": "-0.1"}, {"sentiment_score": "x"}, {}]}, {"entities": [{"sentiment_score": 0.2}]}]}'),
+        (2, "marketaux", '{"data": [{"description": "told", "entities": []}]}'),
+        (3, "marketaux", '{"data": []}'), (4, "marketaux", "{}"), (5, "marketaux", "not json"), (6, "marketaux", None),
+        (7, "eodhd", '[{"content": "c", "sentiment": {"polarity": 2}}, {"sentiment": {"polarity": " 1.5 "}}, {"sentiment": null}, {}]'),
+        (8, "eodhd", "[]"), (9, "eodhd", '[{"title": "t", "source": " s "}]'), (10, "other", "[]"), (11, None, "[]"),
+    ]
+    got = {r.symbol: (r.sentiment, r.headline, r.source) for r in ingest.provider_sentiment(spark.createDataFrame(rows, "symbol long, provider string, body string")).collect()}
+    none = (None, None, None)
+    want = {2: (0.0, "told", "marketaux"), 3: none, 4: none, 5: none, 6: none, 7: (1.0, "c", "eodhd"), 8: none, 9: (0.0, "t", "s"), 10: none, 11: none}
+    assert got.pop(1) == (pytest.approx(0.2), "Up", "wire") and got == want
