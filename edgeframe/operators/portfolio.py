@@ -6,9 +6,12 @@ The key is account_id, so every account of a statement table is handled in one p
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -359,31 +362,47 @@ def allocate(plans: DataFrame, cap: float = 0.25) -> DataFrame:
     return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {types['plan_id']}, symbol {types['symbol']}, weight double, shares long, cash_left double")
 
 
-def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float = 6.0, leverage: float = 5.0, trade_risk_pct: float = 2.0) -> DataFrame:
+def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float = 6.0, leverage: float = 5.0, trade_risk_pct: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Greedy choice by score of each account's candidates: names, sector (an unknown one has no cap), leverage, and a risk cap
-    of at least one trade's risk; skipped rows say why."""
+    of at least one trade's risk; skipped rows say why. ``keep``: further columns to pass on.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "symbol"], ascending=[False, True])
-        capital, spent, risk, sectors, taken, why = float(pdf["capital"].iloc[0]), 0.0, 0.0, {}, 0, []
-        for r in pdf.itertuples():
-            reason = ""
-            if taken >= most:
-                reason = "names"
-            elif r.sector and sectors.get(r.sector, 0) >= per_sector:
-                reason = "sector"
-            elif spent + r.notional > capital * leverage:
-                reason = "leverage"
-            elif risk + r.risk > capital * max(risk_pct, trade_risk_pct) / 100:
-                reason = "risk"
-            else:
-                taken, spent, risk = taken + 1, spent + r.notional, risk + r.risk
-                sectors[r.sector] = sectors.get(r.sector, 0) + 1
-            why.append(reason)
-        return pdf[["account_id", "symbol", "score", "notional", "risk"]].assign(taken=[not x for x in why], skipped=why)
-
-    types = {x.name: x.dataType.simpleString() for x in rows.schema.fields}
-    return rows.groupBy("account_id").applyInPandas(run, f"account_id {types['account_id']}, symbol {types['symbol']}, score double, notional double, risk double, taken boolean, skipped string")
+    A task walks its accounts' sorted rows batch by batch and carries what the open account has spent, so neither the number of
+    accounts nor an account's size costs more than its rows.
+    """
+    share = max(risk_pct, trade_risk_pct) / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        capital, spent, risk, sectors, taken = 0.0, 0.0, 0.0, {}, 0
+        for batch in batches:
+            why = []
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("sector", "notional", "risk", "capital", "__nth")]
+            number = lambda c: c.to_numpy(zero_copy_only=False).astype(float).tolist()  # noqa: E731  null: NaN
+            for sector, notional, r, all_, nth in zip(columns[0].to_pylist(), *map(number, columns[1:4]), columns[4].to_pylist()):
+                if nth == 1:
+                    capital, spent, risk, sectors, taken = all_, 0.0, 0.0, {}, 0
+                if taken >= most:
+                    reason = "names"
+                elif sector and sectors.get(sector, 0) >= per_sector:
+                    reason = "sector"
+                elif spent + notional > capital * leverage:
+                    reason = "leverage"
+                elif risk + r > capital * share:
+                    reason = "risk"
+                else:
+                    reason, taken, spent, risk = "", taken + 1, spent + notional, risk + r
+                    sectors[sector] = sectors.get(sector, 0) + 1
+                why.append(reason)
+            skipped = pa.array(why, pa.string())
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in passed]
+            yield pa.RecordBatch.from_arrays([*kept, pc.equal(skipped, ""), skipped], [*passed, "taken", "skipped"])
+
+    passed = ["account_id", "symbol", "score", "notional", "risk", *keep]
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) if c in ("score", "notional", "risk", "capital") else F.col(c) for c in [*passed, "sector", "capital"]])
+    order = [F.when(~F.isnan("score"), F.col("score")).desc_nulls_last(), F.col("symbol").asc_nulls_last()]
+    # The window leaves a task's rows account by account, in the order of their numbers.
+    numbered = numbers.withColumn("__nth", F.row_number().over(account().orderBy(*order)))
+    types = {x.name: x.dataType.simpleString() for x in numbered.schema.fields}
+    return numbered.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in passed) + ", taken boolean, skipped string")
 
 
 def basket_totals(b: DataFrame) -> DataFrame:
