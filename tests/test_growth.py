@@ -48,3 +48,13 @@ def test_basket_walks_accounts_over_batches(spark, small_batches):
     b = K.basket(spark.createDataFrame(rows, CANDIDATE).repartition(3), keep=("win_pct",))
     assert "FlatMapGroupsInPandas" not in plan_of(b)
     assert {(r.account_id, r.symbol): (r.taken, r.skipped, r.win_pct) for r in b.collect()} == chosen(rows)
+
+
+def test_basket_totals_of_accounts_cut_by_batches(spark, small_batches):
+    rows = candidate_rows()
+    t = K.basket_totals(K.basket(spark.createDataFrame(rows, CANDIDATE)))
+    assert "FlatMapGroupsInPandas" not in plan_of(t)
+    want = chosen(rows)
+    for r in t.collect():
+        mine = [v for k, v in want.items() if k[0] == r.account_id]
+        assert (r.considered, r.positions, r.skipped_sector) == (len(mine), sum(v[0] for v in mine), sum(v[1] == "sector" for v in mine))
