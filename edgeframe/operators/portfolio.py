@@ -420,22 +420,36 @@ def basket_bets(n: Column, rho: Column) -> Column:
 
 def basket_losses(rows: DataFrame, draws: int = 4000, seed: int = 42) -> DataFrame:
     """Per account: seeded draws of the day's result of its basket (rows: risk, win_pct, rr), each name winning rr times its
-    risk or losing it: mean, nearest-rank 5th and 95th percentile, share of losing days and of days that lose half the risk."""
+    risk or losing it: mean, nearest-rank 5th and 95th percentile, share of losing days and of days that lose half the risk.
+
+    Baskets of as many names meet the same numbers, so a task draws them once for each size.
+    """
     from .bootstrap import draws as numbers
 
     names = ["account_id", "names", "expected", "p05", "p95", "losing_pct", "big_loss_pct"]
+    at = lambda q: int(np.floor(q * (draws - 1) + 0.5))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("symbol")
-        n, risk = len(pdf), pdf["risk"].to_numpy(float)
-        u = (numbers(seed, 0, draws * n) >> np.uint64(11)).astype(float).reshape(draws, n) / 2.0**53
-        win = u < np.clip(pdf["win_pct"].to_numpy(float) / 100, 0, 1)
-        day = np.sort(np.where(win, pdf["rr"].to_numpy(float) * risk, -risk).sum(1))
-        at = lambda q: float(day[int(np.floor(q * (draws - 1) + 0.5))])
-        return pd.DataFrame([[pdf["account_id"].iloc[0], n, float(day.mean()), at(0.05), at(0.95), float((day < 0).mean() * 100), float((day <= -0.5 * risk.sum()).mean() * 100)]], columns=names)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, u = -1, None
+        for batch in batches:
+            out, places = [], batch.column(1)
+            ends, flat = places.offsets.to_numpy(), places.values
+            risks, wins, rrs = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("risk", "win_pct", "rr"))
+            # Accounts by size: one set of numbers is held at a time.
+            for i in np.argsort(np.diff(ends), kind="stable"):
+                a, b = ends[i], ends[i + 1]
+                n, risk = int(b - a), risks[a:b]
+                if n != last:
+                    last, u = n, (numbers(seed, 0, draws * n) >> np.uint64(11)).astype(float).reshape(draws, n) / 2.0**53
+                day = np.sort(np.where(u < np.clip(wins[a:b] / 100, 0, 1), rrs[a:b] * risk, -risk).sum(1))
+                out.append((i, n, float(day.mean()), float(day[at(0.05)]), float(day[at(0.95)]), float((day < 0).mean() * 100), float((day <= -0.5 * risk.sum()).mean() * 100)))
+            which = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), *[pa.array([x[k] for x in out], pa.int64() if k == 1 else pa.float64()) for k in range(1, 7)]], names)
+
+    one = F.struct(F.col("symbol").isNull().alias("z"), "symbol", *[F.col(c).cast("double").alias(c) for c in ("risk", "win_pct", "rr")])
+    baskets = rows.groupBy("account_id").agg(F.sort_array(F.collect_list(one)).alias("names"))
     kind = rows.schema["account_id"].dataType.simpleString()
-    return rows.groupBy("account_id").applyInPandas(run, f"account_id {kind}, names long, expected double, p05 double, p95 double, losing_pct double, big_loss_pct double")
+    return baskets.mapInArrow(run, f"account_id {kind}, names long, expected double, p05 double, p95 double, losing_pct double, big_loss_pct double")
 
 
 def exposure_gauge(used_pct: Column) -> Column:

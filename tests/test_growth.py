@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from edgeframe.operators import bootstrap
 from edgeframe.operators import portfolio as K
 
 
@@ -58,3 +60,15 @@ def test_basket_totals_of_accounts_cut_by_batches(spark, small_batches):
     for r in t.collect():
         mine = [v for k, v in want.items() if k[0] == r.account_id]
         assert (r.considered, r.positions, r.skipped_sector) == (len(mine), sum(v[0] for v in mine), sum(v[1] == "sector" for v in mine))
+
+
+def test_basket_losses_of_many_sizes_in_one_batch(spark):
+    rows = [(a, s, 1.0 + a % 3 + s, 40.0 + 7 * s, 1.5 + s) for a in range(12) for s in range(a % 4 + 1)]
+    d = K.basket_losses(spark.createDataFrame(rows, "account_id long, symbol long, risk double, win_pct double, rr double").coalesce(1), draws=40)
+    assert "FlatMapGroupsInPandas" not in plan_of(d)
+    for r in d.collect():
+        mine = sorted(x for x in rows if x[0] == r.account_id)
+        u = (bootstrap.draws(42, 0, 40 * len(mine)) >> np.uint64(11)) / 2.0**53
+        days = [sum((x[4] if u[k * len(mine) + j] < x[3] / 100 else -1) * x[2] for j, x in enumerate(mine)) for k in range(40)]
+        assert (r.names, r.expected) == (len(mine), pytest.approx(np.mean(days)))
+        assert (r.p05, r.losing_pct) == (pytest.approx(sorted(days)[int(0.05 * 39 + 0.5)]), pytest.approx(np.mean([x < 0 for x in days]) * 100))
