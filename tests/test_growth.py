@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgeframe.operators import bootstrap
 from edgeframe.operators import portfolio as K
+from edgeframe.sources import ingest
 
 
 def plan_of(df) -> str:
@@ -72,3 +74,13 @@ def test_basket_losses_of_many_sizes_in_one_batch(spark):
         days = [sum((x[4] if u[k * len(mine) + j] < x[3] / 100 else -1) * x[2] for j, x in enumerate(mine)) for k in range(40)]
         assert (r.names, r.expected) == (len(mine), pytest.approx(np.mean(days)))
         assert (r.p05, r.losing_pct) == (pytest.approx(sorted(days)[int(0.05 * 39 + 0.5)]), pytest.approx(np.mean([x < 0 for x in days]) * 100))
+
+
+@pytest.mark.parametrize("kind, head, line", [("trades", "Symbol,Side,Qty,Entry Price,Exit Price,Trade Date", "s%d,buy,2,%d,9,2024-01-02")])
+def test_statements_leave_in_batches_of_many_files(spark, monkeypatch, kind, head, line):
+    monkeypatch.setattr(ingest, "ROWS_AT_ONCE", 7)
+    files = [(f"f{i}", "\n".join([head, *[line % (i, k + 1) for k in range(i % 5)]]).encode()) for i in range(30)] + [("none", None)]
+    got = ingest.statements(spark.createDataFrame(files, "path string, content binary"), kind)
+    assert "MapInPandas" not in plan_of(got)
+    rows = got.where("warning IS NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("nth").alias("last"), F.min("symbol").alias("symbol")).collect()
+    assert {r.path: (r.n, r.last, r.symbol) for r in rows} == {f"f{i}": (i % 5, i % 5 - 1, f"S{i}") for i in range(30) if i % 5}
