@@ -76,7 +76,7 @@ def test_basket_losses_of_many_sizes_in_one_batch(spark):
         assert (r.p05, r.losing_pct) == (pytest.approx(sorted(days)[int(0.05 * 39 + 0.5)]), pytest.approx(np.mean([x < 0 for x in days]) * 100))
 
 
-@pytest.mark.parametrize("kind, head, line", [("trades", "Symbol,Side,Qty,Entry Price,Exit Price,Trade Date", "s%d,buy,2,%d,9,2024-01-02")])
+@pytest.mark.parametrize("kind, head, line", [("holdings", "Stock;Quantity;Buy Value", "s%d;2;%d"), ("trades", "Symbol,Side,Qty,Entry Price,Exit Price,Trade Date", "s%d,buy,2,%d,9,2024-01-02")])
 def test_statements_leave_in_batches_of_many_files(spark, monkeypatch, kind, head, line):
     monkeypatch.setattr(ingest, "ROWS_AT_ONCE", 7)
     files = [(f"f{i}", "\n".join([head, *[line % (i, k + 1) for k in range(i % 5)]]).encode()) for i in range(30)] + [("none", None)]
