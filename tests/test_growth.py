@@ -84,3 +84,16 @@ def test_statements_leave_in_batches_of_many_files(spark, monkeypatch, kind, hea
     assert "MapInPandas" not in plan_of(got)
     rows = got.where("warning IS NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("nth").alias("last"), F.min("symbol").alias("symbol")).collect()
     assert {r.path: (r.n, r.last, r.symbol) for r in rows} == {f"f{i}": (i % 5, i % 5 - 1, f"S{i}") for i in range(30) if i % 5}
+
+
+def test_line_items_meet_once_by_symbol_and_by_account(spark, monkeypatch):
+    """Days, closes and windows of a symbol, and merged holdings, need no further move of the rows."""
+    from edgeframe.plans import q_portfolio as Q
+    from edgeframe.sources import tables
+
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert moves(Q.last_close(t)) == moves(K.span_stats(t.steady, [1, 2], 50)) == 1
+    assert moves(K.merge_holdings(t.holdings)) == moves(t.holdings)
+    monkeypatch.setattr(tables, "LINE_ROWS", 500)
+    assert t.line_parts() == -(-t.raw("lineitem").count() // 500)
