@@ -187,18 +187,18 @@ def buy_screen(signals: DataFrame, edges: DataFrame, held: DataFrame, k: int = 1
     """Per account: symbols it does not hold, above both means, stronger than the index over 6 and 12 months, near their
     high, with a long edge; the strongest over both spans first.
 
-    The candidates are ranked once. An account that holds h names finds its ``k`` among the first k + h of
-    them, so it meets as many candidates as that and no more.
+    The candidates are ranked once. An account that holds h of them finds its ``k`` among the first k + h, so it needs the
+    places of those that it holds and nothing else of its names.
     """
     ok = signals.where("vs50 > 0 AND vs200 > 0 AND rs_6m > 0 AND rs_12m > 0").where(F.col("off_high") >= off_high).join(edges, "symbol").withColumn("strength", F.round(F.col("rs_12m") + F.col("rs_6m"), 9))
-    names = held.select("account_id", "symbol").distinct()
-    accounts = names.groupBy("account_id").agg(F.count(F.lit(1)).alias("__held"))
-    most = k + (accounts.agg(F.max("__held")).first()[0] or 0)
+    names = durable(held.select("account_id", "symbol").distinct(), "held")
+    most = k + (names.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
     first = ok.orderBy(F.desc("strength"), "symbol").limit(most)
-    first = first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("strength"), "symbol")))  # at most k and one account's names
-    met = accounts.select("account_id", F.explode(F.sequence(F.lit(1), (F.col("__held") + k).cast("int"))).alias("__place")).join(first, "__place")
-    free = met.join(names, ["account_id", "symbol"], "left_anti")
-    return free.withColumn("rank", F.row_number().over(account().orderBy("__place"))).where(F.col("rank") <= k).drop("__place")
+    first = durable(first.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("strength"), "symbol"))), "first")  # at most k and one account's names
+    places = names.join(F.broadcast(first.select("symbol", "__place")), "symbol", "left").groupBy("account_id").agg(F.collect_set("__place").alias("__held"))
+    free = F.slice(F.array_except(F.sequence(F.lit(1), F.size("__held") + k), F.col("__held")), 1, k)
+    met = places.select("account_id", F.posexplode(free).alias("rank", "__place")).join(F.broadcast(first), "__place")
+    return met.withColumn("rank", F.col("rank") + 1).drop("__place")
 
 
 def _sold() -> Column:
