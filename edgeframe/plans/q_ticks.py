@@ -120,14 +120,15 @@ def m14(t):
     return M.rank_snapshot(scored(t)).select("symbol", "direction", "rank")
 
 
-@query("m15_caveat", "ticks", sql="""SELECT event_id, concat_ws(', ', CASE WHEN n < 50 THEN 'low n' END, CASE WHEN spread > 0.2 THEN 'wide spread' END, CASE WHEN abs(obi) < 0.05 THEN 'thin OBI' END, CASE WHEN oos <= 0 THEN printf('OOS %+.2fR (fails out-of-sample)', oos) END,
-  CASE WHEN oos_n > 0 AND wf < 0.5 THEN printf('WF %.0f%% (inconsistent)', wf * 100) END) AS note FROM (SELECT event_id, event_id % 90 + 20 AS n, event_id % 5 / 10.0 AS spread, (event_id % 41 - 20) / 100.0 AS obi, CASE WHEN event_id % 6 > 0 THEN (event_id % 8 - 3) / 4.0 END AS oos, event_id % 3 AS oos_n, event_id % 5 / 4.0 AS wf FROM ticks)""")
+@query("m15_caveat", "ticks", extra=X, sql=f"""SELECT event_id, concat_ws(', ', CASE WHEN n < 50 THEN 'low n' END, CASE WHEN spread > 0.2 THEN 'wide spread' END, CASE WHEN abs(obi) < 0.05 THEN 'thin OBI' END, CASE WHEN oos <= 0 THEN printf('OOS %+.2fR (fails out-of-sample)', oos) END,
+  CASE WHEN oos_n > 0 AND wf < 0.5 THEN printf('WF %.0f%% (inconsistent)', wf * 100) END) AS note, abs(z) > 3 AS stretched FROM (SELECT event_id, CASE WHEN sd > 0 THEN (ltp - mean) / sd ELSE 0 END AS z, event_id % 90 + 20 AS n, event_id % 5 / 10.0 AS spread, {IMBALANCE} AS obi, CASE WHEN event_id % 6 > 0 THEN (event_id % 8 - 3) / 4.0 END AS oos, event_id % 3 AS oos_n, event_id % 5 / 4.0 AS wf FROM feat)""")
 def m15(t):
+    """The note of every tick with its book's imbalance, and whether its price is stretched in the session's window."""
     i = F.col("event_id")
-    rows = t.ticks.select(
-        "event_id", (i % 90 + 20).alias("n"), (i % 5 / 10.0).alias("spread_pct"), ((i % 41 - 20) / 100.0).alias("obi"), F.when(i % 6 > 0, (i % 8 - 3) / 4.0).alias("oos_expectancy"), (i % 3).alias("oos_n"), (i % 5 / 4.0).alias("wf_consistency")
+    rows = M.features(booked(t)).select(
+        "event_id", "z", (i % 90 + 20).alias("n"), (i % 5 / 10.0).alias("spread_pct"), F.col("imbalance").alias("obi"), F.when(i % 6 > 0, (i % 8 - 3) / 4.0).alias("oos_expectancy"), (i % 3).alias("oos_n"), (i % 5 / 4.0).alias("wf_consistency")
     )
-    return rows.select("event_id", M.caveat().alias("note"))
+    return rows.select("event_id", M.caveat().alias("note"), (F.abs("z") > 3).alias("stretched"))
 
 
 @query("m17_enrichment", "ticks", sql="SELECT symbol, CAST(date AS VARCHAR) AS date, adv FROM (SELECT symbol, date, avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS adv0, R6(avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS adv FROM (SELECT symbol, CAST(ts AS DATE) AS date, sum(ltq) AS v FROM ticks GROUP BY 1, 2))")

@@ -97,3 +97,14 @@ def test_line_items_meet_once_by_symbol_and_by_account(spark, monkeypatch):
     assert moves(K.merge_holdings(t.holdings)) == moves(t.holdings)
     monkeypatch.setattr(tables, "LINE_ROWS", 500)
     assert t.line_parts() == -(-t.raw("lineitem").count() // 500)
+
+
+def test_caveat_reads_the_book_and_the_session(spark):
+    from edgeframe.plans import q_ticks as Q
+    from edgeframe.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    thin = {r.event_id for r in Q.booked(t).where("abs(imbalance) < 0.05").collect()}
+    rows = Q.m15(t).collect()
+    assert {r.event_id for r in rows if "thin OBI" in r.note} == thin
+    assert {r.event_id for r in rows if r.stretched} == {r.event_id for r in Q.M.features(t.ticks).where("abs(z) > 3").collect()}
