@@ -6,6 +6,7 @@ them by event time, so equality with the batch twins holds whenever batches foll
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +49,41 @@ def tick_rsi(prices: np.ndarray, p: int = 14) -> float:
     return 50.0 if gain + loss == 0 else float(100.0 * gain / (gain + loss))
 
 
+def window_rsi(x: np.ndarray, first: np.ndarray, ends: np.ndarray, p: int = 14) -> np.ndarray:
+    """``tick_rsi`` of every window ``x[first:ends]``: one decaying sum runs over all moves, and each window takes off what
+    the moves up to its seed's end have left in it. A side without a move in the window is exactly 0."""
+    d, keep = np.diff(x, prepend=x[0]), (p - 1) / p
+    rest = ends - 1 - first - p  # moves after the seed
+    whole = rest >= 0
+    a, b, seeded = first[whole], ends[whole] - 1, first[whole] + p
+    sides = []
+    for side in (np.maximum(d, 0), np.maximum(-d, 0)):
+        e, decayed = 0.0, []
+        for v in (side / p).tolist():
+            e = e * keep + v
+            decayed.append(e)
+        decayed, total, count = np.array(decayed), np.cumsum(side), np.cumsum(side > 0)
+        mean = decayed[b] + keep ** rest[whole] * ((total[seeded] - total[a]) / p - decayed[seeded])
+        sides.append(np.where(count[b] > count[a], mean, 0.0))
+    gain, loss = sides
+    out = np.full(len(ends), 50.0)
+    out[whole] = np.where(gain + loss == 0, 50.0, 100.0 * gain / np.where(gain + loss == 0, 1.0, gain + loss))
+    return out
+
+
+def window_medians(t: np.ndarray, first: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Medians, cut to whole numbers, of windows that move on by one value: a sorted list takes one in and gives one up."""
+    values, out, oldest = t.tolist(), [], int(first[0])
+    kept = sorted(values[oldest : int(ends[0]) - 1])
+    for a, b in zip(first.tolist(), ends.tolist()):
+        insort(kept, values[b - 1])
+        while oldest < a:
+            kept.pop(bisect_left(kept, values[oldest]))
+            oldest += 1
+        out.append(int((kept[(len(kept) - 1) // 2] + kept[len(kept) // 2]) / 2))
+    return out
+
+
 def _trailing(old: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """All values, and for each new one the first of the ``most`` values up to it."""
     both = np.r_[old, new]
@@ -99,8 +135,8 @@ def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
     out = pd.DataFrame({
         "event_id": rows["event_id"].to_numpy(), "user_id": rows["user_id"].to_numpy(), "imbalance": rows["imbalance"].to_numpy(float), "delta": delta, "vwap": vwap,
         "dev_pct": np.where(vwap != 0, (ltp - vwap) * 100 / np.where(vwap != 0, vwap, 1), np.nan), "mean": mean, "sd": sd, "z": np.where(sd > 0, (ltp - mean) / np.where(sd > 0, sd, 1), 0.0), "rvol": rvol,
-        "rsi": [tick_rsi(x[a:b]) for a, b in zip(first, ends)], "block": block, "sweep": np.where(block > 1, one_way, 0).astype(np.int32), "atr_proxy": np.maximum(sd, 0.002 * ltp),
-        "latency_median": [int(np.median(t[a:b])) for a, b in zip(t_first, t_ends)],
+        "rsi": window_rsi(x, first, ends), "block": block, "sweep": np.where(block > 1, one_way, 0).astype(np.int32), "atr_proxy": np.maximum(sd, 0.002 * ltp),
+        "latency_median": window_medians(t, t_first, t_ends),
     })
     kept = (int(volume[-1]), float(pvs[-1]), float(vs[-1]), x[-PRICES:].tolist(), d[-DELTAS:].tolist(), q[-SIZES:].tolist(), t[-DELTAS:].tolist())
     return out, kept

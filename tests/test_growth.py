@@ -86,6 +86,19 @@ def test_statements_leave_in_batches_of_many_files(spark, monkeypatch, kind, hea
     assert {r.path: (r.n, r.last, r.symbol) for r in rows} == {f"f{i}": (i % 5, i % 5 - 1, f"S{i}") for i in range(30) if i % 5}
 
 
+def test_windows_of_ticks_equal_one_by_one():
+    from edgeframe.streaming import features as S
+
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(100, 5, 2500), 100 + np.cumsum(rng.choice([-1.0, 0.0, 1.0], 2500)), np.r_[np.arange(50.0), np.full(1500, 9.0), np.arange(9.0, 0, -0.01)]):
+        for kept in (0, 7, 1000):
+            ends = np.arange(kept + 1, len(x) + 1)
+            first = np.maximum(ends - S.PRICES, 0)
+            assert np.allclose(S.window_rsi(x, first, ends), [S.tick_rsi(x[a:b]) for a, b in zip(first, ends)], rtol=0, atol=1e-9)
+            first = np.maximum(ends - S.DELTAS, 0)
+            assert S.window_medians(np.floor(x), first, ends) == [int(np.median(np.floor(x)[a:b])) for a, b in zip(first, ends)]
+
+
 def test_line_items_meet_once_by_symbol_and_by_account(spark, monkeypatch):
     """Days, closes and windows of a symbol, and merged holdings, need no further move of the rows."""
     from edgeframe.plans import q_portfolio as Q
