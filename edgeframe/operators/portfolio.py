@@ -24,8 +24,11 @@ def account():
     return Window.partitionBy("account_id")
 
 
-def merge_holdings(rows: DataFrame, order: str = "pos") -> DataFrame:
-    """One row per (account, symbol): summed quantity, quantity-weighted cost, distinct brokers in first-seen order."""
+def merge_holdings(rows: DataFrame, order: str = "pos", brokers: bool = True) -> DataFrame:
+    """One row per (account, symbol): summed quantity, quantity-weighted cost, distinct brokers in first-seen order (or none,
+    which leaves out their grouping)."""
+    if not brokers:
+        return rows.groupBy("account_id", "symbol").agg(F.sum("qty").alias("qty"), (F.sum(F.col("qty") * F.col("avg_cost")) / F.sum("qty")).alias("avg_cost"))
     first = rows.groupBy("account_id", "symbol", "broker").agg(F.sum("qty").alias("qty"), F.sum(F.col("qty") * F.col("avg_cost")).alias("cost"), F.min(order).alias("o"))
     return first.groupBy("account_id", "symbol").agg(
         F.sum("qty").alias("qty"), (F.sum("cost") / F.sum("qty")).alias("avg_cost"),
@@ -367,34 +370,39 @@ def basket(rows: DataFrame, most: int = 5, per_sector: int = 2, risk_pct: float
     of at least one trade's risk; skipped rows say why. ``keep``: further columns to pass on.
 
     A task walks its accounts' sorted rows batch by batch and carries what the open account has spent, so neither the number of
-    accounts nor an account's size costs more than its rows.
+    accounts nor an account's size costs more than its rows. Once an account has all its names, the walk goes on at the next.
     """
     share = max(risk_pct, trade_risk_pct) / 100
+    reasons = ["", "names", "sector", "leverage", "risk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         capital, spent, risk, sectors, taken = 0.0, 0.0, 0.0, {}, 0
         for batch in batches:
-            why = []
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("sector", "notional", "risk", "capital", "__nth")]
-            number = lambda c: c.to_numpy(zero_copy_only=False).astype(float).tolist()  # noqa: E731  null: NaN
-            for sector, notional, r, all_, nth in zip(columns[0].to_pylist(), *map(number, columns[1:4]), columns[4].to_pylist()):
-                if nth == 1:
-                    capital, spent, risk, sectors, taken = all_, 0.0, 0.0, {}, 0
-                if taken >= most:
-                    reason = "names"
-                elif sector and sectors.get(sector, 0) >= per_sector:
-                    reason = "sector"
-                elif spent + notional > capital * leverage:
-                    reason = "leverage"
-                elif risk + r > capital * share:
-                    reason = "risk"
-                else:
-                    reason, taken, spent, risk = "", taken + 1, spent + notional, risk + r
-                    sectors[sector] = sectors.get(sector, 0) + 1
-                why.append(reason)
-            skipped = pa.array(why, pa.string())
+            coded = columns[0].dictionary_encode()
+            names, place = coded.dictionary.to_pylist(), pc.fill_null(coded.indices, -1).to_numpy().tolist()
+            notionals, risks, all_ = (c.to_numpy(zero_copy_only=False).astype(float).tolist() for c in columns[1:4])  # null: NaN
+            starts = np.flatnonzero(columns[4].to_numpy() == 1).tolist()
+            why = np.ones(batch.num_rows, np.int8)
+            for first, end in zip([0, *starts], [*starts, batch.num_rows]):
+                if first < end and (first or starts[:1] == [0]):
+                    capital, spent, risk, sectors, taken = all_[first], 0.0, 0.0, {}, 0
+                for i in range(first, end):
+                    if taken >= most:
+                        break
+                    sector, r, notional = names[place[i]] if place[i] >= 0 else None, risks[i], notionals[i]
+                    if sector and sectors.get(sector, 0) >= per_sector:
+                        why[i] = 2
+                    elif spent + notional > capital * leverage:
+                        why[i] = 3
+                    elif risk + r > capital * share:
+                        why[i] = 4
+                    else:
+                        why[i], taken, spent, risk = 0, taken + 1, spent + notional, risk + r
+                        sectors[sector] = sectors.get(sector, 0) + 1
+            skipped = pa.DictionaryArray.from_arrays(pa.array(why), pa.array(reasons)).cast(pa.string())
             kept = [batch.column(batch.schema.get_field_index(c)) for c in passed]
-            yield pa.RecordBatch.from_arrays([*kept, pc.equal(skipped, ""), skipped], [*passed, "taken", "skipped"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(why == 0), skipped], [*passed, "taken", "skipped"])
 
     passed = ["account_id", "symbol", "score", "notional", "risk", *keep]
     numbers = rows.select(*[F.col(c).cast("double").alias(c) if c in ("score", "notional", "risk", "capital") else F.col(c) for c in [*passed, "sector", "capital"]])

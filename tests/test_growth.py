@@ -112,6 +112,35 @@ def test_line_items_meet_once_by_symbol_and_by_account(spark, monkeypatch):
     assert t.line_parts() == -(-t.raw("lineitem").count() // 500)
 
 
+def test_holdings_stay_by_account_until_their_basket(spark):
+    """Prices, sectors, weights and the choice need no move of the holdings but the one to their accounts."""
+    from edgeframe.plans import q_portfolio as Q
+    from edgeframe.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        b = K.basket(Q.candidates(t))
+        assert b.collect()
+        assert plan_of(b).split("== Final Plan ==")[1].split("== Initial Plan ==")[0].count("Exchange hashpartitioning(account_id") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(Q.closes(t)) == rows(Q.last_close(t))
+    near = lambda df: {(r.account_id, r.symbol): (r.qty, pytest.approx(r.avg_cost)) for r in df.collect()}
+    assert near(K.merge_holdings(t.holdings, brokers=False)) == {k: (q, c.expected) for k, (q, c) in near(K.merge_holdings(t.holdings)).items()}
+
+
+def test_closes_of_a_day_with_several_items_and_items_without_one(spark, tmp_path):
+    from edgeframe.plans import q_portfolio as Q
+    from edgeframe.sources.tables import Tables
+
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, day string"
+    rows = [(1, 1, 5, 1, 1.0, 10.0, "2024-01-02"), (1, 1, 5, 2, 1.0, 11.0, "2024-01-02"), (9, 1, 5, 1, 1.0, 12.0, "2024-01-01"), (9, 1, 5, 2, 0.0, 13.0, "2024-01-03"), (3, 1, 6, 1, 1.0, 14.0, None), (3, 1, 7, 1, 1.0, None, "2024-01-01")]
+    spark.createDataFrame(rows, kinds).selectExpr("*", "CAST(day AS timestamp) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(tuple(r) for r in Q.closes(Tables(spark, str(tmp_path))).collect()) == [(5, 11.0), (7, None)]
+
+
 def test_caveat_reads_the_book_and_the_session(spark):
     from edgeframe.plans import q_ticks as Q
     from edgeframe.sources.tables import Tables
