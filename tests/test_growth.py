@@ -86,6 +86,43 @@ def test_statements_leave_in_batches_of_many_files(spark, monkeypatch, kind, hea
     assert {r.path: (r.n, r.last, r.symbol) for r in rows} == {f"f{i}": (i % 5, i % 5 - 1, f"S{i}") for i in range(30) if i % 5}
 
 
+def test_statements_are_parsed_in_tasks_cut_by_rows(spark, monkeypatch):
+    from edgeframe.plans import q_sources as Q
+    from edgeframe.sources import tables
+
+    monkeypatch.setattr(tables, "LINE_ROWS", 100)
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    n = -(-t.raw("orders").count() // 100)
+    for kind in ("holdings", "trades"):
+        moves = [x for x in Q.statement_files(t, kind)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in x]
+        assert len(moves) == 1 and f"{n}), REPARTITION_BY_NUM" in moves[0]
+
+
+def test_cells_of_many_statements_are_read_as_numbers_once():
+    """Marked numbers and words, which recur, are worked out once; the others need no pattern."""
+    ingest._marked_number.cache_clear()
+    for i in range(50):
+        rows = list(ingest.parse_holdings(f"Stock;Quantity;Buy Value\nAB;2;{i}.50\nCD;(3);Rs. 1,200"))
+        assert rows == [("AB", 2.0, (i + 0.5) / 2, None, None, None), ("CD", -3.0, -400.0, None, None, None)]
+    assert ingest._marked_number.cache_info().misses <= 10
+    assert [ingest.number(x) for x in (None, "", "9" * 40, "(" + "9" * 40 + ")", "x" * 40)] == [None, None, float("9" * 40), -float("9" * 40), None]
+
+
+def test_statement_values_of_half_a_cent_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from edgeframe import catalog
+
+    rows = [(3674, 390953.8, "P", 1, "1-URGENT", "2024-01-02"), (5, 1234.5, "F", 2, "5-LOW", "2024-01-03")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long, o_orderpriority string, day string")
+    orders.selectExpr("*", "CAST(day AS timestamp) AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    name = "a11_holdings_statements"
+    got = sorted((r.path, r.n, r.qty, r.value) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"SELECT path, n, qty, value FROM ({catalog.oracle_sql()[name]})").fetchall())
+
+
 def test_windows_of_ticks_equal_one_by_one():
     from edgeframe.streaming import features as S
 
